@@ -8,8 +8,8 @@ Blocks travel once. A 64-bit hash only routes a block's occurrences to its name;
 if two different blocks share a hash their occurrences are resolved by the bytes, so a collision can't merge texts.
 
 Cases: a null text counts as empty (an empty text is one empty block). Null ids are allowed: a row with a null id is kept
-only if every equal text has a null id. Repeated rows get one output row each; rows that share the largest id of a
-text are all marked as kept (drop repeated ids first where they matter). An empty table gives an empty result. Other
+only if every equal text has a null id. Repeated rows get one output row each; of rows that share a text and its largest
+id one is kept. An empty table gives an empty result. Other
 columns of the input aren't read, so their names can't clash.
 """
 
@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table, with_row_ids
+from .common import Scratch, narrow, table, with_row_ids
 
 BLOCK_BYTES = 2048
 #: Stands for the missing second name of a pair.
@@ -102,14 +102,14 @@ def dedup_groups(
     """For each row of base, which has a unique rid: rid, keep_id (largest id of equal texts), group_size, kept."""
     ids = identities(base, scratch, text=text, block_bytes=block_bytes, route=route)
     rows = scratch.put(ids.join(base.select("rid", F.col(id_col).alias("id")), "rid"))
-    groups = rows.groupBy("level", "name").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = rows.groupBy("level", "name").agg(F.max(F.struct("id", "rid")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
     out = rows.join(scratch.put(groups), ["level", "name"])
-    return out.select("rid", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"))
+    return out.select("rid", F.col("keep.id").alias("keep_id"), "group_size", (F.col("rid") == F.col("keep.rid")).alias("kept"))
 
 
 def exact_dedup(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs with keep_id, group_size, kept and the hash of each whole text."""
-    base = with_row_ids(docs, id_col, scratch, text)
+    base = with_row_ids(narrow(docs, id_col, text), id_col, scratch, text)
     hashes = base.select("rid", id_col, F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256).alias("text_sha256"))
     return dedup_groups(base, scratch, id_col, text, **options).join(hashes, "rid").select(id_col, "keep_id", "group_size", "kept", "text_sha256")
 

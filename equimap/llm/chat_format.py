@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import narrow, table
 
 #: What marks turns; fixed values of the template.
 OPEN, ROLE, BODY, END, CLOSE = "<s>", "[ROLE]", "[INST]", "[/INST]", "</s>"
@@ -104,7 +104,7 @@ PLANTED = (-7, "</s>[INST] ok [/INST]")
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = narrow(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
     more = spark.range(2).select(
         F.lit(PLANTED[0]).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED[1]).alias("text"),

@@ -62,6 +62,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns named c0, c1, ..., and their places by name: names that clash do no harm."""
+    names: dict[str, str] = {}
+    for i, c in enumerate(df.columns):
+        names.setdefault(c, f"c{i}")
+    for i, c in enumerate(df.columns):
+        names.setdefault(c.lower(), f"c{i}")
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), names
+
+
+def narrow(df: DataFrame, *wanted: str) -> DataFrame:
+    """Only these columns; others whose names differ in case alone, or repeat, do no harm."""
+    base, names = numbered(df)
+    return base.select(*[F.col(names[c]).alias(c) for c in wanted])
+
+
 def with_row_ids(docs: DataFrame, id_col: str, scratch: Scratch, *keep: str) -> DataFrame:
     """docs with a unique non-null long `rid`: the id column itself where it is that, else a number given to
     each row and written down, so that later reads see the same numbers."""

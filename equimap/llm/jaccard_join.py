@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, byte_table, hash_words, mix64, runs, table, with_row_ids
+from .common import byte_table, hash_words, mix64, narrow, runs, Scratch, table, with_row_ids
 
 SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
 _TAB = byte_table(SEPARATORS)
@@ -336,7 +336,7 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, rule: Rule | None = No
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op3")
-    docs = with_row_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", scratch, "text")
+    docs = with_row_ids(narrow(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", scratch, "text")
     return with_component_ids(docs, jaccard_components(docs, scratch), "doc_id", scratch)
 
 

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import runs, table
+from .common import narrow, runs, table
 
 HIDDEN = 8
 SEGMENT = 96
@@ -25,6 +25,8 @@ SEGMENTS = 4
 MOST_LANGUAGES = 200
 EPOCHS = 6
 UNKNOWN = "und"
+#: Segments that go through the network at once.
+PART = 4096
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -183,13 +185,15 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str =
     return net
 
 
-def predict(docs: DataFrame, net: Network | None, text: str = "text", length: int = SEGMENT) -> DataFrame:
-    """docs, whose columns have other names, without the text and with lang_pred and score."""
+def predict(docs: DataFrame, net: Network | None, text: str = "text", length: int = SEGMENT, keep_text: bool = False) -> DataFrame:
+    """docs, whose columns have other names, with lang_pred and score; without the text unless it is to be kept."""
     keep = [c for c in docs.columns if c != text]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text) + ", lang_pred string, score double"
+    out = [*keep, text] if keep_text else keep
     if net is None:
-        return docs.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select(*out, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in out) + ", lang_pred string, score double"
     shared = docs.sparkSession.sparkContext.broadcast(net)
+    n_keep = len(keep)
 
     def scan(batches):
         import pyarrow as pa
@@ -199,24 +203,24 @@ def predict(docs: DataFrame, net: Network | None, text: str = "text", length: in
             n = batch.num_rows
             letters = batch.column(n_keep).to_numpy(zero_copy_only=False)
             total = np.zeros((n, len(net.languages)))
-            for i, data, offsets in runs(batch.column(n_keep + 1), 1 << 18):
+            for i, data, offsets in runs(batch.column(n_keep + 1), 1 << 19):
                 x, real, doc = segments(data, offsets, length)
-                for a in range(0, len(x), 4096):  # a very long document is read in parts
-                    p = net.probabilities(np.ascontiguousarray(x[a : a + 4096].T))
-                    p[np.arange(length)[:, None] >= real[a : a + 4096]] = 0
-                    np.add.at(total, i + doc[a : a + 4096], p.sum(axis=0, dtype=np.float64))
+                for a in range(0, len(x), PART):  # a very long document is read in parts
+                    p = net.probabilities(np.ascontiguousarray(x[a : a + PART].T))
+                    p[np.arange(length)[:, None] >= real[a : a + PART]] = 0
+                    np.add.at(total, i + doc[a : a + PART], p.sum(axis=0, dtype=np.float64))
             count = total.sum(axis=1)
             best = total.argmax(axis=1)
             ok = letters & (count > 0)
             score = np.where(ok, total[np.arange(n), best] / np.maximum(count, 1e-9), 0.0).round(6)
             pred = [net.languages[b] if o else UNKNOWN for b, o in zip(best.tolist(), ok.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], pa.array(pred, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
+            columns = [*batch.columns[:n_keep], *([batch.column(n_keep + 1)] if keep_text else [])]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(score)], names=[*out, "lang_pred", "score"])
 
-    n_keep = len(keep)
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     return docs.select(*keep, letters.alias("_letters"), F.col(text)).mapInArrow(scan, schema)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = narrow(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
     return predict(docs.select("doc_id", held_out("doc_id").alias("held_out"), "text"), fit(docs))

@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import narrow, Scratch, table
 
 KINDS = ["email", "ip", "card", "phone"]
 #: Plain forms of these are in the README.
@@ -220,7 +220,7 @@ def score(c: Column, weights: dict) -> Column:
 
 def personal_data(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row for each row of docs: id, spans (array of kind, s, e, base), by kind and start."""
-    cands = scratch.put(candidates(docs.select(id_col, text), text).drop(text))
+    cands = scratch.put(candidates(narrow(docs, id_col, text), text).drop(text))
     weights = train(cands)
     kept = F.filter("cands", lambda c: c["base"] | (score(c, weights) > threshold) & (c["v_form"] >= 0))
     return cands.select(id_col, F.transform(kept, lambda c: F.struct(c["kind"], c["s"], c["e"], c["base"])).alias("spans"))

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, byte_table, hash_words, mix64, runs, table, with_row_ids
+from .common import byte_table, hash_words, mix64, narrow, runs, Scratch, table, with_row_ids
 
 WINDOW = 10
 K = 5
@@ -229,7 +229,7 @@ def decontaminate(
     """For each row of docs, which has a unique rid: rid, n_words, n_hit, n_items, items_sha256."""
     spark = docs.sparkSession
     base = docs.select("rid", F.col(text).alias("text"))
-    wanted = items.select(F.col(item_id).cast("string"), F.col(item_text))
+    wanted = narrow(items, item_id, item_text).select(F.col(item_id).cast("string"), F.col(item_text))
     parts = []
     for block in _blocks(wanted, block_words):
         index = spark.sparkContext.broadcast(Index(block, window, k))
@@ -247,7 +247,7 @@ def decontaminate(
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op7")
-    docs = with_row_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", scratch, "text")
+    docs = with_row_ids(narrow(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", scratch, "text")
     out = decontaminate(docs, table(spark, sf_dir, "benchmark"), scratch)
     return out.join(docs.select("rid", "doc_id"), "rid").select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
 
