@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import model_queries, scalar_queries, spatial_queries, stat_queries, text_queries
+
+_MODULES = (scalar_queries, stat_queries, spatial_queries, text_queries, model_queries)
+QUERIES = {k: v for m in _MODULES for k, v in m.Q.queries.items()}
+ORACLE_SQL = {k: v for m in _MODULES for k, v in m.Q.sql.items()}
