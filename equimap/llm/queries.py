@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import block_naming, chat_format, jaccard_join, language_id, mixing, personal_data, url_filter, winnowing
+from . import block_naming, chat_format, jaccard_join, kneser_ney, language_id, mixing, personal_data, secret_scan, url_filter, winnowing
 
 QUERIES = {
+    "op1_secret_scan": secret_scan.op1_secret_scan,
     "op2_exact_dedup": block_naming.op2_exact_dedup,
     "op3_jaccard_join": jaccard_join.op3_jaccard_join,
     "op4_chat_format": chat_format.op4_chat_format,
     "op5_personal_data": personal_data.op5_personal_data,
     "op6_temperature_mix": mixing.op6_temperature_mix,
     "op7_decontaminate": winnowing.op7_decontaminate,
+    "op8_quality_perplexity": kneser_ney.op8_quality_perplexity,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_language_id": language_id.op10_language_id,
 }
