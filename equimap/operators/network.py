@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from .lineage import cut
 
 
 def directed(edges: DataFrame) -> DataFrame:
@@ -26,15 +27,15 @@ def shortest(edges: DataFrame, sources: DataFrame, cutoff: float, most_rounds: i
 
     Only distances that got better are relaxed again; each round is checkpointed, so lineage stays short and a lost
     executor costs one round."""
-    dist = sources.select(F.col("node").alias("origin"), "node", F.lit(0.0).alias("d")).checkpoint()
+    dist = cut(sources.select(F.col("node").alias("origin"), "node", F.lit(0.0).alias("d")))
     front = dist
     for _ in range(most_rounds):
         step = front.join(edges, F.col("node") == F.col("src")).select("origin", F.col("dst").alias("node"), (F.col("d") + F.col("w")).alias("d")).filter(F.col("d") <= cutoff)
         step = step.groupBy("origin", "node").agg(F.min("d").alias("nd"))
-        better = step.join(dist, ["origin", "node"], "left").filter(F.col("d").isNull() | (F.col("nd") < F.col("d"))).select("origin", "node", F.col("nd").alias("d")).checkpoint()
+        better = cut(step.join(dist, ["origin", "node"], "left").filter(F.col("d").isNull() | (F.col("nd") < F.col("d"))).select("origin", "node", F.col("nd").alias("d")))
         if better.isEmpty():
             return dist
-        dist = dist.unionByName(better).groupBy("origin", "node").agg(F.min("d").alias("d")).checkpoint()
+        dist = cut(dist.unionByName(better).groupBy("origin", "node").agg(F.min("d").alias("d")))
         front = better
     return dist
 

@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def cell(c: Column, size: float) -> Column:
     return F.floor(c / size).cast("long")
@@ -31,7 +33,7 @@ def within(points: DataFrame, sites: DataFrame, radius: float, size: float | Non
     return near.join(keyed, ["ci", "cj"]).drop("ci", "cj").withColumn("d2", d2).filter(F.col("d2") <= radius * radius)
 
 
-def knn(points: DataFrame, sites: DataFrame, k: int, radius: float, point_id: str, site_id: str, exclude_self: bool = False, grow: float = 2.0) -> DataFrame:
+def knn(points: DataFrame, sites: DataFrame, k: int, radius: float, point_id: str, site_id: str, exclude_self: bool = False, grow: float = 4.0) -> DataFrame:
     """For each point its k nearest sites (ties by site id): point_id, site_id, d2, rank.
 
     Sites inside a radius are ranked; points with fewer than k of them are tried again with a larger radius, until it
@@ -48,10 +50,11 @@ def knn(points: DataFrame, sites: DataFrame, k: int, radius: float, point_id: st
         got = pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
         if last:
             return got if out is None else out.unionByName(got)
+        got = cut(got)
         full = got.filter(F.col("rank") == k).select(point_id)
         done = got.join(full, point_id, "left_semi")
         out = done if out is None else out.unionByName(done)
-        todo = todo.join(full, point_id, "left_anti")
+        todo = cut(todo.join(full, point_id, "left_anti"))
         if todo.isEmpty():
             return out
         radius *= grow

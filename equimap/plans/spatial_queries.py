@@ -143,18 +143,9 @@ r AS (SELECT o AS origin, o AS node, 0.0::DOUBLE AS d FROM (VALUES (0), (27)) t(
 SELECT CAST(origin AS BIGINT) AS origin, CAST(node AS BIGINT) AS node, min(d) AS d FROM r GROUP BY 1, 2""")
 def sssp_cutoff(spark, d):
     """Shortest paths up to a cutoff on a lattice, which is the same at every scale."""
-    _checkpoints(spark)
     return N.shortest(N.directed(N.lattice_edges(spark, 8)), spark.range(64).filter("id in (0, 27)").select(F.col("id").alias("node")), 12.0)
 
 
-def _checkpoints(spark):
-    import tempfile
-
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="equimap-"))
-
-
 @Q(Q.sql["sssp_cutoff"].replace("SELECT CAST(origin AS BIGINT) AS origin, CAST(node AS BIGINT) AS node, min(d) AS d FROM r GROUP BY 1, 2", ", s AS (SELECT origin, node, min(d) AS d FROM r GROUP BY 1, 2) SELECT CAST(origin AS BIGINT) AS origin, CAST(a AS BIGINT) AS src, CAST(b AS BIGINT) AS dst, round(least(1.0, (12 - d) / w), 6) AS share FROM s JOIN (SELECT a, b, min(w) AS w FROM e GROUP BY a, b) ON node = a WHERE d < 12").replace("<= 12)\n,", "<= 12),"))
 def reach_truncate(spark, d):
     e = N.directed(N.lattice_edges(spark, 8))
