@@ -6,16 +6,17 @@ sets differ in at most k shingles, so when the hash space is cut into k + 1 + z
 same shingles in both. A key for each part that isn't empty therefore brings every linked pair together (a set with
 more than z empty parts has keys for these too, so nothing is lost). Only documents that share a key meet:
 
-Sets of equal size and equal 128-bit sums count as equal within a task.
-
 1. Keys are made next to the scan. Each task keeps one document per key and sets the others beside it, so a key of any
-   number of documents reaches the shuffle with one row a task.
+   number of documents reaches the shuffle with one row a task. The scan is made twice, for the few documents beside
+   and for the keys, so keys are never written to a table; docs has to be a stored table, which splits alike each time.
+   (Sets of equal size and equal 128-bit sums count as equal within a task.)
 2. Each document is first held against the least document of its keys. Linked pairs are joined to components.
-3. Only keys whose documents are still in different components go on. A growing share of their documents (four, then
-   sixteen, ...) is held against the rest across components, until every pair of a key was held or is connected.
+3. Only keys whose documents are still in different components go on, cut into tiles of at most TILE documents a side.
+   In a tile, bitmaps of hashed parities are compared: the bits in which two differ bound the overlap from above. Pairs
+   of different components that pass are counted exactly on the sorted arrays. A first turn takes each document's few
+   closest ones, which connects most; a second turn takes all pairs that pass, so none is left out.
 
-A pair is tested in two steps: the bits in which two hashed parity bitmaps differ bound the overlap from above, and
-pairs that pass are counted exactly on the sorted arrays. Hashes of 64 bits stand for the shingles.
+Hashes of 64 bits stand for the shingles.
 
 Cases: a null or empty text has an empty set, is linked with nothing and is its own component. Null or repeated ids get
 row numbers inside; a component's id is the least id in it that isn't null (null where all are). Repeated rows are
@@ -36,12 +37,12 @@ SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
 _TAB = byte_table(SEPARATORS)
 #: Ratio of a size band's end to its start.
 EDGE = 1.5
-#: 64-bit words of a bitmap.
-BITMAP = 8
+#: Most bits of a bitmap.
+MOST_BITS = 1 << 15
+#: Documents on a side of a tile, and the closest ones that a document proposes in the first turn.
+TILE, CLOSEST = 8192, 4
 #: Rows that a task gathers before it sends them on; bounds its memory.
 FLUSH = 4_000_000
-#: Cross-component pairs per member below which a round holds all pairs that are left.
-FINISH = 8
 
 
 @dataclass(frozen=True)
@@ -104,17 +105,51 @@ def tile_keys(s: np.ndarray, rule: Rule, bands: list[int]) -> np.ndarray:
     return np.concatenate(out)
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    """Parity of the count of shingles in each of 64 * BITMAP buckets: two sets differ in at least as many shingles as
-    their bitmaps differ in bits."""
-    bucket = (mix64(s + np.uint64(0x1234567)) % np.uint64(64 * BITMAP)).astype(np.int64)
-    odd = np.bincount(bucket, minlength=64 * BITMAP) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
-
-
-def _scan(docs: DataFrame, rule: Rule) -> DataFrame:
-    """kind 0: a document and its set size. kind 1: key and one document of this task. kind 2: key, document, that
-    document of the key. kind 3: document and an earlier one of this task with the same set."""
+def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
+    """Parity of the count of shingles in each of `bits` buckets: two sets differ in at least as many shingles as their
+    bitmaps differ in bits. The halves of a bitmap, added without carry, are the bitmap of half the bits."""
+    bucket = (mix64(s + np.uint64(0x1234567)) & np.uint64(bits - 1)).astype(np.int64)
+    odd = np.bincount(bucket, minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
+def bits_for(n: int, rule: Rule) -> int:
+    """Bits of a set's bitmap: eight for each shingle in which it may differ from a linked one."""
+    return min(MOST_BITS, max(64, 1 << (8 * rule.differ(2 * n)).bit_length()))
+
+
+def passing(n: np.ndarray, comp: np.ndarray, maps: list[bytes], rule: Rule, closest: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of a tile in different components whose bitmaps allow a link; at most `closest` for each
+    document of a smaller component where that is given."""
+    width = min(len(m) for m in maps)
+    rows = np.empty((len(maps), width // 8), np.uint64)
+    for i, m in enumerate(maps):
+        x = np.frombuffer(m, np.uint64)
+        while len(x) > rows.shape[1]:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        rows[i] = x
+    names, at, count = np.unique(comp, return_inverse=True, return_counts=True)
+    big = int(np.argmax(count))
+    a, b = [], []
+    for i in np.flatnonzero(at != big).tolist():
+        # a pair of two smaller components is seen from both sides; the lower place proposes it in the full turn
+        other = (at != at[i]) if closest else (at != at[i]) & ((at == big) | (np.arange(len(at)) > i))
+        j = np.flatnonzero(other)
+        differ = np.bitwise_count(rows[j] ^ rows[i]).sum(axis=1, dtype=np.int64)
+        total = n[j] + n[i]
+        over = np.minimum((total - differ) // 2, np.minimum(n[j], n[i]))
+        ok = (rule.num + rule.den) * over >= rule.num * total
+        j, differ = j[ok], differ[ok]
+        if closest and len(j) > closest:
+            j = j[np.argsort(differ, kind="stable")[:closest]]
+        a.append(np.full(len(j), i))
+        b.append(j)
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, int), np.zeros(0, int))
+
+
+def _scan(docs: DataFrame, rule: Rule, heads: bool) -> DataFrame:
+    """heads: key and one document of this task for each key, as kind 1. Else kind 0: a document and its set size;
+    kind 2: key, document, that document of the key; kind 3: document and an earlier one of this task with the same set."""
     bands = rule.bands(1 << 31)
 
     def scan(batches):
@@ -136,9 +171,10 @@ def _scan(docs: DataFrame, rule: Rule) -> DataFrame:
             head = np.r_[True, k[1:] != k[:-1]]
             start = np.flatnonzero(head)
             count = np.diff(np.r_[start, len(k)])
-            yield rows(1, k[start], r[start], r[start])
+            if heads:
+                yield rows(1, k[start], r[start], r[start])
             many = np.repeat(count > 1, count)
-            if many.any():
+            if many.any() and not heads:
                 yield rows(2, k[many], r[many], np.repeat(r[start], count)[many])
 
         for batch in batches:
@@ -162,8 +198,9 @@ def _scan(docs: DataFrame, rule: Rule) -> DataFrame:
                     keys.append(k)
                     ids.append(np.full(len(k), me, np.int64))
                     size += len(k)
-            yield rows(0, rid, n_set, n_set)
-            if same_a:
+            if not heads:
+                yield rows(0, rid, n_set, n_set)
+            if same_a and not heads:
                 yield rows(3, np.array(same_a, np.int64), same_b, same_b)
             if size > FLUSH:
                 yield from flush()
@@ -193,8 +230,8 @@ class _Marks:
         return F.pmod(F.xxhash64("rid"), F.lit(1 << self.bits))
 
 
-def _sets(docs: DataFrame, marks: _Marks, rule: Rule) -> DataFrame:
-    """For all marked documents: rid, n, the sorted set, and its bitmap in columns b0, b1, ..."""
+def _sets(docs: DataFrame, marks: _Marks, rule: Rule, arrays: bool) -> DataFrame:
+    """For all marked documents: rid, n, and s: the sorted set, or else its bitmap."""
     bits = marks.marks
 
     def scan(batches):
@@ -206,16 +243,50 @@ def _sets(docs: DataFrame, marks: _Marks, rule: Rule) -> DataFrame:
             for i, data, offsets in runs(batch.column(1)):
                 h, first = hash_words(data, offsets, _TAB)
                 got = [shingles(h[first[d] : first[d + 1]], rule.words) for d in range(len(first) - 1)]
-                maps = np.stack([bitmap(s) for s in got])
-                lengths = np.array([len(s) for s in got], np.int32)
-                values = np.concatenate(got).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(values))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, len(got)), pa.array(lengths.astype(np.int64)), lists, *[pa.array(maps[:, j].copy()) for j in range(BITMAP)]],
-                    names=["rid", "n", "s", *[f"b{j}" for j in range(BITMAP)]],
-                )
+                lengths = np.array([len(s) for s in got], np.int64)
+                if arrays:
+                    out = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(np.concatenate(got).view(np.int64)))
+                else:
+                    out = pa.array([bitmap(s, bits_for(len(s), rule)).tobytes() for s in got], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(got)), pa.array(lengths), out], names=["rid", "n", "s"])
+
+    return docs.select("rid", "text", marks.column().alias("at")).mapInArrow(scan, f"rid long, n long, s {'array<long>' if arrays else 'binary'}")
+
+
+def _tiles(rows: DataFrame, rule: Rule, closest: int | None) -> DataFrame:
+    """Pairs that pass in the tiles of rows (key, tile, rid, comp, n, s), which are sorted by key and tile."""
+
+    def scan(batches):
+        import pyarrow as pa
+
+        def done(key, tile, rid, comp, n, s):
+            edge = np.flatnonzero((key[1:] != key[:-1]) | (tile[1:] != tile[:-1])) + 1
+            a, b = [], []
+            for x, y in zip(np.r_[0, edge].tolist(), np.r_[edge, len(key)].tolist(), strict=True):
+                if y - x > 1:
+                    i, j = passing(n[x:y], comp[x:y], s[x:y], rule, closest)
+                    a.append(rid[x:y][i])
+                    b.append(rid[x:y][j])
+            if not a:
+                return None
+            a, b = np.concatenate(a), np.concatenate(b)
+            both = np.unique(np.stack((np.maximum(a, b), np.minimum(a, b))), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+
+        rest = None
+        for batch in batches:
+            now = [batch.column(i).to_numpy() for i in range(5)] + [batch.column(5).to_pylist()]
+            if rest is not None:
+                now = [np.concatenate((x, y)) for x, y in zip(rest[:5], now[:5], strict=True)] + [rest[5] + now[5]]
+            # the last tile may go on in the next batch; no tile is larger than 2 * TILE rows
+            cut = int(np.flatnonzero((now[0] == now[0][-1]) & (now[1] == now[1][-1]))[0]) if len(now[0]) else 0
+            rest = [x[cut:] for x in now]
+            if cut and (out := done(*[x[:cut] for x in now])) is not None:
+                yield out
+        if rest is not None and len(rest[0]) and (out := done(*rest)) is not None:
+            yield out
 
-    return docs.select("rid", "text", marks.column().alias("at")).mapInArrow(scan, "rid long, n long, s array<long>, " + ", ".join(f"b{j} long" for j in range(BITMAP)))
+    return rows.select("key", "tile", "rid", "comp", "n", "s").mapInArrow(scan, "a long, b long").distinct()
 
 
 def _exact(pairs: DataFrame, rule: Rule) -> DataFrame:
@@ -256,20 +327,9 @@ class _Join:
         if pairs.isEmpty():
             return pairs
         wanted = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
-        sets = sc.put(_sets(self.docs, _Marks(wanted), rule))
-        small = sets.drop("s")
-        one = pairs.join(small.select(F.col("rid").alias("a"), F.col("n").alias("na"), *[F.col(f"b{j}").alias(f"x{j}") for j in range(BITMAP)]), "a")
-        two = one.join(small.select(F.col("rid").alias("b"), F.col("n").alias("nb"), *[F.col(f"b{j}").alias(f"y{j}") for j in range(BITMAP)]), "b")
-        differ = sum((F.bit_count(F.col(f"x{j}").bitwiseXOR(F.col(f"y{j}"))) for j in range(1, BITMAP)), F.bit_count(F.col("x0").bitwiseXOR(F.col("y0"))))
-        total = F.col("na") + F.col("nb")
-        # overlap is at most (total - differ) / 2, and at most the smaller size
-        bound = F.least(F.floor((total - differ) / 2), F.col("na"), F.col("nb"))
-        likely = sc.put(two.filter((rule.den + rule.num) * bound >= rule.num * total).select("a", "b"))
-        arrays = sets.select("rid", "s")
-        full = likely.join(arrays.select(F.col("rid").alias("a"), F.col("s").alias("sa")), "a").join(arrays.select(F.col("rid").alias("b"), F.col("s").alias("sb")), "b")
-        out = sc.put(_exact(full.select("a", "b", "sa", "sb"), rule))
-        sc.drop(pairs, sets, likely)
-        return out
+        sets = sc.put(_sets(self.docs, _Marks(wanted), rule, True)).select("rid", "s")
+        full = pairs.join(sets.select(F.col("rid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("rid").alias("b"), F.col("s").alias("sb")), "b")
+        return sc.put(_exact(full.select("a", "b", "sa", "sb"), rule))
 
     def components(self, edges: DataFrame) -> DataFrame:
         """rid, comp for all documents in an edge, by alternating large-star and small-star."""
@@ -292,13 +352,13 @@ class _Join:
             sc.drop(old, big)
 
     def run(self) -> DataFrame:
-        sc = self.scratch
-        found = sc.put(_scan(self.docs, self.rule), "kind")
+        sc, rule = self.scratch, self.rule
+        found = sc.put(_scan(self.docs, rule, False), "kind")
         sizes = found.filter("kind = 0").select(F.col("a").alias("rid"), F.col("b").alias("n"))
         local = found.filter("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("rid"), F.col("c").alias("head"))
-        keyed = found.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("rid"))
         # at most a row for each task and key, so the rows of a key are few
         w = Window.partitionBy("key")
+        keyed = _scan(self.docs, rule, True).select(F.col("a").alias("key"), F.col("b").alias("rid"))
         heads = keyed.withColumn("head", F.min("rid").over(w)).withColumn("last", F.max("rid").over(w))
         heads = sc.put(heads.filter("head < last").select("key", "rid", "head"))
         met = local.union(heads)
@@ -307,25 +367,23 @@ class _Join:
         edges = sc.put(self.verified(first.select(F.col("rid").alias("a"), F.col("head").alias("b"))).union(same))
         comps = sc.put(self.components(edges))
         members = sc.put(met.select("key", "rid").distinct())
-        done, share = 0.0, 4.0
-        while done < float("inf"):
+        for closest in (CLOSEST, None):
             labelled = members.join(comps, "rid", "left").select("key", "rid", F.coalesce("comp", "rid").alias("comp"))
-            keys = labelled.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("q"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-            keys = sc.put(keys.select("key", "n", ((F.col("n") * F.col("n") - F.col("q")) / 2).alias("left")))
-            todo = keys.agg(F.sum("n").alias("n"), F.sum("left").alias("left"), F.max("n").alias("most")).first()
-            if not todo["n"] or done >= todo["most"]:
+            keys = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+            keys = sc.put(keys.filter("lo < hi").select("key", "size"))
+            members = sc.put(labelled.join(keys, "key").select("key", "rid", "comp", "size"))
+            if members.isEmpty():
                 break
-            if todo["left"] <= FINISH * todo["n"]:
-                share = float("inf")
-            rest = sc.put(labelled.join(keys.select("key", "n"), "key"))
-            at = F.pmod(F.xxhash64("key", "rid"), F.lit(1 << 40)) / float(1 << 40) * F.col("n")
-            pivots = rest.filter((at >= done) & (at < share)).select("key", F.col("rid").alias("p"), F.col("comp").alias("pc"))
-            pairs = rest.join(pivots, "key").filter("comp <> pc").select(F.greatest("rid", "p").alias("a"), F.least("rid", "p").alias("b")).distinct()
-            more = self.verified(pairs)
-            done, share = share, share * 4
+            maps = sc.put(_sets(self.docs, _Marks(members.select("rid").distinct()), rule, False))
+            sides = F.ceil(F.col("size") / TILE).cast("long")
+            own = F.pmod(F.xxhash64("rid"), F.col("sides"))
+            tile = F.transform(F.sequence(F.lit(0).cast("long"), F.col("sides") - 1), lambda x: F.least(F.col("own"), x) * F.col("sides") + F.greatest(F.col("own"), x))
+            rows = members.withColumn("sides", sides).withColumn("own", own).withColumn("tile", F.explode(tile))
+            rows = rows.join(maps, "rid").repartition("key", "tile").sortWithinPartitions("key", "tile", "rid")
+            more = self.verified(_tiles(rows, rule, closest))
             if not more.isEmpty():
                 comps = sc.put(self.components(sc.put(comps.select(F.col("rid").alias("a"), F.col("comp").alias("b")).union(more))))
-            members = sc.put(rest.select("key", "rid"))
+            members = members.select("key", "rid")
         return sizes.join(comps, "rid", "left").select("rid", "n", F.coalesce("comp", "rid").alias("comp"))
 
 
