@@ -14,7 +14,7 @@ more than z empty parts has keys for these too, so nothing is lost). Only docume
 3. Only keys whose documents are still in different components go on, cut into tiles of at most TILE documents a side.
    In a tile, bitmaps of hashed parities are compared: the bits in which two differ bound the overlap from above. Pairs
    of different components that pass are counted exactly on the sorted arrays. A first turn takes each document's few
-   closest ones, which connects most; a second turn takes all pairs that pass, so none is left out.
+   closest ones in a part of the keys, which connects most; a second turn takes all pairs that pass, so none is left out.
 
 Hashes of 64 bits stand for the shingles.
 
@@ -41,6 +41,8 @@ EDGE = 1.5
 MOST_BITS = 1 << 15
 #: Documents on a side of a tile, and the closest ones that a document proposes in the first turn.
 TILE, CLOSEST = 8192, 4
+#: The first turn looks into one key of so many; it only has to connect most.
+EVERY = 4
 #: Rows that a task gathers before it sends them on; bounds its memory.
 FLUSH = 4_000_000
 
@@ -374,11 +376,12 @@ class _Join:
             members = sc.put(labelled.join(keys, "key").select("key", "rid", "comp", "size"))
             if members.isEmpty():
                 break
-            maps = sc.put(_sets(self.docs, _Marks(members.select("rid").distinct()), rule, False))
+            looked = members.filter(F.pmod("key", F.lit(EVERY)) == 0) if closest else members
+            maps = sc.put(_sets(self.docs, _Marks(looked.select("rid").distinct()), rule, False))
             sides = F.ceil(F.col("size") / TILE).cast("long")
             own = F.pmod(F.xxhash64("rid"), F.col("sides"))
             tile = F.transform(F.sequence(F.lit(0).cast("long"), F.col("sides") - 1), lambda x: F.least(F.col("own"), x) * F.col("sides") + F.greatest(F.col("own"), x))
-            rows = members.withColumn("sides", sides).withColumn("own", own).withColumn("tile", F.explode(tile))
+            rows = looked.withColumn("sides", sides).withColumn("own", own).withColumn("tile", F.explode(tile))
             rows = rows.join(maps, "rid").repartition("key", "tile").sortWithinPartitions("key", "tile", "rid")
             more = self.verified(_tiles(rows, rule, closest))
             if not more.isEmpty():
