@@ -105,10 +105,10 @@ class Network:
                 ds = down[t] + carry
                 dc = ds * z * (1 - c * c)
                 dz = ds * (c - s) * z * (1 - z)
-                drs = dc @ uc.T
+                drs = dc @ p[f"uc{d}"].T
                 dr = drs * s * r * (1 - r)
                 dg = np.concatenate((dr, dz), axis=1)
-                carry = ds * (1 - z) + drs * r + dg @ u.T
+                carry = ds * (1 - z) + drs * r + dg @ p[f"u{d}"].T
                 uc += (r * s).T @ dc
                 u += s.T @ dg
                 np.add.at(wx, x[t], np.concatenate((dg, dc), axis=1))
