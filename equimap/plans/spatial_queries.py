@@ -8,6 +8,7 @@ from ..functions import scalar as S
 from ..operators import network as N
 from ..operators import spatial as G
 from ..operators import stats as A
+from ..operators.lineage import cut
 from .registry import Registry
 from .tables import CELLS, HALF, POINTS, SIZE, TRAVEL, ZONES, cells, points, read, travel, zones
 
@@ -32,7 +33,8 @@ def vitality_grid(spark, d):
     dens = G.density(cells(spark, d), points(spark, d).select(F.col("x").alias("sx"), F.col("y").alias("sy")), KDE_H)
     p = points(spark, d).select(G.cell(F.col("x"), SIZE).alias("ci0"), G.cell(F.col("y"), SIZE).alias("cj0"), "label")
     j = dens.join(A.entropy(p, ["ci0", "cj0"], "label"), ["ci0", "cj0"])
-    j = A.with_totals(j.select("ci0", "cj0", "density", "entropy"), md=F.avg("density"), sd=F.stddev_pop("density"), mh=F.avg("entropy"), sh=F.stddev_pop("entropy"))
+    j = cut(j.select("ci0", "cj0", "density", "entropy"))  # read three times below
+    j = A.with_totals(j, md=F.avg("density"), sd=F.stddev_pop("density"), mh=F.avg("entropy"), sh=F.stddev_pop("entropy"))
     b = j.select("ci0", "cj0", "density", "entropy", (0.5 * S.zscore_clip(F.col("density"), F.col("md"), F.col("sd")) + 0.5 * S.zscore_clip(F.col("entropy"), F.col("mh"), F.col("sh"))).alias("b"))
     b = A.with_totals(b, lo=F.min("b"), hi=F.max("b"))
     return b.select(F.col("ci0").alias("ci"), F.col("cj0").alias("cj"), (F.round(F.col("density") * 1e6, 4) + F.lit(0.0)).alias("density"), S.r6(F.col("entropy")).alias("diversity"), (F.round(S.minmax_eps(F.col("b"), F.col("lo"), F.col("hi")), 5) + F.lit(0.0)).alias("vitality"))
