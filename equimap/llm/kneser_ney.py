@@ -35,6 +35,8 @@ QUANTILE = 0.999
 #: How far above the quantile a document may still be.
 MARGIN = 1.25
 SHARD_ENTRIES = 4_000_000
+#: Languages whose limits are sent to all tasks; beyond them they are joined.
+MOST_LANGUAGES = 10_000
 #: Distinct n-grams that a task gathers before it sends them on.
 FLUSH = 2_000_000
 _LOWER = np.arange(256, dtype=np.int64)
@@ -235,7 +237,8 @@ def quality(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str =
     """One row for each row of docs: id, n_bytes, perplexity, threshold, kept."""
     base = with_row_ids(narrow(docs, id_col, text, lang), id_col, scratch, text, lang).select("rid", F.col(id_col).alias("id"), F.col(text).alias("text"), F.coalesce(F.col(lang), F.lit("")).alias("lang"))
     good = narrow(labels, "doc_id", "quality", "toxic").filter("quality = 1 and toxic = 0").select(F.col("doc_id").alias("id")).distinct()
-    model = Model(base.join(good, "id", "left_semi").select("text"), scratch, order)
+    # by sorted merge at any size: the labels grow with the documents, so they are never sent to all tasks
+    model = Model(base.join(good.hint("merge"), "id", "left_semi").select("text"), scratch, order)
     rows = base.select("rid", "id", "lang")
     if not model.known:
         n = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
@@ -244,7 +247,9 @@ def quality(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str =
     known = rows.filter("perplexity is not null").join(good, "id", "left_semi")
     limits = known.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10000).alias("own"))
     whole = known.agg(F.percentile_approx("perplexity", quantile, 10000).alias("all"))
-    out = rows.join(limits, "lang", "left").crossJoin(F.broadcast(whole))
+    limits = scratch.put(limits)
+    small = limits.limit(MOST_LANGUAGES + 1).count() <= MOST_LANGUAGES
+    out = rows.join(F.broadcast(limits) if small else limits, "lang", "left").crossJoin(F.broadcast(whole))
     threshold = margin * F.coalesce("own", "all")
     kept = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= threshold, F.lit(True))
     return out.select(F.col("id").alias(id_col), "n_bytes", F.round("perplexity", 6).alias("perplexity"), F.round(threshold, 6).alias("threshold"), kept.alias("kept"))
