@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -48,6 +49,11 @@ class Scratch:
         for t in tables:
             self._delete(t._scratch_path)
 
+    def release(self) -> None:
+        """Lets Spark remove the shuffle files of plans that are over; else they stay until the driver collects garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def close(self) -> None:
         self._delete(self.path)
 

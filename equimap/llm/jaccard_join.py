@@ -44,7 +44,7 @@ TILE, CLOSEST = 8192, 4
 #: The first turn looks into one key of so many; it only has to connect most.
 EVERY = 4
 #: Rows that a task gathers before it sends them on; bounds its memory.
-FLUSH = 4_000_000
+FLUSH = 750_000
 
 
 @dataclass(frozen=True)
@@ -363,6 +363,7 @@ class _Join:
         keyed = _scan(self.docs, rule, True).select(F.col("a").alias("key"), F.col("b").alias("rid"))
         heads = keyed.withColumn("head", F.min("rid").over(w)).withColumn("last", F.max("rid").over(w))
         heads = sc.put(heads.filter("head < last").select("key", "rid", "head"))
+        sc.release()
         met = local.union(heads)
         first = met.filter("rid <> head").groupBy("rid").agg(F.min("head").alias("head"))
         same = found.filter("kind = 3").select("a", "b")
@@ -376,6 +377,7 @@ class _Join:
             members = sc.put(labelled.join(keys, "key").select("key", "rid", "comp", "size"))
             if members.isEmpty():
                 break
+            sc.release()
             looked = members.filter(F.pmod("key", F.lit(EVERY)) == 0) if closest else members
             maps = sc.put(_sets(self.docs, _Marks(looked.select("rid").distinct()), rule, False))
             sides = F.ceil(F.col("size") / TILE).cast("long")
@@ -387,6 +389,7 @@ class _Join:
             if not more.isEmpty():
                 comps = sc.put(self.components(sc.put(comps.select(F.col("rid").alias("a"), F.col("comp").alias("b")).union(more))))
             members = members.select("key", "rid")
+            sc.release()
         return sizes.join(comps, "rid", "left").select("rid", "n", F.coalesce("comp", "rid").alias("comp"))
 
 
