@@ -9,7 +9,7 @@ from equimap.llm import block_naming, jaccard_join, language_id, mixing, winnowi
 from equimap.llm.common import Scratch, numbered, table
 
 #: A document whose best language scores less is rejected, as is one without any letter.
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.3
 #: Near duplicates: five words, similarity of 0.8 or more.
 NEAR = jaccard_join.Rule(words=5, num=80, den=100)
 
