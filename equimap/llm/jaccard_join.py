@@ -328,10 +328,15 @@ class _Join:
         pairs = sc.put(pairs)
         if pairs.isEmpty():
             return pairs
+        sc.release()  # what the pairs were made from goes before their sets are moved
         wanted = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
-        sets = sc.put(_sets(self.docs, _Marks(wanted), rule, True)).select("rid", "s")
+        stored = sc.put(_sets(self.docs, _Marks(wanted), rule, True))
+        sets = stored.select("rid", "s")
         full = pairs.join(sets.select(F.col("rid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("rid").alias("b"), F.col("s").alias("sb")), "b")
-        return sc.put(_exact(full.select("a", "b", "sa", "sb"), rule))
+        linked = sc.put(_exact(full.select("a", "b", "sa", "sb"), rule))
+        sc.drop(stored, pairs)
+        sc.release()
+        return linked
 
     def components(self, edges: DataFrame) -> DataFrame:
         """rid, comp for all documents in an edge, by alternating large-star and small-star."""
@@ -370,11 +375,13 @@ class _Join:
         edges = sc.put(self.verified(first.select(F.col("rid").alias("a"), F.col("head").alias("b"))).union(same))
         comps = sc.put(self.components(edges))
         members = sc.put(met.select("key", "rid").distinct())
+        sc.drop(heads)
         for closest in (CLOSEST, None):
-            labelled = members.join(comps, "rid", "left").select("key", "rid", F.coalesce("comp", "rid").alias("comp"))
+            labelled = members.select("key", "rid").join(comps, "rid", "left").select("key", "rid", F.coalesce("comp", "rid").alias("comp"))
             keys = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
             keys = sc.put(keys.filter("lo < hi").select("key", "size"))
-            members = sc.put(labelled.join(keys, "key").select("key", "rid", "comp", "size"))
+            old, members = members, sc.put(labelled.join(keys, "key").select("key", "rid", "comp", "size"))
+            sc.drop(old, keys)
             if members.isEmpty():
                 break
             sc.release()
@@ -388,7 +395,7 @@ class _Join:
             more = self.verified(_tiles(rows, rule, closest))
             if not more.isEmpty():
                 comps = sc.put(self.components(sc.put(comps.select(F.col("rid").alias("a"), F.col("comp").alias("b")).union(more))))
-            members = members.select("key", "rid")
+            sc.drop(maps)
             sc.release()
         return sizes.join(comps, "rid", "left").select("rid", "n", F.coalesce("comp", "rid").alias("comp"))
 
