@@ -116,8 +116,8 @@ def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
 
 
 def bits_for(n: int, rule: Rule) -> int:
-    """Bits of a set's bitmap: eight for each shingle in which it may differ from a linked one."""
-    return min(MOST_BITS, max(64, 1 << (8 * rule.differ(2 * n)).bit_length()))
+    """Bits of a set's bitmap: sixteen for each shingle in which it may differ from a linked one."""
+    return min(MOST_BITS, max(64, 1 << (16 * rule.differ(2 * n)).bit_length()))
 
 
 def passing(n: np.ndarray, comp: np.ndarray, maps: list[bytes], rule: Rule, closest: int | None) -> tuple[np.ndarray, np.ndarray]:
