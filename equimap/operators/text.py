@@ -36,14 +36,18 @@ def evidence(corpus: DataFrame, lexicon: DataFrame, entity_words: list[str], neg
     corpus: entity, text. lexicon: subdim, kind (anchor, self), term. The lexicon is a bounded table of terms."""
     low = corpus.select("entity", F.lower("text").alias("text"))
     terms = F.broadcast(lexicon.filter(F.col("kind").isin("anchor", "self")))
-    hits = low.join(terms, F.contains(F.col("text"), F.col("term"))).withColumn("at", F.explode(positions(F.col("text"), F.col("term"))))
-    wide = window_text(F.col("text"), F.col("at"), F.length("term"), F.lit(window))
-    near = window_text(F.col("text"), F.col("at"), F.length("term"), F.lit(own))
-    hits = hits.withColumn("co", _any_word(wide, entity_words, F.col("term")) & ~_any_word(wide, negations)).withColumn("me", ~_any_word(near, negations))
+    hits = low.join(terms, F.contains(F.col("text"), F.col("term")))
+    at, size = positions(F.col("text"), F.col("term")), F.length("term")
+    # all windows of a text and term stay in one row, so a long text isn't repeated for each of its hits
+    wide = F.transform(at, lambda p: window_text(F.col("text"), p, size, F.lit(window)))
+    near = F.transform(at, lambda p: window_text(F.col("text"), p, size, F.lit(own)))
+    co = F.exists(wide, lambda x: _any_word(x, entity_words, F.col("term")) & ~_any_word(x, negations))
+    me = F.exists(near, lambda x: ~_any_word(x, negations))
+    hits = hits.select("entity", "subdim", "kind", "term", F.when(F.col("kind") == "anchor", co).otherwise(False).alias("co"), F.when(F.col("kind") == "self", me).otherwise(False).alias("me"))
     return hits.groupBy("entity", "subdim").agg(
         F.count_distinct(F.when(F.col("kind") == "anchor", F.col("term"))).alias("anchors"),
-        F.max((F.col("kind") == "anchor") & F.col("co")).alias("cooccur"),
-        F.max((F.col("kind") == "self") & F.col("me")).alias("self_hit"),
+        F.max("co").alias("cooccur"),
+        F.max("me").alias("self_hit"),
         F.array_join(F.slice(F.array_sort(F.collect_set("term")), 1, 6), ", ").alias("words"),
     )
 

@@ -23,7 +23,7 @@ def _lexicon(spark):
 
 
 def _corpus(spark, d):
-    return read(spark, d, "documents").select(F.col("doc_id").alias("entity"), F.substring("text", 1, 400).alias("text"))
+    return read(spark, d, "documents").select(F.col("doc_id").alias("entity"), "text")
 
 
 def _levels(spark, d):
