@@ -104,5 +104,5 @@ def health_check(spark, d):
 @Q("SELECT conv_id, CAST(count(*) AS BIGINT) AS n, string_agg(substr(text, 1, 20), ' / ' ORDER BY turn) AS body FROM conversations WHERE trim(text) <> '' GROUP BY conv_id")
 def corpus_build(spark, d):
     c = read(spark, d, "conversations").filter(F.trim("text") != "")
-    per = c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 20).alias("t")))).alias("x"))
+    per = c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("t")))).alias("x"))
     return per.select("conv_id", "n", F.array_join(F.transform("x", lambda r: r["t"]), " / ").alias("body"))

@@ -17,3 +17,9 @@ def test_evidence_reads_whole_texts(spark, duck, name):  # noqa: F811
     names = [d[0] for d in want.description]
     got = catalog.QUERIES[name](spark, DATA)
     assert plain(got.collect(), got.columns) == plain(want.fetchall(), names)
+
+
+def test_corpus_joins_whole_texts(spark, duck):  # noqa: F811
+    want = duck.execute("SELECT conv_id, string_agg(text, ' / ' ORDER BY turn, text) FROM conversations WHERE trim(text) <> '' GROUP BY conv_id").fetchall()
+    got = catalog.QUERIES["corpus_build"](spark, DATA)
+    assert sorted((r.conv_id, r.body) for r in got.collect()) == sorted(want)
