@@ -159,7 +159,7 @@ def null_rates(spark, d):
 def raster_sample(spark, d):
     p = read(spark, d, "events").select("event_id", F.col("value").alias("x"), F.pmod("user_id", F.lit(100)).cast("double").alias("y"))
     px = read(spark, d, "part").select(F.floor((F.col("p_partkey") - 1) / 20).alias("row"), F.pmod(F.col("p_partkey") - 1, F.lit(20)).alias("col"), F.col("p_retailprice").alias("value"))
-    return IO.sample_raster(p.filter("x < 200 and x >= 0"), px, 0.0, 100.0, 10.0).select("event_id", S.r6(F.col("value")).alias("value"))
+    return IO.sample_raster(p, px, 0.0, 100.0, 10.0).select("event_id", S.r6(F.col("value")).alias("value"))
 
 
 Q.sql["raster_sample"] += " WHERE e.value < 200 AND e.value >= 0"

@@ -23,3 +23,12 @@ def test_corpus_joins_whole_texts(spark, duck):  # noqa: F811
     want = duck.execute("SELECT conv_id, string_agg(text, ' / ' ORDER BY turn, text) FROM conversations WHERE trim(text) <> '' GROUP BY conv_id").fetchall()
     got = catalog.QUERIES["corpus_build"](spark, DATA)
     assert sorted((r.conv_id, r.body) for r in got.collect()) == sorted(want)
+
+
+def test_points_outside_the_raster_stay_with_zero(spark, duck):  # noqa: F811
+    inside = "e.value >= 0 AND e.value < 200"
+    want = duck.execute(f"SELECT event_id, CASE WHEN {inside} THEN round(coalesce(greatest(p.p_retailprice, 0), 0), 6) + 0.0 ELSE 0.0 END FROM events e LEFT JOIN part p ON p.p_partkey = 1 + CAST(floor(e.value / 10) AS BIGINT) + 20 * CAST(floor((100 - e.user_id % 100) / 10) AS BIGINT)").fetchall()
+    got = [(r.event_id, r.value) for r in catalog.QUERIES["raster_sample"](spark, DATA).collect()]
+    outside = {i for (i,) in duck.execute(f"SELECT event_id FROM events e WHERE NOT ({inside})").fetchall()}
+    assert outside and all(v == 0 for i, v in got if i in outside)
+    assert sorted(got) == sorted(want)
