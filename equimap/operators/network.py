@@ -22,14 +22,17 @@ def node_key(x: Column, y: Column) -> Column:
     return F.concat_ws(":", F.round(x * 10).cast("long").cast("string"), F.round(y * 10).cast("long").cast("string"))
 
 
-def shortest(edges: DataFrame, sources: DataFrame, cutoff: float, most_rounds: int = 1000) -> DataFrame:
+def shortest(edges: DataFrame, sources: DataFrame, cutoff: float) -> DataFrame:
     """origin, node, d: least cost up to cutoff from each origin, by rounds of relaxation over all origins at once.
 
     Only distances that got better are relaxed again; each round is checkpointed, so lineage stays short and a lost
-    executor costs one round."""
+    executor costs one round. It ends when no distance gets better; negative weights, with which it need not end, are an
+    error."""
+    if not edges.filter("w < 0").isEmpty():
+        raise ValueError("negative weights")
     dist = cut(sources.select(F.col("node").alias("origin"), "node", F.lit(0.0).alias("d")))
     front = dist
-    for _ in range(most_rounds):
+    while True:
         step = front.join(edges, F.col("node") == F.col("src")).select("origin", F.col("dst").alias("node"), (F.col("d") + F.col("w")).alias("d")).filter(F.col("d") <= cutoff)
         step = step.groupBy("origin", "node").agg(F.min("d").alias("nd"))
         better = cut(step.join(dist, ["origin", "node"], "left").filter(F.col("d").isNull() | (F.col("nd") < F.col("d"))).select("origin", "node", F.col("nd").alias("d")))
@@ -37,7 +40,6 @@ def shortest(edges: DataFrame, sources: DataFrame, cutoff: float, most_rounds: i
             return dist
         dist = cut(dist.unionByName(better).groupBy("origin", "node").agg(F.min("d").alias("d")))
         front = better
-    return dist
 
 
 def reachable(edges: DataFrame, dist: DataFrame, cutoff: float) -> DataFrame:

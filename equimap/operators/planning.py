@@ -91,19 +91,18 @@ def hull_area(df: DataFrame, buffer: float) -> DataFrame:
     return df.sparkSession.createDataFrame([(area + around * buffer + math.pi * buffer * buffer, len(h))], "area double, corners int")
 
 
-def flood(mask: DataFrame, most: int = 10_000) -> DataFrame:
+def flood(mask: DataFrame) -> DataFrame:
     """row, col of the zero pixels (row, col, zero, edge) that are connected to the raster's edge."""
     zero = cut(mask.filter("zero").select("row", "col", "edge"))
     seen = cut(zero.filter("edge").select("row", "col"))
     front = seen
     steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0))])
-    for _ in range(most):
+    while True:
         near = front.withColumn("s", F.explode(steps)).select((F.col("row") + F.col("s.a")).alias("row"), (F.col("col") + F.col("s.b")).alias("col")).distinct()
         front = cut(near.join(zero.select("row", "col"), ["row", "col"], "left_semi").join(seen, ["row", "col"], "left_anti"))
         if front.isEmpty():
-            break
+            return seen
         seen = cut(seen.unionByName(front))
-    return seen
 
 
 def isolation_scores(df: DataFrame, cols: list[str], trees: int = 50, sample: int = 256, seed: int = 42) -> DataFrame:

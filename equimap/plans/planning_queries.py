@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import network as N
 from ..operators import planning as P
 from ..operators import spatial as G
+from ..operators.lineage import cut
 from .registry import Registry
-from .tables import HALF, POINTS, SIZE, ZONES, points, read, zones
+from .tables import HALF, POINTS, SIZE, ZONES, nations, points, read, roads, zones
 
 Q = Registry()
 
@@ -77,10 +78,11 @@ def isolation_outliers(spark, d):
 @Q("""WITH RECURSIVE g AS (SELECT r, c, (r * 7 + c * 11) % 5 < 2 AS z FROM (SELECT unnest(range(0, 12)) AS r), (SELECT unnest(range(0, 12)) AS c)),
 f AS (SELECT r, c FROM g WHERE z AND (r = 0 OR c = 0 OR r = 11 OR c = 11) UNION SELECT g.r, g.c FROM f JOIN g ON g.z AND abs(f.r - g.r) + abs(f.c - g.c) = 1) SELECT r AS row, c AS col FROM f""")
 def edge_flood(spark, d):
-    """Zero pixels that touch the edge of a raster made from its indices."""
-    r, c = F.floor(F.col("id") / 12), F.pmod("id", F.lit(12))
-    m = spark.range(144).select(r.alias("row"), c.alias("col")).withColumn("zero", F.pmod(F.col("row") * 7 + F.col("col") * 11, F.lit(5)) < 2)
-    return P.flood(m.withColumn("edge", F.col("row").isin(0, 11) | F.col("col").isin(0, 11)))
+    """Zero pixels that are connected to the edge of a raster of all parts, as wide as high."""
+    n, last = read(spark, d, "part").agg(F.ceil(F.sqrt(F.count(F.lit(1)))), F.max("p_partkey")).first()  # one row
+    r, c = F.floor(F.col("p_partkey") / n), F.pmod("p_partkey", F.lit(n))
+    m = read(spark, d, "part").select(r.alias("row"), c.alias("col"), (F.pmod("p_size", F.lit(5)) < 2).alias("zero"))
+    return P.flood(m.withColumn("edge", F.col("row").isin(0, last // n) | F.col("col").isin(0, n - 1)))
 
 
 @Q("SELECT o_custkey AS id, 'both' AS side FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') UNION ALL SELECT o_custkey, 'first' FROM (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
@@ -111,16 +113,18 @@ def input_cleaning(spark, d):
 
 @Q(f"WITH {POINTS}, l AS (SELECT -3000 + (i + 0.5) * 500 AS cx, -3000 + (j + 0.5) * 500 AS cy, i, j FROM (SELECT unnest(range(0, 12)) AS i), (SELECT unnest(range(0, 12)) AS j)), k AS (SELECT i, j, v, (cx - x) ** 2 + (cy - y) ** 2 AS d2, row_number() OVER (PARTITION BY i, j ORDER BY (cx - x) ** 2 + (cy - y) ** 2, vec_id) AS n FROM l, p) SELECT CAST(i * 12 + j AS BIGINT) AS cell, round(sum(v / d2) / sum(1 / d2), 4) + 0.0 AS pressure FROM k WHERE n <= 15 GROUP BY 1")
 def demand_grid(spark, d):
-    cells = G.lattice(spark, -3000.0, -3000.0, 12, 12, SIZE).withColumn("cell", F.col("ci0") * 12 + F.col("cj0"))
+    at = lambda f, c: G.cell(f(c), SIZE)
+    i0, j0, i1, j1 = points(spark, d).agg(at(F.min, "x"), at(F.min, "y"), at(F.max, "x"), at(F.max, "y")).first()  # one row
+    cells = G.lattice(spark, i0 * SIZE, j0 * SIZE, i1 - i0 + 1, j1 - j0 + 1, SIZE).withColumn("cell", F.col("ci0") * (j1 - j0 + 1) + F.col("cj0"))
     s = points(spark, d).select(F.col("vec_id").alias("sid"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("v").alias("sv"))
     return G.idw(G.knn(cells, s, 15, 1500.0, "cell", "sid"), "cell", "sv").select("cell", (F.round("value", 4) + F.lit(0.0)).alias("pressure"))
 
 
 @Q()
 def isochrone_areas(spark, d):
-    """Cells within 90 of the reached part of a lattice's edges, for two origins."""
-    e = N.directed(N.lattice_edges(spark, 8))
-    dist = N.shortest(e, spark.range(64).filter("id in (0, 27)").select(F.col("id").alias("node")), 6.0)
-    at = lambda c: (F.floor(F.col(c) / 8) * 400.0, F.pmod(c, F.lit(8)) * 400.0)
+    """Cells within 90 of the reached part of the nations' roads, for all nations; these stand in rows of five."""
+    e = cut(N.directed(roads(spark, d)))
+    dist = N.shortest(e, nations(spark, d), 6.0)
+    at = lambda c: (F.floor(F.col(c) / 5) * 400.0, F.pmod(c, F.lit(5)) * 400.0)
     s = N.reachable(e, dist, 6.0).select("origin", "share", *[v.alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), (*at("src"), *at("dst")), strict=True)])
     return N.isochrone_cells(s, 50.0, 90.0).groupBy("origin").agg((F.count(F.lit(1)) * 2500.0).alias("area"))

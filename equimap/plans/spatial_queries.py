@@ -10,7 +10,7 @@ from ..operators import spatial as G
 from ..operators import stats as A
 from ..operators.lineage import cut
 from .registry import Registry
-from .tables import CELLS, HALF, POINTS, SIZE, TRAVEL, ZONES, cells, points, read, travel, zones
+from .tables import CELLS, HALF, POINTS, SIZE, TRAVEL, ZONES, cells, nations, points, read, roads, travel, zones
 
 Q = Registry()
 KDE_H = 260.0
@@ -144,14 +144,14 @@ e1 AS (SELECT a, b, 1.0::DOUBLE + (a * 7 + b * 3) % 5 AS w, a % 4 = 0 AS ow, a %
 r AS (SELECT o AS origin, o AS node, 0.0::DOUBLE AS d FROM (VALUES (0), (27)) t(o) UNION SELECT r.origin, e.b, r.d + e.w FROM r JOIN e ON r.node = e.a WHERE r.d + e.w <= 12)
 SELECT CAST(origin AS BIGINT) AS origin, CAST(node AS BIGINT) AS node, min(d) AS d FROM r GROUP BY 1, 2""")
 def sssp_cutoff(spark, d):
-    """Shortest paths up to a cutoff on a lattice, which is the same at every scale."""
-    return N.shortest(N.directed(N.lattice_edges(spark, 8)), spark.range(64).filter("id in (0, 27)").select(F.col("id").alias("node")), 12.0)
+    """Shortest paths up to a cutoff between all nations."""
+    return N.shortest(cut(N.directed(roads(spark, d))), nations(spark, d), 12.0)
 
 
 @Q(Q.sql["sssp_cutoff"].replace("SELECT CAST(origin AS BIGINT) AS origin, CAST(node AS BIGINT) AS node, min(d) AS d FROM r GROUP BY 1, 2", ", s AS (SELECT origin, node, min(d) AS d FROM r GROUP BY 1, 2) SELECT CAST(origin AS BIGINT) AS origin, CAST(a AS BIGINT) AS src, CAST(b AS BIGINT) AS dst, round(least(1.0, (12 - d) / w), 6) AS share FROM s JOIN (SELECT a, b, min(w) AS w FROM e GROUP BY a, b) ON node = a WHERE d < 12").replace("<= 12)\n,", "<= 12),"))
 def reach_truncate(spark, d):
-    e = N.directed(N.lattice_edges(spark, 8))
-    return N.reachable(e, sssp_cutoff(spark, d), 12.0).select("origin", "src", "dst", F.round("share", 6).alias("share"))
+    e = cut(N.directed(roads(spark, d)))
+    return N.reachable(e, N.shortest(e, nations(spark, d), 12.0), 12.0).select("origin", "src", "dst", F.round("share", 6).alias("share"))
 
 
 @Q(f"WITH {TRAVEL} SELECT i, j, round(t, 6) AS t FROM od")

@@ -41,6 +41,21 @@ def travel(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy(F.col("c_nationkey").cast("long").alias("i"), F.col("l_suppkey").alias("j")).agg((F.abs(F.avg(days)) / 20).alias("t"))
 
 
+def nations(spark: SparkSession, d: str) -> DataFrame:
+    """node: all nations, which are the nodes of the road graph."""
+    return read(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("node"))
+
+
+def roads(spark: SparkSession, d: str) -> DataFrame:
+    """src (customer's nation), dst (supplier's nation), w (minutes), oneway, reversed; each fourth nation's roads are
+    one-way, and half of those reversed."""
+    l, o, c, s = (read(spark, d, n) for n in ("lineitem", "orders", "customer", "supplier"))
+    j = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+    days = F.datediff("l_shipdate", "o_orderdate").cast("double")
+    e = j.groupBy(F.col("c_nationkey").cast("long").alias("src"), F.col("s_nationkey").cast("long").alias("dst")).agg((F.abs(F.avg(days)) / 20).alias("w"))
+    return e.withColumn("oneway", F.pmod("src", F.lit(4)) == 0).withColumn("reversed", F.pmod("src", F.lit(8)) == 0)
+
+
 POINTS = "p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) * 10000 AS x, CAST(embedding[2] AS DOUBLE) * 10000 AS y, label, CAST(embedding[3] AS DOUBLE) * 10000 AS v FROM embeddings)"
 CELLS = "c AS (SELECT DISTINCT CAST(floor(x / 500) AS BIGINT) AS ci, CAST(floor(y / 500) AS BIGINT) AS cj, (floor(x / 500) + 0.5) * 500 AS cx, (floor(y / 500) + 0.5) * 500 AS cy FROM p)"
 ZONES = "z AS (SELECT label, round(avg(x), 3) - 1500 AS bx0, round(avg(y), 3) - 1500 AS by0, round(avg(x), 3) + 1500 AS bx1, round(avg(y), 3) + 1500 AS by1 FROM p GROUP BY label)"

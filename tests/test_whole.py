@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pytest
 
+from equimap.operators import network
 from equimap.plans import catalog
 
 from .test_queries import DATA, duck, plain  # noqa: F401
@@ -32,3 +36,82 @@ def test_points_outside_the_raster_stay_with_zero(spark, duck):  # noqa: F811
     outside = {i for (i,) in duck.execute(f"SELECT event_id FROM events e WHERE NOT ({inside})").fetchall()}
     assert outside and all(v == 0 for i, v in got if i in outside)
     assert sorted(got) == sorted(want)
+
+
+@pytest.fixture(scope="module")
+def road_costs(duck):  # noqa: F811
+    sql = "SELECT c_nationkey, s_nationkey, abs(avg(date_diff('day', o_orderdate, l_shipdate)::DOUBLE)) / 20 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2"
+    out = {}
+    for a, b, w in duck.execute(sql).fetchall():
+        ways = ([] if a % 8 == 0 else [(a, b)]) + ([(b, a)] if a % 4 or a % 8 == 0 else [])
+        for e in ways:
+            out[e] = min(w, out.get(e, w))
+    return out
+
+
+def distances(costs, cutoff):
+    n = range(25)
+    d = {(a, b): 0.0 if a == b else costs.get((a, b), math.inf) for a in n for b in n}
+    for k in n:
+        for a in n:
+            for b in n:
+                d[a, b] = min(d[a, b], d[a, k] + d[k, b])
+    return {k: v for k, v in d.items() if v <= cutoff}
+
+
+def test_graph_queries_read_the_roads_of_all_nations(spark, road_costs):
+    want = distances(road_costs, 12.0)
+    got = {(r.origin, r.node): r.d for r in catalog.QUERIES["sssp_cutoff"](spark, DATA).collect()}
+    assert {a for a, _ in got} == set(range(25)) and set(got) == set(want)
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    share = {(o, a, b): min(1.0, (12.0 - d) / w) for (o, a), d in want.items() for (u, b), w in road_costs.items() if u == a and d < 12.0}
+    reach = {(r.origin, r.src, r.dst): r.share for r in catalog.QUERIES["reach_truncate"](spark, DATA).collect()}
+    assert set(reach) == set(share) and all(abs(reach[k] - share[k]) < 1e-5 for k in share)
+
+
+def test_isochrones_of_all_nations(spark, road_costs):
+    want = {}
+    for (o, a), d in distances(road_costs, 6.0).items():
+        for (u, b), w in road_costs.items():
+            if u == a and d < 6.0:
+                s, (x0, y0), (x1, y1) = min(1.0, (6.0 - d) / w), (a // 5 * 400.0, a % 5 * 400.0), (b // 5 * 400.0, b % 5 * 400.0)
+                dx, dy = (x1 - x0) * s, (y1 - y0) * s
+                i, j = np.meshgrid(np.arange(-3, 36) * 50.0 + 25.0, np.arange(-3, 36) * 50.0 + 25.0)
+                t = np.clip(((i - x0) * dx + (j - y0) * dy) / max(dx * dx + dy * dy, 1e-300), 0, 1)
+                near = np.hypot(i - x0 - t * dx, j - y0 - t * dy) <= 90.0
+                want[o] = want.get(o, False) | near
+    got = {r.origin: r.area for r in catalog.QUERIES["isochrone_areas"](spark, DATA).collect()}
+    assert got == {o: near.sum() * 2500.0 for o, near in want.items()}
+
+
+def test_shortest_refuses_negative_weights(spark):
+    e = spark.createDataFrame([(0, 1, -1.0), (1, 0, 0.5)], "src long, dst long, w double")
+    with pytest.raises(ValueError):
+        network.shortest(e, spark.createDataFrame([(0,)], "node long"), 5.0)
+
+
+def test_flood_reads_all_parts(spark, duck):  # noqa: F811
+    size = dict(duck.execute("SELECT p_partkey, p_size FROM part").fetchall())
+    n = math.ceil(math.sqrt(len(size)))
+    zero = {(k // n, k % n) for k, s in size.items() if s % 5 < 2}
+    todo = [(r, c) for r, c in zero if r in (0, max(size) // n) or c in (0, n - 1)]
+    want = set(todo)
+    while todo:
+        r, c = todo.pop()
+        new = {(r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)} & zero - want
+        want |= new
+        todo += new
+    assert {(r.row, r.col) for r in catalog.QUERIES["edge_flood"](spark, DATA).collect()} == want
+
+
+def test_demand_grid_covers_all_points(spark, duck):  # noqa: F811
+    p = np.array(duck.execute("SELECT embedding[1]::DOUBLE * 10000, embedding[2]::DOUBLE * 10000, embedding[3]::DOUBLE * 10000 FROM embeddings ORDER BY vec_id").fetchall())
+    at = np.floor(p[:, :2] / 500)
+    (i0, j0), (i1, j1) = at.min(0), at.max(0)
+    got = {r.cell: r.pressure for r in catalog.QUERIES["demand_grid"](spark, DATA).collect()}
+    cells = [(i, j) for i in np.arange(i0, i1 + 1) for j in np.arange(j0, j1 + 1)]
+    assert sorted(got) == list(range(len(cells)))
+    for k, (i, j) in enumerate(cells):
+        d = ((p[:, :2] - [(i + 0.5) * 500, (j + 0.5) * 500]) ** 2).sum(1)
+        near = np.argsort(d, kind="stable")[:15]
+        assert abs(got[k] - (p[near, 2] / d[near]).sum() / (1 / d[near]).sum()) < 1e-3
