@@ -109,40 +109,62 @@ def supply_with_fallback(seats: Column, stage: Column, defaults: dict[str, float
     return F.least(F.when(s < 50, s * 3).otherwise(s), F.lit(10000.0))
 
 
-def jenks(values: list[float], k: int = 5) -> list[float]:
-    """Upper bounds of the inner classes of least squared deviation; equal widths with fewer than k distinct values."""
-    v = np.sort(np.asarray(values, float))
-    distinct = np.unique(v)
-    if len(distinct) < k:
-        return np.linspace(v[0], v[-1], k + 1)[1:-1].tolist() if len(v) else []
-    x, w = np.unique(v, return_counts=True)
+def jenks(values: list[float], k: int = 5, counts: list[int] | None = None) -> list[float]:
+    """Upper bounds of the inner classes of least squared deviation; equal widths with fewer than k distinct values.
+
+    Exact at every size: the first value of the last class never moves down as values are added, so each half of a
+    class's row is searched on one side of its middle only, all middles of a depth at once."""
+    v = np.asarray(values, float)
+    if not len(v):
+        return []
+    x, at = np.unique(v, return_inverse=True)
+    if len(x) < k:
+        return np.linspace(x[0], x[-1], k + 1)[1:-1].tolist()
+    w = np.bincount(at, counts).astype(float)
     n = len(x)
-    cw, cx, cq = (np.r_[0.0, np.cumsum(a)] for a in (w, w * x, w * x * x))
-    cost = np.full((k + 1, n + 1), np.inf)
-    cut = np.zeros((k + 1, n + 1), int)
-    cost[0, 0] = 0.0
+    y = x - np.average(x, weights=w)
+    cw, cy, cq = (np.r_[0.0, np.cumsum(a)] for a in (w, w * y, w * y * y))
+    cost = np.full(n + 1, np.inf)
+    cost[0] = 0.0
+    cuts = np.zeros((k + 1, n + 1), np.int32)
     for c in range(1, k + 1):
-        for j in range(c, n + 1):
-            i = np.arange(c - 1, j)
-            sw, sx = cw[j] - cw[i], cx[j] - cx[i]
-            total = cost[c - 1, i] + (cq[j] - cq[i]) - sx * sx / sw
-            at = int(np.argmin(total))
-            cost[c, j], cut[c, j] = total[at], i[at]
+        new, cut = np.full(n + 1, np.inf), cuts[c]
+        lo, hi = np.array([c]), np.array([n])
+        first, last = np.array([c - 1]), np.array([n - 1])
+        while len(lo):
+            mid = (lo + hi) // 2
+            size = np.minimum(last, mid - 1) - first + 1
+            start = np.cumsum(size) - size
+            i = np.arange(size.sum()) - np.repeat(start - first, size)
+            j = np.repeat(mid, size)
+            sy = cy[j] - cy[i]
+            total = cost[i] + (cq[j] - cq[i]) - sy * sy / (cw[j] - cw[i])
+            best = np.minimum.reduceat(total, start)
+            hit = np.flatnonzero(total == np.repeat(best, size))
+            new[mid], cut[mid] = best, i[hit[np.searchsorted(hit, start)]]
+            lo, hi, first, last = np.r_[lo, mid + 1], np.r_[mid - 1, hi], np.r_[first, cut[mid]], np.r_[cut[mid], last]
+            some = lo <= hi
+            lo, hi, first, last = lo[some], hi[some], first[some], last[some]
+            order = np.argsort(lo)
+            lo, hi, first, last = lo[order], hi[order], first[order], last[order]
+        cost = new
     out, j = [], n
     for c in range(k, 1, -1):
-        j = cut[c, j]
+        j = cuts[c, j]
         out.append(float(x[j - 1]))
     return out[::-1]
 
 
-def jenks_breaks(df: DataFrame, value: str, k: int = 5, most: int = 3000) -> DataFrame:
-    """Breaks as rows; above `most` distinct values their quantiles at 1/most steps are cut instead of all values."""
-    n = df.select(value).distinct().count()
-    if n > most:
-        rows = df.agg(F.percentile(value, F.array(*[F.lit(i / most) for i in range(most + 1)]))).first()[0]
-    else:
-        rows = [r[0] for r in df.select(value).collect()]
-    return df.sparkSession.createDataFrame([(i + 1, float(b)) for i, b in enumerate(jenks(rows, k))], "class int, upper double")
+def jenks_breaks(df: DataFrame, value: str, k: int = 5, most: int = 2_000_000) -> DataFrame:
+    """Breaks as rows, over all finite values; more than `most` distinct ones, which the driver holds with their counts,
+    are an error."""
+    v = F.col(value).cast("double")
+    pairs = df.filter(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))).groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    table = pairs.limit(most + 1).toArrow()
+    if table.num_rows > most:
+        raise ValueError(f"more than {most} distinct values")
+    rows = jenks(table["v"].to_numpy(), k, table["n"].to_numpy())
+    return df.sparkSession.createDataFrame([(i + 1, float(b)) for i, b in enumerate(rows)], "class int, upper double")
 
 
 def skater(df: DataFrame, edges: DataFrame, key: str, cols: list[str], k: int) -> DataFrame:

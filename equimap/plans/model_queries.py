@@ -54,7 +54,7 @@ def huber_baseline(spark, d):
 
 @Q()
 def jenks_breaks(spark, d):
-    return M.jenks_breaks(read(spark, d, "part").select(F.col("p_size").cast("double").alias("v")), "v")
+    return M.jenks_breaks(read(spark, d, "orders").select(F.col("o_totalprice").alias("v")), "v")
 
 
 @Q()

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
 import pytest
 
-from equimap.operators import network
+from equimap.operators import models, network
 from equimap.plans import catalog
 
 from .test_queries import DATA, duck, plain  # noqa: F401
@@ -115,3 +116,33 @@ def test_demand_grid_covers_all_points(spark, duck):  # noqa: F811
         d = ((p[:, :2] - [(i + 0.5) * 500, (j + 0.5) * 500]) ** 2).sum(1)
         near = np.argsort(d, kind="stable")[:15]
         assert abs(got[k] - (p[near, 2] / d[near]).sum() / (1 / d[near]).sum()) < 1e-3
+
+
+def deviation(v, breaks):
+    ends = [-np.inf, *breaks, np.inf]
+    classes = [v[(v > a) & (v <= b)] for a, b in itertools.pairwise(ends)]
+    return sum(((g - g.mean()) ** 2).sum() for g in classes if len(g))
+
+
+def test_breaks_are_the_best():
+    rng = np.random.default_rng(1)
+    for n in (5, 8, 12):
+        v = np.repeat(np.unique(rng.lognormal(0, 2, n)), 2)
+        for k in (2, 4):
+            got = models.jenks(v.tolist(), k)
+            want = min(deviation(v, c) for c in itertools.combinations(np.unique(v)[:-1], k - 1))
+            assert len(got) == k - 1 and abs(deviation(v, got) - want) < 1e-9 * max(1, want)
+
+
+def test_breaks_of_many_values_use_all_of_them(spark):
+    v = np.random.default_rng(2).lognormal(0, 3, 4000)
+    df = spark.createDataFrame([(float(x),) for x in [*v, *v[:50]]] + [(None,), (math.nan,), (math.inf,)], "v double")
+    got = [r.upper for r in models.jenks_breaks(df, "v").orderBy("class").collect()]
+    assert set(got) <= set(v) and got == models.jenks([*v, *v[:50]])
+    with pytest.raises(ValueError):
+        models.jenks_breaks(df, "v", most=3999)
+
+
+def test_breaks_query_reads_many_values(spark, duck):  # noqa: F811
+    v = [x for (x,) in duck.execute("SELECT o_totalprice FROM orders").fetchall()]
+    assert [r.upper for r in catalog.QUERIES["jenks_breaks"](spark, DATA).orderBy("class").collect()] == models.jenks(v)
