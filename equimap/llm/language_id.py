@@ -7,7 +7,8 @@ at hashed places. All documents are read whole when they are judged.
 
 Cases: a null text or one without a letter is `und` with score 0. A null language isn't learned. Null ids are held out of
 training. Without any document to learn from everything is `und`. Repeated rows each give their row; an empty table
-gives an empty result. Other columns aren't read.
+gives an empty result. More than MOST_LANGUAGES languages to learn raise an error, since none may be left out. Other
+columns aren't read.
 """
 
 from __future__ import annotations
@@ -153,7 +154,9 @@ def held_out(id_col: str) -> Column:
 def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, hidden: int = HIDDEN, length: int = SEGMENT, epochs: int = EPOCHS) -> Network | None:
     """Learns from the rows of docs that aren't held out."""
     rows = docs.filter(~held_out(id_col) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MOST_LANGUAGES).collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not sizes:
         return None
     share = F.lit(0.0)

@@ -8,6 +8,7 @@ import math
 import numpy as np
 import pytest
 
+from equimap.llm import language_id
 from equimap.operators import models, network
 from equimap.plans import catalog
 
@@ -146,3 +147,12 @@ def test_breaks_of_many_values_use_all_of_them(spark):
 def test_breaks_query_reads_many_values(spark, duck):  # noqa: F811
     v = [x for (x,) in duck.execute("SELECT o_totalprice FROM orders").fetchall()]
     assert [r.upper for r in catalog.QUERIES["jenks_breaks"](spark, DATA).orderBy("class").collect()] == models.jenks(v)
+
+
+def test_no_language_is_left_out(spark):
+    rows = [(i, f"word{i} text", f"l{i % 201:03}") for i in range(201 * 40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        language_id.fit(d, per_language=1, epochs=1)
+    net = language_id.fit(d.filter("lang <> 'l200'"), per_language=1, epochs=1)
+    assert net.languages == [f"l{k:03}" for k in range(200)]
