@@ -4,24 +4,66 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import functools
 import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one is set only where it is unset (tests)."""
+    """The folder named by spark.checkpoint.dir. Only a local master may leave it unset (tests) and gets a local folder; a
+    cluster's executors would not see that one, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="equimap-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Rows and bytes of an Arrow batch while a table is written: they bound what a Python worker holds at once.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Within it, queries that run send Python workers batches of BATCHES; the session's own settings come back after."""
+    before = {k: spark.conf.get(k, None) for k in BATCHES}
+    try:
+        for k, v in BATCHES.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def tidied(scan: Callable) -> Callable:
+    """scan, which gives the memory that it freed back to the system when it ends: workers are used again, and what one
+    stage's needed would else stay theirs beside the next one's."""
+
+    @functools.wraps(scan)
+    def run(batches):
+        import pyarrow as pa
+
+        try:
+            yield from scan(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError, OSError):  # another C library
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 class Scratch:
     """Parquet tables that cut lineage: they live in the shared folder, so a lost executor loses none.
 
@@ -40,7 +82,8 @@ class Scratch:
         writer = df.write
         if parts:
             writer = writer.partitionBy(*parts)
-        writer.parquet(path)
+        with small_batches(self.spark):
+            writer.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -96,6 +139,29 @@ def with_row_ids(docs: DataFrame, id_col: str, scratch: Scratch, *keep: str) ->
     return scratch.put(docs.select(F.monotonically_increasing_id().alias("rid"), *cols))
 
 
+class Marks:
+    """Bits at hashed places, at most 2 ** MOST of them and so of a bounded size: tells which keys may be in a set. Keys that
+    aren't may pass too."""
+
+    MOST = 27
+
+    def __init__(self, keys: DataFrame, at: Callable[[int], Column]) -> None:
+        """at: the place of a row of keys among 2 ** (its argument) bits."""
+        self.bits = min(self.MOST, max(15, (16 * keys.count()).bit_length()))
+        place = at(self.bits).cast("bigint")
+        cells = keys.select(F.shiftright(place, 15).alias("k"), place.bitwiseAND(F.lit(32767)).alias("p"))
+        rows = cells.groupBy("k").agg(F.bitmap_construct_agg("p").alias("m"))
+        whole = np.zeros(1 << (self.bits - 3), np.uint8)
+        for k, m in rows.toLocalIterator():
+            whole[k << 12 : (k + 1) << 12] = np.frombuffer(m, np.uint8)
+        self.marks = keys.sparkSession.sparkContext.broadcast(whole)
+
+
+def marked(marks: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the bits at these places are set."""
+    return (marks[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 # --- bytes to words, vectorised over a run of documents ---------------------------------------------------------
 
 _MASK = (1 << 64) - 1

@@ -11,12 +11,14 @@ more than z empty parts has keys for these too, so nothing is lost). Only docume
    and for the keys, so keys are never written to a table; docs has to be a stored table, which splits alike each time.
    (Sets of equal size and equal 128-bit sums count as equal within a task.)
 2. Each document is first held against the least document of its keys. Linked pairs are joined to components.
-3. Only keys whose documents are still in different components go on, cut into tiles of at most TILE documents a side.
-   In a tile, bitmaps of hashed parities are compared: the bits in which two differ bound the overlap from above. Pairs
+3. Only keys whose documents are still in different components go on. A key's documents are dealt by hash to sides of
+   about TILE documents, and each two sides make a tile, so no task holds a key of many documents. In a tile, bitmaps of hashed parities are compared: the bits in which two differ bound the overlap from above. Pairs
    of different components that pass are counted exactly on the sorted arrays. A first turn takes each document's few
    closest ones in a part of the keys, which connects most; a second turn takes all pairs that pass, so none is left out.
 
-Hashes of 64 bits stand for the shingles.
+Hashes of 64 bits stand for the shingles. Candidates thus come from shared parts (steps 1 and 2 see no bitmap); bitmaps
+bound the overlap in step 3 only. Sets that a task finds of equal size and equal 128-bit sums are united without the exact
+intersection.
 
 Cases: a null or empty text has an empty set, is linked with nothing and is its own component. Null or repeated ids get
 row numbers inside; a component's id is the least id in it that isn't null (null where all are). Repeated rows are
@@ -28,10 +30,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import byte_table, hash_words, mix64, narrow, runs, Scratch, table, with_row_ids
+from .common import Marks, Scratch, byte_table, hash_words, marked, mix64, narrow, runs, table, tidied, with_row_ids
 
 SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
 _TAB = byte_table(SEPARATORS)
@@ -40,7 +42,7 @@ EDGE = 1.5
 #: Most bits of a bitmap.
 MOST_BITS = 1 << 15
 #: Documents on a side of a tile, and the closest ones that a document proposes in the first turn.
-TILE, CLOSEST = 8192, 4
+TILE, CLOSEST = 1024, 4
 #: The first turn looks into one key of so many; it only has to connect most.
 EVERY = 4
 #: Rows that a task gathers before it sends them on; bounds its memory.
@@ -120,9 +122,11 @@ def bits_for(n: int, rule: Rule) -> int:
     return min(MOST_BITS, max(64, 1 << (16 * rule.differ(2 * n)).bit_length()))
 
 
-def passing(n: np.ndarray, comp: np.ndarray, maps: list[bytes], rule: Rule, closest: int | None) -> tuple[np.ndarray, np.ndarray]:
+def passing(n: np.ndarray, comp: np.ndarray, maps: list[bytes], rule: Rule, closest: int | None, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Places of the pairs of a tile in different components whose bitmaps allow a link; at most `closest` for each
-    document of a smaller component where that is given."""
+    document of a smaller component where that is given. A tile of two sides has only pairs of one from each: those inside
+    a side are in a tile of their own."""
+    across = side is not None and bool((side != side[0]).any())
     width = min(len(m) for m in maps)
     rows = np.empty((len(maps), width // 8), np.uint64)
     for i, m in enumerate(maps):
@@ -136,6 +140,8 @@ def passing(n: np.ndarray, comp: np.ndarray, maps: list[bytes], rule: Rule, clos
     for i in np.flatnonzero(at != big).tolist():
         # a pair of two smaller components is seen from both sides; the lower place proposes it in the full turn
         other = (at != at[i]) if closest else (at != at[i]) & ((at == big) | (np.arange(len(at)) > i))
+        if across:
+            other &= side != side[i]
         j = np.flatnonzero(other)
         differ = np.bitwise_count(rows[j] ^ rows[i]).sum(axis=1, dtype=np.int64)
         total = n[j] + n[i]
@@ -211,28 +217,14 @@ def _scan(docs: DataFrame, rule: Rule, heads: bool) -> DataFrame:
         if size:
             yield from flush()
 
-    return docs.select("rid", "text").mapInArrow(scan, "kind int, a long, b long, c long")
+    return docs.select("rid", "text").mapInArrow(tidied(scan), "kind int, a long, b long, c long")
 
 
-class _Marks:
-    """Bits of hashed ids, at most 2 ** MOST of them: tells which documents a scan can pass over. Others may pass too."""
+def _place(bits: int) -> Column:
+    return F.pmod(F.xxhash64("rid"), F.lit(1 << bits))
 
-    MOST = 27
 
-    def __init__(self, ids: DataFrame) -> None:
-        self.bits = min(self.MOST, max(15, (16 * ids.count()).bit_length()))
-        at = F.pmod(F.xxhash64("rid"), F.lit(1 << self.bits))
-        rows = ids.groupBy((F.shiftright(at, 15)).alias("k")).agg(F.expr(f"bitmap_construct_agg(cast(pmod(xxhash64(rid), {1 << self.bits}) & 32767 as bigint))").alias("m"))
-        whole = np.zeros(1 << (self.bits - 3), np.uint8)
-        for k, m in rows.toLocalIterator():
-            whole[k << 12 : (k + 1) << 12] = np.frombuffer(m, np.uint8)
-        self.marks = ids.sparkSession.sparkContext.broadcast(whole)
-
-    def column(self):
-        return F.pmod(F.xxhash64("rid"), F.lit(1 << self.bits))
-
-
-def _sets(docs: DataFrame, marks: _Marks, rule: Rule, arrays: bool) -> DataFrame:
+def _sets(docs: DataFrame, marks: Marks, rule: Rule, arrays: bool) -> DataFrame:
     """For all marked documents: rid, n, and s: the sorted set, or else its bitmap."""
     bits = marks.marks
 
@@ -240,8 +232,7 @@ def _sets(docs: DataFrame, marks: _Marks, rule: Rule, arrays: bool) -> DataFrame
         import pyarrow as pa
 
         for batch in batches:
-            at = batch.column(2).to_numpy()
-            batch = batch.filter(pa.array((bits.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+            batch = batch.filter(pa.array(marked(bits.value, batch.column(2).to_numpy())))
             for i, data, offsets in runs(batch.column(1)):
                 h, first = hash_words(data, offsets, _TAB)
                 got = [shingles(h[first[d] : first[d + 1]], rule.words) for d in range(len(first) - 1)]
@@ -252,21 +243,21 @@ def _sets(docs: DataFrame, marks: _Marks, rule: Rule, arrays: bool) -> DataFrame
                     out = pa.array([bitmap(s, bits_for(len(s), rule)).tobytes() for s in got], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(got)), pa.array(lengths), out], names=["rid", "n", "s"])
 
-    return docs.select("rid", "text", marks.column().alias("at")).mapInArrow(scan, f"rid long, n long, s {'array<long>' if arrays else 'binary'}")
+    return docs.select("rid", "text", _place(marks.bits).alias("at")).mapInArrow(tidied(scan), f"rid long, n long, s {'array<long>' if arrays else 'binary'}")
 
 
 def _tiles(rows: DataFrame, rule: Rule, closest: int | None) -> DataFrame:
-    """Pairs that pass in the tiles of rows (key, tile, rid, comp, n, s), which are sorted by key and tile."""
+    """Pairs that pass in the tiles of rows (key, tile, own, rid, comp, n, s), which are sorted by key and tile."""
 
     def scan(batches):
         import pyarrow as pa
 
-        def done(key, tile, rid, comp, n, s):
+        def done(key, tile, own, rid, comp, n, s):
             edge = np.flatnonzero((key[1:] != key[:-1]) | (tile[1:] != tile[:-1])) + 1
             a, b = [], []
             for x, y in zip(np.r_[0, edge].tolist(), np.r_[edge, len(key)].tolist(), strict=True):
                 if y - x > 1:
-                    i, j = passing(n[x:y], comp[x:y], s[x:y], rule, closest)
+                    i, j = passing(n[x:y], comp[x:y], s[x:y], rule, closest, own[x:y])
                     a.append(rid[x:y][i])
                     b.append(rid[x:y][j])
             if not a:
@@ -277,9 +268,9 @@ def _tiles(rows: DataFrame, rule: Rule, closest: int | None) -> DataFrame:
 
         rest = None
         for batch in batches:
-            now = [batch.column(i).to_numpy() for i in range(5)] + [batch.column(5).to_pylist()]
+            now = [batch.column(i).to_numpy() for i in range(6)] + [batch.column(6).to_pylist()]
             if rest is not None:
-                now = [np.concatenate((x, y)) for x, y in zip(rest[:5], now[:5], strict=True)] + [rest[5] + now[5]]
+                now = [np.concatenate((x, y)) for x, y in zip(rest[:6], now[:6], strict=True)] + [rest[6] + now[6]]
             # the last tile may go on in the next batch; no tile is larger than 2 * TILE rows
             cut = int(np.flatnonzero((now[0] == now[0][-1]) & (now[1] == now[1][-1]))[0]) if len(now[0]) else 0
             rest = [x[cut:] for x in now]
@@ -288,7 +279,7 @@ def _tiles(rows: DataFrame, rule: Rule, closest: int | None) -> DataFrame:
         if rest is not None and len(rest[0]) and (out := done(*rest)) is not None:
             yield out
 
-    return rows.select("key", "tile", "rid", "comp", "n", "s").mapInArrow(scan, "a long, b long").distinct()
+    return rows.select("key", "tile", "own", "rid", "comp", "n", "s").mapInArrow(tidied(scan), "a long, b long").distinct()
 
 
 def _exact(pairs: DataFrame, rule: Rule) -> DataFrame:
@@ -315,7 +306,7 @@ def _exact(pairs: DataFrame, rule: Rule) -> DataFrame:
             keep = pa.array(ok)
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
 
-    return pairs.mapInArrow(scan, "a long, b long")
+    return pairs.mapInArrow(tidied(scan), "a long, b long")
 
 
 class _Join:
@@ -330,7 +321,7 @@ class _Join:
             return pairs
         sc.release()  # what the pairs were made from goes before their sets are moved
         wanted = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
-        stored = sc.put(_sets(self.docs, _Marks(wanted), rule, True))
+        stored = sc.put(_sets(self.docs, Marks(wanted, _place), rule, True))
         sets = stored.select("rid", "s")
         full = pairs.join(sets.select(F.col("rid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("rid").alias("b"), F.col("s").alias("sb")), "b")
         linked = sc.put(_exact(full.select("a", "b", "sa", "sb"), rule))
@@ -386,7 +377,7 @@ class _Join:
                 break
             sc.release()
             looked = members.filter(F.pmod("key", F.lit(EVERY)) == 0) if closest else members
-            maps = sc.put(_sets(self.docs, _Marks(looked.select("rid").distinct()), rule, False))
+            maps = sc.put(_sets(self.docs, Marks(looked.select("rid").distinct(), _place), rule, False))
             sides = F.ceil(F.col("size") / TILE).cast("long")
             own = F.pmod(F.xxhash64("rid"), F.col("sides"))
             tile = F.transform(F.sequence(F.lit(0).cast("long"), F.col("sides") - 1), lambda x: F.least(F.col("own"), x) * F.col("sides") + F.greatest(F.col("own"), x))
