@@ -1,12 +1,19 @@
 """Benchmark decontamination by winnowing.
 
-Words are hashed, K consecutive word hashes make a k-gram hash, and of each window of WINDOW - K + 1 k-grams the least
-is a fingerprint. Any run of WINDOW words that a document and an item share holds the same least k-gram in both, so the
-two meet in one fingerprint at least. Each meeting is extended to both sides as far as the words agree; an extension of
-WINDOW words or more marks its words. Items of fewer words are looked up whole.
+Words are hashed, K consecutive word hashes make a k-gram hash, and of each window of WINDOW words the least k-gram hash is
+kept as its fingerprint. Equal windows of a document and an item have equal fingerprints, so every shared run of WINDOW
+words or more is found. Items of fewer words are one window of their own length.
 
-The items are a stated set, fingerprinted once and sent to the executors in blocks of at most BLOCK_WORDS words; more
-items mean more passes over the documents, whose marked spans are then united, so any number of items is matched.
+1. Items give a table of their windows: two 64-bit hashes of the window's words, and the fingerprint.
+2. One scan of the documents keeps the windows whose fingerprint may be one of the items'; two bitmaps of a bounded size
+   (fingerprints, windows) tell, whatever the number of items. So a hit is extended to all windows around it that match.
+3. These windows are joined with the items' windows on both hashes. Each distinct window meets a document once, whatever
+   the number of items that hold it; items are joined to the documents' distinct windows afterwards.
+4. The matched windows of a document are united to spans of words.
+
+Nothing of the items is held on the driver, and no task gathers more than the windows of one document.
+
+Hashes stand for words (64 bits) and windows (128 bits).
 
 Cases: a null text has no words (n_words 0, not contaminated). A null item id is listed as an empty string. Repeated
 item ids count once. Repeated rows of documents each give their row. A document without words, an item without words
@@ -15,21 +22,19 @@ and an empty table on either side match nothing. Other columns aren't read.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_table, hash_words, mix64, narrow, runs, Scratch, table, with_row_ids
+from .common import Marks, Scratch, byte_table, hash_words, marked, mix64, narrow, runs, table, tidied, with_row_ids
 
 WINDOW = 10
 K = 5
-BLOCK_WORDS = 2_000_000
+#: Most rows of the items' windows that are sent to all tasks for the joins (about 40 bytes each); beyond, rows are sorted.
+BROADCAST_WINDOWS = 400_000
 #: Word separators below 0x80, after A-Z are lower-cased.
 SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 _TAB = byte_table(SEPARATORS)
-_FILTER_BITS = 22
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
@@ -55,164 +60,101 @@ def least(g: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
-class Index:
-    """Fingerprints of a block of items."""
-
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW, k: int = K) -> None:
-        self.window, self.k, self.w = window, k, window - k + 1
-        self.ids = [i for i, _ in items]
-        self.words: list[np.ndarray] = []
-        marks: dict[int, list[tuple[int, int]]] = {}
-        self.short: dict[int, dict[int, list[int]]] = {}
-        for at, (_, text) in enumerate(items):
-            raw = np.frombuffer((text or "").encode(), np.uint8)
-            h, _ = hash_words(raw, np.array([0, len(raw)]), _TAB)
-            self.words.append(h)
-            if 0 < len(h) < window:
-                self.short.setdefault(len(h), {}).setdefault(int(grams(h, len(h))[0]), []).append(at)
-            elif len(h):
-                g = grams(h, k)
-                for p in {int(i + np.argmin(g[i : i + self.w])) for i in range(len(g) - self.w + 1)}:
-                    marks.setdefault(int(g[p]), []).append((at, p))
-        self.marks = marks
-        self.keys, self.filter = self._table(marks)
-        self.short_keys = {n: self._table(m) for n, m in self.short.items()}
-
-    @staticmethod
-    def _table(marks: dict) -> tuple[np.ndarray, np.ndarray]:
-        keys = np.array(sorted(marks), np.uint64)
-        bits = np.zeros(1 << _FILTER_BITS, bool)
-        bits[(keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-        return keys, bits
-
-    @staticmethod
-    def _found(values: np.ndarray, tab: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        keys, bits = tab
-        at = np.flatnonzero(bits[(values >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
-        if not len(at) or not len(keys):
-            return at[:0]
-        v = values[at]
-        i = np.minimum(np.searchsorted(keys, v), len(keys) - 1)
-        return at[keys[i] == v]
-
-    def match(self, h: np.ndarray, first: np.ndarray) -> dict[int, tuple[list[tuple[int, int]], set[int]]]:
-        """For documents with hits: spans of words from the document's start, and the items.
-
-        h: word hashes of a run of documents; first: the word at which each begins, and the end.
-        """
-        out: dict[int, tuple[list[tuple[int, int]], set[int]]] = {}
-        g = grams(h, self.k)
-        mins = least(g, self.w)
-        if len(mins) and len(self.keys):
-            chosen = np.zeros(len(g), bool)
-            for i in range(self.w):
-                chosen[i : i + len(mins)] |= g[i : i + len(mins)] == mins
-            at = np.flatnonzero(chosen)
-            reach: dict[tuple[int, int, int], int] = {}
-            for p in at[self._found(g[at], (self.keys, self.filter))].tolist():
-                self._extend(h, first, p, int(g[p]), reach, out)
-        for n, marks in self.short.items():
-            g = grams(h, n)
-            if not len(g):
-                continue
-            for p in self._found(g, self.short_keys[n]).tolist():
-                d = int(np.searchsorted(first, p, "right")) - 1
-                if p + n <= first[d + 1]:
-                    for at in marks[int(g[p])]:
-                        if np.array_equal(h[p : p + n], self.words[at]):
-                            spans, items = out.setdefault(d, ([], set()))
-                            spans.append((p - int(first[d]), p - int(first[d]) + n))
-                            items.add(at)
-        return out
-
-    def _extend(self, h, first, p, key, reach, out) -> None:
-        d = int(np.searchsorted(first, p, "right")) - 1
-        lo, hi = int(first[d]), int(first[d + 1])
-        for at, q in self.marks[key]:
-            if reach.get((d, at, p - q), -1) >= p:
-                continue  # inside a span of the same alignment
-            item = self.words[at]
-            back, ahead = min(p - lo, q), min(hi - p, len(item) - q)
-            same = h[p - back : p][::-1] == item[q - back : q][::-1]
-            b = back if same.all() else int(np.argmin(same))
-            same = h[p : p + ahead] == item[q : q + ahead]
-            a = ahead if same.all() else int(np.argmin(same))
-            reach[d, at, p - q] = p + a
-            if a + b >= self.window:
-                spans, items = out.setdefault(d, ([], set()))
-                spans.append((p - b - lo, p + a - lo))
-                items.add(at)
-
-
-def _blocks(items: DataFrame, block_words: int):
-    """Blocks of (id as text, text) of at most block_words words, or one item; one block is on the driver at a time."""
-    block, n = [], 0
-    for i, text in items.toLocalIterator():
-        words = len(hash_words(*_whole(text), _TAB)[0])
-        if block and n + words > block_words:
-            yield block
-            block, n = [], 0
-        block.append((i or "", text or ""))
-        n += words
-    if block:
-        yield block
-
-
-def _whole(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer((text or "").encode(), np.uint8)
-    return raw, np.array([0, len(raw)])
-
-
-def hits(docs: DataFrame, index, only_hits: bool) -> DataFrame:
-    """rid, n_words, spans (flat list of starts and ends, in words), items (ids as text) for one block of items."""
+def window_hashes(h: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the n words from each start."""
+    key, check = np.full(len(starts), n, np.uint64), np.full(len(starts), n, np.uint64)
+    for i in range(n):
+        key = key * np.uint64(0x100000001B3) + h[starts + i]
+        check = check * np.uint64(0x9E3779B97F4A7C15) + h[starts + i]
+    return mix64(key), mix64(check)
+
+
+def windows_of(items: DataFrame, window: int, k: int) -> DataFrame:
+    """item, n, key, check, print: the distinct windows of each item (id as text, text)."""
 
     def scan(batches):
         import pyarrow as pa
 
-        ix = index.value
         for batch in batches:
-            rids = batch.column(0)
-            keep, words, spans, items = [], [], [], []
+            ids = batch.column(0).to_pylist()
             for i, data, offsets in runs(batch.column(1)):
                 h, first = hash_words(data, offsets, _TAB)
-                found = ix.match(h, first)
-                n = np.diff(first).tolist()
-                for d in sorted(found) if only_hits else range(len(n)):
-                    s, t = found.get(d, ((), ()))
-                    keep.append(i + d)
-                    words.append(n[d])
-                    spans.append([x for pair in s for x in pair])
-                    items.append(sorted({ix.ids[x] for x in t}))
-            yield pa.RecordBatch.from_arrays(
-                [rids.take(pa.array(keep, pa.int64())), pa.array(words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
-                names=["rid", "n_words", "spans", "items"],
-            )
-
-    return docs.mapInArrow(scan, "rid long, n_words long, spans array<long>, items array<string>")
-
-
-def _digest(found: DataFrame) -> DataFrame:
-    def digest(batches):
+                for d in range(len(first) - 1):
+                    words = h[first[d] : first[d + 1]]
+                    n = min(window, len(words))
+                    if not n:
+                        continue
+                    starts = np.arange(len(words) - n + 1)
+                    key, check = window_hashes(words, starts, n)
+                    prints = least(grams(words, k), n - k + 1) if n == window else key
+                    at = np.unique(np.stack((key, check)), axis=1, return_index=True)[1]
+                    columns = [pa.array([ids[i + d] or ""] * len(at)), pa.array(np.full(len(at), n, np.int32)), *[pa.array(x[at].view(np.int64)) for x in (key, check, prints)]]
+                    yield pa.RecordBatch.from_arrays(columns, names=["item", "n", "key", "check", "print"])
+
+    return items.mapInArrow(tidied(scan), "item string, n int, key long, check long, print long")
+
+
+def _top(column: str):
+    """The place of a 64-bit hash among 2 ** bits: its first bits."""
+    return lambda bits: F.shiftrightunsigned(F.col(column), 64 - bits)
+
+
+def found_windows(docs: DataFrame, prints: Marks, keys: Marks, lengths: list[int], window: int, k: int) -> DataFrame:
+    """rid, n_words, hits: for each document (rid, text) its windows (at, n, key, check) that may be an item's."""
+    print_bits, key_bits, prints, keys = prints.bits, keys.bits, prints.marks, keys.marks
+
+    def may(values: np.ndarray, marks: np.ndarray, bits: int) -> np.ndarray:
+        return marked(marks, (values >> np.uint64(64 - bits)).astype(np.int64))
+
+    def scan(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for i, data, offsets in runs(batch.column(1)):
+                h, first = hash_words(data, offsets, _TAB)
+                parts = []
+                for n in lengths:
+                    if n == window:
+                        mins = least(grams(h, k), n - k + 1)
+                        starts = np.flatnonzero(may(mins, prints.value, print_bits))
+                    else:
+                        starts = np.arange(max(0, len(h) - n + 1))
+                    doc = np.searchsorted(first, starts, "right") - 1
+                    inside = starts + n <= first[doc + 1]
+                    starts, doc = starts[inside], doc[inside]
+                    key, check = window_hashes(h, starts, n)
+                    ok = may(key, keys.value, key_bits)
+                    parts.append((doc[ok], starts[ok] - first[doc[ok]], np.full(int(ok.sum()), n), key[ok], check[ok]))
+                doc, at, n, key, check = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*parts, strict=True) if parts else [()] * 5))
+                order = np.argsort(doc, kind="stable")
+                ends = np.searchsorted(doc[order], np.arange(len(first)))
+                hits = pa.StructArray.from_arrays([pa.array(at[order].astype(np.int64)), pa.array(n[order].astype(np.int32)), pa.array(key[order].view(np.int64)), pa.array(check[order].view(np.int64))], names=["at", "n", "key", "check"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(first) - 1), pa.array(np.diff(first)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), hits)], names=["rid", "n_words", "hits"])
+
+    return docs.select("rid", "text").mapInArrow(tidied(scan), "rid long, n_words long, hits array<struct<at: long, n: int, key: long, check: long>>")
+
+
+def united(rows: DataFrame) -> DataFrame:
+    """rid, spans: the windows (at, n) of rows (rid, at, n) as spans of words that don't touch, in order."""
+    per = rows.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("xs"))
+
+    def scan(batches):
         import pyarrow as pa
 
         for batch in batches:
-            rows = batch.to_pydict()
-            n_hit, n_items, sha = [], [], []
-            for spans, items in zip(rows["spans"], rows["items"], strict=True):
-                covered, end = 0, 0
-                for a, b in sorted(zip(spans[::2], spans[1::2], strict=True)):
-                    covered += max(0, b - max(a, end))
-                    end = max(end, b)
-                names = sorted(set(items))
-                n_hit.append(covered)
-                n_items.append(len(names))
-                sha.append(hashlib.sha256(",".join(names).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(sha, pa.string())],
-                names=["rid", "n_words", "n_hit", "n_items", "items_sha256"],
-            )
-
-    return found.mapInArrow(digest, "rid long, n_words long, n_hit long, n_items long, items_sha256 string")
+            flat, sizes = batch.column(1).flatten(), batch.column(1).value_lengths().to_numpy()
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            s, e = flat.field("at").to_numpy(), flat.field("at").to_numpy() + flat.field("n").to_numpy()
+            shift = doc * (int(e.max(initial=0)) + 2)  # documents one behind the other, so that no span crosses
+            high = np.maximum.accumulate(e + shift)
+            head = np.r_[True, (s + shift)[1:] > high[:-1]] if len(s) else np.zeros(0, bool)
+            at = np.flatnonzero(head)
+            last = np.r_[at[1:] - 1, len(s) - 1] if len(at) else at
+            spans = pa.StructArray.from_arrays([pa.array(s[at]), pa.array(high[last] - shift[at])], names=["start", "end"])
+            ends = np.searchsorted(doc[at], np.arange(len(sizes) + 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), spans)], names=["rid", "spans"])
+
+    return per.mapInArrow(tidied(scan), "rid long, spans array<struct<start: long, end: long>>")
 
 
 def decontaminate(
@@ -224,31 +166,38 @@ def decontaminate(
     item_text: str = "text",
     window: int = WINDOW,
     k: int = K,
-    block_words: int = BLOCK_WORDS,
+    broadcast_windows: int = BROADCAST_WINDOWS,
 ) -> DataFrame:
-    """For each row of docs, which has a unique rid: rid, n_words, n_hit, n_items, items_sha256."""
-    spark = docs.sparkSession
+    """For each row of docs, which has a unique rid: rid, n_words, spans (start, end: the words that are hit), items (ids as
+    text, sorted)."""
     base = docs.select("rid", F.col(text).alias("text"))
-    wanted = narrow(items, item_id, item_text).select(F.col(item_id).cast("string"), F.col(item_text))
-    parts = []
-    for block in _blocks(wanted, block_words):
-        index = spark.sparkContext.broadcast(Index(block, window, k))
-        parts.append(hits(base, index, only_hits=bool(parts)))
-    if not parts:
-        parts.append(hits(base, spark.sparkContext.broadcast(Index([], window, k)), only_hits=False))
-    if len(parts) == 1:
-        return _digest(parts[0])
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    united = found.groupBy("rid").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
-    return _digest(united)
+    rows = scratch.put(windows_of(narrow(items, item_id, item_text).select(F.col(item_id).cast("string"), F.col(item_text)), window, k).distinct())
+    lengths = sorted(r[0] for r in rows.select("n").distinct().collect())  # at most `window` of them
+    prints = Marks(rows.select("print").distinct(), _top("print"))
+    keys = Marks(rows.select("key").distinct(), _top("key"))
+    found = scratch.put(found_windows(base, prints, keys, lengths, window, k))
+    on = ["n", "key", "check"]
+    small = rows.limit(broadcast_windows + 1).count() <= broadcast_windows
+    sent = F.broadcast if small else (lambda df: df.hint("merge"))
+    hits = found.filter(F.size("hits") > 0).select("rid", F.explode("hits").alias("x")).select("rid", "x.at", "x.n", "x.key", "x.check")
+    hits = scratch.put(hits.join(sent(rows.select(*on).distinct()), on))
+    names = hits.select("rid", *on).distinct().join(sent(rows.select(*on, "item")), on).groupBy("rid").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    each = found.select("rid", "n_words").join(united(hits), "rid", "left").join(names, "rid", "left")
+    none = lambda c, kind: F.coalesce(F.col(c), F.expr(f"cast(array() as {kind})")).alias(c)
+    return each.select("rid", "n_words", none("spans", "array<struct<start: bigint, end: bigint>>"), none("items", "array<string>"))
+
+
+def digest(found: DataFrame) -> list[Column]:
+    """n_hit, n_items and items_sha256 of decontaminate()'s rows."""
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return [n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256")]
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op7")
     docs = with_row_ids(narrow(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", scratch, "text")
     out = decontaminate(docs, table(spark, sf_dir, "benchmark"), scratch)
+    out = out.select("rid", "n_words", *digest(out))
     return out.join(docs.select("rid", "doc_id"), "rid").select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
 
 
