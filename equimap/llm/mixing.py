@@ -28,6 +28,8 @@ TARGET_ENTROPY = 0.9  # of the largest that the number of sources allows
 MOST_REPEATS = 4.0
 BLOCK_DOCS = 1000
 MOST_SOURCES = 1_000_000
+#: Bits of a block's hash that are put in order first.
+SLOT_BITS = 12
 SEED = 17
 
 
@@ -117,8 +119,13 @@ def mixture(
     full = hashed(full).select("rid", "source", "n_tokens", "weight", "pass", "block", "place")
     part = scratch.put(hashed(use.filter("rest > 0").withColumn("pass", F.col("whole") + 1)))
     sums = part.groupBy("source", "block").agg(F.sum("n_tokens").alias("t"), F.first("rest").alias("rest"))
-    order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 2), "block"), "block")
-    ranked = sums.withColumn("before", F.coalesce(F.sum("t").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # blocks in hashed order: by the hash's first bits, whose sums are carried on, so that no task sees all blocks of a source
+    sums = scratch.put(sums.withColumn("h", F.xxhash64(F.lit(seed + 2), "block")).withColumn("slot", F.shiftright("h", 64 - SLOT_BITS)))
+    ahead = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    slots = sums.groupBy("source", "slot").agg(F.sum("t").alias("ts"))
+    slots = slots.select("source", "slot", ahead(Window.partitionBy("source").orderBy("slot"), "ts").alias("carried"))
+    inner = Window.partitionBy("source", "slot").orderBy("h", "block")
+    ranked = sums.join(slots, ["source", "slot"]).withColumn("before", F.col("carried") + ahead(inner, "t"))
     open_ = scratch.put(ranked.filter("before < rest").select("source", "block", "before", (F.col("before") + F.col("t") <= F.col("rest")).alias("fits")))
     near = part.join(open_, ["source", "block"])
     inside = near.filter("fits")
