@@ -1,4 +1,9 @@
-"""The corpus pipeline: language ID, exact dedup, n-gram Jaccard join, benchmark decontamination, mixing."""
+"""The corpus pipeline: language ID, exact dedup, n-gram Jaccard join, benchmark decontamination, mixing.
+
+Cases, for every stage: columns are known by place, so names that clash or differ in case only do no harm (of columns with
+the same name the first is meant); null or repeated ids get row numbers inside; an empty table gives an empty one. The
+stages' docstrings say what becomes of null texts, ties and repeated rows.
+"""
 
 from __future__ import annotations
 
@@ -8,19 +13,21 @@ from pyspark.sql import functions as F
 from equimap.llm import block_naming, jaccard_join, language_id, mixing, winnowing
 from equimap.llm.common import Scratch, numbered, table
 
-#: A document whose best language scores less is rejected, as is one without any letter.
-LEAST_SCORE = 0.3
+#: A document is rejected if its best language scores less than this share of the way from chance to certainty.
+ABOVE_CHANCE = 0.1
 #: Near duplicates: five words, similarity of 0.8 or more.
 NEAR = jaccard_join.Rule(words=5, num=80, den=100)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language was recognised."""
+    """Documents whose language was recognised: those with a letter whose best language scores clearly above chance, which
+    is 1 / (languages learned). Null, empty and letterless texts go; each repeated row is judged for itself."""
     base, names = numbered(docs)
     net = language_id.fit(base, names["doc_id"], names["text"], names["lang"])
-    found = language_id.predict(base, net, names["text"], keep_text=True)
-    kept = found.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return kept.select(*base.columns).toDF(*docs.columns)
+    found = language_id.predicted(spark, net, F.col(names["text"]))
+    chance = 1 / len(net.languages) if net else 1.0
+    kept = base.filter((found["lang_pred"] != language_id.UNKNOWN) & (found["score"] >= chance + ABOVE_CHANCE * (1 - chance)))
+    return kept.toDF(*docs.columns)
 
 
 def _kept(docs: DataFrame, label: str, decide) -> DataFrame:
@@ -34,31 +41,39 @@ def _kept(docs: DataFrame, label: str, decide) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text: that of the largest doc_id."""
+    """One document of each text: that of the largest doc_id (of repeated rows any one). Null counts as an empty text."""
     return _kept(docs, "exact", lambda base, sc: block_naming.dedup_groups(base, sc).filter("kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the least doc_id."""
+    """One document of each group of near copies: that of the least row id, which is the doc_id where those are unique and
+    not null. Documents without words are linked with nothing and stay; so do their repeated rows."""
     return _kept(docs, "near", lambda base, sc: jaccard_join.jaccard_components(base, sc, NEAR).filter("rid = comp"))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a word inside a passage of the benchmark."""
-    return _kept(docs, "benchmark", lambda base, sc: winnowing.decontaminate(base, table(spark, sf_dir, "benchmark"), sc).filter("n_hit = 0"))
+    """Documents without a word inside a passage of the benchmark. Null and empty texts stay; repeated rows are judged each."""
+    return _kept(docs, "benchmark", lambda base, sc: winnowing.decontaminate(base, table(spark, sf_dir, "benchmark"), sc).filter(F.size("spans") == 0))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each use of a document: the columns of documents, and n_tokens, weight, pass, block, place.
+    """A row for each use of a document: the columns of documents, and n_tokens, weight, pass, block, place (with as many _
+    behind them as it takes to differ from all columns of documents).
 
-    The budget is the least that passes every source once, so every document is used."""
+    The budget is the least that passes every source once, so every document is used, those without text included. A null
+    source and an empty one are the same; repeated rows are used each."""
     base, names = numbered(docs)
     scratch = Scratch(docs.sparkSession, "mix")
     base = block_naming.with_row_ids(base, names["doc_id"], scratch, *[c for c in base.columns if c != names["doc_id"]])
     uses = mixing.mixture(base, scratch, names["source"], names["text"], budget_share=None)
     found = base.join(uses.drop("source"), "rid")
-    added = ["n_tokens", "weight", "pass", "block", "place"]
-    return found.select(*[f"c{i}" for i in range(len(docs.columns))], *added).toDF(*docs.columns, *added)
+    taken, out = {c.lower() for c in docs.columns}, []
+    for c in ("n_tokens", "weight", "pass", "block", "place"):
+        name = c
+        while name in taken:
+            name += "_"
+        out.append((c, name))
+    return found.select(*[f"c{i}" for i in range(len(docs.columns))], *[c for c, _ in out]).toDF(*docs.columns, *[n for _, n in out])
 
 
 STAGES = [

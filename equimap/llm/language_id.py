@@ -13,11 +13,14 @@ columns aren't read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import narrow, runs, table
+from .common import narrow, runs, table, tidied
 
 HIDDEN = 8
 SEGMENT = 96
@@ -188,42 +191,40 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str =
     return net
 
 
-def predict(docs: DataFrame, net: Network | None, text: str = "text", length: int = SEGMENT, keep_text: bool = False) -> DataFrame:
-    """docs, whose columns have other names, with lang_pred and score; without the text unless it is to be kept."""
-    keep = [c for c in docs.columns if c != text]
-    out = [*keep, text] if keep_text else keep
+def predicted(spark: SparkSession, net: Network | None, text: Column, length: int = SEGMENT) -> Column:
+    """struct(lang_pred, score) of a text column. Only the text goes to the Python workers, and only these two fields come
+    back: the other columns of the rows stay where they are."""
     if net is None:
-        return docs.select(*out, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in out) + ", lang_pred string, score double"
-    shared = docs.sparkSession.sparkContext.broadcast(net)
-    n_keep = len(keep)
-
-    def scan(batches):
-        import pyarrow as pa
-
-        net = shared.value
-        for batch in batches:
-            n = batch.num_rows
-            letters = batch.column(n_keep).to_numpy(zero_copy_only=False)
-            total = np.zeros((n, len(net.languages)))
-            for i, data, offsets in runs(batch.column(n_keep + 1), 1 << 19):
-                x, real, doc = segments(data, offsets, length)
-                for a in range(0, len(x), PART):  # a very long document is read in parts
-                    p = net.probabilities(np.ascontiguousarray(x[a : a + PART].T))
-                    p[np.arange(length)[:, None] >= real[a : a + PART]] = 0
-                    np.add.at(total, i + doc[a : a + PART], p.sum(axis=0, dtype=np.float64))
-            count = total.sum(axis=1)
-            best = total.argmax(axis=1)
-            ok = letters & (count > 0)
-            score = np.where(ok, total[np.arange(n), best] / np.maximum(count, 1e-9), 0.0).round(6)
-            pred = [net.languages[b] if o else UNKNOWN for b, o in zip(best.tolist(), ok.tolist(), strict=True)]
-            columns = [*batch.columns[:n_keep], *([batch.column(n_keep + 1)] if keep_text else [])]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(score)], names=[*out, "lang_pred", "score"])
-
-    letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    return docs.select(*keep, letters.alias("_letters"), F.col(text)).mapInArrow(scan, schema)
+        return F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    shared = spark.sparkContext.broadcast(net)
+
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    def judged(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        def scan(batches):
+            net = shared.value
+            for letters, texts in batches:
+                n = len(letters)
+                letters = letters.to_numpy(zero_copy_only=False)
+                total = np.zeros((n, len(net.languages)))
+                for i, data, offsets in runs(texts, 1 << 19):
+                    x, real, doc = segments(data, offsets, length)
+                    for a in range(0, len(x), PART):  # a very long document is read in parts
+                        p = net.probabilities(np.ascontiguousarray(x[a : a + PART].T))
+                        p[np.arange(length)[:, None] >= real[a : a + PART]] = 0
+                        np.add.at(total, i + doc[a : a + PART], p.sum(axis=0, dtype=np.float64))
+                count = total.sum(axis=1)
+                best = total.argmax(axis=1)
+                ok = letters & (count > 0)
+                score = np.where(ok, total[np.arange(n), best] / np.maximum(count, 1e-9), 0.0).round(6)
+                pred = [net.languages[b] if o else UNKNOWN for b, o in zip(best.tolist(), ok.tolist(), strict=True)]
+                yield pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score)], names=["lang_pred", "score"])
+
+        yield from tidied(scan)(batches)
+
+    return judged(F.coalesce(text.rlike(r"\p{L}"), F.lit(False)), text)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = narrow(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
-    return predict(docs.select("doc_id", held_out("doc_id").alias("held_out"), "text"), fit(docs))
+    found = predicted(spark, fit(docs), F.col("text"))
+    return docs.select("doc_id", held_out("doc_id").alias("held_out"), found["lang_pred"].alias("lang_pred"), found["score"].alias("score"))

@@ -209,20 +209,32 @@ def contaminated(t, items, n=10):
     return len(w), len(hit), len(got), hashlib.sha256(",".join(sorted(got)).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("block_words", [10**6, 30])
-def test_decontaminate(spark, block_words):
+@pytest.mark.parametrize("broadcast_windows", [10**6, 3])
+def test_decontaminate(spark, broadcast_windows):
     rng = np.random.default_rng(4)
     pick = lambda n: " ".join(WORDS[i] for i in rng.integers(0, 3, n))
     items = [(k, pick(int(rng.integers(0, 40)))) for k in range(12)] + [(50, "Short item"), (51, None), (52, "same " * 12), (9, "dup id of nine words is here now then so")]
     texts = [(i, f"{pick(15)} {items[i % 16][1] or ''} {pick(12)}") for i in range(40)] + [(90, None), (91, "same " * 30), (92, "SHORT, item!"), (93, ""), (94, (items[3][1] + " é ") * 200)]
     d = with_row_ids(docs(spark, texts), "doc_id", Scratch(spark, "t"), "text")
     b = spark.createDataFrame(items, "item_id long, text string")
-    got = winnowing.decontaminate(d, b, Scratch(spark, "t"), block_words=block_words).collect()
+    found = winnowing.decontaminate(d, b, Scratch(spark, "t"), broadcast_windows=broadcast_windows)
+    got = found.select("rid", "n_words", *winnowing.digest(found)).collect()
     assert {r.rid: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in got} == {i: contaminated(t, items) for i, t in texts}
-    assert winnowing.decontaminate(d, b.limit(0), Scratch(spark, "t")).filter("n_hit > 0").count() == 0
+    for r in found.collect():  # in order, apart from each other, inside the text
+        flat = [x for s in r.spans for x in (s.start, s.end)]
+        assert flat == sorted(set(flat)) and all(0 <= x <= r.n_words for x in flat) and r["items"] == sorted(r["items"])
+    assert winnowing.decontaminate(d, b.limit(0), Scratch(spark, "t")).filter("size(spans) > 0").count() == 0
     assert winnowing.decontaminate(d.limit(0), b, Scratch(spark, "t")).count() == 0
 
 
+def test_decontaminate_a_word_repeated_very_often(spark):
+    """An item and a document of one word: the cost is not the product of their lengths."""
+    d = with_row_ids(docs(spark, [(1, "same " * 200_000), (2, "other " * 50)]), "doc_id", Scratch(spark, "t"), "text")
+    b = spark.createDataFrame([(k, "same " * (300 + k)) for k in range(5)], "item_id long, text string")
+    found = winnowing.decontaminate(d, b, Scratch(spark, "t"))
+    assert {r.rid: (r.n_words, r.n_hit, r.n_items) for r in found.select("rid", "n_words", *winnowing.digest(found)).collect()} == {1: (200_000, 200_000, 5), 2: (50, 0, 0)}
+
+
 # --- 9
 
 
@@ -274,6 +286,15 @@ def test_gradients_match_differences():
         assert abs((up - down) / 2e-3 - got[name][at]) < 2e-3 * max(1, abs(got[name][at]))
 
 
+def test_no_language_is_left_out(spark):
+    rows = [(i, f"word{i} text", f"l{i % 201:03}") for i in range(201 * 40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        language_id.fit(d, per_language=1, epochs=1)
+    net = language_id.fit(d.filter("lang <> 'l200'"), per_language=1, epochs=1)
+    assert net.languages == [f"l{k:03}" for k in range(200)]
+
+
 def test_language_id(spark):
     rng = np.random.default_rng(6)
     voc = {"en": ["the", "with", "and", "house"], "de": ["und", "schön", "nicht", "Haus"], "fr": ["été", "les", "où", "maison"]}
@@ -284,12 +305,13 @@ def test_language_id(spark):
     more = [(900, None), (901, ""), (902, "123 !!"), (903, "the " * 20000)]
     d = docs(spark, texts + more, {**langs, 900: "en", 901: "en", 902: None})
     net = language_id.fit(d, epochs=4)
-    out = {r.doc_id: r for r in language_id.predict(d.select("doc_id", language_id.held_out("doc_id").alias("held_out"), "text"), net).collect()}
+    judged = lambda d, net: d.select("doc_id", language_id.held_out("doc_id").alias("held_out"), language_id.predicted(spark, net, F.col("text")).alias("p")).select("doc_id", "held_out", "p.*")
+    out = {r.doc_id: r for r in judged(d, net).collect()}
     held = [i for i in range(240) if out[i].held_out]
     assert held and np.mean([out[i].lang_pred == langs[i] for i in held]) > 0.95
     assert [out[i].lang_pred for i in (900, 901, 902, 903)] == ["und", "und", "und", "en"]
     assert all(0 <= r.score <= 1 for r in out.values())
-    none = language_id.predict(d.select("doc_id", "text"), language_id.fit(d.limit(0)))
+    none = judged(d, language_id.fit(d.limit(0)))
     assert none.filter("lang_pred <> 'und'").count() == 0
 
 

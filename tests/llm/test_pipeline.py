@@ -68,12 +68,46 @@ def test_run_is_the_stages(spark, tmp_path):
     assert a.count() > 0 and {"doc_id", "text", "pass", "weight"} <= set(a.columns)
 
 
+CLASHING = ["rid", "RID", "keep_id", "score", "lang_pred", "name", "n", "c0", "comp", "weight", "pass", "Block", "n_tokens", "spans", "items", "n_words", "kept", "id"]
+
+
 def test_clashing_names_and_empty_tables(spark, tmp_path):
     rows, _ = made(spark, tmp_path)
-    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumns({c: F.lit(1) for c in ("rid", "keep_id", "score", "lang_pred", "name", "n", "c0", "comp")})
-    for _, stage in corpus_pipeline.STAGES[:2]:
-        out = stage(spark, docs, str(tmp_path))
-        assert out.columns == docs.columns and out.count() > 0
-    none = docs.limit(0)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    wide = docs.select(*docs.columns, *[F.lit(1).alias(c) for c in CLASHING if c != "RID"])
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out, plain = stage(spark, wide, str(tmp_path)), stage(spark, docs, str(tmp_path))
+        out.write.parquet(f"{tmp_path}/wide{k}")
+        back = spark.read.parquet(f"{tmp_path}/wide{k}")
+        assert back.columns[: len(wide.columns)] == wide.columns and len({c.lower() for c in back.columns}) == len(back.columns)
+        assert sorted(r[0] for r in back.select("doc_id").collect()) == sorted(r[0] for r in plain.select("doc_id").collect()), name
+    none = wide.limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, str(tmp_path)).count() == 0, name
+
+
+def test_columns_that_differ_in_case_only(spark, tmp_path):
+    rows, _ = made(spark, tmp_path)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(30)
+    wide = docs.select(*docs.columns, F.lit("x").alias("TEXT"), F.lit(0).alias("Doc_Id"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, wide, str(tmp_path))
+        assert out.columns[:7] == wide.columns and out.count() > 0, name
+
+
+def test_null_and_repeated_rows_in_every_stage(spark, tmp_path):
+    """Ids that are null or repeated, null columns, and a very long text."""
+    _, items = made(spark, tmp_path)
+    long = "the house and the tree " * 40_000
+    rows = [(None, "the house with a tree", "en", None, None), (7, "the house with a tree", None, "s", 1), (7, "the house with a tree", None, "s", 1), (8, long, "en", "s", 2), (9, long + "walk", "en", "s", 3), (None, None, None, None, None), (10, "with " + items[0][1], "en", "", 4), (11, "und nicht das haus", "de", "t", 5), (11, "und nicht das haus", "de", "t", 5)]
+    docs = spark.createDataFrame(rows, DOCS)
+    counts = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path)).select(*docs.columns)
+        counts[name] = out.count()
+        assert counts[name] <= len(rows) or name == "mixing"
+        if name == "exact_dedup":
+            assert sorted((r.doc_id or -1, (r.text or "")[:5]) for r in out.collect()) == [(-1, ""), (7, "the h"), (8, "the h"), (9, "the h"), (10, "with "), (11, "und n")]
+        if name == "mixing":
+            assert {r.doc_id for r in out.select("doc_id").collect()} == {None, 7, 8, 9, 10, 11}
+    assert counts["ngram_jaccard_join"] == 5 and counts["benchmark_decontamination"] == 8
