@@ -4,6 +4,7 @@ except where a regular expression is the feature."""
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -198,3 +199,24 @@ def hash_uniform(i: Column, r: Column) -> Column:
     """A number in [0, 1) from two integers, the same in any engine with 64-bit integers."""
     mixed = F.pmod(i.cast("long") * 1103515245 + r.cast("long") * 12345 + 42, F.lit(1000003))
     return F.pmod(mixed * mixed + mixed * 7919 + r.cast("long") * 104729, F.lit(999983)) / F.lit(999983.0)
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _sum(v: Column, start: Column, n: Column) -> Column:
+    return F.aggregate(F.slice(v, start + 1, n), F.lit(0), lambda a, x: a + x)
+
+
+def running_sums(values: Column) -> Column:
+    """0 and the sums of the first 1, 2, ... of an array of ints: one more than it has.
+
+    Sums of blocks of 64 and of 64 blocks are carried on, so the work grows with the array's length, not with its square."""
+    low = lambda k: k.bitwiseAND(F.lit(63))
+    every = lambda v: F.sequence(F.lit(0), F.size(v))
+    blocks = lambda v: F.transform(F.sequence(F.lit(0), F.shiftright(F.size(v), 6)), lambda k: _sum(v, k * 64, F.lit(64)))
+    onto = lambda v, before: F.transform(every(v), lambda i: F.get(before, F.shiftright(i, 6)) + _sum(v, i - low(i), low(i)))
+    top = lambda v: F.transform(every(v), lambda i: _sum(v, F.lit(0), i))
+    return bound(values, lambda v: bound(blocks(v), lambda s1: bound(blocks(s1), lambda s2: bound(top(s2), lambda o2: bound(onto(s1, o2), lambda o1: onto(v, o1))))))

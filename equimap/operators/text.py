@@ -5,21 +5,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalar as S
+
 #: Confidence of an evidence level; fixed values.
 CONFIDENCE = {"E1": 1.0, "E2": 0.9, "E3": 0.7, "E4": 0.4, "E5": 0.2, "E0": 0.0}
+#: Most terms of a lexicon, which is sent to all tasks.
+MOST_TERMS = 100_000
+
+
+#: Code points of a piece of a text in which windows are cut out; a window is then no further from its piece's start.
+PIECE = 2048
+
+
+def terms_of(lexicon: DataFrame, most: int = MOST_TERMS) -> tuple[DataFrame, int]:
+    """One row with all terms as an array, which is sent to all tasks, and the longest term's length. More than `most`
+    terms are an error."""
+    n, longest = lexicon.agg(F.count(F.lit(1)), F.max(F.length("term"))).first()
+    if n > most:
+        raise ValueError(f"more than {most} terms")
+    return F.broadcast(lexicon.agg(F.collect_list(F.struct("subdim", "kind", "term")).alias("terms"))), longest or 0
 
 
 def positions(text: Column, word: Column) -> Column:
     """All places of a word, from 1, without overlaps."""
     pieces = F.split(text, F.concat(F.lit(r"\Q"), word, F.lit(r"\E")), -1)
-    ends = F.aggregate(pieces, F.struct(F.lit(1).alias("p"), F.expr("cast(array() as array<int>)").alias("out")), lambda a, x: F.struct((a["p"] + F.length(x) + F.length(word)).alias("p"), F.concat(a["out"], F.array(a["p"] + F.length(x))).alias("out")), lambda a: a["out"])
-    return F.slice(ends, F.lit(1), F.size(pieces) - 1)
+
+    def places(ps: Column) -> Column:
+        before = S.running_sums(F.transform(F.slice(ps, 1, F.size(ps) - 1), lambda x: F.length(x) + F.length(word)))
+        return S.bound(before, lambda at: F.transform(F.sequence(F.lit(1), F.size(ps) - 1), lambda i: F.get(at, i) - F.length(word) + 1))
+
+    return S.bound(pieces, lambda ps: F.when(F.size(ps) > 1, places(ps)).otherwise(F.expr("cast(array() as array<int>)")))
+
+
+def pieces_of(text: Column, reach: int) -> Column:
+    """The text in pieces of PIECE code points, each with `reach` more on both sides."""
+    start = lambda k: F.greatest(F.lit(1), k * PIECE + 1 - reach)
+    return F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.length(text) - 1, F.lit(0)) / PIECE).cast("int")), lambda k: F.substring(text, start(k), k * PIECE + PIECE + reach - start(k) + 1))
 
 
-def window_text(text: Column, at: Column, length: Column, width: Column) -> Column:
-    """The text from width before a place to width after the word there."""
+def window_text(pieces: Column, reach: int, at: Column, length: Column, width: int) -> Column:
+    """The text from width before a place to width after the word there, out of pieces_of(text, reach)."""
+    k = F.floor((at - 1) / PIECE).cast("int")
     start = F.greatest(F.lit(1), at - width)
-    return F.substring(text, start, at - start + length + width)
+    return F.substring(F.get(pieces, k), start - F.greatest(F.lit(1), k * PIECE + 1 - reach) + 1, at - start + length + width)
 
 
 def _any_word(segment: Column, words: list[str], but: Column | None = None) -> Column:
@@ -31,19 +59,26 @@ def _any_word(segment: Column, words: list[str], but: Column | None = None) -> C
 
 
 def evidence(corpus: DataFrame, lexicon: DataFrame, entity_words: list[str], negations: list[str], window: int = 60, own: int = 20) -> DataFrame:
-    """For each entity and sub-dimension of the lexicon: anchors (distinct hits), cooccur, self_hit.
-
-    corpus: entity, text. lexicon: subdim, kind (anchor, self), term. The lexicon is a bounded table of terms."""
-    low = corpus.select("entity", F.lower("text").alias("text"))
-    terms = F.broadcast(lexicon.filter(F.col("kind").isin("anchor", "self")))
-    hits = low.join(terms, F.contains(F.col("text"), F.col("term")))
-    at, size = positions(F.col("text"), F.col("term")), F.length("term")
-    # all windows of a text and term stay in one row, so a long text isn't repeated for each of its hits
-    wide = F.transform(at, lambda p: window_text(F.col("text"), p, size, F.lit(window)))
-    near = F.transform(at, lambda p: window_text(F.col("text"), p, size, F.lit(own)))
-    co = F.exists(wide, lambda x: _any_word(x, entity_words, F.col("term")) & ~_any_word(x, negations))
-    me = F.exists(near, lambda x: ~_any_word(x, negations))
-    hits = hits.select("entity", "subdim", "kind", "term", F.when(F.col("kind") == "anchor", co).otherwise(False).alias("co"), F.when(F.col("kind") == "self", me).otherwise(False).alias("me"))
+    """For each entity and sub-dimension of the lexicon: anchors (distinct hits), cooccur, self_hit, words (first six hits).
+
+    corpus: entity, text. lexicon: subdim, kind (anchor, self), term. The lexicon is a bounded table of terms. A text is read
+    once; all its hits are judged in its row, and only what was found goes on."""
+    terms, longest = terms_of(lexicon.filter(F.col("kind").isin("anchor", "self")))
+    reach = max(window, own) + longest
+    rows = corpus.select("entity", F.lower("text").alias("text")).crossJoin(terms)
+    text = F.col("text")
+
+    def judged(t: Column, pieces: Column) -> Column:
+        size, anchor = F.length(t["term"]), t["kind"] == "anchor"
+        near = lambda p, width, use: S.bound(window_text(pieces, reach, p, size, width), use)
+        co = lambda at: F.exists(at, lambda p: near(p, window, lambda x: _any_word(x, entity_words, t["term"]) & ~_any_word(x, negations)))
+        me = lambda at: F.exists(at, lambda p: near(p, own, lambda x: ~_any_word(x, negations)))
+        got = S.bound(positions(text, t["term"]), lambda at: F.struct((anchor & co(at)).alias("co"), (~anchor & me(at)).alias("me")))
+        return F.struct(t["subdim"].alias("subdim"), t["kind"].alias("kind"), t["term"].alias("term"), got.alias("got"))
+
+    there = F.filter("terms", lambda t: F.contains(text, t["term"]))
+    hits = S.bound(there, lambda ts: F.when(F.size(ts) > 0, S.bound(pieces_of(text, reach), lambda ps: F.transform(ts, lambda t: judged(t, ps)))))
+    hits = rows.select("entity", F.explode(hits).alias("h")).select("entity", "h.subdim", "h.kind", "h.term", "h.got.co", "h.got.me")
     return hits.groupBy("entity", "subdim").agg(
         F.count_distinct(F.when(F.col("kind") == "anchor", F.col("term"))).alias("anchors"),
         F.max("co").alias("cooccur"),
@@ -54,17 +89,19 @@ def evidence(corpus: DataFrame, lexicon: DataFrame, entity_words: list[str], neg
 
 def official(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Entity and sub-dimension pairs with an honour term in an official text."""
-    terms = F.broadcast(lexicon.filter("kind = 'honor'").select("subdim", "term"))
-    return docs.select("entity", F.lower("text").alias("text")).join(terms, F.contains(F.col("text"), F.col("term"))).select("entity", "subdim").distinct().withColumn("honour", F.lit(True))
+    terms, _ = terms_of(lexicon.filter("kind = 'honor'"))
+    found = F.array_distinct(F.transform(F.filter("terms", lambda t: F.contains(F.col("text"), t["term"])), lambda t: t["subdim"]))
+    rows = docs.select("entity", F.lower("text").alias("text")).crossJoin(terms)
+    return rows.select("entity", F.explode(found).alias("subdim")).distinct().withColumn("honour", F.lit(True))
 
 
 def levels(found: DataFrame, honours: DataFrame) -> DataFrame:
-    """entity, subdim, level, confidence, honour."""
+    """entity, subdim, level, confidence, honour. A self-evident hit counts as a co-occurrence."""
     j = found.join(honours, ["entity", "subdim"], "full")
     no = F.lit(False)
     honour, co = F.coalesce("honour", no), F.coalesce("cooccur", no) | F.coalesce("self_hit", no)
     n = F.coalesce("anchors", F.lit(0))
-    level = F.when(honour & F.coalesce("cooccur", no), "E1").when(honour, "E2").when(co, "E3").when(n >= 2, "E4").when(n == 1, "E5").otherwise("E0")
+    level = F.when(honour & co, "E1").when(honour, "E2").when(co, "E3").when(n >= 2, "E4").when(n == 1, "E5").otherwise("E0")
     conf = F.lit(0.0)
     for k, v in CONFIDENCE.items():
         conf = F.when(level == k, v).otherwise(conf)

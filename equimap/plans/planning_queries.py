@@ -75,8 +75,9 @@ def isolation_outliers(spark, d):
     return P.isolation_scores(points(spark, d).select("vec_id", "x", "y", "v"), ["x", "y", "v"])
 
 
-@Q("""WITH RECURSIVE g AS (SELECT r, c, (r * 7 + c * 11) % 5 < 2 AS z FROM (SELECT unnest(range(0, 12)) AS r), (SELECT unnest(range(0, 12)) AS c)),
-f AS (SELECT r, c FROM g WHERE z AND (r = 0 OR c = 0 OR r = 11 OR c = 11) UNION SELECT g.r, g.c FROM f JOIN g ON g.z AND abs(f.r - g.r) + abs(f.c - g.c) = 1) SELECT r AS row, c AS col FROM f""")
+@Q("""WITH RECURSIVE n AS (SELECT CAST(ceil(sqrt(count(*))) AS BIGINT) AS n, max(p_partkey) AS last FROM part),
+g AS (SELECT p_partkey // n AS r, p_partkey % n AS c, p_size % 5 < 2 AS z, p_partkey // n IN (0, last // n) OR p_partkey % n IN (0, n - 1) AS edge FROM part, n),
+f AS (SELECT r, c FROM g WHERE z AND edge UNION SELECT g.r, g.c FROM f JOIN g ON g.z AND abs(f.r - g.r) + abs(f.c - g.c) = 1) SELECT r AS row, c AS col FROM f""")
 def edge_flood(spark, d):
     """Zero pixels that are connected to the edge of a raster of all parts, as wide as high."""
     n, last = read(spark, d, "part").agg(F.ceil(F.sqrt(F.count(F.lit(1)))), F.max("p_partkey")).first()  # one row
@@ -111,7 +112,10 @@ def input_cleaning(spark, d):
     return c.join(F.broadcast(gone), "c_custkey", "left_anti").select("c_custkey", "c_mktsegment")
 
 
-@Q(f"WITH {POINTS}, l AS (SELECT -3000 + (i + 0.5) * 500 AS cx, -3000 + (j + 0.5) * 500 AS cy, i, j FROM (SELECT unnest(range(0, 12)) AS i), (SELECT unnest(range(0, 12)) AS j)), k AS (SELECT i, j, v, (cx - x) ** 2 + (cy - y) ** 2 AS d2, row_number() OVER (PARTITION BY i, j ORDER BY (cx - x) ** 2 + (cy - y) ** 2, vec_id) AS n FROM l, p) SELECT CAST(i * 12 + j AS BIGINT) AS cell, round(sum(v / d2) / sum(1 / d2), 4) + 0.0 AS pressure FROM k WHERE n <= 15 GROUP BY 1")
+@Q(f"""WITH {POINTS}, x AS (SELECT CAST(floor(min(x) / 500) AS BIGINT) AS i0, CAST(floor(min(y) / 500) AS BIGINT) AS j0, CAST(floor(max(x) / 500) AS BIGINT) AS i1, CAST(floor(max(y) / 500) AS BIGINT) AS j1 FROM p),
+l AS (SELECT i, j, (i + 0.5) * 500 AS cx, (j + 0.5) * 500 AS cy, (i - i0) * (j1 - j0 + 1) + j - j0 AS cell FROM x, LATERAL (SELECT unnest(range(i0, i1 + 1)) AS i), LATERAL (SELECT unnest(range(j0, j1 + 1)) AS j)),
+k AS (SELECT cell, v, (cx - x) ** 2 + (cy - y) ** 2 AS d2, row_number() OVER (PARTITION BY cell ORDER BY (cx - x) ** 2 + (cy - y) ** 2, vec_id) AS n FROM l, p)
+SELECT CAST(cell AS BIGINT) AS cell, round(sum(v / d2) / sum(1 / d2), 4) + 0.0 AS pressure FROM k WHERE n <= 15 GROUP BY 1""")
 def demand_grid(spark, d):
     at = lambda f, c: G.cell(f(c), SIZE)
     i0, j0, i1, j1 = points(spark, d).agg(at(F.min, "x"), at(F.min, "y"), at(F.max, "x"), at(F.max, "y")).first()  # one row

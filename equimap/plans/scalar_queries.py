@@ -155,16 +155,13 @@ def null_rates(spark, d):
     return IO.null_rates(read(spark, d, "orders").select("o_orderkey", "o_totalprice")).select("name", F.round("rate", 6).alias("rate"))
 
 
-@Q("SELECT event_id, round(coalesce(greatest(p.p_retailprice, 0), 0), 6) + 0.0 AS value FROM events e LEFT JOIN part p ON p.p_partkey = 1 + CAST(floor(e.value / 10) AS BIGINT) + 20 * CAST(floor((100 - e.user_id % 100) / 10) AS BIGINT)")
+@Q("SELECT event_id, CASE WHEN e.value >= 0 AND e.value < 200 THEN round(coalesce(greatest(p.p_retailprice, 0), 0), 6) + 0.0 ELSE 0.0 END AS value FROM events e LEFT JOIN part p ON p.p_partkey = 1 + CAST(floor(e.value / 10) AS BIGINT) + 20 * CAST(floor((100 - e.user_id % 100) / 10) AS BIGINT)")
 def raster_sample(spark, d):
     p = read(spark, d, "events").select("event_id", F.col("value").alias("x"), F.pmod("user_id", F.lit(100)).cast("double").alias("y"))
     px = read(spark, d, "part").select(F.floor((F.col("p_partkey") - 1) / 20).alias("row"), F.pmod(F.col("p_partkey") - 1, F.lit(20)).alias("col"), F.col("p_retailprice").alias("value"))
     return IO.sample_raster(p, px, 0.0, 100.0, 10.0).select("event_id", S.r6(F.col("value")).alias("value"))
 
 
-Q.sql["raster_sample"] += " WHERE e.value < 200 AND e.value >= 0"
-
-
 @Q("SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host, CAST(regexp_extract(url, '/([0-9]+)', 1) AS BIGINT) AS no, CAST(length(html) AS INTEGER) AS n FROM pages WHERE regexp_matches(url, '/(en|de)/')")
 def pattern_filter(spark, d):
     p = read(spark, d, "pages").filter(F.col("url").rlike("/(en|de)/"))

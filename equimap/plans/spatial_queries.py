@@ -10,7 +10,7 @@ from ..operators import spatial as G
 from ..operators import stats as A
 from ..operators.lineage import cut
 from .registry import Registry
-from .tables import CELLS, HALF, POINTS, SIZE, TRAVEL, ZONES, cells, nations, points, read, roads, travel, zones
+from .tables import CELLS, HALF, POINTS, ROADS, SIZE, TRAVEL, ZONES, cells, nations, points, read, roads, travel, zones
 
 Q = Registry()
 KDE_H = 260.0
@@ -139,16 +139,13 @@ def raster_cells(spark, d):
     return p.groupBy(F.floor(F.col("x") / 100).alias("col"), F.floor((50 - F.col("y")) / 5).alias("row")).agg(F.max("p_partkey").alias("value"))
 
 
-@Q("""WITH RECURSIVE n AS (SELECT unnest(range(0, 64)) AS id), e0 AS (SELECT id AS a, id + 1 AS b FROM n WHERE id % 8 < 7 UNION ALL SELECT id, id + 8 FROM n WHERE id < 56),
-e1 AS (SELECT a, b, 1.0::DOUBLE + (a * 7 + b * 3) % 5 AS w, a % 4 = 0 AS ow, a % 8 = 0 AS rv FROM e0), e AS (SELECT a, b, w FROM e1 WHERE NOT (ow AND rv) UNION ALL SELECT b, a, w FROM e1 WHERE NOT ow OR rv),
-r AS (SELECT o AS origin, o AS node, 0.0::DOUBLE AS d FROM (VALUES (0), (27)) t(o) UNION SELECT r.origin, e.b, r.d + e.w FROM r JOIN e ON r.node = e.a WHERE r.d + e.w <= 12)
-SELECT CAST(origin AS BIGINT) AS origin, CAST(node AS BIGINT) AS node, min(d) AS d FROM r GROUP BY 1, 2""")
+@Q(f"WITH {ROADS} SELECT a AS origin, b AS node, round(d, 6) AS d FROM d5 WHERE d <= 12")
 def sssp_cutoff(spark, d):
     """Shortest paths up to a cutoff between all nations."""
-    return N.shortest(cut(N.directed(roads(spark, d))), nations(spark, d), 12.0)
+    return N.shortest(cut(N.directed(roads(spark, d))), nations(spark, d), 12.0).withColumn("d", F.round("d", 6))
 
 
-@Q(Q.sql["sssp_cutoff"].replace("SELECT CAST(origin AS BIGINT) AS origin, CAST(node AS BIGINT) AS node, min(d) AS d FROM r GROUP BY 1, 2", ", s AS (SELECT origin, node, min(d) AS d FROM r GROUP BY 1, 2) SELECT CAST(origin AS BIGINT) AS origin, CAST(a AS BIGINT) AS src, CAST(b AS BIGINT) AS dst, round(least(1.0, (12 - d) / w), 6) AS share FROM s JOIN (SELECT a, b, min(w) AS w FROM e GROUP BY a, b) ON node = a WHERE d < 12").replace("<= 12)\n,", "<= 12),"))
+@Q(f"WITH {ROADS} SELECT d5.a AS origin, e.a AS src, e.b AS dst, round(least(1.0, (12 - d) / w), 6) AS share FROM d5 JOIN e ON d5.b = e.a WHERE d < 12")
 def reach_truncate(spark, d):
     e = cut(N.directed(roads(spark, d)))
     return N.reachable(e, N.shortest(e, nations(spark, d), 12.0), 12.0).select("origin", "src", "dst", F.round("share", 6).alias("share"))

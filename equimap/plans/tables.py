@@ -60,3 +60,8 @@ POINTS = "p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) * 10000 AS x, CAST(e
 CELLS = "c AS (SELECT DISTINCT CAST(floor(x / 500) AS BIGINT) AS ci, CAST(floor(y / 500) AS BIGINT) AS cj, (floor(x / 500) + 0.5) * 500 AS cx, (floor(y / 500) + 0.5) * 500 AS cy FROM p)"
 ZONES = "z AS (SELECT label, round(avg(x), 3) - 1500 AS bx0, round(avg(y), 3) - 1500 AS by0, round(avg(x), 3) + 1500 AS bx1, round(avg(y), 3) + 1500 AS by1 FROM p GROUP BY label)"
 TRAVEL = "od AS (SELECT CAST(c_nationkey AS BIGINT) AS i, l_suppkey AS j, abs(avg(CAST(date_diff('day', o_orderdate, l_shipdate) AS DOUBLE))) / 20 AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"
+#: The directed roads between nations, and shortest distances by squaring their min-plus matrix: 32 steps are more than the
+#: 24 that a path between 25 nations has.
+ROADS = """e0 AS (SELECT CAST(c_nationkey AS BIGINT) AS a, CAST(s_nationkey AS BIGINT) AS b, abs(avg(CAST(date_diff('day', o_orderdate, l_shipdate) AS DOUBLE))) / 20 AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
+e1 AS (SELECT a, b, w FROM e0 WHERE a % 8 <> 0 UNION ALL SELECT b, a, w FROM e0 WHERE a % 4 <> 0 OR a % 8 = 0), e AS (SELECT a, b, min(w) AS w FROM e1 GROUP BY a, b),
+d0 AS (SELECT a, b, min(d) AS d FROM (SELECT a, b, w AS d FROM e UNION ALL SELECT CAST(n_nationkey AS BIGINT), CAST(n_nationkey AS BIGINT), 0.0::DOUBLE FROM nation) GROUP BY a, b), """ + ", ".join(f"d{k + 1} AS (SELECT x.a, y.b, min(x.d + y.d) AS d FROM d{k} x JOIN d{k} y ON x.b = y.a GROUP BY x.a, y.b)" for k in range(5))

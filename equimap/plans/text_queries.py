@@ -34,7 +34,7 @@ def _rows(items):
     return ", ".join("(" + ", ".join(repr(v) for v in r) + ")" for r in items)
 
 
-_BASE = f"""lex(subdim, kind, term) AS (VALUES {_rows(LEXICON)}), corp AS (SELECT doc_id AS entity, lower(substr(text, 1, 400)) AS text FROM documents),
+_BASE = f"""lex(subdim, kind, term) AS (VALUES {_rows(LEXICON)}), corp AS (SELECT doc_id AS entity, lower(text) AS text FROM documents),
 hit0 AS (SELECT entity, subdim, kind, term, text, string_split(text, term) AS ps FROM corp JOIN lex ON contains(text, term) AND kind <> 'honor'),
 hit AS (SELECT entity, subdim, kind, term, text, i, CAST(1 + list_sum(list_transform(ps[1:i], lambda x: length(x))) + (i - 1) * length(term) AS BIGINT) AS place FROM hit0, LATERAL (SELECT unnest(range(1, len(ps))) AS i)),
 seg AS (SELECT *, substr(text, greatest(1, place - 60), place - greatest(1, place - 60) + length(term) + 60) AS wide, substr(text, greatest(1, place - 20), place - greatest(1, place - 20) + length(term) + 20) AS near FROM hit),
@@ -43,7 +43,7 @@ ev AS (SELECT entity, subdim, count(DISTINCT term) FILTER (kind = 'anchor') AS a
   coalesce(bool_or(kind = 'self' AND NOT ({' OR '.join(f"contains(near, '{w}')" for w in NOT)})), false) AS me FROM seg GROUP BY entity, subdim),
 hon AS (SELECT DISTINCT entity, subdim, true AS honour FROM corp JOIN lex ON contains(text, term) AND kind = 'honor'),
 lev0 AS (SELECT coalesce(ev.entity, hon.entity) AS entity, coalesce(ev.subdim, hon.subdim) AS subdim, coalesce(honour, false) AS honour, coalesce(co, false) AS co, coalesce(me, false) AS me, coalesce(anchors, 0) AS n FROM ev FULL JOIN hon ON ev.entity = hon.entity AND ev.subdim = hon.subdim),
-lev1 AS (SELECT *, CASE WHEN honour AND co THEN 'E1' WHEN honour THEN 'E2' WHEN co OR me THEN 'E3' WHEN n >= 2 THEN 'E4' WHEN n = 1 THEN 'E5' ELSE 'E0' END AS level FROM lev0),
+lev1 AS (SELECT *, CASE WHEN honour AND (co OR me) THEN 'E1' WHEN honour THEN 'E2' WHEN co OR me THEN 'E3' WHEN n >= 2 THEN 'E4' WHEN n = 1 THEN 'E5' ELSE 'E0' END AS level FROM lev0),
 lev AS (SELECT entity, subdim, level, CASE level WHEN 'E1' THEN 1.0 WHEN 'E2' THEN 0.9 WHEN 'E3' THEN 0.7 WHEN 'E4' THEN 0.4 WHEN 'E5' THEN 0.2 ELSE 0.0 END::DOUBLE AS confidence, honour FROM lev1),
 roll AS (SELECT * FROM (SELECT entity, left(subdim, 2) AS domain, subdim, confidence, honour, row_number() OVER (PARTITION BY entity, left(subdim, 2) ORDER BY confidence DESC, honour DESC, subdim) AS k FROM lev WHERE confidence >= 0.7) WHERE k = 1),
 pref(class, dim, w) AS (VALUES {_rows(PREFERENCES)}), mean AS (SELECT dim, avg(w::DOUBLE) AS mean FROM pref GROUP BY dim), area AS (SELECT doc_id AS entity, lang AS class, CAST(n_chars AS DOUBLE) AS area FROM documents),
@@ -101,7 +101,7 @@ def health_check(spark, d):
     return X.health(corpus, names, 99, ["lorem", "todo"])
 
 
-@Q("SELECT conv_id, CAST(count(*) AS BIGINT) AS n, string_agg(substr(text, 1, 20), ' / ' ORDER BY turn) AS body FROM conversations WHERE trim(text) <> '' GROUP BY conv_id")
+@Q("SELECT conv_id, CAST(count(*) AS BIGINT) AS n, string_agg(text, ' / ' ORDER BY turn, text) AS body FROM conversations WHERE trim(text) <> '' GROUP BY conv_id")
 def corpus_build(spark, d):
     c = read(spark, d, "conversations").filter(F.trim("text") != "")
     per = c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("t")))).alias("x"))

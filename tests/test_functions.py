@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import math
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,6 +112,35 @@ def test_evidence(spark):
     assert got == {1: "E1", 2: "E5"}
 
 
+def test_a_self_hit_with_an_honour_is_the_first_level(spark):
+    c = spark.createDataFrame([(1, "a robot lab"), (2, "a robot lab planned"), (3, "robot prize"), (4, None), (5, "")], "entity long, text string")
+    lex = spark.createDataFrame([("T1a", "self", "robot"), ("T1a", "honor", "prize"), ("T1a", "honor", "lab")], "subdim string, kind string, term string")
+    got = {r.entity: r.level for r in text.levels(text.evidence(c, lex, ["club"], ["planned"]), text.official(c, lex)).collect()}
+    assert got == {1: "E1", 2: "E2", 3: "E1"}
+
+
+def test_windows_anywhere_in_long_texts(spark):
+    """Against plain search, with dense hits, windows over the pieces' ends, and letters of several bytes."""
+    rng = np.random.default_rng(3)
+    words = ["aé", "bb", "robot", "no", "club", "ärobotb"]
+    rows = [(i, " ".join(words[k] for k in rng.choice(6, 1200, p=[0.45, 0.45, 0.04, 0.02, 0.02, 0.02]))) for i in range(4)] + [(9, "robot" * 3000 + "club"), (10, "x" * 2047 + "robot" + "y" * 50 + "club")]
+    lex = spark.createDataFrame([("T1a", "anchor", "robot"), ("T2a", "self", "bot")], "subdim string, kind string, term string")
+    found = text.evidence(spark.createDataFrame(rows, "entity long, text string"), lex, ["club"], ["no"])
+    got = {(r.entity, r.subdim): (r.cooccur, r.self_hit) for r in found.collect()}
+    for i, t in rows:
+        seg = lambda term, w: [t[max(0, m.start() - w) : m.end() + w] for m in re.finditer(term, t)]  # noqa: B023, E731
+        assert got[i, "T1a"] == (any("club" in s and "no" not in s for s in seg("robot", 60)), False)
+        assert got[i, "T2a"] == (False, any("no" not in s for s in seg("bot", 20)))
+        at = spark.createDataFrame([(t,)], "t string").select(text.positions(F.col("t"), F.lit("bot"))).first()[0]
+        assert at == [m.start() + 1 for m in re.finditer("bot", t)]
+
+
+def test_running_sums(spark):
+    for n in (0, 1, 63, 64, 65, 128, 4096, 4097, 10_000):
+        got = spark.range(1).select(S.running_sums(F.transform(F.filter(F.sequence(F.lit(0), F.lit(n)), lambda i: i < n), lambda i: i % 7))).first()[0]
+        assert got == np.r_[0, np.cumsum(np.arange(n) % 7)].tolist()
+
+
 def test_jenks_and_allocation(spark):
     assert models.jenks([1, 1.1, 5, 5.2, 9, 9.1, 20, 21, 40], 5) == [1.1, 5.2, 9.1, 21.0]
     dem = spark.createDataFrame([(1, 100.0), (2, 30.0)], "i long, d double")

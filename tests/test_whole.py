@@ -8,23 +8,12 @@ import math
 import numpy as np
 import pytest
 
-from equimap.llm import language_id
 from equimap.operators import models, network
 from equimap.plans import catalog
 
 from .test_queries import DATA, duck, plain  # noqa: F401
 
 
-@pytest.mark.parametrize("name", ["evidence_level", "rollup_domain", "entity_type", "match_score", "mismatch_q1"])
-def test_evidence_reads_whole_texts(spark, duck, name):  # noqa: F811
-    """As the registered SQL, but over the whole text."""
-    sql = catalog.ORACLE_SQL[name].replace("lower(substr(text, 1, 400))", "lower(text)")
-    want = duck.execute(sql)
-    names = [d[0] for d in want.description]
-    got = catalog.QUERIES[name](spark, DATA)
-    assert plain(got.collect(), got.columns) == plain(want.fetchall(), names)
-
-
 def test_corpus_joins_whole_texts(spark, duck):  # noqa: F811
     want = duck.execute("SELECT conv_id, string_agg(text, ' / ' ORDER BY turn, text) FROM conversations WHERE trim(text) <> '' GROUP BY conv_id").fetchall()
     got = catalog.QUERIES["corpus_build"](spark, DATA)
@@ -147,12 +136,3 @@ def test_breaks_of_many_values_use_all_of_them(spark):
 def test_breaks_query_reads_many_values(spark, duck):  # noqa: F811
     v = [x for (x,) in duck.execute("SELECT o_totalprice FROM orders").fetchall()]
     assert [r.upper for r in catalog.QUERIES["jenks_breaks"](spark, DATA).orderBy("class").collect()] == models.jenks(v)
-
-
-def test_no_language_is_left_out(spark):
-    rows = [(i, f"word{i} text", f"l{i % 201:03}") for i in range(201 * 40)]
-    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    with pytest.raises(ValueError):
-        language_id.fit(d, per_language=1, epochs=1)
-    net = language_id.fit(d.filter("lang <> 'l200'"), per_language=1, epochs=1)
-    assert net.languages == [f"l{k:03}" for k in range(200)]
