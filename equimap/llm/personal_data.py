@@ -4,11 +4,13 @@ Base patterns give spans that always stay; wider patterns, and base matches that
 labelers vote on each of them (1 yes, -1 no, 0 abstains): the kind's strict form, a gazetteer (domain endings, reserved
 addresses, issuer digits, country codes), words before the span, and the characters around it. Counts of vote patterns
 are a table of bounded size, from which expectation-maximisation estimates each labeler's reliability for each kind;
-its posteriors train the final span classifier (naive Bayes on the span's form, with the kind's prior). Candidates that
-it finds likely are added.
+its posteriors train the final span classifier (naive Bayes on the span's form and its test's outcome, with the kind's
+prior). Candidates that it finds likely are added, whatever pattern they come from. Of a card pattern's failed matches
+those of a card's length, 16 to 19 digits, are candidates.
 
 The patterns are written with possessive quantifiers and a look at the character before, so that each text is read in
-linear time; the matches are those of the plain patterns.
+linear time; the matches are those of the plain patterns. Places come from running sums by blocks, and whether a wide
+match touches a base span from a search among the sorted spans, so that work stays in proportion to the matches.
 
 Cases: a null or empty text has no spans. Null ids and repeated rows each give their row. A text of any length is read
 whole. An empty table gives an empty result. Other columns aren't read.
@@ -21,7 +23,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import narrow, Scratch, table
+from ..functions.scalar import bound, running_sums
+from .common import Scratch, narrow, table
 
 KINDS = ["email", "ip", "card", "phone"]
 #: Plain forms of these are in the README.
@@ -46,24 +49,44 @@ AGAINST = "version|isbn|order|serial|invoice|sha|token|hash|part"
 CONTEXT = 24
 THRESHOLD = 0.9
 ROUNDS = 30
-FEATURES = ["f_len", "f_digits", "f_left", "f_right"]
+FEATURES = ["f_len", "f_digits", "f_left", "f_right", "f_test"]
 VOTES = ["v_form", "v_list", "v_words", "v_edge"]
 _FOUND = "array<struct<s:int,e:int,m:string,l:string,r:string>>"
 
 
-def _located(matches: Column, pieces: Column) -> Column:
-    """Start, end (code points), text and surroundings of all matches, from the pieces between them."""
+def _located(text: Column, pattern: str) -> Column:
+    """Start, end (code points), text and surroundings of all matches of a pattern."""
+
+    def placed(x: Column) -> Column:
+        matches, pieces = x["m"], x["p"]
+        every = F.sequence(F.lit(0), F.size(matches) - 1)
+        sizes = F.transform(every, lambda i: F.length(F.get(pieces, i)) + F.length(F.get(matches, i)))
+
+        def one(i: Column, before: Column) -> Column:
+            m, left = F.get(matches, i), F.get(pieces, i)
+            e = F.get(before, i + 1)
+            return F.struct((e - F.length(m)).alias("s"), e.alias("e"), m.alias("m"), F.right(left, F.lit(CONTEXT)).alias("l"), F.left(F.get(pieces, i + 1), F.lit(1)).alias("r"))
+
+        return bound(running_sums(sizes), lambda before: F.transform(every, lambda i: one(i, before)))
+
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     empty = F.expr(f"cast(array() as {_FOUND})")
-    start = F.struct(F.lit(0).alias("pos"), empty.alias("out"))
+    whole = lambda m: bound(F.struct(m.alias("m"), F.split(text, pattern, -1).alias("p")), placed)
+    return bound(found, lambda m: F.when(F.size(m) > 0, whole(m)).otherwise(empty))
 
-    def step(acc: Column, i: Column) -> Column:
-        before, m, after = F.get(pieces, i), F.get(matches, i), F.get(pieces, i + 1)
-        s = acc["pos"] + F.length(before)
-        e = s + F.length(m)
-        new = F.struct(s.alias("s"), e.alias("e"), m.alias("m"), F.right(before, F.lit(CONTEXT)).alias("l"), F.left(after, F.lit(1)).alias("r"))
-        return F.struct(e.alias("pos"), F.concat(acc["out"], F.array(new)).alias("out"))
 
-    return F.when(F.size(matches) > 0, F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), start, step, lambda a: a["out"])).otherwise(empty)
+def _touches(c: Column, spans: Column) -> Column:
+    """Whether one of the spans (sorted, apart from each other) overlaps c: of those that begin before its end, the last."""
+
+    def step(acc: Column, _: Column) -> Column:
+        mid = F.shiftright(acc["lo"] + acc["hi"], 1)
+        low = (acc["lo"] < acc["hi"]) & (F.get(spans, mid)["s"] < c["e"])
+        return F.struct(F.when(low, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(low, acc["hi"]).otherwise(F.when(acc["lo"] < acc["hi"], mid).otherwise(acc["hi"])).alias("hi"))
+
+    n = F.size(spans)
+    start = F.struct(F.lit(0).alias("lo"), n.alias("hi"))
+    n_before = F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(n + 1)).cast("int")), start, step, lambda a: a["lo"])
+    return (n > 0) & bound(n_before, lambda k: (k > 0) & (F.get(spans, F.greatest(k - 1, F.lit(0)))["e"] > c["s"]))
 
 
 def _digits(m: Column) -> Column:
@@ -125,40 +148,31 @@ def _candidates(kind: str, found: Column, base: bool) -> Column:
             F.least(F.floor(digits / 3), F.lit(7)).cast("int").alias("f_digits"),
             F.when(left == "", 0).when(left.rlike(r"\s$"), 1).when(left.rlike(r"[0-9A-Za-z]$"), 2).otherwise(3).alias("f_left"),
             F.when(right == "", 0).when(right.rlike(r"^\s"), 1).when(right.rlike(r"^[0-9A-Za-z]"), 2).otherwise(3).alias("f_right"),
+            (F.when(valid, 2).otherwise(1) if base else F.lit(0)).alias("f_test"),
         )
 
-    got = F.transform(found, one)
     if kind == "card" and base:  # most digit runs are far from a card; only those of its length are candidates
-        got = F.filter(got, lambda c: c["base"] | (c["f_digits"] == 5))
-    return got
+        found = F.filter(found, lambda x: (F.length(x["m"]) >= 16) & F.length(_digits(x["m"])).between(16, 19))
+    return F.transform(found, one)
 
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with `cands`: all candidates by kind and start. Wide matches that touch a valid base span are left out."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.withColumn("_t", t)
+    rows = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
+    none = F.expr(f"cast(array() as {_FOUND})")
     for kind in KINDS:
         any_ = F.col("_t").rlike(NEEDS[kind])
-        for name, pattern in (("b", BASE[kind]), ("w", WIDE[kind])):
-            rows = rows.withColumn(f"_{name}_{kind}", F.when(any_, F.regexp_extract_all("_t", F.lit(pattern), F.lit(0))).otherwise(F.expr("cast(array() as array<string>)")))
-    parts = []
+        rows = rows.withColumns({f"_{name}_{kind}": F.when(any_, _located(F.col("_t"), pattern)).otherwise(none) for name, pattern in (("b", BASE[kind]), ("w", WIDE[kind]))})
     for kind in KINDS:
-        for name, pattern in (("b", BASE[kind]), ("w", WIDE[kind])):
-            m = F.col(f"_{name}_{kind}")
-            rows = rows.withColumn(f"_p{name}_{kind}", F.when(F.size(m) > 0, F.split("_t", pattern, -1)))
-    keep = docs.columns
-    for kind in KINDS:
-        for name in "bw":
-            rows = rows.withColumn(f"_f{name}_{kind}", _located(F.col(f"_{name}_{kind}"), F.col(f"_p{name}_{kind}")))
-    for kind in KINDS:
-        base = _candidates(kind, F.col(f"_fb_{kind}"), True)
-        wide = _candidates(kind, F.col(f"_fw_{kind}"), False)
-        rows = rows.withColumn(f"_cb_{kind}", base).withColumn(f"_cw_{kind}", wide)
-        parts.append((F.col(f"_cb_{kind}"), F.col(f"_cw_{kind}")))
-    valid = F.filter(F.concat(*[b for b, _ in parts]), lambda c: c["base"])
-    rows = rows.withColumn("_valid", valid)
-    free = lambda w: F.when(F.size(w) > 0, F.filter(w, lambda c: ~F.exists(F.col("_valid"), lambda v: (v["s"] < c["e"]) & (c["s"] < v["e"])))).otherwise(w)
-    return rows.select(*keep, F.array_sort(F.concat(*[x for b, w in parts for x in (b, free(w))])).alias("cands"))
+        rows = rows.withColumns({f"_cb_{kind}": _candidates(kind, F.col(f"_b_{kind}"), True), f"_cw_{kind}": _candidates(kind, F.col(f"_w_{kind}"), False)})
+    rows = rows.withColumns({f"_valid_{kind}": F.filter(f"_cb_{kind}", lambda c: c["base"]) for kind in KINDS})
+
+    def free(w: Column) -> Column:
+        touched = lambda c: F.forall(F.array(*[~_touches(c, F.col(f"_valid_{kind}")) for kind in KINDS]), lambda x: x)
+        return F.when(F.size(w) > 0, F.filter(w, touched)).otherwise(w)
+
+    parts = [x for kind in KINDS for x in (F.col(f"_cb_{kind}"), free(F.col(f"_cw_{kind}")))]
+    return rows.select(*docs.columns, F.array_sort(F.concat(*parts)).alias("cands"))
 
 
 def reliabilities(cells: list[dict], rounds: int = ROUNDS) -> tuple[list[float], dict]:
@@ -222,7 +236,7 @@ def personal_data(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
     """One row for each row of docs: id, spans (array of kind, s, e, base), by kind and start."""
     cands = scratch.put(candidates(narrow(docs, id_col, text), text).drop(text))
     weights = train(cands)
-    kept = F.filter("cands", lambda c: c["base"] | (score(c, weights) > threshold) & (c["v_form"] >= 0))
+    kept = F.filter("cands", lambda c: c["base"] | (score(c, weights) > threshold))
     return cands.select(id_col, F.transform(kept, lambda c: F.struct(c["kind"], c["s"], c["e"], c["base"])).alias("spans"))
 
 
@@ -231,8 +245,12 @@ def _text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda c: F.concat_ws(":", F.get(kinds, c["kind"]), c["s"].cast("string"), c["e"].cast("string"))), ",")
 
 
+def counted(spans: Column, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda c: c["kind"] == kind)).cast("long")
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data(table(spark, sf_dir, "documents"), Scratch(spark, "op5"))
     base = F.filter("spans", lambda c: c["base"])
-    n = [F.size(F.filter(base, lambda c, k=k: c["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    n = [counted(base, k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select("doc_id", *n, F.sha2(_text(base).cast("binary"), 256).alias("base_sha256"), _text(F.col("spans")).alias("spans"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -169,22 +170,89 @@ def base_spans(t):
     return out
 
 
-def test_personal_data(spark, monkeypatch):
+def test_personal_data(spark, tmp_path):
     rng = np.random.default_rng(2)
     texts = [
         None, "", "a@b.com_x@c.de é@q.fr x@y", "1.2.3.4.5.6.7.8 999.1.1.1 01.2.3.4", "4111 1111 1111 1111 5 4111-1111-1111-1111 4111111111111112",
         "call +1 (555) 555-5555 now +33 1 23 45 67 89. + 1 +12 +1234567", "1 2 3 " * 40, "9" * 5000, "x" * 20000 + "@a.b", "1 " * 8000, "user [at] site [dot] com",
+        "é a@b.de 1.1.1.1 b@c.com +1 555 555 5555 " * 200,
     ]
     texts += ["".join("ab.@+- 0123456789()é"[i] for i in rng.integers(0, 20, 400)) for _ in range(60)]
-    d = docs(spark, list(enumerate(texts)))
-    d.withColumn("cands", F.lit(1)).withColumn("_t", F.lit(2)).write.parquet(f"{Scratch(spark, 't').path}/documents.parquet")
-    got = {r.doc_id: r for r in personal_data.personal_data(d, Scratch(spark, "t")).collect()}
-    for i, t in enumerate(texts):
-        base = [f"{personal_data.KINDS[c.kind]}:{c.s}:{c.e}" for c in got[i].spans if c.base]
-        assert base == base_spans(t), t
+    rows = [*enumerate(texts), (None, "a@b.com"), (3, texts[3]), (3, texts[3])]
+    d = docs(spark, rows)
+    d.select(*d.columns, *[F.lit(1).alias(c) for c in ("cands", "_t", "spans", "n_email", "_b_ip")]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = personal_data.op5_personal_data(spark, str(tmp_path)).collect()
+    want = Counter((i, *[sum(x.startswith(k) for x in base_spans(t)) for k in personal_data.KINDS], hashlib.sha256(",".join(base_spans(t)).encode()).hexdigest()) for i, t in rows)
+    assert Counter(tuple(r[:6]) for r in got) == want
+    for r in got:  # what is added stands among the base spans, in the same order
+        spans = [tuple(int(v) if v.isdigit() else personal_data.KINDS.index(v) for v in x.split(":")) for x in r.spans.split(",") if x]
+        assert spans == sorted(spans) and len(spans) >= sum(r[1:5])
     assert personal_data.personal_data(d.limit(0), Scratch(spark, "t")).count() == 0
 
 
+def test_personal_data_in_a_table_of_numbers(spark):
+    """A megabyte of short matches, and many wide matches beside many base spans, in seconds."""
+    began = time.time()
+    d = docs(spark, [(1, "123," * 250_000), (2, "10.2.3.4 555-123-4567, " * 20_000)])
+    got = {r.doc_id: r.n for r in personal_data.candidates(d).select("doc_id", F.size("cands").alias("n")).collect()}
+    assert got == {1: 0, 2: 40_000} and time.time() - began < 90
+
+
+def test_wide_matches_never_touch_base_spans(spark):
+    texts = ["a@b.com (at) x.de", "call 555-123-4567 or +1 555-123-4567 now", "1.2.3.4 (555) 123-4567 x", "4111 1111 1111 1111 555-123-4567"]
+    for r in personal_data.candidates(docs(spark, list(enumerate(texts)))).collect():
+        base = [(c.s, c.e) for c in r.cands if c.base]
+        wide = [(c.s, c.e) for c in r.cands if c.f_test == 0]
+        assert not any(a < e and s < b for a, b in base for s, e in wide)
+    assert any(c.f_test == 0 for c in r.cands)
+
+
+def test_added_spans_follow_the_classifier(spark):
+    """EM, classifier and choice again, in plain numpy."""
+    rng = np.random.default_rng(8)
+    texts = []
+    for i in range(400):
+        kind = i % 5
+        n = lambda k: "".join(str(x) for x in rng.integers(0, 10, k))
+        span = [f"u{i} [at] site{i} [dot] com", f"({n(3)}) {n(3)}-{n(4)}", f"{n(16)}", f"+{n(3)} {n(3)} {n(20)}", f"{n(3)}.{n(3)}.{n(3)}.{n(3)}"][kind]
+        texts.append((i, f"{['mail me', 'phone', 'card', 'serial', 'ip'][kind]} {span} end"))
+    d = docs(spark, texts)
+    cands = personal_data.candidates(d.select("doc_id", "text")).collect()
+    cells = Counter(tuple(c[x] for x in ("kind", *personal_data.VOTES, *personal_data.FEATURES)) for r in cands for c in r.cands)
+    keys = sorted(cells)
+    n = np.array([cells[k] for k in keys], float)
+    kinds, votes, forms = np.array([k[0] for k in keys]), np.array([k[1:5] for k in keys]), np.array([k[5:] for k in keys])
+    post = np.clip(0.5 + 0.2 * votes.sum(1), 0.05, 0.95)
+    for _ in range(personal_data.ROUNDS):
+        new = post.copy()
+        for k in set(kinds):
+            own = kinds == k
+            yes, no = 1 + (n * post)[own].sum(), 1 + (n * (1 - post))[own].sum()
+            odds = np.full(own.sum(), math.log(yes / no))
+            for v in range(4):
+                for x in (-1, 1):
+                    at = votes[own][:, v] == x
+                    a = 1.1 + x + (n * post)[own][at].sum()
+                    b = 1.1 - x + (n * (1 - post))[own][at].sum()
+                    odds[at] += math.log(a / (yes + 2.3)) - math.log(b / (no + 2.3))
+            new[own] = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        post = new
+
+    def score(c):
+        own = kinds == c.kind
+        yes, no = 1 + (n * post)[own].sum(), 1 + (n * (1 - post))[own].sum()
+        odds = math.log(yes / no)
+        for j, f in enumerate(personal_data.FEATURES):
+            at = own & (forms[:, j] == c[f])
+            odds += math.log((0.5 + (n * post)[at].sum()) / (yes + 4)) - math.log((0.5 + (n * (1 - post))[at].sum()) / (no + 4))
+        return 1 / (1 + math.exp(-odds))
+
+    want = {r.doc_id: [(c.kind, c.s, c.e) for c in r.cands if c.base or score(c) > personal_data.THRESHOLD] for r in cands}
+    got = {r.doc_id: [(c.kind, c.s, c.e) for c in r.spans] for r in personal_data.personal_data(d, Scratch(spark, "t")).collect()}
+    assert got == want
+    assert any(len(want[r.doc_id]) > sum(c.base for c in r.cands) for r in cands) and any(len(want[r.doc_id]) < len(r.cands) for r in cands)
+
+
 def test_reliabilities_find_the_better_labeler():
     cells = [{"kind": 0, "n": n, "v_form": a, "v_list": b, "v_words": 0, "v_edge": a} for a, b, n in ((1, 1, 40), (1, -1, 35), (-1, 1, 30), (-1, -1, 45))]
     post, rates = personal_data.reliabilities(cells)
