@@ -319,6 +319,24 @@ def test_cascade_is_exact(spark, shard_keys):
     assert url_filter.url_filter(pages.limit(0), listed, Scratch(spark, "t")).count() == 0
 
 
+def test_listed_hosts(spark):
+    html = lambda x: f"<html><article>{x}</article></html>"
+    rows = [("http://a.x/1", html("one")), ("http://b.x/1", html("one")), ("http://b.x/2", html("two")), ("http://b.x/3", html("three")), ("http://b.x/4", html("four")), ("http://c.x/1", html("own")), ("http://c.x/2", html("own")), ("http://w.spam-farm.x/1", None), ("http://d.x/", html("")), ("http://e.x/", html("")), (None, html("one")), ("http://A.x/2", None)]
+    got = {r.key for r in url_filter.listed_hosts(spark.createDataFrame(rows, "url string, html string")).collect()}
+    assert got == {"a.x", "w.spam-farm.x", ""}
+
+
+def test_url_filter_cases(spark, tmp_path):
+    """Null ids, repeated rows, clashing names, an empty table, and a very long url."""
+    rows = [(None, "http://A.spam-farm.com/x"), (1, "http://ok.com/en/" + "y" * 300_000), (1, "http://ok.com/de/?q#f"), (1, "http://ok.com/de/?q#f"), (2, None), (3, "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string").select("*", *[F.lit("z").alias(c) for c in ("html", "host", "key", "in_list", "listed", "rule", "URL2", "shard")])
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    got = Counter((r.page_id, r.host, r.path[:5], r.rule, r.verdict) for r in url_filter.op9_url_filter(spark, str(tmp_path)).collect())
+    assert got == Counter([(None, "a.spam-farm.com", "/x", None, "block"), (1, "ok.com", "/en/y", "com/en/", "block"), (1, "ok.com", "/de/", None, "allow"), (1, "ok.com", "/de/", None, "allow"), (2, "", "", None, "allow"), (3, "", "", None, "allow")])
+    pages.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/empty/pages.parquet")
+    assert url_filter.op9_url_filter(spark, f"{tmp_path}/empty").count() == 0
+
+
 def test_rules(spark):
     urls = ["http://a.com/en/1", "http://example.com/en/7x", "http://x.example.com/en/70?q", "http://example.net/de/9", "http://q.example.net/de/8", "http://xcom/en/", "HTTP://A.ORG/es/#f", "http://org/es/", None]
     want = ["com/en/", "example.com/en/7", "example.com/en/7", "net/de/", "example.net/de/8", None, "org/es/", "org/es/", None]
