@@ -12,12 +12,13 @@ A shard is sent to the scan of the documents, which adds up the log probabilitie
 more shards mean more scans, whose sums are added. So no n-gram of a document is shuffled, and no shard outgrows its
 bound except where two bytes alone have more n-grams.
 
-Perplexity is the exponential of the mean negative log probability of a document's bytes, A-Z in lower case; the
-threshold is MARGIN times a quantile of the perplexities of the trusted documents of its language (of all where it has
-none).
-Trusted text: documents with a label of quality 1 and not toxic.
+Trusted text: documents with a label of quality 1 and not toxic. One in HELD_OUT of them, by a hash of its row id, doesn't
+train the model. Perplexity is the exponential of the mean negative log probability of a document's bytes, A-Z in lower
+case; the threshold is a quantile of the perplexities of the held-out trusted documents of its language (of all held-out
+ones where it has none; of all trusted ones where none is held out).
 
-Cases: a null or empty text has no bytes: its perplexity is null and it isn't kept. A null language is one of its own.
+Cases: a null or empty text has no bytes: its perplexity is null and it isn't kept. A null language is one of its own, as
+is an empty one.
 Null or repeated ids get row numbers inside, and each row is judged. Without trusted text all perplexities are null and
 every document with text is kept. An empty table gives an empty result. Other columns aren't read.
 """
@@ -28,12 +29,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, narrow, runs, table, with_row_ids
+from .common import Scratch, narrow, runs, table, tidied, with_row_ids
 
 ORDER = 5
-QUANTILE = 0.999
-#: How far above the quantile a document may still be.
-MARGIN = 1.25
+QUANTILE = 0.99
+#: One in so many trusted documents sets the thresholds instead of training the model.
+HELD_OUT = 5
 SHARD_ENTRIES = 4_000_000
 #: Languages whose limits are sent to all tasks; beyond them they are joined.
 MOST_LANGUAGES = 10_000
@@ -91,7 +92,7 @@ def counted(docs: DataFrame, order: int) -> DataFrame:
         if size:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], names=["g", "n"])
 
-    return docs.select("text").mapInArrow(scan, "g long, n long")
+    return docs.select("text").mapInArrow(tidied(scan), "g long, n long")
 
 
 def _longer(g: Column, k: int) -> Column:
@@ -219,7 +220,7 @@ def scored(docs: DataFrame, shard, order: int) -> DataFrame:
                 total = np.concatenate(([0.0], np.cumsum(lp)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(offsets) - 1), pa.array(np.diff(offsets)), pa.array(total[offsets[1:]] - total[offsets[:-1]])], names=["rid", "n", "lp"])
 
-    return docs.select("rid", "text").mapInArrow(scan, "rid long, n long, lp double")
+    return docs.select("rid", "text").mapInArrow(tidied(scan), "rid long, n long, lp double")
 
 
 def perplexities(docs: DataFrame, model: Model, scratch: Scratch, most: int = SHARD_ENTRIES) -> DataFrame:
@@ -233,24 +234,26 @@ def perplexities(docs: DataFrame, model: Model, scratch: Scratch, most: int = SH
     return out.select("rid", F.col("n").alias("n_bytes"), F.when(F.col("n") > 0, F.exp(-F.col("lp") / F.col("n"))).alias("perplexity"))
 
 
-def quality(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN, order: int = ORDER) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE, held_out: int = HELD_OUT, order: int = ORDER) -> DataFrame:
     """One row for each row of docs: id, n_bytes, perplexity, threshold, kept."""
-    base = with_row_ids(narrow(docs, id_col, text, lang), id_col, scratch, text, lang).select("rid", F.col(id_col).alias("id"), F.col(text).alias("text"), F.coalesce(F.col(lang), F.lit("")).alias("lang"))
+    base = with_row_ids(narrow(docs, id_col, text, lang), id_col, scratch, text, lang).select("rid", F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     good = narrow(labels, "doc_id", "quality", "toxic").filter("quality = 1 and toxic = 0").select(F.col("doc_id").alias("id")).distinct()
+    held = F.pmod(F.xxhash64("rid", F.lit("held")), F.lit(held_out)) == 0
     # by sorted merge at any size: the labels grow with the documents, so they are never sent to all tasks
-    model = Model(base.join(good.hint("merge"), "id", "left_semi").select("text"), scratch, order)
+    model = Model(base.filter(~held).join(good.hint("merge"), "id", "left_semi").select("text"), scratch, order)
     rows = base.select("rid", "id", "lang")
     if not model.known:
         n = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
         return base.select(F.col("id").alias(id_col), n.alias("n_bytes"), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), (n > 0).alias("kept"))
     rows = scratch.put(rows.join(perplexities(base.select("rid", "text"), model, scratch), "rid"))
-    known = rows.filter("perplexity is not null").join(good, "id", "left_semi")
-    limits = known.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10000).alias("own"))
-    whole = known.agg(F.percentile_approx("perplexity", quantile, 10000).alias("all"))
+    known = rows.filter("perplexity is not null").join(good, "id", "left_semi").withColumn("held", held)
+    at = lambda which: F.percentile_approx(F.when(which, F.col("perplexity")), quantile, 10000)
+    limits = known.groupBy(F.col("lang").alias("of")).agg(at(F.col("held")).alias("own"))
+    whole = known.agg(F.coalesce(at(F.col("held")), at(F.lit(True))).alias("all"))
     limits = scratch.put(limits)
     small = limits.limit(MOST_LANGUAGES + 1).count() <= MOST_LANGUAGES
-    out = rows.join(F.broadcast(limits) if small else limits, "lang", "left").crossJoin(F.broadcast(whole))
-    threshold = margin * F.coalesce("own", "all")
+    out = rows.join(F.broadcast(limits) if small else limits, F.col("lang").eqNullSafe(F.col("of")), "left").crossJoin(F.broadcast(whole))
+    threshold = F.coalesce("own", "all")
     kept = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= threshold, F.lit(True))
     return out.select(F.col("id").alias(id_col), "n_bytes", F.round("perplexity", 6).alias("perplexity"), F.round(threshold, 6).alias("threshold"), kept.alias("kept"))
 

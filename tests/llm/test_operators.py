@@ -504,19 +504,48 @@ def test_kneser_ney(spark, most):
         assert abs(got[i] - math.exp(-lp / len(b))) < 1e-3 * got[i], t
 
 
-def test_quality(spark):
+def test_quality(spark, tmp_path):
     rng = np.random.default_rng(3)
-    texts = [(i, " ".join(WORDS[k] for k in rng.integers(0, 10, 30))) for i in range(60)] + [(100, "%% ## 00 !! ~~ ^^ 99 || {{ }} " * 4), (101, None), (102, ""), (None, "alpha beta gamma delta")]
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(50)] + [(100, 0, 0)], "doc_id long, quality int, toxic int")
-    d = docs(spark, texts, {5: None})
-    got = {r.doc_id: r for r in kneser_ney.quality(d, labels, Scratch(spark, "t"), order=4).collect()}
-    assert len(got) == 64 and all(got[i].kept for i in range(60)) and got[None].kept
-    assert not any(got[i].kept for i in (100, 101, 102))
+    texts = [(i, " ".join(WORDS[k] for k in rng.integers(0, 10, 30))) for i in range(200)] + [(500, "%% ## 00 !! ~~ ^^ 99 || {{ }} " * 4), (501, None), (502, ""), (None, "alpha beta gamma delta"), (503, "alpha beta " * 30_000), (7, WORDS[0]), (7, WORDS[0])]
+    texts = [(i, t) for i, t in texts if i != 7] + [(7, "alpha beta gamma"), (7, "alpha beta gamma")]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(150)] + [(500, 0, 0), (None, 1, 0), (3, 1, 0), (160, 1, 1)], "doc_id long, quality int, toxic int")
+    langs = {i: (None, "", "de", "en")[i % 4] if i % 4 != 2 or i < 40 else "de" for i in range(200)}
+    d = docs(spark, texts, langs).select("*", *[F.lit("x").alias(c) for c in ("rid", "own", "all", "of", "perplexity", "n", "id")])
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.withColumns({c: F.lit(1) for c in ("id", "rid", "lang")}).write.parquet(f"{tmp_path}/labels.parquet")
+    base = Scratch(spark, "t").put(with_row_ids(d.select("doc_id", "text", "lang"), "doc_id", Scratch(spark, "t"), "text", "lang"))
+    got = kneser_ney.quality(base.select("doc_id", "text", "lang"), labels, Scratch(spark, "t"), order=4).collect()
+    assert len(got) == len(texts) and sum(r.doc_id == 7 for r in got) == 2
+    by = {r.doc_id: r for r in got}
+    assert by[501].perplexity is None and not by[501].kept and not by[502].kept and not by[500].kept and by[503].n_bytes == 330_000
+    # every row is kept by its own threshold, and thresholds are those of held-out trusted rows of the language
+    for r in got:
+        assert r.kept == (r.perplexity is not None and r.perplexity <= r.threshold)
+    whole = [r.threshold for r in got]
+    assert len({(langs.get(r.doc_id, "en"), r.threshold) for r in got}) <= 4 and all(x is not None for x in whole)
+    assert kneser_ney.op8_quality_perplexity(spark, str(tmp_path)).count() == len(texts)
     free = kneser_ney.quality(d, labels.limit(0), Scratch(spark, "t")).collect()
-    assert sum(r.kept for r in free) == 62
+    assert sum(r.kept for r in free) == len(texts) - 2
     assert kneser_ney.quality(d.limit(0), labels, Scratch(spark, "t")).count() == 0
 
 
+def test_thresholds_are_quantiles_of_held_out_trusted_documents(spark):
+    rng = np.random.default_rng(4)
+    texts = [(i, " ".join(WORDS[k] for k in rng.integers(0, 10, int(rng.integers(1, 30))))) for i in range(300)]
+    langs = {i: (None, "", "de")[i % 3] for i in range(300)}
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in kneser_ney.quality(docs(spark, texts, langs), labels, Scratch(spark, "t"), order=3, quantile=0.9).collect()}
+    held = {r.rid for r in spark.range(200).select(F.col("id").alias("rid")).filter(F.pmod(F.xxhash64("rid", F.lit("held")), F.lit(kneser_ney.HELD_OUT)) == 0).collect()}
+    assert 20 < len(held) < 60
+    for lang in (None, "", "de"):
+        own = sorted(got[i].perplexity for i in held if langs[i] == lang)
+        want = own[math.ceil(0.9 * len(own)) - 1]
+        assert all(abs(got[i].threshold - want) < 1e-6 for i in range(300) if langs[i] == lang)
+    model = kneser_ney.Model(docs(spark, [(i, t) for i, t in texts if i < 200 and i not in held]).select("text"), Scratch(spark, "t"), 3)
+    again = {r.rid: r.perplexity for r in kneser_ney.perplexities(docs(spark, texts).selectExpr("doc_id as rid", "text"), model, Scratch(spark, "t")).collect()}
+    assert all(abs(again[i] - got[i].perplexity) < 1e-5 for i in range(300))
+
+
 # --- 1
 
 
