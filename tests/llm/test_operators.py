@@ -549,15 +549,72 @@ def test_thresholds_are_quantiles_of_held_out_trusted_documents(spark):
 # --- 1
 
 
-def test_secret_scan(spark):
-    found = secret_scan.made_findings(900)
-    forest = secret_scan.train(found[:600])
-    x = np.array([secret_scan.features(t, a, b) for t, a, b, _ in found[600:]])
-    y = np.array([f[3] for f in found[600:]])
-    assert ((forest.predict(x) >= 0.5) == y).mean() > 0.95
+COMMON = ["the", "and", "tion", "with", "that", "house", "under", "their", "which", "there", "nicht", "werden", "que", "para", "dans", "ment"]
+
+
+def test_dictionary_is_counted_over_all_documents(spark):
+    texts = [(i, "House house tree ab") for i in range(5)] + [(8, "rare Tree"), (9, None), (10, "")]
+    words = secret_scan.learned_words(docs(spark, texts), Scratch(spark, "t"), most=2)
+    assert words.top == ["house", "tree"]
+    n = np.full((26, 26), 0.05)
+    for w, k in (("house", 10), ("tree", 6), ("rare", 1)):
+        for a, b in zip(w, w[1:]):
+            n[ord(a) - 97, ord(b) - 97] += k
+    assert np.allclose(words.log, np.log(n / n.sum(axis=1, keepdims=True)))
+    assert words.covered("xhousetreehous") == 9
+    assert secret_scan.learned_words(docs(spark, []), Scratch(spark, "t")).top == []
+
+
+def test_forest_votes_as_its_trees_do():
+    """Against a walk down each tree, row by row."""
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(300, 5))
+    y = (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(float)
+    forest = secret_scan.Forest(trees=7, depth=5).fit(x, y)
+
+    def walk(tree, row):
+        at = 0
+        while tree[0][at] >= 0:
+            at = tree[2][at] if row[tree[0][at]] <= tree[1][at] else tree[3][at]
+        return tree[4][at]
+
+    want = [sum(walk(t, row) for t in forest.trees) / 7 for row in x]
+    assert np.allclose(forest.predict(x), want) and ((forest.predict(x) >= 0.5) == (y == 1)).mean() > 0.85
+    for feature, bound, left, right, value in forest.trees:  # a leaf's value is the mean label of the bootstrap rows there
+        assert ((value >= 0) & (value <= 1)).all() and (left[feature >= 0] > 0).all()
+
+
+def test_secrets_of_formats_that_were_never_trained():
+    words = secret_scan.Words.of(COMMON)
+    unseen = ("github", "stripe", "aws", "path", "uuid")
+    forest = secret_scan.train(secret_scan.made_findings(words, 1500, without=unseen), words)
+    precision, recall = secret_scan.judged(forest, secret_scan.made_findings(words, 600, seed=9, only=unseen), words)
+    assert precision > 0.8 and recall > 0.8, (precision, recall)
+
+
+def test_findings_are_split(spark):
+    words = secret_scan.Words.of(COMMON)
+    found = secret_scan.made_findings(words, 900)
+    table_ = spark.createDataFrame([*found, (None, 0, 3, 1), ("x", None, 1, 1)], secret_scan.FINDINGS)
+    fit, held = secret_scan.bounded(table_)
+    assert set(fit) | set(held) == set(found) and not set(fit) & set(held) and 100 < len(held) < 260
+    assert len(sum(secret_scan.bounded(table_, 50), [])) == 50
+    precision, recall = secret_scan.judged(secret_scan.train(fit, words), held, words)
+    assert precision > 0.95 and recall > 0.95
+    with pytest.raises(ValueError):
+        secret_scan.train([], words)
+
+
+def test_secret_scan(spark, tmp_path):
+    words = secret_scan.Words.of(COMMON)
+    forest = secret_scan.train(secret_scan.made_findings(words, 900), words)
     secret = "0f" * 3 + "a81b29c7d3e4f50617283940a5b6c7d8e9"
-    texts = [(1, f'éé token = "{secret}" x'), (2, "thetionandingtheverconmen"), (3, None), (4, ""), (None, "x" * 100000), (1, f'éé token = "{secret}" x')]
-    got = secret_scan.scan(docs(spark, texts).withColumn("score", F.lit(0)), forest).collect()
+    texts = [(1, f'éé token = "{secret}" x'), (2, "thetionandwithundertheir"), (3, None), (4, ""), (None, "x" * 100000), (1, f'éé token = "{secret}" x')]
+    d = docs(spark, texts).withColumns({c: F.lit(0) for c in ("score", "start", "Is_Secret", "w")})
+    got = secret_scan.scan(d, forest, words).collect()
     real = [r for r in got if r.is_secret]
     assert [(r.doc_id, r.start, r.end, r.secret_sha256) for r in real] == [(1, 12, 52, hashlib.sha256(secret.encode()).hexdigest())] * 2
-    assert secret_scan.scan(docs(spark, []), forest).count() == 0
+    assert {(r.doc_id, r.end - r.start) for r in got if not r.is_secret} == {(2, 24), (None, 100000)}
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    assert secret_scan.op1_secret_scan(spark, str(tmp_path)).count() == 4
+    assert secret_scan.scan(docs(spark, []), forest, words).count() == 0
