@@ -220,3 +220,18 @@ def running_sums(values: Column) -> Column:
     onto = lambda v, before: F.transform(every(v), lambda i: F.get(before, F.shiftright(i, 6)) + _sum(v, i - low(i), low(i)))
     top = lambda v: F.transform(every(v), lambda i: _sum(v, F.lit(0), i))
     return bound(values, lambda v: bound(blocks(v), lambda s1: bound(blocks(s1), lambda s2: bound(top(s2), lambda o2: bound(onto(s1, o2), lambda o1: onto(v, o1))))))
+
+
+def canonical_label(c: Column, known: list[str], alias: dict[str, str]) -> Column:
+    """A known label as it is, else its alias, else that of the first alias of which one is inside the other, else null."""
+    s = F.trim(c)
+    inside = lambda a: (s != "") & (F.contains(F.lit(a), s) | F.contains(s, F.lit(a)))
+    near = F.lit(None).cast("string")
+    for a, v in reversed(alias.items()):
+        near = F.when(inside(a), F.lit(v)).otherwise(near)
+    return F.when(s.isin(known), s).otherwise(F.coalesce(lookup(s, alias), near))
+
+
+def smeared(pred: Column, factor: Column, eps: float = 1e-6) -> Column:
+    """A prediction of the log target on the raw scale; factor: mean of exp(residual)."""
+    return F.greatest(F.exp(pred) * factor - eps, F.lit(0.0))

@@ -38,40 +38,133 @@ def kmeans(df: DataFrame, cols: list[str], k: int, seed: int = 42) -> DataFrame:
     return KMeans(k=k, seed=seed).fit(assembled(df, cols)).transform(assembled(df, cols)).drop("features").withColumnRenamed("prediction", "cluster")
 
 
-def boosted_cv(df: DataFrame, cols: list[str], target: str, fold: str, seed: int = 42, depth: int = 3, rounds: int = 10) -> DataFrame:
-    """fold, r2, rmse, mae of boosted trees on each held-out fold."""
-    data = assembled(df, cols).select("features", F.col(target).alias("label"), F.col(fold).alias("fold"))
+def boosted_cv(df: DataFrame, cols: list[str], target: str, fold: str, seed: int = 42, depth: int = 3, rounds: int = 10, weight: str | None = None, least_rows: int = 1, rate: float = 0.1, share: float = 1.0) -> DataFrame:
+    """fold, r2_log, r2, rmse, mae, mape, mdape, smearing of boosted trees on each held-out fold. The trees learn the log of the
+    target, with the rows' weights where there are some; predictions go back by the mean of exp(residual)."""
+    y = F.log(F.greatest(F.col(target), F.lit(0.0)) + 1e-6)
+    data = assembled(df, cols).select("features", y.alias("label"), F.col(target).alias("raw"), F.col(fold).alias("fold"), (F.col(weight) if weight else F.lit(1.0)).alias("weight"))
     folds = sorted(r[0] for r in data.select("fold").distinct().collect())
     out = []
     for f in folds:
-        model = GBTRegressor(maxDepth=depth, maxIter=rounds, seed=seed).fit(data.filter(F.col("fold") != f))
-        held = model.transform(data.filter(F.col("fold") == f))
-        out.append((int(f), *[float(RegressionEvaluator(metricName=m).evaluate(held)) for m in ("r2", "rmse", "mae")]))
-    return df.sparkSession.createDataFrame(out, "fold int, r2 double, rmse double, mae double")
-
-
-def importances(df: DataFrame, cols: list[str], target: str, least: float = 0.001, top: int = 5, seed: int = 42) -> DataFrame:
-    """Feature importances at or above a bound, the largest first."""
+        gbt = GBTRegressor(maxDepth=depth, maxIter=rounds, seed=seed, weightCol="weight", minInstancesPerNode=least_rows, stepSize=rate, subsamplingRate=share)
+        model = gbt.fit(data.filter(F.col("fold") != f))
+        sf = model.transform(data.filter(F.col("fold") != f)).agg(F.avg(F.exp(F.col("label") - F.col("prediction")))).first()[0]
+        held = model.transform(data.filter(F.col("fold") == f)).withColumn("p", F.greatest(F.exp("prediction") * sf - 1e-6, F.lit(0.0)))
+        r2 = lambda a, b: 1 - F.sum((F.col(a) - F.col(b)) * (F.col(a) - F.col(b))) / (F.var_pop(a) * F.count(a))
+        e = F.col("raw") - F.col("p")
+        rel = F.abs(e) / F.greatest(F.abs("raw"), F.lit(0.01)) * 100
+        got = held.agg(r2("label", "prediction"), r2("raw", "p"), F.sqrt(F.avg(e * e)), F.avg(F.abs(e)), F.avg(rel), F.percentile(rel, 0.5)).first()
+        out.append((int(f), *[float(x) for x in got], float(sf)))
+    return df.sparkSession.createDataFrame(out, "fold int, r2_log double, r2 double, rmse double, mae double, mape double, mdape double, smearing double")
+
+
+def importances(df: DataFrame, cols: list[str], target: str, least: float = 0.001, ratio: float = 5.0, seed: int = 42) -> DataFrame:
+    """Two-stage selection: importances at or above a bound, the largest first, at most one feature for `ratio` rows (but
+    five)."""
     model = GBTRegressor(maxDepth=3, maxIter=10, seed=seed, labelCol=target).fit(assembled(df, cols))
+    top = max(int(df.count() / ratio), 5)
     rows = sorted(((float(v), c) for v, c in zip(model.featureImportances.toArray(), cols, strict=True) if v >= least), key=lambda x: (-x[0], x[1]))[:top]
     return df.sparkSession.createDataFrame([(c, v, i + 1) for i, (v, c) in enumerate(rows)], "feature string, importance double, rank int")
 
 
-def huber(df: DataFrame, cols: list[str], target: str) -> DataFrame:
-    model = LinearRegression(loss="huber", epsilon=1.35, labelCol=target, maxIter=50).fit(assembled(df, cols))
-    held = model.transform(assembled(df, cols))
-    return df.sparkSession.createDataFrame([(float(RegressionEvaluator(labelCol=target, metricName="r2").evaluate(held)),)], "r2 double")
+def huber(df: DataFrame, cols: list[str], target: str, fold: str) -> DataFrame:
+    """One row: mean and deviation over the folds of the held-out r2 of a Huber regression; constant columns are left out."""
+    spread = df.agg(*[F.var_pop(c).alias(c) for c in cols]).first()
+    data = assembled(df, [c for c in cols if (spread[c] or 0.0) > 1e-10]).select("features", F.col(target).alias("label"), F.col(fold).alias("fold"))
+    scores = []
+    for f in sorted(r[0] for r in data.select("fold").distinct().collect()):
+        model = LinearRegression(loss="huber", epsilon=1.35, maxIter=100).fit(data.filter(F.col("fold") != f))
+        scores.append(float(RegressionEvaluator(metricName="r2").evaluate(model.transform(data.filter(F.col("fold") == f)))))
+    return df.sparkSession.createDataFrame([(float(np.mean(scores)), float(np.std(scores)), len(scores))], "r2 double, r2_std double, folds int")
 
 
-def tune(df: DataFrame, cols: list[str], target: str, fold: str, trials: int = 4, seed: int = 42) -> DataFrame:
-    """A seeded random search: trial, depth, rounds, rmse and the best so far."""
-    rng, best, out = np.random.default_rng(seed), float("inf"), []
+def tune(df: DataFrame, cols: list[str], target: str, fold: str, trials: int = 6, startup: int = 3, seed: int = 42) -> DataFrame:
+    """Trials of boosted trees, a stated one first, then `startup` random ones, then ones near the best third so far: trial,
+    parameters, mdape over the folds, and the best up to it (its running minimum)."""
+    rng, out = np.random.default_rng(seed), []
+    bounds = {"depth": (2, 5), "rounds": (3, 12), "least_rows": (1, 30), "rate": (0.02, 0.3), "share": (0.4, 1.0)}
+    whole = {"depth", "rounds", "least_rows"}
     for t in range(trials):
-        depth, rounds = int(rng.integers(2, 5)), int(rng.integers(3, 9))
-        rmse = boosted_cv(df, cols, target, fold, seed, depth, rounds).agg(F.avg("rmse")).first()[0]
-        best = min(best, rmse)
-        out.append((t, depth, rounds, float(rmse), float(best)))
-    return df.sparkSession.createDataFrame(out, "trial int, depth int, rounds int, rmse double, best double")
+        if t == 0:
+            p = {"depth": 3, "rounds": 6, "least_rows": 10, "rate": 0.1, "share": 0.65}
+        else:
+            p = {k: rng.uniform(lo, hi) for k, (lo, hi) in bounds.items()}
+            good = sorted(out, key=lambda x: x[1])[: max(1, len(out) // 3)]
+            if t > startup:
+                near = good[int(rng.integers(0, len(good)))][0]
+                p = {k: float(np.clip(near[k] + rng.normal(0, 0.2) * (hi - lo), lo, hi)) for k, (lo, hi) in bounds.items()}
+            p = {k: int(round(v)) if k in whole else float(v) for k, v in p.items()}
+        out.append((p, float(boosted_cv(df, cols, target, fold, seed, **p).agg(F.avg("mdape")).first()[0])))
+    best = np.minimum.accumulate([x for _, x in out])
+    rows = [(t, *[p[k] for k in bounds], m, float(best[t])) for t, (p, m) in enumerate(out)]
+    return df.sparkSession.createDataFrame(rows, "trial int, depth int, rounds int, least_rows int, rate double, share double, mdape double, best double")
+
+
+def contributions(df: DataFrame, key: str, cols: list[str], target: str, seed: int = 42, depth: int = 3, rounds: int = 10) -> DataFrame:
+    """key, feature, contribution: how each feature moved a boosted model's prediction, from node mean to node mean along each
+    tree's path; with the feature 'mean' for the trees' roots, a row's contributions add up to its prediction."""
+    model = GBTRegressor(maxDepth=depth, maxIter=rounds, seed=seed, labelCol=target).fit(assembled(df, cols))
+    forest = []
+    for w, tree in zip(model.treeWeights, model.trees):
+        nodes: list[tuple] = []
+
+        def grow(node) -> int:
+            me = len(nodes)  # noqa: B023
+            nodes.append(())  # noqa: B023
+            if node.numDescendants() == 0:
+                nodes[me] = (-1, 0.0, -1, -1, float(node.prediction()))  # noqa: B023
+            else:
+                left, right = grow(node.leftChild()), grow(node.rightChild())
+                nodes[me] = (node.split().featureIndex(), float(node.split().threshold()), left, right, float(node.prediction()))  # noqa: B023
+            return me
+
+        grow(tree._java_obj.rootNode())
+        forest.append((float(w), *[np.array(c) for c in zip(*nodes)]))
+    names = [*cols, "mean"]
+
+    def scan(batches):
+        for pdf in batches:
+            x = pdf[cols].to_numpy(float)
+            got = np.zeros((len(x), len(names)))
+            for w, feature, bound, left, right, value in forest:
+                at = np.zeros(len(x), int)
+                got[:, -1] += w * value[0]
+                while (live := np.flatnonzero(feature[at] >= 0)).size:
+                    f, here = feature[at[live]], at[live]
+                    new = np.where(x[live, f] <= bound[here], left[here], right[here])
+                    got[live, f] += w * (value[new] - value[here])
+                    at[live] = new
+            import pandas as pd
+
+            yield pd.DataFrame({key: np.repeat(pdf[key].to_numpy(), len(names)), "feature": names * len(x), "contribution": got.reshape(-1)})
+
+    return df.select(key, *[F.col(c).cast("double").alias(c) for c in cols]).mapInPandas(scan, f"{key} {dict(df.dtypes)[key]}, feature string, contribution double")
+
+
+def rbf_features(df: DataFrame, key: str, k: int = 8, quantile: float = 0.5, pairs: int = 100_000, seed: int = 42) -> DataFrame:
+    """key, f0 ... : closeness to k learned anchors. The width is a quantile of distances between points, of `pairs` pairs at
+    most, drawn by hash: a sample of a bounded size, as the anchors are."""
+    model = KMeans(k=k, seed=seed).fit(assembled(df, ["x", "y"]))
+    anchors = sorted(tuple(float(v) for v in c) for c in model.clusterCenters())
+    n = max(2, int(pairs**0.5))
+    some = df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n).select("x", "y").collect()
+    at = np.array([[float(r.x), float(r.y)] for r in some]).reshape(-1, 2)
+    d = np.hypot(at[:, None, 0] - at[None, :, 0], at[:, None, 1] - at[None, :, 1])[np.triu_indices(len(at), 1)]
+    gamma = 1 / (2 * float(np.quantile(d, quantile)) ** 2 + 1e-9) if len(d) else 0.0
+    return df.select(key, *[F.exp(-gamma * (F.pow(F.col("x") - a, 2) + F.pow(F.col("y") - b, 2))).alias(f"f{i}") for i, (a, b) in enumerate(anchors)])
+
+
+def grid_predictions(points: DataFrame, cols: list[str], target: str, grid: DataFrame, seed: int = 42) -> DataFrame:
+    """grid with pred and source: a boosted model learned on points, applied to the rows that have all features; else the
+    median of those predictions."""
+    model = GBTRegressor(maxDepth=3, maxIter=10, seed=seed, labelCol=target).fit(assembled(points, cols))
+    whole = F.lit(True)
+    for c in cols:
+        whole = whole & F.col(c).isNotNull()
+    done = model.transform(assembled(grid.filter(whole), cols)).drop("features").withColumnRenamed("prediction", "pred").withColumn("source", F.lit("model"))
+    med = done.agg(F.percentile("pred", 0.5).alias("pred"))
+    rest = grid.filter(~whole).crossJoin(F.broadcast(med)).withColumn("source", F.lit("median"))
+    return done.unionByName(rest)
 
 
 def boxcox_lambda(df: DataFrame, col: str, lo: float = -2.0, hi: float = 2.0, rounds: int = 4, grid: int = 21) -> float:
@@ -173,7 +266,7 @@ def skater(df: DataFrame, edges: DataFrame, key: str, cols: list[str], k: int) -
     rows = _bounded(df.select(key, *cols), 20_000)
     ids = {r[key]: i for i, r in enumerate(rows)}
     x = np.array([[float(r[c]) for c in cols] for r in rows]).reshape(len(rows), len(cols))
-    links = sorted({(min(ids[a], ids[b]), max(ids[a], ids[b])) for a, b in edges.collect() if a in ids and b in ids and a != b}, key=lambda e: (float(np.linalg.norm(x[e[0]] - x[e[1]])), e))
+    links = sorted({(min(ids[a], ids[b]), max(ids[a], ids[b])) for a, b in _bounded(edges, 2_000_000) if a in ids and b in ids and a != b}, key=lambda e: (float(np.linalg.norm(x[e[0]] - x[e[1]])), e))
     up = list(range(len(rows)))
 
     def root(i):

@@ -61,10 +61,16 @@ def isochrone_cells(segments: DataFrame, size: float, buffer: float) -> DataFram
     return cells.filter(d <= buffer).select("origin", "ci", "cj").distinct()
 
 
-def od_minutes(candidates: DataFrame, network: DataFrame, speed: float, limit: float, detour: float = 1.35) -> DataFrame:
-    """i, j, t: network time where there is one, else the detour's time within a limit, else no row."""
-    j = candidates.join(network, ["i", "j"], "left")
-    return j.withColumn("t", F.coalesce("net", F.when(F.col("dist") <= limit, F.col("dist") * detour / speed))).filter("t is not null").select("i", "j", "t")
+def od_minutes(candidates: DataFrame, network: DataFrame, speed: dict[str, float], limit: dict[str, float], cutoff: float, snap: float, detour: float = 1.35) -> DataFrame:
+    """i, j, t, source: travel times of candidate pairs (i, j, stage, dist, snap_i, ni, nj): the network's time (origin, node,
+    d) from node ni to nj where the origin snaps within `snap` and the target is within the cutoff, else the straight way
+    times a detour within the stage's limit, else no row."""
+    net = network.filter(F.col("d") <= cutoff).select(F.col("origin").alias("ni"), F.col("node").alias("nj"), F.col("d").alias("net"))
+    j = candidates.join(net, ["ni", "nj"], "left")
+    by_net = F.when(F.col("snap_i") <= snap, F.col("net"))
+    straight = F.when(F.col("dist") <= S.lookup(F.col("stage"), limit), F.col("dist") * detour / S.lookup(F.col("stage"), speed))
+    j = j.withColumn("t", F.coalesce(by_net, straight)).withColumn("source", F.when(by_net.isNotNull(), "network").otherwise("straight"))
+    return j.filter("t is not null").select("i", "j", "t", "source")
 
 
 def two_step(od: DataFrame, supply: DataFrame, demand: DataFrame, t_max: float, beta: float = 0.15) -> DataFrame:

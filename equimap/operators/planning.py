@@ -142,3 +142,37 @@ def isolation_scores(df: DataFrame, cols: list[str], trees: int = 50, sample: in
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", score double"
     return df.mapInPandas(scan, schema)
+
+
+def service_areas(cells: DataFrame, key: str, size: float) -> DataFrame:
+    """key, area, length: each key's distinct cells (key, ci, cj) as one area, and the length of its rim."""
+    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0))])
+    sides = cells.withColumn("s", F.explode(steps)).select(key, (F.col("ci") + F.col("s.a")).alias("ci"), (F.col("cj") + F.col("s.b")).alias("cj"))
+    rim = sides.join(cells, [key, "ci", "cj"], "left_anti").groupBy(key).agg((F.count(F.lit(1)) * size).alias("length"))
+    return cells.groupBy(key).agg((F.count(F.lit(1)) * size * size).alias("area")).join(rim, key)
+
+
+def circle_features(overlay: DataFrame, key: str, size: float, zone_area: float, zone_length: float, classes: int) -> DataFrame:
+    """key, x1 (area-weighted mean of v), x2 (covered share), pct_c1 ... (shares of classes by whole cells), dominant (the
+    first largest), area_km2, compactness; overlay: key, v, cls (from 0), area."""
+    means = overlay.groupBy(key).agg((F.sum(F.col("v") * F.col("area")) / F.sum("area")).alias("x1"), (F.sum("area") / zone_area).alias("x2"), (F.count(F.lit(1)) * size * size).alias("_s"))
+    p = overlay.groupBy(key).pivot("cls", list(range(classes))).agg(F.count(F.lit(1)) * size * size)
+    share = lambda c: F.coalesce(F.col(str(c)), F.lit(0.0)) / F.col("_s")
+    shares = F.array(*[share(c) for c in range(classes)])
+    return means.join(p, key).select(
+        key, "x1", "x2", *[share(c).alias(f"pct_c{c + 1}") for c in range(classes)], F.array_position(shares, F.array_max(shares)).alias("dominant"),
+        F.lit(zone_area / 1e6).alias("area_km2"), S.compactness(F.lit(zone_area), F.lit(zone_length)).alias("compactness"),
+    )
+
+
+def band_stats(pairs: DataFrame, key: str, bands: list[str]) -> DataFrame:
+    """key and, for each band: mean, median, population deviation, 10th and 90th percentile, and sum (at least 0)."""
+    of = lambda b: [F.avg(b).alias(f"{b}_mean"), F.percentile(b, 0.5).alias(f"{b}_median"), F.stddev_pop(b).alias(f"{b}_std"), F.percentile(b, 0.1).alias(f"{b}_p10"), F.percentile(b, 0.9).alias(f"{b}_p90"), F.greatest(F.sum(b), F.lit(0.0)).alias(f"{b}_sum")]
+    return pairs.groupBy(key).agg(*[x for b in bands for x in of(b)])
+
+
+def flagged(scores: DataFrame, share: float = 0.04, keep: Column | None = None) -> DataFrame:
+    """scores with outlier: above the quantile that leaves `share` of the rows, unless `keep` holds."""
+    q = scores.agg(F.percentile("score", 1 - share).alias("_q"))
+    out = F.col("score") > F.col("_q")
+    return scores.crossJoin(F.broadcast(q)).withColumn("outlier", out if keep is None else out & ~keep).drop("_q")

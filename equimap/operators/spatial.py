@@ -101,7 +101,7 @@ def row_weights(pairs: DataFrame, point_id: str, kernel: str = "idw") -> DataFra
         w = F.when(d < bw, F.pow(1 - F.pow(d / bw, 2), 2)).otherwise(0.0)
     else:
         bw = pairs.agg(F.percentile(d, 0.5)).first()[0]
-        w = F.exp(-0.5 * F.pow(d / F.lit(bw), 2))
+        w = F.exp(-0.5 * F.pow(d / F.lit((bw or 0.0) + 1e-9), 2))
     return pairs.withColumn("k", w).withColumn("w", F.col("k") / F.sum("k").over(own)).drop("k")
 
 
@@ -133,11 +133,19 @@ def smooth(grid: DataFrame, passes: int = 2) -> DataFrame:
 
 
 def moran(values: DataFrame, pairs: DataFrame, key: str, other: str, value: str) -> DataFrame:
-    """Moran's I with binary neighbour weights."""
+    """Moran's I with binary neighbour weights, its expected value and its z score."""
     t = values.agg(F.avg(value).alias("m"), F.count(value).alias("n"), (F.var_pop(value) * F.count(value)).alias("ss"))
     z = values.crossJoin(F.broadcast(t.select("m"))).select(F.col(key).alias("id"), (F.col(value) - F.col("m")).alias("z"))
     e = pairs.select(key, other).join(z.select(F.col("id").alias(key), F.col("z").alias("zi")), key).join(z.select(F.col("id").alias(other), F.col("z").alias("zj")), other)
-    return e.agg(F.sum(F.col("zi") * F.col("zj")).alias("c"), F.count(F.lit(1)).alias("s0")).crossJoin(t).select((F.col("n") / F.col("s0") * F.col("c") / F.col("ss")).alias("moran_i"))
+    i = e.agg(F.sum(F.col("zi") * F.col("zj")).alias("c"), F.count(F.lit(1)).cast("double").alias("s0"))
+    own, back = pairs.select(F.col(key).alias("p"), F.col(other).alias("q")), pairs.select(F.col(other).alias("p"), F.col(key).alias("q"))
+    # a pair in both directions counts 2 for each of them, else 1; degrees count both directions
+    s1 = own.join(back.withColumn("both", F.lit(True)), ["p", "q"], "left").agg(F.sum(F.when(F.col("both"), 2.0).otherwise(1.0)).alias("s1"))
+    s2 = own.select("p").unionAll(back.select("p")).groupBy("p").agg(F.count(F.lit(1)).cast("double").alias("k")).agg(F.sum(F.col("k") * F.col("k")).alias("s2"))
+    n, s0, ei = F.col("n"), F.col("s0"), -1 / (F.col("n") - 1)
+    vi = (n * n * F.col("s1") - n * F.col("s2") + 3 * s0 * s0) / (s0 * s0 * (n * n - 1) + 1e-9) - ei * ei
+    found = i.crossJoin(t).crossJoin(s1).crossJoin(s2).withColumn("moran_i", n / s0 * F.col("c") / F.col("ss"))
+    return found.select("moran_i", ei.alias("expected"), ((F.col("moran_i") - ei) / (F.sqrt(F.abs(vi)) + 1e-9)).alias("z"))
 
 
 def lattice(spark: SparkSession, x0: float, y0: float, nx: int, ny: int, size: float) -> DataFrame:
@@ -154,3 +162,183 @@ def ray_cast(points: DataFrame, ring: list[tuple[float, float]]) -> DataFrame:
             crosses = ((F.col("y") < y0) != (F.col("y") < y1)) & (F.col("x") < x0 + (F.col("y") - y0) * ((x1 - x0) / (y1 - y0)))
             inside = inside + crosses.cast("int")
     return points.filter(inside % 2 == 1)
+
+
+def density_weights(points: DataFrame, key: str, reach: float = 8.0) -> DataFrame:
+    """key, w: inverse of the points' own density, scaled to 0.5 ... 2. Gaussian kernel of the full sample covariance with
+    Scott's bandwidth; in coordinates whitened by it, the density is that of a round kernel of width 1."""
+    m = points.agg(F.count(F.lit(1)).alias("n"), F.var_samp("x").alias("xx"), F.var_samp("y").alias("yy"), F.covar_samp("x", "y").alias("xy")).first()
+    if not m["n"] or m["n"] < 3 or not m["xx"] or m["xx"] * m["yy"] - m["xy"] ** 2 <= 0:
+        return points.select(key, F.lit(1.0).alias("w"))
+    f = m["n"] ** (-1 / 6)
+    a = math.sqrt(m["xx"]) * f
+    b = m["xy"] * f * f / a
+    c = math.sqrt(m["yy"] * f * f - b * b)
+    u = F.col("x") / a
+    white = cut(points.select(key, u.alias("x"), ((F.col("y") - b * u) / c).alias("y")))
+    pairs = within(white, white.select(F.col("x").alias("sx"), F.col("y").alias("sy")), reach)
+    d = pairs.groupBy(key).agg((F.sum(F.exp(-F.col("d2") / 2)) / (m["n"] * 2 * math.pi * a * c)).alias("d"))
+    w = d.select(key, (1 / (F.col("d") + 1e-9)).alias("v"))
+    ext = w.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    return w.crossJoin(F.broadcast(ext)).select(key, (0.5 + 1.5 * (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-9)).alias("w"))
+
+
+def filled(points: DataFrame, sites: DataFrame, point_id: str, radius: float, k: int = 3, factors: tuple[float, ...] = (1.5, 2.0, 3.0)) -> DataFrame:
+    """point_id, value, method: the mean of the sites (sid, sx, sy, sv) within a radius, else within one of the larger ones,
+    else interpolated from the k nearest points that have a value, else the median of all."""
+    far = max(factors) * radius
+    pairs = cut(within(points, sites, far).select(point_id, "sv", "d2"))
+    steps = (1.0, *factors)
+    inside = lambda f: F.col("d2") <= (f * radius) ** 2
+    means = pairs.groupBy(point_id).agg(*[F.avg(F.when(inside(f), F.col("sv"))).alias(f"m{i}") for i, f in enumerate(steps)])
+    method = F.lit(None).cast("string")
+    for i, f in reversed(list(enumerate(steps))):
+        method = F.when(F.col(f"m{i}").isNotNull(), F.lit("direct" if f == 1.0 else f"expanded_{f:g}")).otherwise(method)
+    known = cut(means.select(point_id, F.coalesce(*[f"m{i}" for i in range(len(steps))]).alias("value"), method.alias("method")).filter("value is not null"))
+    rest = points.select(point_id, "x", "y").join(known, point_id, "left_anti")
+    n = known.limit(k).count()
+    if n == k:
+        at = points.select(F.col(point_id).alias("kid"), F.col("x").alias("sx"), F.col("y").alias("sy")).join(known.select(F.col(point_id).alias("kid"), F.col("value").alias("kv")), "kid")
+        near = knn(cut(rest), cut(at), k, far, point_id, "kid")
+        more = idw(near, point_id, "kv", hit=1.0).select(point_id, "value", F.lit(f"nearest_{k}").alias("method"))
+    else:
+        med = known.agg(F.percentile("value", 0.5).alias("value"))
+        more = rest.select(point_id).crossJoin(F.broadcast(med)).select(point_id, "value", F.lit("median").alias("method"))
+    return known.unionByName(more)
+
+
+def boundary(cells: DataFrame) -> DataFrame:
+    """Cells (ci, cj) of a set that have a side towards a cell outside it, with the number of such sides."""
+    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0))])
+    own = cells.select("ci", "cj").distinct()
+    sides = own.withColumn("s", F.explode(steps)).select("ci", "cj", (F.col("ci") + F.col("s.a")).alias("ni"), (F.col("cj") + F.col("s.b")).alias("nj"))
+    out = sides.join(own.select(F.col("ci").alias("ni"), F.col("cj").alias("nj")), ["ni", "nj"], "left_anti")
+    return out.groupBy("ci", "cj").agg(F.count(F.lit(1)).alias("sides"))
+
+
+def bilinear(points: DataFrame, pixels: DataFrame) -> DataFrame:
+    """points (x, y in pixels, of which the centres are whole numbers) with value: the weighted mean of the four pixels
+    (row, col, value) around, of those that have a value."""
+    corners = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)])
+    p = points.withColumn("o", F.explode(corners)).withColumn("row", F.floor("y").cast("long") + F.col("o.a")).withColumn("col", F.floor("x").cast("long") + F.col("o.b"))
+    w = (1 - F.abs(F.col("y") - F.col("row"))) * (1 - F.abs(F.col("x") - F.col("col")))
+    j = p.join(pixels.filter("value is not null"), ["row", "col"]).withColumn("w", w).filter("w > 0")
+    got = j.groupBy(*points.columns).agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("value"))
+    return points.join(got, points.columns, "left")
+
+
+def repaired(pixels: DataFrame, nodata: float) -> DataFrame:
+    """pixels with value null where it is the nodata mark, below -1e10 or not a number."""
+    v = F.col("value")
+    return pixels.withColumn("value", F.when((v == nodata) | (v < -1e10) | F.isnan(v), None).otherwise(v))
+
+
+def raster_summary(pixels: DataFrame) -> DataFrame:
+    """One row: least, largest and mean value, zeros and missing ones."""
+    return pixels.agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.avg("value").alias("mean"), F.count_if(F.col("value") == 0).alias("zeros"), F.count_if(F.col("value").isNull()).alias("missing"))
+
+
+def clipped(a: list[tuple[float, float]], b: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """The part of polygon a inside the convex polygon b, both counter-clockwise: a is cut along each side of b."""
+    out = a
+    for (x0, y0), (x1, y1) in zip(b, b[1:] + b[:1]):
+        side = lambda p: (x1 - x0) * (p[1] - y0) - (y1 - y0) * (p[0] - x0)  # noqa: B023, E731
+        kept: list[tuple[float, float]] = []
+        for p, q in zip(out, out[1:] + out[:1]):
+            sp, sq = side(p), side(q)
+            if sp >= 0:
+                kept.append(p)
+            if (sp >= 0) != (sq >= 0):
+                t = sp / (sp - sq)
+                kept.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
+        out = kept
+        if not out:
+            return []
+    return out
+
+
+def ring_area(ring: list[tuple[float, float]]) -> float:
+    return sum(x0 * y1 - x1 * y0 for (x0, y0), (x1, y1) in zip(ring, ring[1:] + ring[:1])) / 2 if len(ring) > 2 else 0.0
+
+
+def polygon_pairs(a: DataFrame, a_id: str, b: DataFrame, b_id: str, size: float) -> DataFrame:
+    """a_id, b_id, area: overlaps of polygons of a and convex polygons of b (rings: arrays of x, y, counter-clockwise). Their
+    boxes meet on lattice cells first; only those that overlap are cut."""
+    x, y = (lambda r: F.transform(r, lambda p: p["x"])), (lambda r: F.transform(r, lambda p: p["y"]))
+    box = lambda k: {f"{k}x0": F.array_min(x("ring")), f"{k}y0": F.array_min(y("ring")), f"{k}x1": F.array_max(x("ring")), f"{k}y1": F.array_max(y("ring"))}
+    left = a.withColumns(box("a")).select(F.col(a_id).alias("_a"), F.col("ring").alias("ra"), "ax0", "ay0", "ax1", "ay1")
+    right = b.withColumns(box("b")).select(F.col(b_id).alias("_b"), F.col("ring").alias("rb"), "bx0", "by0", "bx1", "by1")
+    pairs = rect_pairs(left, right, size).select(F.col("_a").alias(a_id), F.col("_b").alias(b_id), "ra", "rb")
+
+    def cut_out(batches):
+        for pdf in batches:
+            ring = lambda r: [(p["x"], p["y"]) for p in r]
+            pdf["area"] = [ring_area(clipped(ring(r), ring(s))) for r, s in zip(pdf["ra"], pdf["rb"])]
+            yield pdf[pdf["area"] > 0][[a_id, b_id, "area"]]
+
+    kind = lambda c: dict(pairs.dtypes)[c]
+    return pairs.mapInPandas(cut_out, f"{a_id} {kind(a_id)}, {b_id} {kind(b_id)}, area double")
+
+
+def delaunay(points: DataFrame, point_id: str, most: int = 20_000) -> DataFrame:
+    """a, b: the edges of the Delaunay triangulation of an entity table; more than `most` points are an error. Points are
+    added one by one: triangles whose circle holds the new point go, and it is joined to the hole's rim."""
+    import numpy as np
+
+    rows = sorted((float(r["x"]), float(r["y"]), r[point_id]) for r in points.select("x", "y", point_id).dropna().limit(most + 1).collect())
+    if len(rows) > most:
+        raise ValueError(f"more than {most} points")
+    seen: dict[tuple[float, float], int] = {}
+    for x, y, i in rows:
+        seen.setdefault((x, y), i)
+    at = np.array(list(seen), float).reshape(-1, 2)
+    ids = list(seen.values())
+    n = len(at)
+    kind = dict(points.dtypes)[point_id]
+    if n < 3:
+        return points.sparkSession.createDataFrame([(min(ids), max(ids))] if n == 2 else [], f"a {kind}, b {kind}")
+    mid, span = (at.min(0) + at.max(0)) / 2, float(max(np.ptp(at[:, 0]), np.ptp(at[:, 1]), 1.0))
+    p = np.vstack([(at - mid) / span, [[0, 1e4], [-1e4, -1e4], [1e4, -1e4]]])  # a triangle around all
+    tri = np.array([[n, n + 1, n + 2]])
+
+    def circles(t):
+        a, b, c = p[t[:, 0]], p[t[:, 1]], p[t[:, 2]]
+        d = 2 * ((b[:, 0] - a[:, 0]) * (c[:, 1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (c[:, 0] - a[:, 0]))
+        d[d == 0] = 1e-300
+        bb, cc = ((b - a) ** 2).sum(1), ((c - a) ** 2).sum(1)
+        ux = ((c[:, 1] - a[:, 1]) * bb - (b[:, 1] - a[:, 1]) * cc) / d
+        uy = ((b[:, 0] - a[:, 0]) * cc - (c[:, 0] - a[:, 0]) * bb) / d
+        return np.c_[a[:, 0] + ux, a[:, 1] + uy, ux * ux + uy * uy]
+
+    ring = circles(tri)
+    for k in range(n):
+        bad = (p[k, 0] - ring[:, 0]) ** 2 + (p[k, 1] - ring[:, 1]) ** 2 < ring[:, 2] * (1 - 1e-12)
+        edges = np.sort(np.vstack([tri[bad][:, [0, 1]], tri[bad][:, [1, 2]], tri[bad][:, [2, 0]]]), axis=1)
+        rim, count = np.unique(edges, axis=0, return_counts=True)
+        new = np.c_[rim[count == 1], np.full(int((count == 1).sum()), k)]
+        tri, ring = np.vstack([tri[~bad], new]), np.vstack([ring[~bad], circles(new)])
+    tri = tri[(tri < n).all(1)]
+    edges = np.unique(np.sort(np.vstack([tri[:, [0, 1]], tri[:, [1, 2]], tri[:, [2, 0]]]), axis=1), axis=0)
+    return points.sparkSession.createDataFrame([tuple(sorted((ids[i], ids[j]))) for i, j in edges.tolist()], f"a {kind}, b {kind}")
+
+
+def nearest_segments(points: DataFrame, lines: DataFrame, point_id: str, reach: float, grow: float = 4.0) -> DataFrame:
+    """point_id, dist: to the nearest segment (x0, y0, x1, y1) of a table, exactly: segments and points meet on the cells that a
+    segment's box touches within a reach; points that find none within it are tried again further."""
+    box = points.select(F.col("x").alias("a"), F.col("y").alias("b")).union(lines.select("x0", "y0")).union(lines.select("x1", "y1")).agg(F.max("a") - F.min("a"), F.max("b") - F.min("b")).first()
+    far = math.hypot(box[0] or 0.0, box[1] or 0.0) + 1.0
+    todo, out = points, None
+    d = segment_distance(*[F.col(c) for c in ("x", "y", "x0", "y0", "x1", "y1")])
+    while True:
+        r = min(reach, far)
+        span = lambda a, b: F.explode(F.sequence(cell(F.least(a, b) - r, r), cell(F.greatest(a, b) + r, r)))  # noqa: B023, E731
+        touched = lines.withColumn("ci", span(F.col("x0"), F.col("x1"))).withColumn("cj", span(F.col("y0"), F.col("y1")))
+        pairs = todo.withColumn("ci", cell(F.col("x"), r)).withColumn("cj", cell(F.col("y"), r)).join(touched.select("x0", "y0", "x1", "y1", "ci", "cj"), ["ci", "cj"])
+        got = cut(pairs.groupBy(point_id).agg(F.min(d).alias("dist")).filter(F.col("dist") <= r))
+        out = got if out is None else out.unionByName(got)
+        if reach >= far:
+            return out
+        todo = cut(todo.join(got.select(point_id), point_id, "left_anti"))
+        if todo.isEmpty():
+            return out
+        reach *= grow

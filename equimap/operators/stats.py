@@ -133,6 +133,14 @@ def conflicts(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
+def checked_join(df: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
+    """df joined with a lookup table on a derived key; keys that stand for more than one row of it are an error."""
+    odd = [r[0] for r in conflicts(lookup, key).limit(5).collect()]
+    if odd:
+        raise ValueError(f"keys with more than one row: {odd}")
+    return df.join(lookup, key)
+
+
 def compare(new: DataFrame, old: DataFrame, key: str, col: str) -> DataFrame:
     """Largest absolute and median relative difference, correlation and share of equal values."""
     j = new.select(key, F.col(col).alias("a")).join(old.select(key, F.col(col).alias("b")), key)
@@ -153,3 +161,64 @@ def kfolds(df: DataFrame, key: str, target: str, k: int = 5, bins: int = 5) -> D
     rows = rows.join(F.broadcast(n.select("bin", "ub", before.alias("before"))), ["bin", "ub"])
     at = F.row_number().over(Window.partitionBy("bin", "ub").orderBy("u", key)) + F.col("before") - 1
     return rows.select(key, target, "bin", F.pmod(at, F.lit(k)).cast("int").alias("fold"))
+
+
+def running_max(df: DataFrame, order: str, value: str, buckets: int = BUCKETS) -> DataFrame:
+    """df with best: the largest value up to its place in the order (ties of the order count together)."""
+    rows = df.withColumn("_o", F.col(order).cast("double"))
+    rows = rows.withColumn("_b", _bucket(rows, "_o", buckets))
+    tops = rows.groupBy("_b").agg(F.max(value).alias("_t"))
+    tops = tops.select("_b", F.max("_t").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))  # a row for each bucket
+    inner = Window.partitionBy("_b").orderBy("_o").rangeBetween(Window.unboundedPreceding, 0)
+    out = rows.join(F.broadcast(tops), "_b").withColumn("best", F.greatest("_before", F.max(value).over(inner)))
+    return out.select(*df.columns, "best")
+
+
+def column_diff(a: DataFrame, b: DataFrame) -> DataFrame:
+    """name, side: columns that only one of two tables has."""
+    one, two = set(a.columns), set(b.columns)
+    rows = [(c, "first") for c in sorted(one - two)] + [(c, "second") for c in sorted(two - one)]
+    return a.sparkSession.createDataFrame(rows, "name string, side string")
+
+
+def best_match(df: DataFrame, a: str, b: str, most: int = 8) -> DataFrame:
+    """One row: the largest share of rows that agree when the labels of one column are matched one to one to those of the
+    other. More than `most` labels on a side are an error, since all matchings are tried."""
+    from itertools import permutations
+
+    cells = {(r[a], r[b]): r["n"] for r in df.dropna(subset=[a, b]).groupBy(a, b).agg(F.count(F.lit(1)).alias("n")).limit(most * most + 1).collect()}
+    left, right = sorted({x for x, _ in cells}, key=str), sorted({y for _, y in cells}, key=str)
+    if max(len(left), len(right)) > most:
+        raise ValueError(f"more than {most} labels")
+    short, long = (left, right) if len(left) <= len(right) else (right, left)
+    at = (lambda x, y: cells.get((x, y), 0)) if short is left else (lambda x, y: cells.get((y, x), 0))
+    best = max((sum(at(x, y) for x, y in zip(short, p)) for p in permutations(long, len(short))), default=0)
+    return df.sparkSession.createDataFrame([(best / sum(cells.values()) if cells else None,)], "accuracy double")
+
+
+def aligned(centres: DataFrame, anchors: DataFrame, key: str, name: str, cols: list[str], most: int = 8) -> DataFrame:
+    """key, name, cost: each cluster's anchor, so that the sum of distances, scaled by the anchors' ranges, is least. Every
+    matching is tried; more than `most` clusters are an error."""
+    from itertools import permutations
+
+    c = sorted(tuple(r) for r in centres.select(key, *cols).limit(most + 1).collect())
+    a = sorted(tuple(r) for r in anchors.select(name, *cols).limit(most + 1).collect())
+    if max(len(c), len(a)) > most or len(c) > len(a):
+        raise ValueError(f"{len(c)} clusters, {len(a)} anchors; at most {most}, and no more clusters than anchors")
+    span = [max(x[k] for x in a) - min(x[k] for x in a) or 1.0 for k in range(1, len(cols) + 1)]
+    cost = [[sum(((x[k] - y[k]) / s) ** 2 for k, s in enumerate(span, 1)) ** 0.5 for y in a] for x in c]
+    best = min(permutations(range(len(a)), len(c)), key=lambda p: (sum(cost[i][j] for i, j in enumerate(p)), p))
+    return centres.sparkSession.createDataFrame([(x[0], a[j][0], cost[i][j]) for i, (x, j) in enumerate(zip(c, best))], f"{key} {dict(centres.dtypes)[key]}, {name} {dict(anchors.dtypes)[name]}, cost double")
+
+
+def near_equal(a: DataFrame, b: DataFrame, cols: list[str], digits: int) -> DataFrame:
+    """Rows of two tables whose columns are equal when rounded; the other columns of both."""
+    key = lambda df: df.withColumns({f"_k{i}": F.round(c, digits) for i, c in enumerate(cols)})
+    keys = [f"_k{i}" for i in range(len(cols))]
+    return key(a).join(key(b).drop(*cols), keys).drop(*keys)
+
+
+def mapped(names: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
+    """names joined with a lookup table, whose blank and missing keys are skipped."""
+    k = F.trim(F.col(key))
+    return names.join(lookup.filter(F.col(key).isNotNull() & (k != "") & (F.lower(k) != "nan")), key)

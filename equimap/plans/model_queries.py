@@ -1,4 +1,4 @@
-"""Queries of models and optimisation; most are tested by their properties, since SQL can't express them."""
+"""Queries of models and optimisation; those that SQL can't express are tested by their properties (tests/test_models.py)."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import models as M
 from ..operators import spatial as G
 from ..operators import stats as A
+from ..operators.lineage import cut
 from .registry import Registry
 from .spatial_queries import _KNN, _neighbours
 from .tables import points, read, travel
@@ -39,7 +40,9 @@ _FEATURES = ["c_acctbal", "nation", "prio"]
 
 @Q()
 def gbt_cv(spark, d):
-    return M.boosted_cv(_folds(spark, d), _FEATURES, "o_totalprice", "fold", rounds=5)
+    """Scores on held-out folds; cheap orders weigh more."""
+    rows = _folds(spark, d).withColumn("w", 0.5 + 1 / (1 + F.col("o_totalprice") / 100000))
+    return M.boosted_cv(rows, _FEATURES, "o_totalprice", "fold", rounds=5, weight="w")
 
 
 @Q()
@@ -49,7 +52,12 @@ def importance_topk(spark, d):
 
 @Q()
 def huber_baseline(spark, d):
-    return M.huber(_folds(spark, d), _FEATURES, "o_totalprice")
+    return M.huber(_folds(spark, d), _FEATURES, "o_totalprice", "fold")
+
+
+@Q()
+def tuning_trials(spark, d):
+    return M.tune(cut(_folds(spark, d)), _FEATURES, "o_totalprice", "fold", trials=4, startup=2)
 
 
 @Q()

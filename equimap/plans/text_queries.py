@@ -106,3 +106,9 @@ def corpus_build(spark, d):
     c = read(spark, d, "conversations").filter(F.trim("text") != "")
     per = c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("t")))).alias("x"))
     return per.select("conv_id", "n", F.array_join(F.transform("x", lambda r: r["t"]), " / ").alias("body"))
+
+
+@Q(f"WITH {_BASE} SELECT entity, subdim, array_to_string(list_sort(list(DISTINCT term))[1:6], ', ') AS words FROM hit WHERE kind IN ('anchor', 'self') GROUP BY entity, subdim")
+def evidence_words(spark, d):
+    """The first six hits of each sub-dimension, in order."""
+    return X.evidence(_corpus(spark, d), _lexicon(spark), WORDS, NOT).select("entity", "subdim", "words")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,15 +38,24 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None, encoding
         return reader.option("encoding", "ISO-8859-1" if e == "latin-1" else "UTF-8").csv(path)
 
     def decode(batches):
-        for pdf in batches:
-            yield pdf.assign(value=[bytes(c).decode(e) for c in pdf["content"]])[["value"]]
+        import io
 
-    lines = spark.read.format("binaryFile").load(path).select("content").mapInPandas(decode, "value string")
-    lines = lines.select(F.explode(F.split("value", "\r?\n")).alias("value")).filter("value <> ''")
-    head = lines.first()[0]
-    names = schema or ", ".join(f"`{c}` string" for c in head.split(","))
-    parsed = lines.filter(F.col("value") != head).select(F.from_csv("value", F.lit(names)).alias("r"))
-    return parsed.select("r.*")
+        import pandas as pd
+
+        for pdf in batches:
+            for content in pdf["content"]:  # a file at a time; quoted line breaks stay inside their field
+                rows = list(csv.reader(io.StringIO(bytes(content).decode(e))))
+                yield pd.DataFrame({"cells": [r for r in rows[1:] if r]})
+
+    files = spark.read.format("binaryFile").load(path)
+    head = bytes(files.select("content").first()[0]).decode(e).splitlines()[0]
+    names = next(csv.reader([head]))
+    cells = files.select("content").mapInPandas(decode, "cells array<string>")
+    out = cells.select(*[F.get("cells", i).alias(c) for i, c in enumerate(names)])
+    if schema:
+        wanted = spark.createDataFrame([], schema).schema
+        out = out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted])
+    return out
 
 
 def resolve(df: DataFrame, candidates: list[str], required: bool = True) -> str | None:
@@ -124,3 +136,88 @@ def null_rates(df: DataFrame) -> DataFrame:
     """name, rate of rows with a value, for each column."""
     one = df.agg(*[F.avg(F.col(c).isNotNull().cast("double")).alias(c) for c in df.columns])
     return one.unpivot([], df.columns, "name", "rate")
+
+
+def write_csv_bom(df: DataFrame, path: str) -> None:
+    """CSV with a header and a byte order mark at the start of each file: the mark stands before the first column's name."""
+    df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0]).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_features(df: DataFrame, path: str, ring: str = "ring") -> None:
+    """GeoJSON features, one a line, from rows with a ring (array of x, y); what the path held before goes."""
+    shut = F.concat(F.col(ring), F.slice(ring, 1, 1))
+    shape = F.struct(F.lit("Polygon").alias("type"), F.array(F.transform(shut, lambda p: F.array(p["x"], p["y"]))).alias("coordinates"))
+    rest = [c for c in df.columns if c != ring]
+    df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), shape.alias("geometry"), F.struct(*rest).alias("properties"))).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_features(spark: SparkSession, path: str, properties: str, crs: str | None) -> DataFrame:
+    """Polygon features, one a line: their properties (a schema) and ring. No reference system or no feature is an error;
+    features without a ring of three corners are dropped, and rings are turned counter-clockwise."""
+    if not crs:
+        raise ValueError("no coordinate reference system")
+    kind = f"geometry struct<type: string, coordinates: array<array<array<double>>>>, properties struct<{properties}>"
+    rows = spark.read.schema(kind).json(path)
+    if rows.isEmpty():
+        raise ValueError(f"no feature in {path}")
+    points = F.transform(F.get("geometry.coordinates", 0), lambda p: F.struct(F.get(p, 0).alias("x"), F.get(p, 1).alias("y")))
+    r = rows.select("properties.*", points.alias("_p")).filter(F.size("_p") > 3).withColumn("_p", F.slice("_p", 1, F.size("_p") - 1))
+    twice = F.aggregate(F.sequence(F.lit(0), F.size("_p") - 1), F.lit(0.0), lambda a, i: a + F.get("_p", i)["x"] * F.get("_p", (i + 1) % F.size("_p"))["y"] - F.get("_p", (i + 1) % F.size("_p"))["x"] * F.get("_p", i)["y"])
+    return r.withColumn("ring", F.when(twice < 0, F.reverse("_p")).otherwise(F.col("_p"))).drop("_p")
+
+
+def convert_layers(spark: SparkSession, layers: dict[str, DataFrame | None], out: str) -> DataFrame:
+    """Writes each layer as Parquet with a CSV beside it; a layer that fails doesn't stop the others. name, rows, error."""
+    found = []
+    for name, df in layers.items():
+        try:
+            df.write.mode("overwrite").parquet(f"{out}/{name}")
+            back = spark.read.parquet(f"{out}/{name}")
+            back.select(*[F.col(c) if t in ("string", "double", "bigint", "int", "boolean", "float") else F.to_json(F.struct(c)).alias(c) for c, t in back.dtypes]).write.mode("overwrite").option("header", True).csv(f"{out}/{name}.csv")
+            found.append((name, back.count(), None))
+        except Exception as e:  # noqa: BLE001  whatever it is goes into the inventory
+            found.append((name, None, str(e).splitlines()[0][:200] if str(e) else type(e).__name__))
+    return spark.createDataFrame(found, "name string, rows long, error string")
+
+
+def entities(raw: DataFrame, key: str, target: str, order: list[Column], name: str, stages: list[tuple[list[str], str]], wkt: str = "wkt") -> DataFrame:
+    """An entity table: canonical ids, the first row of each id in the order, stages by name, points from text, and only rows
+    with a target."""
+    from ..functions import scalar as S
+    from ..operators import stats as A
+
+    x, y = S.point_of_wkt(F.col(wkt))
+    t = raw.select(S.canonical_id(F.col(key)).alias(key), F.col(target).alias(target), S.first_match(F.col(name), stages).alias("stage"), x.alias("x"), y.alias("y"), *[o.alias(f"_o{i}") for i, o in enumerate(order)])
+    return A.dedupe_first(t, [key], [F.col(f"_o{i}").alias(f"_s{i}") for i in range(len(order))]).filter(F.col(target).isNotNull()).select(key, "stage", "x", "y", target)
+
+
+def only_kinds(df: DataFrame, kind: str, allowed: list[str], dropped: list[str]) -> DataFrame:
+    """Rows of the allowed kinds. The kinds that fall away have to be among the stated ones; others are an error."""
+    odd = df.filter(~F.col(kind).isin(*allowed, *dropped)).select(kind).distinct().limit(5).collect()
+    if odd:
+        raise ValueError(f"unexpected kinds: {sorted(r[0] for r in odd)}")
+    return df.filter(F.col(kind).isin(*allowed))
+
+
+class Registry:
+    """Names of inputs under a data folder, which the environment variable EQUIMAP_DATA or a parameter names; normalised
+    rasters are made once and kept in a folder beside."""
+
+    def __init__(self, spark: SparkSession, data: str | None = None, work: str | None = None) -> None:
+        found = data or os.environ.get("EQUIMAP_DATA")
+        if not found:
+            raise KeyError("EQUIMAP_DATA")
+        self.spark, self.data = spark, found.rstrip("/")
+        self.work = (work or f"{self.data}/_normalised").rstrip("/")
+
+    def path(self, name: str) -> str:
+        return f"{self.data}/{name}"
+
+    def normalised(self, name: str, make) -> DataFrame:
+        """The kept table of this name; make() gives it where there is none yet."""
+        at = f"{self.work}/{name}"
+        try:
+            return self.spark.read.parquet(at)
+        except Exception:  # noqa: BLE001  not there yet
+            make().write.mode("overwrite").parquet(at)
+            return self.spark.read.parquet(at)
