@@ -152,7 +152,7 @@ class Marks:
         cells = keys.select(F.shiftright(place, 15).alias("k"), place.bitwiseAND(F.lit(32767)).alias("p"))
         rows = cells.groupBy("k").agg(F.bitmap_construct_agg("p").alias("m"))
         whole = np.zeros(1 << (self.bits - 3), np.uint8)
-        for k, m in rows.toLocalIterator():
+        for k, m in rows.collect():  # at most 2 ** MOST bits
             whole[k << 12 : (k + 1) << 12] = np.frombuffer(m, np.uint8)
         self.marks = keys.sparkSession.sparkContext.broadcast(whole)
 
