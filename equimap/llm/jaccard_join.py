@@ -330,7 +330,9 @@ class _Join:
         return linked
 
     def components(self, edges: DataFrame) -> DataFrame:
-        """rid, comp for all documents in an edge, by alternating large-star and small-star."""
+        """rid, comp for all documents in an edge, by alternating large-star and small-star. The least neighbours are a table of
+        a row for each document before they are joined, so that Spark can split the rows of a document that very many are
+        linked with, such as the least one of a large group."""
         sc = self.scratch
         e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
         e, mark = sc.put(e), None
@@ -340,14 +342,15 @@ class _Join:
                 return e.select(F.col("u").alias("rid"), F.col("v").alias("comp"))
             mark = now
             both = e.union(e.select("v", "u"))
-            least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            least = sc.put(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
             big = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
             big = sc.put(big)
-            least = big.groupBy("u").agg(F.min("v").alias("m"))
+            sc.drop(least)
+            least = sc.put(big.groupBy("u").agg(F.min("v").alias("m")))
             small = big.join(least, "u")
             small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", "m")).filter("u <> v").distinct()
             old, e = e, sc.put(small)
-            sc.drop(old, big)
+            sc.drop(old, big, least)
 
     def run(self) -> DataFrame:
         sc, rule = self.scratch, self.rule
