@@ -139,10 +139,10 @@ def raster_cells(spark, d):
     return p.groupBy(F.floor(F.col("x") / 100).alias("col"), F.floor((50 - F.col("y")) / 5).alias("row")).agg(F.max("p_partkey").alias("value"))
 
 
-@Q(f"WITH {ROADS} SELECT a AS origin, b AS node, round(d, 6) AS d FROM d5 WHERE d <= 12")
+@Q(f"WITH {ROADS} SELECT a AS origin, b AS node, round(d, 9) AS d FROM d5 WHERE d <= 12")
 def sssp_cutoff(spark, d):
     """Shortest paths up to a cutoff between all nations."""
-    return N.shortest(cut(N.directed(roads(spark, d))), nations(spark, d), 12.0).withColumn("d", F.round("d", 6))
+    return N.shortest(cut(N.directed(roads(spark, d))), nations(spark, d), 12.0).withColumn("d", F.round("d", 9))
 
 
 @Q(f"WITH {ROADS} SELECT d5.a AS origin, e.a AS src, e.b AS dst, round(least(1.0, (12 - d) / w), 6) AS share FROM d5 JOIN e ON d5.b = e.a WHERE d < 12")
