@@ -37,9 +37,14 @@ def knn(points: DataFrame, sites: DataFrame, k: int, radius: float, point_id: st
     """For each point its k nearest sites (ties by site id): point_id, site_id, d2, rank.
 
     Sites inside a radius are ranked; points with fewer than k of them are tried again with a larger radius, until it
-    spans both tables. The k nearest are inside the radius once k were found there, so the result is exact."""
-    box = points.select("x", "y").union(sites.select("sx", "sy")).agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
-    reach = math.hypot(box[0] or 0.0, box[1] or 0.0) + 1.0
+    spans both tables. The k nearest are inside the radius once k were found there, so the result is exact. The first
+    radius is the given one, or less where sites are so dense that a smaller circle holds a few times k of them."""
+    both = points.select("x", "y", F.lit(0).alias("s")).union(sites.select("sx", "sy", F.lit(1)))
+    box = both.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.sum("s")).first()
+    wide, high = box[0] or 0.0, box[1] or 0.0
+    reach = math.hypot(wide, high) + 1.0
+    if box[2] and wide * high > 0:
+        radius = min(radius, 2 * math.sqrt(wide * high * k / (math.pi * box[2])))
     w = Window.partitionBy(point_id).orderBy("d2", site_id)
     todo, out = points, None
     while True:
