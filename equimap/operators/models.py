@@ -319,31 +319,3 @@ def skater(df: DataFrame, edges: DataFrame, key: str, cols: list[str], k: int) -
     parts.sort(key=min)
     label = {i: n + 1 for n, p in enumerate(parts) for i in p}
     return df.sparkSession.createDataFrame([(r[key], label[i]) for i, r in enumerate(rows)], f"{key} long, region int")
-
-
-def allocate(demand: DataFrame, supply: DataFrame, od: DataFrame, budget_blocks: int, per_site: int, block: float = 50.0) -> DataFrame:
-    """site, blocks: whole blocks of seats, one at a time to the site whose reachable unmet demand is largest (ties to the
-    least site), until the budget, a site's limit or the demand ends. For entity tables of a checked size."""
-    d = {r["i"]: float(r["d"]) for r in _bounded(demand)}
-    s = {r["j"]: float(r["s"]) for r in _bounded(supply)}
-    reach: dict = {}
-    for r in _bounded(od.orderBy("t", "i", "j"), 5_000_000):
-        reach.setdefault(r["j"], []).append(r["i"])
-    unmet = dict(d)
-
-    def serve(j, seats):
-        for i in reach.get(j, ()):
-            take = min(seats, unmet.get(i, 0.0))
-            unmet[i] = unmet.get(i, 0.0) - take
-            seats -= take
-
-    for j in sorted(s):
-        serve(j, s[j])
-    blocks = dict.fromkeys(sorted(s), 0)
-    for _ in range(budget_blocks):
-        gain, j = max(((min(block, sum(unmet.get(i, 0.0) for i in reach.get(j, ()))), -j) for j in s if blocks[j] < per_site), default=(0.0, 0))
-        if gain <= 0:
-            break
-        blocks[-j] += 1
-        serve(-j, block)
-    return demand.sparkSession.createDataFrame([(j, n, n * block) for j, n in blocks.items()], "site long, blocks int, seats double")

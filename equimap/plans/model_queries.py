@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import allocation as L
+from ..operators import evaluation as V
 from ..operators import models as M
+from ..operators import network as N
 from ..operators import spatial as G
 from ..operators import stats as A
 from ..operators.lineage import cut
 from .registry import Registry
 from .spatial_queries import _KNN, _neighbours
-from .tables import points, read, travel
+from .tables import points, read, roads
 
 Q = Registry()
 
@@ -72,11 +75,42 @@ def skater_regions(spark, d):
     return M.skater(p, G.knn(p, s, 4, 900.0, "vec_id", "sid", exclude_self=True).select("vec_id", "sid"), "vec_id", ["v"], 6)
 
 
+def _plan(spark, d):
+    """Five cells for each customers' nation and two sites, primary and middle, for each suppliers' nation; minutes grow with
+    the nations' distance on a lattice of five columns and with the roads' mean."""
+    k, n = F.col("c_custkey"), F.col("c_nationkey").cast("long")
+    people = read(spark, d, "customer").groupBy((n * 5 + F.pmod(k, F.lit(5))).alias("i")).agg(F.count(F.lit(1)).cast("double").alias("d"), (1 + F.avg("c_acctbal") / 10000).cast("double").alias("w"))
+    k, n = F.col("s_suppkey"), F.col("s_nationkey").cast("long")
+    j, good = (n * 2 + F.pmod(k, F.lit(2))).alias("j"), F.greatest(F.col("s_acctbal"), F.lit(0.0)) / 10000
+    s = read(spark, d, "supplier").groupBy(j).agg((F.count(F.lit(1)) * 7.0).alias("room"), F.avg(good).cast("double").alias("soft"))
+    risk, is_ = F.pmod("j", F.lit(5)), lambda c: c.cast("double")
+    price = L.seat_price(risk / 4, risk / 4, F.col("soft"), is_(F.pmod("j", F.lit(7)) == 0), is_(F.pmod("j", F.lit(6)) == 0))
+    first = F.pmod("j", F.lit(2)) == 0
+    s = cut(s.select("j", "room", F.when(first, 0.667).otherwise(0.333).alias("share"), F.lit(6).alias("most"), price.alias("price"), (risk >= 3).alias("risky"), F.when(first, "primary").otherwise("middle").alias("stage")))
+    part = lambda c, f: f(F.col(c) / 5) if f else F.pmod(c, F.lit(5))
+    far = sum(F.abs(part("src", f) - part("dst", f)) for f in (F.floor, None))
+    each = F.explode(F.sequence(F.lit(0), F.lit(4))).alias("g")
+    od = roads(spark, d).select("src", "dst", (6 * far + F.col("w")).alias("t"), each).select((F.col("src") * 5 + F.col("g")).alias("i"), "dst", (F.col("t") + F.col("g")).alias("t"))
+    od = cut(od.join(s.select("j", "stage", F.floor(F.col("j") / 2).alias("dst")), "dst").filter(F.col("t") <= F.when(F.col("stage") == "primary", 30.0).otherwise(40.0)).select("i", "j", "t", "stage"))
+    access = V.stage_access(od.select("i", "j", "t"), s.select("j", F.col("room").alias("s"), "stage"), people, {"primary": 30.0, "middle": 40.0}, {"primary": 0.667, "middle": 0.333})
+    cells = N.low_access(people.join(access, "i", "left").withColumn("a", F.coalesce("a", F.lit(0.0))))
+    return cut(cells.select("i", "d", "w", "low")), s, od
+
+
 @Q()
 def allocation_plan(spark, d):
-    dem = read(spark, d, "customer").groupBy(F.col("c_nationkey").cast("long").alias("i")).agg((F.count(F.lit(1)) * 20.0).alias("d"))
-    sup = read(spark, d, "supplier").select(F.col("s_suppkey").alias("j"), F.greatest(F.col("s_acctbal") / 100, F.lit(0.0)).alias("s"))
-    return M.allocate(dem, sup, travel(spark, d).filter("t <= 3"), 100, 6)
+    return L.solve(*_plan(spark, d), budget=100, longest=40.0, rounds=0).sites.withColumn("low_share", F.round("low_share", 6))
+
+
+@Q()
+def allocation_flows(spark, d):
+    return L.solve(*_plan(spark, d), budget=100, longest=40.0, rounds=0).flows.withColumn("x", F.round("x", 4))
+
+
+@Q()
+def allocation_gap(spark, d):
+    s = L.solve(*_plan(spark, d), budget=100, longest=40.0).summary
+    return s.select(F.round("objective", 2).alias("objective"), F.round("bound", 2).alias("bound"), F.round("gap", 4).alias("gap"), "blocks", F.round("unmet", 4).alias("unmet"))
 
 
 @Q()

@@ -141,13 +141,8 @@ def test_running_sums(spark):
         assert got == np.r_[0, np.cumsum(np.arange(n) % 7)].tolist()
 
 
-def test_jenks_and_allocation(spark):
+def test_jenks(spark):
     assert models.jenks([1, 1.1, 5, 5.2, 9, 9.1, 20, 21, 40], 5) == [1.1, 5.2, 9.1, 21.0]
-    dem = spark.createDataFrame([(1, 100.0), (2, 30.0)], "i long, d double")
-    sup = spark.createDataFrame([(1, 0.0), (2, 10.0)], "j long, s double")
-    od = spark.createDataFrame([(1, 1, 1.0), (2, 2, 1.0)], "i long, j long, t double")
-    got = {r.site: r.blocks for r in models.allocate(dem, sup, od, 3, 6).collect()}
-    assert got == {1: 2, 2: 1}
 
 
 def test_sources(spark, tmp_path):
