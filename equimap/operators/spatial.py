@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import projection as P
 from .lineage import cut
 
 
@@ -232,6 +233,25 @@ def bilinear(points: DataFrame, pixels: DataFrame) -> DataFrame:
     return points.join(got, points.columns, "left")
 
 
+def reprojected(pixels: DataFrame, left: float, top: float, res: float, zone: P.Zone, size: float) -> tuple[DataFrame, float, float]:
+    """A raster in degrees (row, col, value; its upper left corner, degrees of a pixel) on square pixels of `size` metres in
+    a zone's plane: row, col, value where there is one, with the plane's left and top. The origin is a multiple of size."""
+    edge = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)])).alias("e")
+    corners = pixels.select("row", "col", edge)
+    x, y = P.to_plane(left + (F.col("col") + F.col("e.a")) * res, top - (F.col("row") + F.col("e.b")) * res, zone)
+    box = corners.agg(F.min(x), F.max(y), F.max(x), F.min(y), F.max("row"), F.max("col")).first()
+    if box[0] is None:
+        return pixels.select("row", "col", "value").limit(0), left, top
+    x0, y1 = math.floor(box[0] / size) * size, math.ceil(box[1] / size) * size
+    nx, ny = math.ceil((box[2] - x0) / size), math.ceil((y1 - box[3]) / size)
+    grid = pixels.sparkSession.range(nx * ny).select(F.floor(F.col("id") / nx).alias("trow"), F.pmod("id", F.lit(nx)).alias("tcol"))
+    lon, lat = P.to_degrees(x0 + (F.col("tcol") + 0.5) * size, y1 - (F.col("trow") + 0.5) * size, zone)
+    at = grid.select("trow", "tcol", ((lon - left) / res - 0.5).alias("x"), ((top - lat) / res - 0.5).alias("y"))
+    at = at.filter(F.col("x").between(-0.5, box[5] + 0.5) & F.col("y").between(-0.5, box[4] + 0.5))
+    out = bilinear(at, pixels.select("row", "col", "value")).filter("value is not null")
+    return out.select(F.col("trow").alias("row"), F.col("tcol").alias("col"), "value"), x0, y1
+
+
 def repaired(pixels: DataFrame, nodata: float) -> DataFrame:
     """pixels with value null where it is the nodata mark, below -1e10 or not a number."""
     v = F.col("value")

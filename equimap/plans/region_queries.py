@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import projection as R
 from ..functions import scalar as S
 from ..operators import models as M
 from ..operators import network as N
@@ -254,3 +255,35 @@ def grid_lifecircles(spark, d):
     area = N.isochrone_cells(s, 50.0, 90.0).groupBy("origin").agg((F.count(F.lit(1)) * 2500.0).alias("area"))
     j = c.join(area, c["node"] == area["origin"], "left")
     return j.select("ci", "cj", F.coalesce("area", F.lit(3.141592653589793 * 90 * 90)).alias("area"))
+
+
+def _sum_sql(terms, one, two):
+    return " + ".join(f"({t!r}::DOUBLE * {one}({2 * k} * a) * {two}({2 * k} * b))" for k, t in enumerate(terms, 1))
+
+
+_Z = R.ZONE_38
+_E = 2 * _Z.n**0.5 / (1 + _Z.n)
+
+
+@Q(f"""WITH {POINTS}, g AS (SELECT vec_id, 114 + x / 4000 AS lon, 36 + y / 4000 AS lat FROM p), s AS (SELECT *, sinh(atanh(sin(radians(lat))) - {_E!r}::DOUBLE * atanh({_E!r}::DOUBLE * sin(radians(lat)))) AS t, radians(lon - 114) AS d FROM g),
+ab AS (SELECT *, atan2(t, cos(d)) AS a, atanh(sin(d) / sqrt(1 + t * t)) AS b FROM s)
+SELECT vec_id, round(38500000 + {_Z.radius!r}::DOUBLE * (b + {_sum_sql(R._forward(_Z.n), "cos", "sinh")}), 3) AS x, round({_Z.radius!r}::DOUBLE * (a + {_sum_sql(R._forward(_Z.n), "sin", "cosh")}), 3) AS y, round(lon, 8) + 0.0 AS lon, round(lat, 8) + 0.0 AS lat FROM ab""")
+def reprojected_points(spark, d):
+    """Points in degrees, in the plane of a zone, and back in degrees."""
+    p = points(spark, d).select("vec_id", (114 + F.col("x") / 4000).alias("lon"), (36 + F.col("y") / 4000).alias("lat"))
+    x, y = R.to_plane(F.col("lon"), F.col("lat"), _Z)
+    plane = p.select("vec_id", x.alias("x"), y.alias("y"))
+    lon, lat = R.to_degrees(F.col("x"), F.col("y"), _Z)
+    return plane.select("vec_id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), F.round(lon, 8).alias("lon"), F.round(lat, 8).alias("lat"))
+
+
+def _degrees_raster(spark, d):
+    k = F.col("p_partkey")
+    return read(spark, d, "part").groupBy(F.pmod(k, F.lit(40)).alias("row"), F.pmod(F.floor(k / 40), F.lit(25)).alias("col")).agg(F.avg("p_retailprice").cast("double").alias("value"))
+
+
+@Q()
+def reprojected_raster(spark, d):
+    """A raster of hundredths of a degree on kilometre pixels of a zone."""
+    out, left, top = G.reprojected(cut(_degrees_raster(spark, d)), 113.6, 36.2, 0.01, _Z, 1000.0)
+    return out.select("row", "col", F.round("value", 4).alias("value"), F.lit(left).alias("left"), F.lit(top).alias("top"))
