@@ -1,8 +1,8 @@
 """Exact dedup by deterministic block naming.
 
-Texts are cut into fixed-size blocks of UTF-8 bytes. All distinct blocks are sorted and the sorted order gives each an
-integer name. Then adjacent names of a document are paired, the distinct pairs sorted and named in turn, and so on until
-each document is down to one name. (level, name) is then the identity of the whole text: equal for equal texts only.
+Texts are cut into fixed-size blocks of UTF-8 bytes. All distinct blocks are sorted, by a hash and then by their bytes, and
+their places give them integer names. Then adjacent names of a document are paired, the distinct pairs sorted and named in
+turn, and so on until each document is down to one name. Names don't depend on the number of partitions. (level, name) is then the identity of the whole text: equal for equal texts only.
 
 Blocks travel once. A 64-bit hash only routes a block's occurrences to its name; blocks are compared by their bytes, and
 if two different blocks share a hash their occurrences are resolved by the bytes, so a collision can't merge texts.
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, narrow, table, with_row_ids
@@ -25,12 +25,21 @@ from .common import Scratch, narrow, table, with_row_ids
 BLOCK_BYTES = 2048
 #: Stands for the missing second name of a pair.
 NONE = -(1 << 63)
+#: Leading bits of a hash that cut the order of all values into ranges.
+RANGE_BITS = 16
 
 
 def _named(distinct: DataFrame, order: list[str]) -> DataFrame:
-    """A name for each row of a table of distinct values: its place in its sorted hash partition, which is unique over
-    all partitions and is the same whenever the partition is made again."""
-    return distinct.sortWithinPartitions(*order).withColumn("name", F.monotonically_increasing_id())
+    """A name for each row of a stored table of distinct values: its place in the order over all rows, counted from 0, the
+    same on every cluster. The first column of the order is a hash, whose leading bits cut the order into ranges of like
+    size; places inside a range are shifted by the rows of the ranges before, of which there are 2 ** RANGE_BITS at most."""
+    keyed = distinct.withColumn("_range", F.shiftrightunsigned(F.col(order[0]), 64 - RANGE_BITS))
+    sizes = keyed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    shifts = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    out = keyed.withColumn("_place", place).join(F.broadcast(shifts), "_range")
+    return out.withColumn("name", F.col("_before") + F.col("_place")).select(*distinct.columns, "name")
 
 
 def identities(
@@ -56,20 +65,21 @@ def identities(
         .withColumn("h", route(F.col("block")))
     )
     distinct = blocks.groupBy("h", "block").agg(F.count(F.lit(1)).alias("n"))
-    names = scratch.put(_named(distinct, ["h", "block"]).select("h", "name"))
-    shared = names.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("h")
+    hashes = scratch.put(distinct.groupBy("h").agg(F.count(F.lit(1)).alias("k")))
+    names = scratch.put(_named(hashes.filter("k = 1").select("h"), ["h"]))
+    shared = hashes.filter("k > 1").select("h")
     where = blocks.select("rid", "top", "pos", "h")
     if shared.isEmpty():
         found = where.join(names, "h").drop("h")
     else:  # the blocks of these hashes are told apart by their bytes; their names are below zero, the others not
         shared = scratch.put(shared)
         hard = blocks.join(shared, "h", "left_semi")
-        exact = _named(hard.groupBy("h", "block").agg(F.count(F.lit(1)).alias("n")), ["h", "block"])
-        exact = scratch.put(exact.select("h", "block", (-1 - F.col("name")).alias("name")))
+        apart = scratch.put(hard.groupBy("h", "block").agg(F.count(F.lit(1)).alias("n")).select("h", "block"))
+        exact = scratch.put(_named(apart, ["h", "block"]).select("h", "block", (-1 - F.col("name")).alias("name")))
         found = where.join(shared, "h", "left_anti").join(names, "h").drop("h")
         found = found.unionByName(hard.join(exact, ["h", "block"]).drop("h", "block"))
     rows, level, out = scratch.put(found), 0, None
-    scratch.drop(names)
+    scratch.drop(hashes, names)
     while True:
         done = rows.filter("top = 0").select("rid", F.lit(level).alias("level"), "name")
         out = done if out is None else out.unionByName(done)
@@ -86,9 +96,10 @@ def identities(
         if pairs.isEmpty():
             return out
         level += 1
-        names = scratch.put(_named(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), ["a", "b"]).select("a", "b", "name"))
+        two = scratch.put(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).select(F.xxhash64("a", "b").alias("h"), "a", "b"))
+        names = scratch.put(_named(two, ["h", "a", "b"]).drop("h"))
         rows = scratch.put(pairs.join(names, ["a", "b"]).drop("a", "b"))
-        scratch.drop(pairs, names)
+        scratch.drop(pairs, two, names)
 
 
 def dedup_groups(

@@ -58,6 +58,21 @@ def test_exact_dedup(spark, route):
     assert sum(r.kept for r in got) == len({t for _, t in norm})
 
 
+def test_block_names_are_places_on_every_cluster(spark):
+    texts = [(i, "x" * (i % 7) + str(i % 40) * (i % 5)) for i in range(120)]
+    seen, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    for parts in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        rows = docs(spark, texts).repartition(int(parts)).withColumn("rid", F.col("doc_id"))
+        got = block_naming.identities(rows, Scratch(spark, "t"), block_bytes=2).collect()
+        seen.append({r.rid: (r.level, r["name"]) for r in got})
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1] and len(set(seen[0].values())) == len({t for _, t in texts})
+    h = spark.range(5000).select(F.xxhash64("id").alias("h"))
+    order = sorted((r.h % 2**64, r["name"]) for r in block_naming._named(h, ["h"]).collect())
+    assert [n for _, n in order] == list(range(5000))
+
+
 def test_exact_dedup_empty(spark):
     assert block_naming.exact_dedup(docs(spark, []), Scratch(spark, "t")).count() == 0
 
