@@ -204,15 +204,14 @@ def byte_table(separators: bytes, lower: bool = True) -> tuple[np.ndarray, np.nd
     return is_word, _BYTE[to]
 
 
-def hash_words(data: np.ndarray, offsets: np.ndarray, tab: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of a run of documents, and the word index at which each document begins.
+def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last byte of all words of a run of documents, and the word index at which each document begins.
 
     data: the documents' UTF-8 bytes on end; offsets: len(documents) + 1 byte positions, starting at 0.
     """
-    is_word, value = tab
     n = len(data)
     if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     w = is_word[data]
     start = w.copy()
     start[1:] &= ~w[:-1]
@@ -222,12 +221,21 @@ def hash_words(data: np.ndarray, offsets: np.ndarray, tab: tuple[np.ndarray, np.
     end = w.copy()
     end[:-1] &= ~w[1:]
     end[inner - 1] = w[inner - 1]
-    s, e = np.flatnonzero(start), np.flatnonzero(end)
+    s = np.flatnonzero(start)
+    return s, np.flatnonzero(end), np.searchsorted(s, offsets)
+
+
+def hash_words(data: np.ndarray, offsets: np.ndarray, tab: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of a run of documents, and the word index at which each document begins (see word_spans)."""
+    is_word, value = tab
+    s, e, first = word_spans(data, offsets, is_word)
+    n = len(data)
+    if n == 0:
+        return np.zeros(0, np.uint64), first
     p, q = _powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(value[data] * p[:n], out=total[1:])
-    h = mix64((total[e + 1] - total[s]) * q[s])
-    return h, np.searchsorted(s, offsets)
+    return mix64((total[e + 1] - total[s]) * q[s]), first
 
 
 def runs(column, run_bytes: int = 1 << 20):
