@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import block_naming, chat_format, importance, jaccard_join, kneser_ney, language_id, mixing, personal_data, secret_scan, token_counts, url_filter, winnowing
+from . import block_naming, chat_format, divergence, importance, jaccard_join, kneser_ney, language_id, mixing, personal_data, secret_scan, token_counts, url_filter, winnowing
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_language_id": language_id.op10_language_id,
     "op11_importance_resample": importance.op11_importance_resample,
+    "op12_source_divergence": divergence.op12_source_divergence,
     "op13_token_counts": token_counts.op13_token_counts,
 }
 
@@ -25,4 +26,5 @@ ORACLE_SQL = {
     "op7_decontaminate": winnowing.SQL,
     "op9_url_filter": url_filter.SQL,
     "op11_importance_resample": importance.SQL,
+    "op12_source_divergence": divergence.SQL,
 }
