@@ -7,7 +7,8 @@ of blocks of about BLOCK_DOCS documents in hashed order. Whole passes take all d
 whole blocks in order up to the budget, and of the block on the edge the documents that still fit. So only sums of
 blocks are put in order, never all documents of a source.
 
-A source's realised tokens fall short of its budget by less than one document. Tokens are words between white space;
+A source's realised tokens fall short of its budget by less than one document (and by the rounding of doubles, a part in
+10^9 of a pass). Tokens are words between white space;
 another column can be named instead.
 
 Cases: a null source and an empty one are the same source. A null text has no tokens and is in each whole pass. A source
@@ -24,10 +25,14 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, narrow, table, with_row_ids
 
-TARGET_ENTROPY = 0.9  # of the largest that the number of sources allows
+TARGET_ENTROPY = 0.9999  # of the largest that the number of sources allows: a nearly even mix
 MOST_REPEATS = 4.0
 BLOCK_DOCS = 1000
 MOST_SOURCES = 1_000_000
+#: Sources whose plans are sent to all tasks; those of more sources are joined, a source's rows dealt to SALTS parts.
+SENT_SOURCES, SALTS = 10_000, 16
+#: A quota this close to a whole number of passes, as a share, is that number: doubles are no closer for large sources.
+SLACK = 1e-9
 #: Bits of a block's hash that are put in order first.
 SLOT_BITS = 12
 SEED = 17
@@ -84,12 +89,25 @@ def plan(tokens: dict[str, int], docs: dict[str, int], budget: float | None, tar
     b = cover(tokens, w) if budget is None else budget
     out = []
     for k, n in sorted(tokens.items()):
-        quota = int(w[k] * b + 1e-6)
-        whole = quota // n if n else 1
-        out.append((k, w[k], whole, quota - whole * n if n else 0, max(1, docs[k] // block_docs)))
+        passes = w[k] * b / n if n else 1.0
+        whole = round(passes)
+        if abs(passes - whole) > SLACK * max(1, whole):
+            whole = int(passes)
+        if budget is None:
+            whole = max(1, whole)
+        rest = min(n - 1, int((passes - whole) * n)) if n and passes > whole * (1 + SLACK) else 0
+        out.append((k, w[k], whole, rest, max(1, docs[k] // block_docs)))
     return out
 
 
+def planned(rows: DataFrame, plan_df: DataFrame, sources: int) -> DataFrame:
+    """rows with their source's plan. A source may hold most rows, so where plans aren't sent its rows are split."""
+    if sources <= SENT_SOURCES:
+        return rows.join(F.broadcast(plan_df), "source")
+    salted = plan_df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int")).join(salted, ["source", "salt"]).drop("salt")
+
+
 def mixture(
     base: DataFrame,
     scratch: Scratch,
@@ -113,7 +131,7 @@ def mixture(
     budget = None if budget_share is None else budget_share * sum(tokens.values())
     plans = plan(tokens, {r["source"]: r["d"] for r in totals}, budget, target_entropy, most_repeats, block_docs)
     plan_df = spark.createDataFrame(plans, "source string, weight double, whole long, rest long, blocks long")
-    use = rows.join(plan_df, "source")
+    use = planned(rows, plan_df, len(plans))
     full = use.filter("whole > 0").withColumn("pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("whole"))))
     hashed = lambda df: df.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "pass", "rid"), F.col("blocks"))).withColumn("place", F.xxhash64(F.lit(seed + 1), "pass", "rid"))
     full = hashed(full).select("rid", "source", "n_tokens", "weight", "pass", "block", "place")
