@@ -321,11 +321,22 @@ def test_decontaminate_a_word_repeated_very_often(spark):
 # --- 9
 
 
-@pytest.mark.parametrize("shard_keys", [10**6, 40])
-def test_cascade_is_exact(spark, shard_keys):
+def test_cascade_of_a_small_list_over_many_keys(spark):
+    """Each level is bounded by the list, not by the universe."""
+    universe = spark.range(300_000).select(F.concat(F.lit("h"), "id").alias("key"), (F.col("id") % 6000 == 0).alias("listed"))
+    cascade = url_filter.Cascade(universe, Scratch(spark, "t"), 1000)
+    sizes = [bits for _, bits, _ in cascade.levels]
+    assert sizes[0] < 50 * 25 and all(b <= a for a, b in zip(sizes, sizes[1:]))
+    assert universe.filter(cascade.contains(F.col("key")) != F.col("listed")).isEmpty()
+    with pytest.raises(ValueError, match="level 0 has 50 keys"):
+        url_filter.Cascade(universe, Scratch(spark, "t"), 20)
+
+
+@pytest.mark.parametrize("shard_bits", [10**8, 200])
+def test_cascade_is_exact(spark, shard_bits):
     pages = spark.createDataFrame([(i, f"http://h{i % 700}.Example.com/en/{i}") for i in range(900)] + [(1000, None), (1001, "nothing"), (1002, "x://")], "page_id long, url string")
     listed = spark.createDataFrame([(f"h{i}.example.com",) for i in range(0, 700, 3)] + [(None,), ("elsewhere.org",), ("h0.example.com",)], "key string")
-    got = url_filter.judged(pages, listed, Scratch(spark, "t"), shard_keys=shard_keys, most_shards=3).collect()
+    got = url_filter.judged(pages, listed, Scratch(spark, "t"), shard_bits=shard_bits, most_shards=3).collect()
     assert len(got) == 903
     for r in got:
         assert r.in_list == (r.page_id < 900 and (r.page_id % 700) % 3 == 0), r
@@ -419,6 +430,48 @@ def test_language_id(spark):
 # --- 6
 
 
+@pytest.mark.parametrize("size", [1e3, 1e9, 1e11, 1e13])
+def test_plan_loses_no_pass(size):
+    """Whatever the sources' sizes: with the budget that passes each once, each has a whole pass; quotas add up to a budget."""
+    rng = np.random.default_rng(int(size) % 97)
+    for _ in range(300):
+        skew = rng.integers(1, 5)
+        tokens = {f"s{i}": int(size * rng.random() ** skew) + 1 for i in range(20)}
+        docs = dict.fromkeys(tokens, 100)
+        for budget in (None, float(sum(tokens.values()))):
+            a = mixing.exponent(tokens, budget)
+            w = mixing.weights(tokens, a)
+            want = mixing.cover(tokens, w) if budget is None else budget
+            for k, _, whole, rest, _ in mixing.plan(tokens, docs, budget, mixing.TARGET_ENTROPY, mixing.MOST_REPEATS, 10):
+                assert 0 <= rest < tokens[k] and (budget or whole >= 1)
+                assert abs(whole * tokens[k] + rest - w[k] * want) <= 1 + 2e-9 * w[k] * want
+
+
+@pytest.mark.parametrize("share", [1.0, None])
+def test_mixing_really_bisects(spark, share):
+    """On the test tables, in the query's form and the pipeline's: an exponent below 1, a partial pass and a repeat."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id as rid", "text", "source")
+    counted = rows.selectExpr("coalesce(source, '') as s", r"regexp_count(coalesce(text, ''), '\\S+') as n").groupBy("s").sum("n").collect()
+    tokens = {r[0]: r[1] for r in counted}
+    budget = None if share is None else float(sum(tokens.values()))
+    a = mixing.exponent(tokens, budget)
+    assert 0 < a < 1
+    assert abs(mixing.entropy(mixing.weights(tokens, a)) - mixing.TARGET_ENTROPY * math.log(len(tokens))) < 1e-9
+    passes = defaultdict(set)
+    for r in mixing.mixture(rows, Scratch(spark, "t"), budget_share=share).collect():
+        passes[r.source, r["pass"]].add(r.rid)
+    whole = Counter(s for s, p in passes if p == 1 and len(passes[s, 1]) == rows.filter(F.coalesce("source", F.lit("")) == s).count())
+    assert any(p == 2 and passes[s, 1] and len(passes[s, 2]) < len(passes[s, 1]) for s, p in passes)  # a repeat, and partial
+    assert share == 1.0 or len(whole) == len(tokens)
+
+
+def test_plans_that_are_joined(spark, monkeypatch):
+    base = spark.range(400).selectExpr("id as rid", "if(id % 3 = 0, 'hot', concat('s', id % 7)) as source", "repeat('w ', cast(id % 9 as int)) as text")
+    want = sorted(map(tuple, mixing.mixture(base, Scratch(spark, "t"), block_docs=9).collect()))
+    monkeypatch.setattr(mixing, "SENT_SOURCES", 2)
+    assert sorted(map(tuple, mixing.mixture(base, Scratch(spark, "t"), block_docs=9).collect())) == want
+
+
 def test_exponent():
     tokens = {"a": 1000, "b": 100, "c": 10}
     a = mixing.exponent(tokens, None, 0.8, 100.0)
