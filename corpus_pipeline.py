@@ -17,6 +17,8 @@ from equimap.llm.common import Scratch, numbered, table
 ABOVE_CHANCE = 0.1
 #: Near duplicates: five words, similarity of 0.8 or more.
 NEAR = jaccard_join.Rule(words=5, num=80, den=100)
+#: How often mixing may use a document to bring its source closer to an even share.
+MOST_USES = 2.0
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,12 +62,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each use of a document: the columns of documents, and n_tokens, weight, pass, block, place (with as many _
     behind them as it takes to differ from all columns of documents).
 
-    The budget is the least that passes every source once, so every document is used, those without text included. A null
-    source and an empty one are the same; repeated rows are used each."""
+    The weights are those of a nearly even mix as far as no source has to be used more than MOST_USES times. The budget is the
+    least that passes every source once, so every document is used, those without text included. A null source and an empty
+    one are the same; repeated rows are used each."""
     base, names = numbered(docs)
     scratch = Scratch(docs.sparkSession, "mix")
     base = block_naming.with_row_ids(base, names["doc_id"], scratch, *[c for c in base.columns if c != names["doc_id"]])
-    uses = mixing.mixture(base, scratch, names["source"], names["text"], budget_share=None)
+    uses = mixing.mixture(base, scratch, names["source"], names["text"], budget_share=None, most_repeats=MOST_USES)
     found = base.join(uses.drop("source"), "rid")
     taken, out = {c.lower() for c in docs.columns}, []
     for c in ("n_tokens", "weight", "pass", "block", "place"):
