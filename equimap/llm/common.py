@@ -31,14 +31,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Rows and bytes of an Arrow batch while a table is written: they bound what a Python worker holds at once.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+#: The same for rows that hold large arrays: the JVM's Arrow buffers grow by doubling, outside its heap.
+LEAST_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession):
-    """Within it, queries that run send Python workers batches of BATCHES; the session's own settings come back after."""
-    before = {k: spark.conf.get(k, None) for k in BATCHES}
+def small_batches(spark: SparkSession, batches: dict[str, str] = BATCHES):
+    """Within it, queries that run send Python workers such batches; the session's own settings come back after."""
+    before = {k: spark.conf.get(k, None) for k in batches}
     try:
-        for k, v in BATCHES.items():
+        for k, v in batches.items():
             spark.conf.set(k, v)
         yield
     finally:
@@ -74,6 +76,7 @@ class Scratch:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.n = 0
+        self.batches = BATCHES
         atexit.register(self.close)
 
     def put(self, df: DataFrame, *parts: str) -> DataFrame:
@@ -82,7 +85,7 @@ class Scratch:
         writer = df.write
         if parts:
             writer = writer.partitionBy(*parts)
-        with small_batches(self.spark):
+        with small_batches(self.spark, self.batches):
             writer.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path

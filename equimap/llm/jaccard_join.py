@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Marks, Scratch, byte_table, hash_words, marked, mix64, narrow, runs, table, tidied, with_row_ids
+from .common import LEAST_BATCHES, Marks, Scratch, byte_table, hash_words, marked, mix64, narrow, runs, table, tidied, with_row_ids
 
 SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
 _TAB = byte_table(SEPARATORS)
@@ -46,7 +46,9 @@ TILE, CLOSEST = 1024, 4
 #: The first turn looks into one key of so many; it only has to connect most.
 EVERY = 4
 #: Rows that a task gathers before it sends them on; bounds its memory.
-FLUSH = 750_000
+FLUSH = 500_000
+#: Rows of a batch that a scan sends on.
+SENT = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -169,8 +171,9 @@ def _scan(docs: DataFrame, rule: Rule, heads: bool) -> DataFrame:
         size = 0
 
         def rows(kind, a, b, c):
-            n = len(a)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(np.asarray(a).view(np.int64)), pa.array(b, pa.int64()), pa.array(c, pa.int64())], names=["kind", "a", "b", "c"])
+            for at in range(0, len(a), SENT):
+                x, y, z = (np.asarray(v[at : at + SENT]) for v in (a, b, c))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), pa.array(x.view(np.int64)), pa.array(y, pa.int64()), pa.array(z, pa.int64())], names=["kind", "a", "b", "c"])
 
         def flush():
             k, r = np.concatenate(keys), np.concatenate(ids)
@@ -180,10 +183,10 @@ def _scan(docs: DataFrame, rule: Rule, heads: bool) -> DataFrame:
             start = np.flatnonzero(head)
             count = np.diff(np.r_[start, len(k)])
             if heads:
-                yield rows(1, k[start], r[start], r[start])
+                yield from rows(1, k[start], r[start], r[start])
             many = np.repeat(count > 1, count)
             if many.any() and not heads:
-                yield rows(2, k[many], r[many], np.repeat(r[start], count)[many])
+                yield from rows(2, k[many], r[many], np.repeat(r[start], count)[many])
 
         for batch in batches:
             rid = batch.column(0).to_numpy()
@@ -207,9 +210,9 @@ def _scan(docs: DataFrame, rule: Rule, heads: bool) -> DataFrame:
                     ids.append(np.full(len(k), me, np.int64))
                     size += len(k)
             if not heads:
-                yield rows(0, rid, n_set, n_set)
+                yield from rows(0, rid, n_set, n_set)
             if same_a and not heads:
-                yield rows(3, np.array(same_a, np.int64), same_b, same_b)
+                yield from rows(3, np.array(same_a, np.int64), same_b, same_b)
             if size > FLUSH:
                 yield from flush()
                 keys, ids, size = [], [], 0
@@ -312,6 +315,7 @@ def _exact(pairs: DataFrame, rule: Rule) -> DataFrame:
 class _Join:
     def __init__(self, docs: DataFrame, scratch: Scratch, rule: Rule) -> None:
         self.docs, self.scratch, self.rule = docs, scratch, rule
+        scratch.batches = LEAST_BATCHES
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The linked ones of distinct pairs (a, b)."""
