@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from equimap.llm import block_naming, jaccard_join, language_id, mixing, winnowing
-from equimap.llm.common import Scratch, numbered, table
+from equimap.llm.common import LEAST_BATCHES, Scratch, numbered, table
 
 #: A document is rejected if its best language scores less than this share of the way from chance to certainty.
 ABOVE_CHANCE = 0.1
@@ -23,7 +23,12 @@ MOST_USES = 2.0
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language was recognised: those with a letter whose best language scores clearly above chance, which
-    is 1 / (languages learned). Null, empty and letterless texts go; each repeated row is judged for itself."""
+    is 1 / (languages learned). Null, empty and letterless texts go; each repeated row is judged for itself.
+
+    The texts go to Python workers when the caller writes the rows, so the session's Arrow batches are made smaller here: they
+    are held outside the JVM's heap."""
+    for k, v in LEAST_BATCHES.items():
+        spark.conf.set(k, v)
     base, names = numbered(docs)
     net = language_id.fit(base, names["doc_id"], names["text"], names["lang"])
     found = language_id.predicted(spark, net, F.col(names["text"]))
