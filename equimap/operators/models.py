@@ -5,6 +5,8 @@ Sequential kernels (breaks, spanning tree cuts, allocation) run over entity tabl
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -141,16 +143,76 @@ def contributions(df: DataFrame, key: str, cols: list[str], target: str, seed: i
     return df.select(key, *[F.col(c).cast("double").alias(c) for c in cols]).mapInPandas(scan, f"{key} {dict(df.dtypes)[key]}, feature string, contribution double")
 
 
-def rbf_features(df: DataFrame, key: str, k: int = 8, quantile: float = 0.5, pairs: int = 100_000, seed: int = 42) -> DataFrame:
-    """key, f0 ... : closeness to k learned anchors. The width is a quantile of distances between points, of `pairs` pairs at
-    most, drawn by hash: a sample of a bounded size, as the anchors are."""
+#: Points whose pairs are counted at most: their coordinates are sent to all tasks (16 bytes each).
+MOST_PAIRED = 100_000
+
+
+def distance_quantile(points: DataFrame, quantile: float, most: int = MOST_PAIRED, bins: int = 1 << 14) -> float | None:
+    """The quantile (linear between neighbours, as numpy's) of the distances of all pairs of points (x, y); null for fewer than
+    two. Tasks count the pairs of their points by distance, then look only into the bins where the quantile lies, cut finer
+    each time. More than `most` points are an error."""
+    spark = points.sparkSession
+    some = points.select("x", "y").limit(most + 1).collect()
+    n = len(some)
+    if n > most:
+        raise ValueError(f"more than {most} points")
+    if n < 2:
+        return None
+    shared = spark.sparkContext.broadcast(np.array([[float(r.x), float(r.y)] for r in some]))
+    at = shared.value
+    blocks = spark.range(0, n, 64, numPartitions=min(256, 1 + n // 512))
+
+    def each(batches, found):
+        at = shared.value
+        for pdf in batches:
+            for a in pdf["id"].tolist():
+                i = np.arange(a, min(a + 64, n))
+                d = np.hypot(at[i, None, 0] - at[None, a:, 0], at[i, None, 1] - at[None, a:, 1])
+                yield found(d[np.arange(a, n)[None, :] > i[:, None]])
+
+    where = quantile * (n * (n - 1) // 2 - 1)
+    wanted = sorted({math.floor(where), math.ceil(where)})
+    lo, hi, before = 0.0, float(np.hypot(*np.ptp(at, axis=0))) * (1 + 1e-12) + 1e-300, 0
+    while True:
+        edges = np.linspace(lo, hi, bins + 1)
+
+        def count(batches, edges=edges):
+            import pandas as pd
+
+            total = np.zeros(len(edges) - 1, np.int64)
+            for n in each(batches, lambda d: np.bincount(np.searchsorted(edges, d[(d >= edges[0]) & (d < edges[-1])], "right") - 1, minlength=len(edges) - 1)):
+                total += n
+            yield pd.DataFrame({"bin": np.flatnonzero(total), "n": total[total > 0]})
+
+        got = blocks.mapInPandas(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").collect()  # bins at most
+        ahead = before + np.cumsum([r.n for r in got])
+        first, last = (int(np.searchsorted(ahead, w, "right")) for w in (wanted[0], wanted[-1]))
+        before = int(ahead[first] - got[first].n)
+        a, b = edges[got[first].bin], edges[got[last].bin + 1]
+        inside = int(ahead[last]) - before
+        if inside <= bins or b - a <= 1e-12 * max(1.0, b) or (a, b) == (lo, hi):
+            break
+        lo, hi = a, b
+    if inside > bins:  # as many equal distances
+        return float(a)
+
+    def kept(batches):
+        import pandas as pd
+
+        for d in each(batches, lambda d: d[(d >= a) & (d < b)]):
+            yield pd.DataFrame({"d": d})
+
+    values = sorted(r.d for r in blocks.mapInPandas(kept, "d double").collect())
+    low, high = values[wanted[0] - before], values[wanted[-1] - before]
+    return low + (high - low) * (where - wanted[0])
+
+
+def rbf_features(df: DataFrame, key: str, k: int = 8, quantile: float = 0.5, seed: int = 42) -> DataFrame:
+    """key, f0 ... : closeness to k learned anchors. The width is a quantile of the distances of all pairs of points."""
     model = KMeans(k=k, seed=seed).fit(assembled(df, ["x", "y"]))
     anchors = sorted(tuple(float(v) for v in c) for c in model.clusterCenters())
-    n = max(2, int(pairs**0.5))
-    some = df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n).select("x", "y").collect()
-    at = np.array([[float(r.x), float(r.y)] for r in some]).reshape(-1, 2)
-    d = np.hypot(at[:, None, 0] - at[None, :, 0], at[:, None, 1] - at[None, :, 1])[np.triu_indices(len(at), 1)]
-    gamma = 1 / (2 * float(np.quantile(d, quantile)) ** 2 + 1e-9) if len(d) else 0.0
+    d = distance_quantile(df, quantile)
+    gamma = 1 / (2 * d**2 + 1e-9) if d is not None else 0.0
     return df.select(key, *[F.exp(-gamma * (F.pow(F.col("x") - a, 2) + F.pow(F.col("y") - b, 2))).alias(f"f{i}") for i, (a, b) in enumerate(anchors)])
 
 

@@ -105,3 +105,69 @@ def lattice_edges(spark: SparkSession, n: int) -> DataFrame:
     down = node.filter(F.col("r") < n - 1).select("src", (F.col("src") + n).alias("dst"))
     w = 1.0 + F.pmod(F.col("src") * 7 + F.col("dst") * 3, F.lit(5))
     return right.unionByName(down).withColumn("w", w).withColumn("oneway", F.pmod("src", F.lit(4)) == 0).withColumn("reversed", F.pmod("src", F.lit(8)) == 0)
+
+
+def snapped(points: DataFrame, segments: DataFrame, point_id: str, reach: float, grow: float = 4.0) -> DataFrame:
+    """point_id, sid, t, dist: the nearest segment (sid, x0, y0, x1, y1) of each point (x, y), the least sid of equally near ones;
+    t is the foot's place on it, from 0 to 1. Points and segments meet on cells; points that find none within the reach are
+    tried again further, until it spans everything."""
+    from .spatial import cell
+
+    ends = segments.select(F.col("x0").alias("a"), F.col("y0").alias("b")).union(segments.select("x1", "y1"))
+    box = points.select(F.col("x").alias("a"), F.col("y").alias("b")).union(ends).agg(F.max("a") - F.min("a"), F.max("b") - F.min("b")).first()
+    far = (box[0] or 0.0) + (box[1] or 0.0) + 1.0
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    long = dx * dx + dy * dy
+    t = F.when(long > 0, ((F.col("x") - F.col("x0")) * dx + (F.col("y") - F.col("y0")) * dy) / F.when(long > 0, long)).otherwise(0.0)
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
+    todo, out = points, None
+    while True:
+        r = min(reach, far)
+        span = lambda a, b: F.explode(F.sequence(cell(F.least(a, b) - r, r), cell(F.greatest(a, b) + r, r)))  # noqa: B023, E731
+        touched = segments.withColumn("ci", span(F.col("x0"), F.col("x1"))).withColumn("cj", span(F.col("y0"), F.col("y1")))
+        pairs = todo.withColumn("ci", cell(F.col("x"), r)).withColumn("cj", cell(F.col("y"), r)).join(touched, ["ci", "cj"]).withColumn("t", t)
+        pairs = pairs.withColumn("dist", F.hypot(F.col("x") - (F.col("x0") + F.col("t") * dx), F.col("y") - (F.col("y0") + F.col("t") * dy)))
+        best = pairs.groupBy(point_id).agg(F.min(F.struct("dist", "sid", "t")).alias("b")).select(point_id, "b.sid", "b.t", "b.dist")
+        got = cut(best if reach >= far else best.filter(F.col("dist") <= r))
+        out = got if out is None else out.unionByName(got)
+        if reach >= far:
+            return out
+        todo = cut(todo.join(got.select(point_id), point_id, "left_anti"))
+        if todo.isEmpty():
+            return out
+        reach *= grow
+
+
+def between_feet(pairs: DataFrame, feet: DataFrame, segments: DataFrame, cutoff: float) -> DataFrame:
+    """i, j, net: least cost up to cutoff between the feet (pid, sid, t) of pairs (i, j) on segments (sid, src, dst, w, oneway,
+    reversed), as if segments were split at the feet.
+
+    A way leaves its first segment by one end and comes into its last by one, or stays on one segment. So only the nodes between
+    are searched, and each pair meets four combinations of ends."""
+    ahead, back = ~(F.col("oneway") & F.col("reversed")), ~F.col("oneway") | F.col("reversed")
+    on = feet.join(segments, "sid")
+    end = lambda allowed, node, cost: F.when(allowed, F.struct(F.col(node).alias("node"), (cost * F.col("w")).alias("c")))
+    inner = lambda *ways: F.explode(F.array_compact(F.array(*ways)))
+    rest = 1 - F.col("t")
+    leave = cut(on.select(F.col("pid").alias("i"), inner(end(ahead, "dst", rest), end(back, "src", F.col("t"))).alias("e")).select("i", F.col("e.node").alias("origin"), F.col("e.c").alias("out")))
+    enter = on.select(F.col("pid").alias("j"), inner(end(ahead, "src", F.col("t")), end(back, "dst", rest)).alias("e")).select("j", F.col("e.node").alias("node"), F.col("e.c").alias("in"))
+    starts = pairs.select("i").distinct().join(leave, "i").select(F.col("origin").alias("node")).distinct()
+    nodes = shortest(cut(directed(segments.select("src", "dst", "w", "oneway", "reversed"))), starts, cutoff)
+    through = pairs.join(leave, "i").join(enter, "j").join(nodes, ["origin", "node"]).select("i", "j", (F.col("out") + F.col("d") + F.col("in")).alias("net"))
+    a = on.select(F.col("pid").alias("i"), "sid", F.col("t").alias("ti"), "w", ahead.alias("ahead"), back.alias("back"))
+    b = feet.select(F.col("pid").alias("j"), "sid", F.col("t").alias("tj"))
+    step = F.col("tj") - F.col("ti")
+    same = pairs.join(a, "i").join(b, ["j", "sid"]).filter(((step >= 0) & F.col("ahead")) | ((step <= 0) & F.col("back"))).select("i", "j", (F.abs(step) * F.col("w")).alias("net"))
+    return through.unionByName(same).groupBy("i", "j").agg(F.min("net").alias("net")).filter(F.col("net") <= cutoff)
+
+
+def snapped_minutes(candidates: DataFrame, feet: DataFrame, segments: DataFrame, speed: dict[str, float], limit: dict[str, float], cutoff: float, snap: float, detour: float = 1.35) -> DataFrame:
+    """i, j, t, source: travel times of candidate pairs (i, j, stage, dist) whose places have feet (pid, sid, t, dist): by the
+    network where the origin snaps within `snap` and the cutoff holds, else straight times a detour within the stage's limit,
+    else no row."""
+    near = feet.filter(F.col("dist") <= snap).select(F.col("pid").alias("i"))
+    net = between_feet(candidates.select("i", "j").join(near, "i", "left_semi"), feet, segments, cutoff)
+    j = candidates.join(net, ["i", "j"], "left")
+    straight = F.when(F.col("dist") <= S.lookup(F.col("stage"), limit), F.col("dist") * detour / S.lookup(F.col("stage"), speed))
+    j = j.withColumn("t", F.coalesce("net", straight)).withColumn("source", F.when(F.col("net").isNotNull(), "network").otherwise("straight"))
+    return j.filter("t is not null").select("i", "j", "t", "source")

@@ -73,8 +73,8 @@ def hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
     return half(pts) + half(pts[::-1])
 
 
-def hull_area(df: DataFrame, buffer: float) -> DataFrame:
-    """One row: area of the hull of x, y with a buffer. Each task sends its own hull only."""
+def hull_of(df: DataFrame) -> list[tuple[float, float]]:
+    """The corners of the hull of x, y, counter-clockwise. Each task sends its own hull only."""
 
     def scan(batches):
         keep: list[tuple[float, float]] = []
@@ -84,7 +84,12 @@ def hull_area(df: DataFrame, buffer: float) -> DataFrame:
 
         yield pd.DataFrame(keep, columns=["x", "y"])
 
-    h = hull([(r.x, r.y) for r in df.select("x", "y").mapInPandas(scan, "x double, y double").collect()])
+    return hull([(r.x, r.y) for r in df.select("x", "y").mapInPandas(scan, "x double, y double").collect()])
+
+
+def hull_area(df: DataFrame, buffer: float) -> DataFrame:
+    """One row: area of the hull of x, y with a buffer, and its corners."""
+    h = hull_of(df)
     ends = h[1:] + h[:1]
     area = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(h, ends, strict=True)) / 2
     around = sum(math.dist(a, b) for a, b in zip(h, ends, strict=True))
@@ -106,9 +111,19 @@ def flood(mask: DataFrame) -> DataFrame:
 
 
 def isolation_scores(df: DataFrame, cols: list[str], trees: int = 50, sample: int = 256, seed: int = 42) -> DataFrame:
-    """df with score: isolation forest, grown on a bounded sample (trees * sample rows) and applied to all rows."""
-    rows = df.select(*cols).orderBy(F.xxhash64(*cols, F.lit(seed))).limit(trees * sample).collect()
-    x = np.array([[float(v or 0.0) for v in r] for r in rows]).reshape(len(rows), len(cols))
+    """df with score: isolation forest. Each tree is grown on `sample` rows of its own, drawn from all rows by hash, and applied to
+    all rows; so the driver holds trees * sample rows, whatever the size of df."""
+    n = df.count()
+    rows = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
+    draw = F.pmod(F.xxhash64(*cols, F.monotonically_increasing_id()), F.lit(1 << 40))
+    rows = cut(rows.withColumn("_row", draw)) if n > sample else rows.withColumn("_row", F.lit(0))
+    share = min(1.0, (1.3 * sample + 20) / max(1, n))
+    place = lambda t: F.pmod(F.xxhash64("_row", *cols, t, F.lit(seed)), F.lit(1 << 40))
+    taken = F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("t"), place(t).alias("at"))), lambda s: s["at"] < int(share * (1 << 40)))
+    drawn: list[list] = [[] for _ in range(trees)]
+    for r in rows.select(*cols, F.explode(taken).alias("s")).collect() if n else []:
+        drawn[r["s"]["t"]].append((r["s"]["at"], *r[: len(cols)]))
+    own = [np.array(sorted(d)[:sample], float).reshape(-1, len(cols) + 1)[:, 1:] for d in drawn]
     rng = np.random.default_rng(seed)
 
     def path_length(n: float) -> float:
@@ -124,8 +139,8 @@ def isolation_scores(df: DataFrame, cols: list[str], trees: int = 50, sample: in
         side = part[:, f] < at
         return (f, at, grow(part[side], depth + 1, limit) if side.any() else (depth + 1.0,), grow(part[~side], depth + 1, limit))
 
-    size = min(sample, len(x))
-    forest = [grow(x[rng.choice(len(x), size, replace=False)], 0, math.ceil(math.log2(max(size, 2)))) for _ in range(trees)] if len(x) else []
+    size = min(sample, n)
+    forest = [grow(x, 0, math.ceil(math.log2(max(size, 2)))) for x in own if len(x)]
     norm = path_length(size) or 1.0
 
     def scan(batches):

@@ -10,32 +10,105 @@ from pyspark.sql import functions as F
 
 #: Encodings that are tried in this order.
 ENCODINGS = ["utf-8-sig", "utf-8", "gbk", "gb18030", "latin-1"]
+#: A guess from byte statistics counts above this confidence; else the first encoding that decodes the file.
+SURE = 0.7
+
+
+def guessed(raw: bytes) -> tuple[str, float]:
+    """(encoding, confidence) of a file from statistics of its bytes.
+
+    UTF-8: valid sequences of several bytes; each one halves the doubt. GBK: the share of double bytes that fall into the block
+    of frequent characters, times the share of high bytes that pair at all. Latin-1: the share of high bytes that are accented
+    letters next to a letter."""
+    import numpy as np
+
+    if raw.startswith(b"\xef\xbb\xbf"):
+        return "utf-8-sig", 1.0
+    data = np.frombuffer(raw, np.uint8)
+    high = data >= 0x80
+    n = int(high.sum())
+    if not n:
+        return "utf-8", 1.0
+    try:
+        raw.decode()
+        leads = int((data >= 0xC0).sum())
+        return "utf-8", 1 - 0.5 ** min(leads, 50)
+    except UnicodeDecodeError:
+        pass
+    # double bytes: each run of high bytes is paired from its start; a second byte may also be a low one from 0x40 on
+    place = np.arange(len(data))
+    run_start = np.maximum.accumulate(np.where(high & ~np.append(False, high[:-1]), place, 0))
+    first = high & ((place - run_start) % 2 == 0)
+    second = np.append(data[1:], np.uint8(0))
+    paired = first & (second >= 0x40) & (second != 0x7F) & (data != 0x80) & (data != 0xFF)
+    frequent = paired & (((data >= 0xB0) & (data <= 0xD7)) | ((data >= 0xA1) & (data <= 0xA3))) & (second >= 0xA1)
+    gbk = int(frequent.sum()) / max(1, int(first.sum())) * int(paired.sum()) / max(1, int(first.sum()))
+    letter = ((data | 0x20) >= 0x61) & ((data | 0x20) <= 0x7A)
+    beside = np.append(False, letter[:-1]) | np.append(letter[1:], False)
+    alone = high & ~np.append(False, high[:-1]) & ~np.append(high[1:], False)
+    latin = int((alone & (data >= 0xC0) & beside).sum()) / n
+    return max((("gbk", gbk), ("latin-1", latin)), key=lambda g: g[1])
+
+
+def encoding_of(raw: bytes) -> tuple[str, float]:
+    """The guess where it is sure and decodes the file; else the first of ENCODINGS that does."""
+    e, sure = guessed(raw)
+    for name in ([e] if sure > SURE else []) + ENCODINGS:
+        if name == "utf-8-sig" and not raw.startswith(b"\xef\xbb\xbf"):
+            continue
+        try:
+            raw.decode(name)
+            return name, sure
+        except UnicodeDecodeError:
+            continue
+    return ENCODINGS[-1], sure
 
 
-def detect_encoding(spark: SparkSession, path: str, sample: int = 1 << 16) -> str:
-    """The first encoding that decodes the head of the first file at a path, read by Spark from wherever it is."""
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, sample).alias("c")).limit(1).collect()
-    raw = bytes(head[0][0]) if head else b""
-    for e in ENCODINGS:
-        if e == "utf-8-sig" and not raw.startswith(b"\xef\xbb\xbf"):
-            continue
-        for cut in range(4):  # the sample may end inside a character
-            try:
-                raw[: len(raw) - cut].decode(e)
-                return e
-            except UnicodeDecodeError:
-                continue
-    return ENCODINGS[-1]
+def encodings(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """path, encoding, confidence, header: each file at a path, judged by all its bytes."""
+
+    def judge(batches):
+        import io
+
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for at, content in zip(pdf["path"], pdf["content"]):
+                e, sure = (encoding, 1.0) if encoding else encoding_of(bytes(content))
+                rows.append((at, e, sure, next(csv.reader(io.StringIO(bytes(content).decode(e))), [])))
+            yield pd.DataFrame(rows, columns=["path", "encoding", "confidence", "header"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(judge, "path string, encoding string, confidence double, header array<string>")
+
+
+def detect_encoding(spark: SparkSession, path: str) -> str:
+    """The encoding of the file at a path (of several, that of the first by name)."""
+    found = encodings(spark, path).select("path", "encoding").orderBy("path").first()
+    return found["encoding"] if found else ENCODINGS[1]
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, encoding: str | None = None) -> DataFrame:
-    """A CSV file with a header. Encodings that Spark's reader refuses are decoded from whole files instead."""
-    e = encoding or detect_encoding(spark, path)
-    reader = spark.read.option("header", True)
+    """CSV files with headers, columns by their names in each file, missing ones null. Each file has its own encoding. Files alike
+    are read together: by Spark's reader in pieces where it knows the encoding, else decoded as wholes."""
+    groups = encodings(spark, path, encoding).groupBy("encoding", "header").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy("encoding", "header").collect()
+    parts = [_read_alike(spark, g["paths"], g["encoding"], list(g["header"])) for g in groups if g["header"]]
+    if not parts:
+        return spark.createDataFrame([], schema or "value string")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
     if schema:
-        reader = reader.schema(schema)
+        wanted = spark.createDataFrame([], schema).schema
+        have = set(out.columns)
+        out = out.select(*[(F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted])
+    return out
+
+
+def _read_alike(spark: SparkSession, paths: list[str], e: str, names: list[str]) -> DataFrame:
     if e in ("utf-8", "utf-8-sig", "latin-1"):
-        return reader.option("encoding", "ISO-8859-1" if e == "latin-1" else "UTF-8").csv(path)
+        return spark.read.option("header", True).option("encoding", "ISO-8859-1" if e == "latin-1" else "UTF-8").csv(paths)
 
     def decode(batches):
         import io
@@ -47,15 +120,9 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None, encoding
                 rows = list(csv.reader(io.StringIO(bytes(content).decode(e))))
                 yield pd.DataFrame({"cells": [r for r in rows[1:] if r]})
 
-    files = spark.read.format("binaryFile").load(path)
-    head = bytes(files.select("content").first()[0]).decode(e).splitlines()[0]
-    names = next(csv.reader([head]))
+    files = spark.read.format("binaryFile").load(paths)
     cells = files.select("content").mapInPandas(decode, "cells array<string>")
-    out = cells.select(*[F.get("cells", i).alias(c) for i, c in enumerate(names)])
-    if schema:
-        wanted = spark.createDataFrame([], schema).schema
-        out = out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted])
-    return out
+    return cells.select(*[F.get("cells", i).alias(c) for i, c in enumerate(names)])
 
 
 def resolve(df: DataFrame, candidates: list[str], required: bool = True) -> str | None:
@@ -216,8 +283,7 @@ class Registry:
     def normalised(self, name: str, make) -> DataFrame:
         """The kept table of this name; make() gives it where there is none yet."""
         at = f"{self.work}/{name}"
-        try:
-            return self.spark.read.parquet(at)
-        except Exception:  # noqa: BLE001  not there yet
-            make().write.mode("overwrite").parquet(at)
-            return self.spark.read.parquet(at)
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
+        if not place.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(place):
+            make().write.mode("overwrite").parquet(at)  # nothing, or what a broken write left
+        return self.spark.read.parquet(at)

@@ -185,3 +185,58 @@ def test_registry_and_command_line(spark, tmp_path, monkeypatch, capsys):
     assert main(["run", "top_k", "--data", DATA, "--out", f"{tmp_path}/o"]) == 0 and spark.read.parquet(f"{tmp_path}/o/top_k").count() == 5
     with pytest.raises(SystemExit):
         main(["run", "nothing", "--data", DATA, "--out", "x"])
+
+
+@pytest.mark.parametrize(("n", "q", "bins"), [(2, 0.5, 64), (57, 0.5, 16), (400, 0.37, 64), (300, 0.5, 1 << 14)])
+def test_distances_of_all_pairs(spark, n, q, bins):
+    import numpy as np
+
+    from equimap.operators import models
+
+    at = np.random.default_rng(n).normal(size=(n, 2)) * [3, 100]
+    at[: n // 3] = at[0]  # equal points
+    d = np.hypot(*(at[:, None] - at[None]).transpose(2, 0, 1))[np.triu_indices(n, 1)]
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in at], "x double, y double")
+    assert models.distance_quantile(df, q, bins=bins) == pytest.approx(float(np.quantile(d, q)), rel=1e-9, abs=1e-12)
+    with pytest.raises(ValueError, match="more than"):
+        models.distance_quantile(df, q, most=n - 1)
+    assert models.distance_quantile(df.limit(1), q) is None
+
+
+def test_each_tree_draws_from_all_rows(spark, monkeypatch):
+    from equimap.operators import planning
+
+    df = spark.range(30_000).selectExpr("cast(id as double) as x", "if(id = 7, 1e9, 0.0) as y")
+    seen = []
+    real = planning.np.array
+    monkeypatch.setattr(planning.np, "array", lambda *a, **k: (seen.append(a[0]), real(*a, **k))[1])
+    scores = planning.isolation_scores(df, ["x", "y"], trees=40, sample=64)
+    drawn = {row[1] for rows in seen if isinstance(rows, list) for row in rows if isinstance(row, tuple) and len(row) == 3}
+    assert scores.count() == 30_000 and len(drawn) > 0.9 * 40 * 64 and max(drawn) - min(drawn) > 29_000
+
+
+def test_folder_of_mixed_encodings(spark, tmp_path):
+    from equimap.sources import files
+
+    long = "这是一个学校的名字和地址，在城市的中心" * 40
+    texts = {"a.csv": ("gbk", f"name,n\n{long},1\n"), "b.csv": ("utf-8", f"n,name\n2,{long}\n"), "c.csv": ("utf-8-sig", "name,n,extra\nplain,3,x\n"), "d.csv": ("latin-1", "name,n\nÉcole supérieure près du café,4\n"), "e.csv": ("utf-8", "name,n\n" + "x" * 200_000 + "é,5\n")}
+    for name, (e, text) in texts.items():
+        (tmp_path / name).write_bytes(text.encode(e))
+    found = {r.path.rsplit("/", 1)[1]: (r.encoding, r.confidence) for r in files.encodings(spark, str(tmp_path)).collect()}
+    assert {k: v[0] for k, v in found.items()} == {k: v[0] for k, v in texts.items()}
+    assert all(found[k][1] > files.SURE for k in "abcd" for k in [f"{k}.csv"])
+    assert found["e.csv"][1] == 0.5  # one character is no proof; the ladder decides
+    got = {r.n: (r.name, r.extra) for r in files.read_csv(spark, str(tmp_path)).collect()}
+    assert got["1"] == got["2"] == (long, None) and got["3"] == ("plain", "x") and got["4"][0] == "École supérieure près du café" and got["5"][0].endswith("xé")
+
+
+def test_kept_tables_are_not_overwritten_on_errors(spark, tmp_path):
+    from equimap.sources import files
+
+    reg = files.Registry(spark, str(tmp_path))
+    reg.normalised("t", lambda: spark.range(3).toDF("n"))
+    for part in (tmp_path / "_normalised" / "t").glob("part-*"):
+        part.write_bytes(b"broken")
+    with pytest.raises(Exception):  # noqa: B017
+        reg.normalised("t", lambda: spark.range(9).toDF("n")).collect()
+    assert not [p for p in (tmp_path / "_normalised" / "t").glob("part-*") if p.read_bytes() != b"broken"]
