@@ -15,6 +15,8 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tuning import Range, minimise
+
 MOST_ENTITIES = 200_000
 
 
@@ -40,12 +42,12 @@ def kmeans(df: DataFrame, cols: list[str], k: int, seed: int = 42) -> DataFrame:
     return KMeans(k=k, seed=seed).fit(assembled(df, cols)).transform(assembled(df, cols)).drop("features").withColumnRenamed("prediction", "cluster")
 
 
-def boosted_cv(df: DataFrame, cols: list[str], target: str, fold: str, seed: int = 42, depth: int = 3, rounds: int = 10, weight: str | None = None, least_rows: int = 1, rate: float = 0.1, share: float = 1.0) -> DataFrame:
-    """fold, r2_log, r2, rmse, mae, mape, mdape, smearing of boosted trees on each held-out fold. The trees learn the log of the
+def boosted_cv(df: DataFrame, cols: list[str], target: str, fold: str, seed: int = 42, depth: int = 3, rounds: int = 10, weight: str | None = None, least_rows: int = 1, rate: float = 0.1, share: float = 1.0, only: list | None = None) -> DataFrame:
+    """fold, r2_log, r2, rmse, mae, mape, mdape, smearing of boosted trees on each held-out fold (or only the stated ones). The trees learn the log of the
     target, with the rows' weights where there are some; predictions go back by the mean of exp(residual)."""
     y = F.log(F.greatest(F.col(target), F.lit(0.0)) + 1e-6)
     data = assembled(df, cols).select("features", y.alias("label"), F.col(target).alias("raw"), F.col(fold).alias("fold"), (F.col(weight) if weight else F.lit(1.0)).alias("weight"))
-    folds = sorted(r[0] for r in data.select("fold").distinct().collect())
+    folds = sorted(r[0] for r in data.select("fold").distinct().collect()) if only is None else only
     out = []
     for f in folds:
         gbt = GBTRegressor(maxDepth=depth, maxIter=rounds, seed=seed, weightCol="weight", minInstancesPerNode=least_rows, stepSize=rate, subsamplingRate=share)
@@ -80,26 +82,20 @@ def huber(df: DataFrame, cols: list[str], target: str, fold: str) -> DataFrame:
     return df.sparkSession.createDataFrame([(float(np.mean(scores)), float(np.std(scores)), len(scores))], "r2 double, r2_std double, folds int")
 
 
-def tune(df: DataFrame, cols: list[str], target: str, fold: str, trials: int = 6, startup: int = 3, seed: int = 42) -> DataFrame:
-    """Trials of boosted trees, a stated one first, then `startup` random ones, then ones near the best third so far: trial,
-    parameters, mdape over the folds, and the best up to it (its running minimum)."""
-    rng, out = np.random.default_rng(seed), []
-    bounds = {"depth": (2, 5), "rounds": (3, 12), "least_rows": (1, 30), "rate": (0.02, 0.3), "share": (0.4, 1.0)}
-    whole = {"depth", "rounds", "least_rows"}
-    for t in range(trials):
-        if t == 0:
-            p = {"depth": 3, "rounds": 6, "least_rows": 10, "rate": 0.1, "share": 0.65}
-        else:
-            p = {k: rng.uniform(lo, hi) for k, (lo, hi) in bounds.items()}
-            good = sorted(out, key=lambda x: x[1])[: max(1, len(out) // 3)]
-            if t > startup:
-                near = good[int(rng.integers(0, len(good)))][0]
-                p = {k: float(np.clip(near[k] + rng.normal(0, 0.2) * (hi - lo), lo, hi)) for k, (lo, hi) in bounds.items()}
-            p = {k: int(round(v)) if k in whole else float(v) for k, v in p.items()}
-        out.append((p, float(boosted_cv(df, cols, target, fold, seed, **p).agg(F.avg("mdape")).first()[0])))
-    best = np.minimum.accumulate([x for _, x in out])
-    rows = [(t, *[p[k] for k in bounds], m, float(best[t])) for t, (p, m) in enumerate(out)]
-    return df.sparkSession.createDataFrame(rows, "trial int, depth int, rounds int, least_rows int, rate double, share double, mdape double, best double")
+def tune(df: DataFrame, cols: list[str], target: str, fold: str, trials: int = 20, startup: int = 5, seed: int = 42) -> DataFrame:
+    """Trials of boosted trees, a stated one first: trial, parameters, mdape (the mean over the folds that were scored), folds,
+    pruned, and the best whole trial up to it. See tuning.minimise."""
+    space = {"depth": Range(2, 5, whole=True), "rounds": Range(3, 12, whole=True), "least_rows": Range(1, 30, whole=True), "rate": Range(0.02, 0.3, log=True), "share": Range(0.4, 1.0)}
+    folds = sorted(r[0] for r in df.select(fold).distinct().collect())
+
+    def scores(p):
+        for f in folds:
+            yield boosted_cv(df, cols, target, fold, seed, only=[f], **p).first()["mdape"]
+
+    done = minimise(scores, space, trials, startup, seed, {"depth": 3, "rounds": 6, "least_rows": 10, "rate": 0.1, "share": 0.65})
+    best = np.minimum.accumulate([math.inf if x.pruned else x.value for x in done])
+    rows = [(t, *[x.params[k] for k in space], x.value, len(x.steps), x.pruned, float(best[t])) for t, x in enumerate(done)]
+    return df.sparkSession.createDataFrame(rows, "trial int, depth int, rounds int, least_rows int, rate double, share double, mdape double, folds int, pruned boolean, best double")
 
 
 def contributions(df: DataFrame, key: str, cols: list[str], target: str, seed: int = 42, depth: int = 3, rounds: int = 10) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators import evaluation as V
 from ..operators import models as M
+from ..operators import shapley as H
 from ..operators import spatial as G
 from ..operators import stats as A
 from ..operators import text as X
@@ -327,8 +328,27 @@ def best_match(spark, d):
 
 @Q()
 def contributions_top3(spark, d):
-    """The three features of largest mean absolute contribution to a boosted model."""
+    """The three features of largest mean absolute Shapley value in a boosted model."""
     from .model_queries import _FEATURES, _folds
 
-    c = M.contributions(_folds(spark, d), "o_orderkey", _FEATURES, "o_totalprice")
-    return c.filter("feature <> 'mean'").groupBy("feature").agg(F.avg(F.abs("contribution")).alias("importance")).orderBy(F.desc("importance"), "feature").limit(3)
+    c = H.overall(H.shapley(_folds(spark, d), "o_orderkey", _FEATURES, "o_totalprice"))
+    return c.select("feature", F.col("strength").alias("importance")).orderBy(F.desc("importance"), "feature").limit(3)
+
+
+def _cell_values(spark, d):
+    p = points(spark, d).select("vec_id", "x", "y", F.hypot("x", "y").alias("far"), F.col("label").cast("double").alias("label"), "v")
+    return p, H.shapley(p, "vec_id", ["x", "y", "far", "label"], "v")
+
+
+@Q()
+def shapley_places(spark, d):
+    """Each point with its three strongest features, for maps."""
+    p, c = _cell_values(spark, d)
+    return H.strongest(cut(c), "vec_id").join(p.select("vec_id", "x", "y"), "vec_id")
+
+
+@Q()
+def shapley_dependence(spark, d):
+    """For each of the four strongest features the one that it goes together with."""
+    p, c = _cell_values(spark, d)
+    return H.dependence(cut(c), p, "vec_id", ["x", "y", "far", "label"])

@@ -32,10 +32,10 @@ def kmeans_vote(spark, d):
     return k.join(F.broadcast(vote), "cluster").select("vec_id", "cluster", "voted")
 
 
-def _folds(spark, d):
+def _folds(spark, d, folds=3):
     o = read(spark, d, "orders").join(read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     o = o.select("o_orderkey", "o_totalprice", "c_acctbal", F.col("c_nationkey").cast("double").alias("nation"), F.length("o_orderpriority").cast("double").alias("prio"))
-    return o.join(A.kfolds(read(spark, d, "orders"), "o_orderkey", "o_totalprice", 3).select("o_orderkey", "fold"), "o_orderkey")
+    return o.join(A.kfolds(read(spark, d, "orders"), "o_orderkey", "o_totalprice", folds).select("o_orderkey", "fold"), "o_orderkey")
 
 
 _FEATURES = ["c_acctbal", "nation", "prio"]
@@ -55,12 +55,12 @@ def importance_topk(spark, d):
 
 @Q()
 def huber_baseline(spark, d):
-    return M.huber(_folds(spark, d), _FEATURES, "o_totalprice", "fold")
+    return M.huber(_folds(spark, d, 5), _FEATURES, "o_totalprice", "fold")
 
 
 @Q()
 def tuning_trials(spark, d):
-    return M.tune(cut(_folds(spark, d)), _FEATURES, "o_totalprice", "fold", trials=4, startup=2)
+    return M.tune(cut(_folds(spark, d)), _FEATURES, "o_totalprice", "fold", trials=8, startup=3)
 
 
 @Q()

@@ -37,7 +37,7 @@ def test_boosted_folds_and_baseline(spark):
     cv = rows(spark, "gbt_cv")
     assert [r.fold for r in sorted(cv)] == [0, 1, 2] and all(r.rmse >= r.mae > 0 and r.smearing > 0 and r.mdape <= r.mape for r in cv)
     (h,) = rows(spark, "huber_baseline")
-    assert h.folds == 3 and h.r2 < 1 and h.r2_std >= 0
+    assert h.folds == 5 and h.r2 < 1 and h.r2_std >= 0
     imp = rows(spark, "importance_topk")
     assert [r.rank for r in sorted(imp, key=lambda r: -r.importance)] == list(range(1, len(imp) + 1)) and sum(r.importance for r in imp) <= 1 + 1e-9
 
@@ -52,7 +52,8 @@ def test_a_learnable_target_is_learned_on_held_out_folds(spark):
 
 def test_trials_have_a_running_best(spark):
     t = sorted(rows(spark, "tuning_trials"))
-    assert [r.trial for r in t] == [0, 1, 2, 3] and [r.best for r in t] == list(itertools.accumulate((r.mdape for r in t), min))
+    assert [r.trial for r in t] == list(range(8)) and [r.best for r in t] == list(itertools.accumulate((math.inf if r.pruned else r.mdape for r in t), min))
+    assert all(r.folds == 3 or (r.pruned and r.folds < 3) for r in t) and not any(r.pruned for r in t[:3])
 
 
 def test_clusters_votes_and_regions(spark):
@@ -240,3 +241,63 @@ def test_kept_tables_are_not_overwritten_on_errors(spark, tmp_path):
     with pytest.raises(Exception):  # noqa: B017
         reg.normalised("t", lambda: spark.range(9).toDF("n")).collect()
     assert not [p for p in (tmp_path / "_normalised" / "t").glob("part-*") if p.read_bytes() != b"broken"]
+
+
+def test_densities_beat_random_trials():
+    from equimap.operators.tuning import Range, minimise
+
+    space = {"a": Range(0.0, 1.0), "b": Range(1e-4, 1.0, log=True), "n": Range(1, 20, whole=True)}
+    surface = lambda p: (p["a"] - 0.3) ** 2 + (math.log10(p["b"]) + 2) ** 2 / 4 + ((p["n"] - 7) / 10) ** 2
+    steps = lambda p: (surface(p) * s for s in (1.1, 0.9, 1.0))
+    tpe, free = [], []
+    for seed in range(12):
+        done = minimise(steps, space, 40, 8, seed, {"a": 0.9, "b": 0.9, "n": 19})
+        assert done[0].params == {"a": 0.9, "b": 0.9, "n": 19} and all(isinstance(x.params["n"], int) and 1e-4 <= x.params["b"] <= 1 for x in done)
+        assert [x.params for x in done] == [x.params for x in minimise(steps, space, 40, 8, seed, {"a": 0.9, "b": 0.9, "n": 19})]
+        cut_short = [x for x in done if x.pruned]
+        assert cut_short and all(len(x.steps) < 3 for x in cut_short) and all(len(x.steps) == 3 for x in done if not x.pruned)
+        tpe.append(min(x.value for x in done if not x.pruned))
+        free.append(min(x.value for x in minimise(steps, space, 40, 40, seed)))
+    assert sum(a < b for a, b in zip(tpe, free)) >= 9 and sum(tpe) < sum(free) / 2
+
+
+def test_shapley_values_against_all_subsets(spark):
+    """Equal to the weighted sum over all subsets of four features of the trees' expectations."""
+    import numpy as np
+    from pyspark.ml.regression import GBTRegressor
+
+    from equimap.operators import shapley
+
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 6, (120, 4)).astype(float)
+    y = x[:, 0] * x[:, 1] + (x[:, 2] > 2) * 5 - x[:, 3] + rng.normal(size=120)
+    df = spark.createDataFrame([(i, *map(float, r), float(v)) for i, (r, v) in enumerate(zip(x, y))], "id long, a double, b double, c double, d double, y double")
+    cols = ["a", "b", "c", "d"]
+    model = GBTRegressor(maxDepth=4, maxIter=4, seed=42, labelCol="y").fit(shapley.assembled(df, cols))
+
+    def expected(node, row, known):
+        if node.numDescendants() == 0:
+            return float(node.prediction())
+        kids = (node.leftChild(), node.rightChild())
+        f = node.split().featureIndex()
+        if f in known:
+            return expected(kids[int(row[f] > node.split().threshold())], row, known)
+        n = [float(k.impurityStats().count()) for k in kids]
+        return sum(w * expected(k, row, known) for w, k in zip(n, kids)) / sum(n)
+
+    roots = [(w, t._java_obj.rootNode()) for w, t in zip(model.treeWeights, model.trees)]
+    got, mean = shapley.values(shapley.forest_of(model), x)
+    predicted = {r.id: r.prediction for r in model.transform(shapley.assembled(df, cols)).collect()}
+    assert all(got[i].sum() + mean == pytest.approx(predicted[i]) for i in range(120))
+    for i in (0, 17, 63):
+        f = {s: sum(w * expected(r, x[i], s) for w, r in roots) for n in range(5) for s in map(frozenset, itertools.combinations(range(4), n))}
+        for j in range(4):
+            want = sum(math.factorial(len(s)) * math.factorial(3 - len(s)) / 24 * (f[s | {j}] - f[s]) for s in f if j not in s)
+            assert got[i, j] == pytest.approx(want, abs=1e-9)
+    c = shapley.shapley(df, "id", cols, "y", depth=4, rounds=4)
+    table = {(r.id, r.feature): r.contribution for r in c.collect()}
+    assert table[17, "a"] == pytest.approx(got[17, 0]) and table[17, "mean"] == pytest.approx(mean)
+    top = sorted(shapley.strongest(c.filter("id = 17"), "id", 3).collect(), key=lambda r: r["rank"])
+    assert [r.feature for r in top] == [cols[j] for j in np.argsort(-np.abs(got[17]))[:3]]
+    partners = {r.feature: r.partner for r in shapley.dependence(c, df, "id", cols).collect()}
+    assert len(partners) == 4 and partners["a"] == "b"
