@@ -33,6 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 #: The same for rows that hold large arrays: the JVM's Arrow buffers grow by doubling, outside its heap.
 LEAST_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+FEW_TASKS = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
 
 
 @contextlib.contextmanager
@@ -79,13 +80,15 @@ class Scratch:
         self.batches = BATCHES
         atexit.register(self.close)
 
-    def put(self, df: DataFrame, *parts: str) -> DataFrame:
+    def put(self, df: DataFrame, *parts: str, few: bool = False) -> DataFrame:
+        """df as a table. few: small partitions are joined up to Spark's advisory size although cores stay idle, for tables of
+        small rows in loops: each file costs more than its rows do."""
         self.n += 1
         path = f"{self.path}/{self.n}"
         writer = df.write
         if parts:
             writer = writer.partitionBy(*parts)
-        with small_batches(self.spark, self.batches):
+        with small_batches(self.spark, self.batches | (FEW_TASKS if few else {})):
             writer.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path

@@ -339,26 +339,26 @@ class _Join:
         linked with, such as the least one of a large group."""
         sc = self.scratch
         e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-        e, mark = sc.put(e), None
+        e, mark = sc.put(e, few=True), None
         while True:
             now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 30))).alias("s")).first()
             if now == mark or not now["n"]:
                 return e.select(F.col("u").alias("rid"), F.col("v").alias("comp"))
             mark = now
             both = e.union(e.select("v", "u"))
-            least = sc.put(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+            least = sc.put(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), few=True)
             big = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-            big = sc.put(big)
+            big = sc.put(big, few=True)
             sc.drop(least)
-            least = sc.put(big.groupBy("u").agg(F.min("v").alias("m")))
+            least = sc.put(big.groupBy("u").agg(F.min("v").alias("m")), few=True)
             small = big.join(least, "u")
             small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", "m")).filter("u <> v").distinct()
-            old, e = e, sc.put(small)
+            old, e = e, sc.put(small, few=True)
             sc.drop(old, big, least)
 
     def run(self) -> DataFrame:
         sc, rule = self.scratch, self.rule
-        found = sc.put(_scan(self.docs, rule, False), "kind")
+        found = sc.put(_scan(self.docs, rule, False))
         sizes = found.filter("kind = 0").select(F.col("a").alias("rid"), F.col("b").alias("n"))
         local = found.filter("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("rid"), F.col("c").alias("head"))
         # at most a row for each task and key, so the rows of a key are few
