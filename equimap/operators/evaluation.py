@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from . import network as N
 from . import stats as A
+from .lineage import cut
 
 
 def stage_access(od: DataFrame, supply: DataFrame, demand: DataFrame, limits: dict[str, float], shares: dict[str, float], beta: float = 0.15) -> DataFrame:
@@ -29,12 +30,18 @@ def coverage(df: DataFrame, demand: str, unmet: str, high_risk: Column, low_acce
     return df.agg(rate(F.lit(True)).alias("coverage"), rate(high_risk).alias("high_risk"), rate(low_access).alias("low_access"))
 
 
-def gini_by(df: DataFrame, key: str, value: str, weight: str) -> DataFrame:
-    """key, gini: the weighted Gini of each key's rows; a key's distinct values meet in one task."""
-    per = df.groupBy(key, F.col(value).alias("v")).agg(F.sum(weight).alias("w"), F.sum(F.col(value) * F.col(weight)).alias("vw"))
-    tot = per.groupBy(key).agg(F.sum("w").alias("tw"), F.sum("vw").alias("tv"))
-    run = per.withColumn("y", F.sum("vw").over(Window.partitionBy(key).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
-    return run.join(tot, key).groupBy(key).agg((1 - F.sum(F.col("w") / F.col("tw") * (2 * F.col("y") - F.col("vw")) / F.col("tv"))).alias("gini"))
+def gini_by(df: DataFrame, key: str, value: str, weight: str, buckets: int = 64) -> DataFrame:
+    """key, gini: the weighted Gini of each key's rows. Running sums are made per bucket of values with carried offsets, so a
+    key of any number of rows is many tasks."""
+    per = cut(df.groupBy(key, F.col(value).alias("v")).agg(F.sum(weight).alias("w"), F.sum(F.col(value) * F.col(weight)).alias("vw")).filter("v is not null"))
+    per = per.withColumn("b", A.bucket(per, "v", buckets))
+    sums = per.groupBy(key, "b").agg(F.sum("w").alias("bw"), F.sum("vw").alias("bv"))
+    whole = Window.partitionBy(key)  # a row for each bucket
+    before = whole.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(key, "b", F.coalesce(F.sum("bv").over(before), F.lit(0.0)).alias("ahead"), F.sum("bw").over(whole).alias("tw"), F.sum("bv").over(whole).alias("tv"))
+    inner = Window.partitionBy(key, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    run = per.join(sums, [key, "b"]).withColumn("y", F.col("ahead") + F.sum("vw").over(inner))
+    return run.groupBy(key).agg((1 - F.sum(F.col("w") / F.col("tw") * (2 * F.col("y") - F.col("vw")) / F.col("tv"))).alias("gini"))
 
 
 def resampled(df: DataFrame, key: str, n: int, runs: int) -> DataFrame:

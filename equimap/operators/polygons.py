@@ -266,6 +266,8 @@ def life_circles(segments: DataFrame, origins: DataFrame, radius: float, size: f
     """origin and trapezoids: all within a radius of an origin's reached segments (origin, x0, y0, x1, y1), once; an origin (origin,
     x0, y0, x1, y1: its place twice) without segments has the disc around itself."""
     alone = origins.join(segments.select("origin").distinct(), "origin", "left_anti")
-    lines = segments.select("origin", "x0", "y0", "x1", "y1").distinct().unionByName(alone.select("origin", "x0", "y0", "x1", "y1"))
+    back = F.struct("x1", "y1") < F.struct("x0", "y0")  # a line is the same both ways
+    ends = [F.when(back, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("x0", "x1"), ("y0", "y1"), ("x1", "x0"), ("y1", "y0"))]
+    lines = segments.select("origin", *ends).distinct().unionByName(alone.select("origin", "x0", "y0", "x1", "y1"))
     each = buffered(lines, radius).select("origin", F.struct("x0", "y0", "x1", "y1").alias("line"), "rings")
     return union(trapezoids(each, ["origin", "line"], size), "origin", size)

@@ -34,18 +34,31 @@ def within(points: DataFrame, sites: DataFrame, radius: float, size: float | Non
     return near.join(keyed, ["ci", "cj"]).drop("ci", "cj").withColumn("d2", d2).filter(F.col("d2") <= radius * radius)
 
 
+def _crowded(sites: DataFrame, k: int, radius: float, most: int = 16, share: float = 0.9) -> float:
+    """radius, or as small a part of it as leaves `share` of the sites in cells of `most` * k sites at most: where sites are
+    crowded in places, or one lies far away, the mean density says nothing."""
+    while True:
+        n = sites.groupBy(cell(F.col("sx"), radius), cell(F.col("sy"), radius)).agg(F.count(F.lit(1)).alias("n"))
+        n = n.agg(F.sum(F.when(F.col("n") <= most * k, F.col("n")).otherwise(0)).alias("ok"), F.sum("n").alias("all"), F.max("n").alias("top"), F.count(F.lit(1)).alias("cells")).first()
+        if not n["all"] or n["ok"] >= share * n["all"] or radius < 1e-9:
+            return radius
+        radius /= 4
+
+
 def knn(points: DataFrame, sites: DataFrame, k: int, radius: float, point_id: str, site_id: str, exclude_self: bool = False, grow: float = 4.0) -> DataFrame:
     """For each point its k nearest sites (ties by site id): point_id, site_id, d2, rank.
 
     Sites inside a radius are ranked; points with fewer than k of them are tried again with a larger radius, until it
     spans both tables. The k nearest are inside the radius once k were found there, so the result is exact. The first
-    radius is the given one, or less where sites are so dense that a smaller circle holds a few times k of them."""
+    radius is the given one, or less where sites are so dense that a smaller circle holds a few times k of them: by the mean
+    density, then by counts of cells."""
     both = points.select("x", "y", F.lit(0).alias("s")).union(sites.select("sx", "sy", F.lit(1)))
     box = both.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.sum("s")).first()
     wide, high = box[0] or 0.0, box[1] or 0.0
     reach = math.hypot(wide, high) + 1.0
     if box[2] and wide * high > 0:
         radius = min(radius, 2 * math.sqrt(wide * high * k / (math.pi * box[2])))
+    radius = _crowded(sites, k, radius)
     w = Window.partitionBy(point_id).orderBy("d2", site_id)
     todo, out = points, None
     while True:
@@ -193,10 +206,10 @@ def filled(points: DataFrame, sites: DataFrame, point_id: str, radius: float, k:
     """point_id, value, method: the mean of the sites (sid, sx, sy, sv) within a radius, else within one of the larger ones,
     else interpolated from the k nearest points that have a value, else the median of all."""
     far = max(factors) * radius
-    pairs = cut(within(points, sites, far).select(point_id, "sv", "d2"))
+    pairs = within(points, sites, far).select(point_id, "sv", "d2")  # summed at once, never written
     steps = (1.0, *factors)
     inside = lambda f: F.col("d2") <= (f * radius) ** 2
-    means = pairs.groupBy(point_id).agg(*[F.avg(F.when(inside(f), F.col("sv"))).alias(f"m{i}") for i, f in enumerate(steps)])
+    means = cut(pairs.groupBy(point_id).agg(*[F.avg(F.when(inside(f), F.col("sv"))).alias(f"m{i}") for i, f in enumerate(steps)]))
     method = F.lit(None).cast("string")
     for i, f in reversed(list(enumerate(steps))):
         method = F.when(F.col(f"m{i}").isNotNull(), F.lit("direct" if f == 1.0 else f"expanded_{f:g}")).otherwise(method)

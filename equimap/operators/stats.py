@@ -18,7 +18,7 @@ def with_totals(df: DataFrame, **aggs: Column) -> DataFrame:
     return df.crossJoin(F.broadcast(df.agg(*[c.alias(k) for k, c in aggs.items()])))
 
 
-def _bucket(df: DataFrame, value: str, buckets: int) -> Column:
+def bucket(df: DataFrame, value: str, buckets: int) -> Column:
     cuts = sorted(set(df.approxQuantile(value, [i / buckets for i in range(1, buckets)], 0.01)))
     return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]) if cuts else F.expr("cast(array() as array<double>)"), lambda c: c < F.col(value)))
 
@@ -27,7 +27,7 @@ def running(df: DataFrame, value: str, sums: list[str], buckets: int = BUCKETS)
     """One row for each distinct value: n, the sums, and cum_n, cum_<sum> over all values up to it."""
     per = df.groupBy(value).agg(F.count(F.lit(1)).alias("n"), *[F.sum(s).alias(s) for s in sums])
     cols = ["n", *sums]
-    per = per.withColumn("_b", _bucket(df, value, buckets))
+    per = per.withColumn("_b", bucket(df, value, buckets))
     tot = per.groupBy("_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
     w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each bucket
     tot = tot.select("_b", *[F.coalesce(F.sum(f"_t_{c}").over(w), F.lit(0)).alias(f"_o_{c}") for c in cols])
@@ -166,7 +166,7 @@ def kfolds(df: DataFrame, key: str, target: str, k: int = 5, bins: int = 5) -> D
 def running_max(df: DataFrame, order: str, value: str, buckets: int = BUCKETS) -> DataFrame:
     """df with best: the largest value up to its place in the order (ties of the order count together)."""
     rows = df.withColumn("_o", F.col(order).cast("double"))
-    rows = rows.withColumn("_b", _bucket(rows, "_o", buckets))
+    rows = rows.withColumn("_b", bucket(rows, "_o", buckets))
     tops = rows.groupBy("_b").agg(F.max(value).alias("_t"))
     tops = tops.select("_b", F.max("_t").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))  # a row for each bucket
     inner = Window.partitionBy("_b").orderBy("_o").rangeBetween(Window.unboundedPreceding, 0)

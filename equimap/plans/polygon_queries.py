@@ -11,8 +11,9 @@ from ..operators import polygons as P
 from ..operators import spatial as G
 from ..operators import supply as Y
 from ..operators.lineage import cut
+from .access_queries import STEP, streets
 from .registry import Registry
-from .tables import CELLS, POINTS, SIZE, cells, nations, points, roads
+from .tables import CELLS, POINTS, SIZE, cells, nations, points
 
 Q = Registry()
 #: Sectors around a label's mean; a star's corners are the farthest points of the sectors, its hole the star made smaller.
@@ -123,14 +124,14 @@ def repaired_rings(spark, d):
 
 @Q()
 def isochrone_outlines(spark, d):
-    """Rings around all that lies within 90 of the reached part of the nations' roads, inside the first quarter of the map."""
-    e = cut(N.directed(roads(spark, d)))
-    dist = N.shortest(e, nations(spark, d), 6.0)
-    at = lambda c: (F.floor(F.col(c) / 5) * 400.0, F.pmod(c, F.lit(5)) * 400.0)
-    s = N.reachable(e, dist, 6.0).select("origin", "share", *[v.alias(n) for n, v in zip(("x0", "y0", "xe", "ye"), (*at("src"), *at("dst")), strict=True)])
-    s = s.select("origin", "x0", "y0", (F.col("x0") + (F.col("xe") - F.col("x0")) * F.col("share")).alias("x1"), (F.col("y0") + (F.col("ye") - F.col("y0")) * F.col("share")).alias("y1"))
+    """Rings around all that lies within 90 of the part of the streets that a nation reaches in 2 minutes, inside a boundary."""
+    s = cut(streets(spark, d))
+    e = cut(N.directed(s))
+    at = lambda c: ((F.floor(F.col(c) / 5) - 2) * STEP, (F.pmod(c, F.lit(5)) - 2) * STEP)
+    reached = N.reachable(e, N.shortest(e, nations(spark, d), 2.0), 2.0).select("origin", "share", *[v.alias(n) for n, v in zip(("x0", "y0", "xe", "ye"), (*at("src"), *at("dst")), strict=True)])
+    reached = reached.select("origin", "x0", "y0", (F.col("x0") + (F.col("xe") - F.col("x0")) * F.col("share")).alias("x1"), (F.col("y0") + (F.col("ye") - F.col("y0")) * F.col("share")).alias("y1"))
     own = nations(spark, d).select(F.col("node").alias("origin"), *[v.alias(c) for v, c in zip((*at("node"), *at("node")), ("x0", "y0", "x1", "y1"), strict=True)])
-    traps = P.life_circles(s, own, 90.0, 400.0)
-    inside = spark.range(1).select(F.lit(0).alias("b"), F.array(P.ring([(F.lit(x), F.lit(y)) for x, y in ((-200.0, -200.0), (1000.0, -200.0), (1000.0, 700.0), (-200.0, 1000.0))])).alias("rings"))
-    r = P.rings(P.outline(P.overlay(traps, "origin", P.trapezoids(inside, "b", 400.0), "b", 400.0), "origin"), "origin")
+    traps = cut(P.life_circles(reached, own, 90.0, 200.0))
+    inside = spark.range(1).select(F.lit(0).alias("b"), F.array(P.ring([(F.lit(x), F.lit(y)) for x, y in ((-2850.0, -2850.0), (2800.0, -2850.0), (2850.0, 2000.0), (-2800.0, 2850.0))])).alias("rings"))
+    r = P.rings(P.outline(P.overlay(traps, "origin", P.trapezoids(inside, "b", STEP / 2), "b", STEP / 2), "origin"), "origin")
     return r.groupBy("origin").agg(F.count_if(~F.col("hole")).alias("outer"), F.count_if("hole").alias("holes"), F.round(F.sum(F.when(F.col("hole"), -F.col("area")).otherwise(F.col("area"))), 2).alias("area"))
