@@ -225,6 +225,27 @@ def grid_predictions(points: DataFrame, cols: list[str], target: str, grid: Data
     return done.unionByName(rest)
 
 
+def vote_refined(cells: DataFrame, cluster: str, label: str, score: str, water: str, lo: float = 27.0, hi: float = 31.0) -> DataFrame:
+    """cells with `refined`: cells whose score lies in the fuzzy band take the commonest label of their cluster (the least of
+    equally common ones), except water cells and those of which more than half is water."""
+    n = cells.groupBy(cluster, label).agg(F.count(F.lit(1)).alias("n"))
+    vote = n.groupBy(cluster).agg(F.min(F.struct(-F.col("n"), F.col(label).alias("l")))["l"].alias("_vote"))
+    fuzzy = F.col(score).between(lo, hi) & (F.col(label) != 2) & ~(F.coalesce(F.col(water), F.lit(0.0)) > 0.5)
+    return cells.join(vote, cluster, "left").withColumn("refined", F.when(fuzzy, F.coalesce("_vote", F.col(label))).otherwise(F.col(label))).drop("_vote")
+
+
+def grid_features(grid: DataFrame, features: list[str], own: dict[str, str], medians: dict[str, float], shares: list[str], dominant: str, own_class: str, whole: list[str]) -> DataFrame:
+    """grid with missing features filled: a feature by the cell's own value where it has one (own: feature to column), then by
+    the training data's median; shares by 0; the dominant class by the cell's own class, then 0; the `whole` columns by their
+    median over the grid."""
+    mid = grid.agg(*[F.percentile(c, 0.5).alias(f"_m_{c}") for c in whole]) if whole else None
+    out = grid.withColumns({f: F.coalesce(F.col(f), *([F.col(own[f])] if f in own else []), F.lit(float(medians[f]))) for f in features})
+    out = out.withColumns({s: F.coalesce(F.col(s), F.lit(0.0)) for s in shares} | {dominant: F.coalesce(F.col(dominant), F.col(own_class), F.lit(0))})
+    if mid is None:
+        return out
+    return out.crossJoin(F.broadcast(mid)).withColumns({c: F.coalesce(F.col(c), F.col(f"_m_{c}")) for c in whole}).drop(*[f"_m_{c}" for c in whole])  # one row
+
+
 def boxcox_lambda(df: DataFrame, col: str, lo: float = -2.0, hi: float = 2.0, rounds: int = 4, grid: int = 21) -> float:
     """The exponent of largest likelihood: each round tries a grid of exponents in one aggregate and narrows to its best."""
     from ..functions import scalar as S

@@ -13,17 +13,22 @@ from . import stats as A
 from .lineage import cut
 
 
-def priority(df: DataFrame, key: str, d1: str, d2: str, d3: str) -> DataFrame:
-    """key, index, priority, rank, cls: entropy-weighted index of three dimensions, priority from reversed pressure."""
+#: What is done for a class: fixed values.
+STRATEGIES = {"I": "S1", "II": "S2", "III": "S3", "IV": "S4"}
+
+
+def priority(df: DataFrame, key: str, d1: str, d2: str, d3: str, count: str) -> DataFrame:
+    """key, index, priority, rank, cls, strategy: entropy-weighted index of three dimensions, priority from reversed pressure,
+    class by quartiles of the index (a missing one is the last class), raised or lowered by the entity's count."""
     w = {r["name"]: r["weight"] for r in A.entropy_weights(df, [d1, d2, d3]).collect()}  # three rows
-    t = A.with_totals(df.select(key, d1, d2, d3), **{f"lo_{c}": F.min(c) for c in (d1, d2, d3)}, **{f"hi_{c}": F.max(c) for c in (d1, d2, d3)})
+    t = A.with_totals(df.select(key, d1, d2, d3, F.coalesce(F.col(count), F.lit(0)).alias("_n")), **{f"lo_{c}": F.min(c) for c in (d1, d2, d3)}, **{f"hi_{c}": F.max(c) for c in (d1, d2, d3)})
     n = {c: S.minmax_eps(F.col(c), F.col(f"lo_{c}"), F.col(f"hi_{c}"), reverse=c == d3) for c in (d1, d2, d3)}
-    t = t.select(key, *[n[c].alias(f"n_{c}") for c in (d1, d2, d3)])
+    t = t.select(key, "_n", *[n[c].alias(f"n_{c}") for c in (d1, d2, d3)])
     index = sum((w[c] * F.col(f"n_{c}") for c in (d2, d3)), w[d1] * F.col(f"n_{d1}"))
     t = t.withColumn("index", index).withColumn("priority", 0.5 * F.col(f"n_{d3}") + 0.3 * F.col(f"n_{d2}") + 0.2 * (1 - F.col("index")))
     t = A.with_totals(t, q=F.percentile("index", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
-    t = t.withColumn("cls", S.quartile_class(F.col("index"), *[F.get("q", i) for i in range(3)])).drop("q")
-    return A.ranks(t, "priority", descending=True).select(key, "index", "priority", F.col("rank_min").alias("rank"), "cls")
+    t = t.withColumn("cls", S.count_override(S.quartile_class(F.col("index"), *[F.get("q", i) for i in range(3)]), F.col("_n"))).drop("q")
+    return A.ranks(t, "priority", descending=True).select(key, "index", "priority", F.col("rank_min").alias("rank"), "cls", S.lookup(F.col("cls"), STRATEGIES).alias("strategy"))
 
 
 def monte_carlo(df: DataFrame, key: str, demand: str, unmet: str, runs: int) -> DataFrame:

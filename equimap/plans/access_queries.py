@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import demand as D
+from ..operators import models as M
 from ..operators import network as N
 from ..operators import spatial as G
 from ..operators.lineage import cut
+from ..sources import files as IO
 from .registry import Registry
-from .tables import POINTS, ROADS, points, roads
+from .tables import POINTS, ROADS, ZONES, points, read, roads, zones
 
 Q = Registry()
 #: Distance between neighbouring nations, which stand in five rows around the origin.
@@ -65,3 +67,65 @@ def od_snapped(spark, d):
     feet = cut(N.snapped(p.select(F.col("vec_id").alias("pid"), "x", "y"), segments, "pid", 500.0))
     od = N.snapped_minutes(cut(c), feet, segments, {"primary": 75.0, "middle": 240.0}, {"primary": 800.0, "middle": 1600.0}, 6.0, 500.0)
     return od.select("i", "j", F.round("t", 5).alias("t"), "source")
+
+
+def _layers(spark, d):
+    p = points(spark, d).select("vec_id", "x", "y")
+    return {"dezoned": p.select("vec_id", (F.col("x") + 500000).alias("x"), F.col("y")), "degrees": p.select("vec_id", (114 + F.col("x") / 4000).alias("x"), (36 + F.col("y") / 4000).alias("y")), "zoned": p.select("vec_id", (F.col("x") + 38500000).alias("x"), "y")}
+
+
+@Q(f"""WITH {POINTS}, l AS (SELECT 'dezoned' AS layer, x + 500000 AS x, y FROM p UNION ALL SELECT 'degrees', 114 + x / 4000, 36 + y / 4000 FROM p UNION ALL SELECT 'zoned', x + 38500000, y FROM p)
+SELECT layer, count(*) AS n, round(min(x), 4) AS x0, round(max(y), 4) AS y1, CASE layer WHEN 'degrees' THEN 'geographic' ELSE layer END AS axis, CASE layer WHEN 'dezoned' THEN 'shift' WHEN 'degrees' THEN 'reproject' ELSE 'copy' END AS action FROM l GROUP BY layer""")
+def axis_layers(spark, d):
+    """What has to be done with three layers of different axes."""
+    return IO.axis_report(_layers(spark, d)).select("layer", "n", F.round("x0", 4).alias("x0"), F.round("y1", 4).alias("y1"), "axis", "action")
+
+
+@Q(f"""WITH {POINTS}, {ZONES}, c AS (SELECT label AS zone, (bx0 + bx1) / 2 AS zx, (by0 + by1) / 2 AS zy FROM z)
+SELECT vec_id, zone, round(d, 4) AS dist FROM (SELECT vec_id, zone, sqrt((x - zx) ** 2 + (y - zy) ** 2) AS d, row_number() OVER (PARTITION BY vec_id ORDER BY (x - zx) ** 2 + (y - zy) ** 2, zone) AS n FROM p, c) WHERE n = 1""")
+def nearest_zone(spark, d):
+    """The nearest feature of each point, the first of equally near ones, however far it is."""
+    z = zones(spark, d).select(F.col("label").alias("zone"), ((F.col("bx0") + F.col("bx1")) / 2).alias("sx"), ((F.col("by0") + F.col("by1")) / 2).alias("sy"))
+    return G.knn(points(spark, d), cut(z), 1, 1000.0, "vec_id", "zone").select("vec_id", "zone", F.round(F.sqrt("d2"), 4).alias("dist"))
+
+
+def _classified(spark, d):
+    """Parts as cells: score, label, share of water and a cluster."""
+    p = read(spark, d, "part")
+    score = 20.0 + F.pmod(F.col("p_partkey") * 7, F.lit(200)) / 10
+    label = F.when(F.col("p_size") > 46, 2).when(F.pmod("p_partkey", F.lit(3)) == 0, 1).otherwise(0)
+    return p.select("p_partkey", score.alias("score"), label.alias("label"), (F.pmod("p_size", F.lit(10)) / 10).alias("water"), F.col("p_brand").alias("cluster"))
+
+
+_CLASSIFIED = """c AS (SELECT p_partkey, 20.0::DOUBLE + (p_partkey * 7 % 200) / 10 AS score, CASE WHEN p_size > 46 THEN 2 WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS label, (p_size % 10) / 10 AS water, p_brand AS cluster FROM part),
+v AS (SELECT cluster, first(label ORDER BY n DESC, label) AS vote FROM (SELECT cluster, label, count(*) AS n FROM c GROUP BY ALL) GROUP BY cluster),
+r AS (SELECT c.*, CASE WHEN score BETWEEN 27 AND 31 AND label <> 2 AND NOT water > 0.5 THEN vote ELSE label END AS refined FROM c JOIN v USING (cluster))"""
+
+
+@Q(f"WITH {_CLASSIFIED} SELECT p_partkey, label, refined FROM r")
+def refined_labels(spark, d):
+    """Cells of the fuzzy band take their cluster's label, water exempt."""
+    return M.vote_refined(_classified(spark, d), "cluster", "label", "score", "water").select("p_partkey", "label", "refined")
+
+
+@Q(f"""WITH {_CLASSIFIED} SELECT refined AS label, count(*) AS cells, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS percent, round(avg(score), 4) AS score, round(median(score), 4) AS middle, round(avg(water), 4) AS water, count(DISTINCT cluster) AS clusters, count(*) FILTER (refined <> label) AS changed FROM r GROUP BY refined""")
+def class_panels(spark, d):
+    """The four panels of the classification as one table: classes, scores, water, clusters."""
+    r = M.vote_refined(_classified(spark, d), "cluster", "label", "score", "water")
+    g = r.groupBy(F.col("refined").alias("l")).agg(F.count(F.lit(1)).alias("cells"), F.avg("score").alias("score"), F.percentile("score", 0.5).alias("middle"), F.avg("water").alias("water"), F.count_distinct("cluster").alias("clusters"), F.count_if(F.col("refined") != F.col("label")).alias("changed"))
+    g = g.crossJoin(F.broadcast(g.agg(F.sum("cells").alias("all"))))  # one row
+    four = lambda c: F.round(c, 4).alias(c)
+    return g.select(F.col("l").alias("label"), "cells", F.round(100.0 * F.col("cells") / F.col("all"), 4).alias("percent"), four("score"), four("middle"), four("water"), "clusters", "changed")
+
+
+@Q("""WITH g AS (SELECT p_partkey, CASE WHEN p_partkey % 3 > 0 THEN p_retailprice END AS x1, CASE WHEN p_partkey % 5 > 0 THEN p_size END AS own, CASE WHEN p_partkey % 2 = 0 THEN p_size::DOUBLE END AS x2, CASE WHEN p_partkey % 7 = 0 THEN 0.5 END AS pct, CASE WHEN p_partkey % 4 = 0 THEN 3 END AS dom, CASE WHEN p_partkey % 4 = 1 THEN 5 END AS cls, CASE WHEN p_partkey % 6 > 0 THEN p_retailprice / 10 END AS km2 FROM part)
+SELECT p_partkey, round(coalesce(x1, own, 900.0), 4)::DOUBLE AS x1, coalesce(x2, 25.0)::DOUBLE AS x2, coalesce(pct, 0)::DOUBLE AS pct, coalesce(dom, cls, 0) AS dom, round(coalesce(km2, (SELECT median(km2) FROM g)), 4) AS km2 FROM g""")
+def grid_fallbacks(spark, d):
+    """Missing features of cells: own value, median, zero share, own class."""
+    k = F.col("p_partkey")
+    g = read(spark, d, "part").select(
+        "p_partkey", F.when(k % 3 > 0, F.col("p_retailprice")).alias("x1"), F.when(k % 5 > 0, F.col("p_size").cast("double")).alias("own"), F.when(k % 2 == 0, F.col("p_size").cast("double")).alias("x2"),
+        F.when(k % 7 == 0, 0.5).alias("pct"), F.when(k % 4 == 0, 3).alias("dom"), F.when(k % 4 == 1, 5).alias("cls"), F.when(k % 6 > 0, F.col("p_retailprice") / 10).alias("km2"),
+    )
+    out = M.grid_features(g, ["x1", "x2"], {"x1": "own"}, {"x1": 900.0, "x2": 25.0}, ["pct"], "dom", "cls", ["km2"])
+    return out.select("p_partkey", F.round("x1", 4).alias("x1"), "x2", "pct", "dom", F.round("km2", 4).alias("km2"))

@@ -18,12 +18,14 @@ Q = Registry()
 z AS (SELECT p_partkey, (p_retailprice - l1) / (h1 - l1) AS z1, (p_size - l2) / (h2 - l2) AS z2, (p_partkey % 97 - l3) / (h3 - l3) AS z3, (p_retailprice - l1) / (h1 - l1 + 1e-9) AS n1, (p_size - l2) / (h2 - l2 + 1e-9) AS n2, (h3 - p_partkey % 97) / (h3 - l3 + 1e-9) AS n3, n FROM part, x),
 s AS (SELECT sum(z1) s1, sum(z2) s2, sum(z3) s3 FROM z),
 e AS (SELECT -sum(CASE WHEN z1 = 0 THEN 1e-9 ELSE z1 / s1 END * ln(CASE WHEN z1 = 0 THEN 1e-9 ELSE z1 / s1 END)) / ln(max(n)) AS e1, -sum(CASE WHEN z2 = 0 THEN 1e-9 ELSE z2 / s2 END * ln(CASE WHEN z2 = 0 THEN 1e-9 ELSE z2 / s2 END)) / ln(max(n)) AS e2, -sum(CASE WHEN z3 = 0 THEN 1e-9 ELSE z3 / s3 END * ln(CASE WHEN z3 = 0 THEN 1e-9 ELSE z3 / s3 END)) / ln(max(n)) AS e3 FROM z, s),
-i AS (SELECT p_partkey, n2, n3, ((1 - e1) * n1 + (1 - e2) * n2 + (1 - e3) * n3) / (3 - e1 - e2 - e3) AS idx FROM z, e)
-SELECT p_partkey, round(idx, 5) + 0.0 AS "index", round(0.5 * n3 + 0.3 * n2 + 0.2 * (1 - idx), 5) + 0.0 AS priority FROM i""")
+i AS (SELECT p_partkey, n2, n3, ((1 - e1) * n1 + (1 - e2) * n2 + (1 - e3) * n3) / (3 - e1 - e2 - e3) AS idx FROM z, e),
+q AS (SELECT quantile_cont(idx, [0.25, 0.5, 0.75]) AS q FROM i), k AS (SELECT *, 0.5 * n3 + 0.3 * n2 + 0.2 * (1 - idx) AS pr, CASE WHEN idx >= q[3] THEN 'I' WHEN idx >= q[2] THEN 'II' WHEN idx >= q[1] THEN 'III' ELSE 'IV' END AS c, p_partkey % 2500 AS n FROM i, q),
+f AS (SELECT *, CASE WHEN c = 'IV' AND n > 2000 THEN 'III' WHEN c = 'II' AND n > 0 AND n < 500 THEN 'III' ELSE c END AS cls FROM k)
+SELECT p_partkey, round(idx, 5) + 0.0 AS "index", round(pr, 5) + 0.0 AS priority, rank() OVER (ORDER BY pr DESC) AS rank, cls, 'S' || CASE cls WHEN 'I' THEN 1 WHEN 'II' THEN 2 WHEN 'III' THEN 3 ELSE 4 END AS strategy FROM f""")
 def priority_index(spark, d):
-    p = read(spark, d, "part").select("p_partkey", "p_retailprice", F.col("p_size").cast("double").alias("d2"), F.pmod("p_partkey", F.lit(97)).cast("double").alias("d3"))
-    r = P.priority(p, "p_partkey", "p_retailprice", "d2", "d3")
-    return r.select("p_partkey", (F.round("index", 5) + F.lit(0.0)).alias("index"), (F.round("priority", 5) + F.lit(0.0)).alias("priority"))
+    p = read(spark, d, "part").select("p_partkey", "p_retailprice", F.col("p_size").cast("double").alias("d2"), F.pmod("p_partkey", F.lit(97)).cast("double").alias("d3"), F.pmod("p_partkey", F.lit(2500)).alias("n"))
+    r = P.priority(p, "p_partkey", "p_retailprice", "d2", "d3", "n")
+    return r.select("p_partkey", (F.round("index", 5) + F.lit(0.0)).alias("index"), (F.round("priority", 5) + F.lit(0.0)).alias("priority"), "rank", "cls", "strategy")
 
 
 _U = "((({k} * 1103515245 + r * 12345 + 42) % 1000003) * (({k} * 1103515245 + r * 12345 + 42) % 1000003) + (({k} * 1103515245 + r * 12345 + 42) % 1000003) * 7919 + r * 104729) % 999983 / CAST(999983 AS DOUBLE)"

@@ -8,6 +8,9 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import projection as P
+from ..functions import scalar as S
+
 #: Encodings that are tried in this order.
 ENCODINGS = ["utf-8-sig", "utf-8", "gbk", "gb18030", "latin-1"]
 #: A guess from byte statistics counts above this confidence; else the first encoding that decodes the file.
@@ -166,12 +169,45 @@ def numeric(c: Column, fill: float | None = None, nodata: tuple[float, ...] = ()
     return v if fill is None else F.coalesce(v, F.lit(fill))
 
 
-def one_axis(df: DataFrame, state: Column) -> DataFrame:
-    """df, if all its rows have the same axis state."""
-    found = [r[0] for r in df.select(state.alias("s")).distinct().limit(3).collect()]
-    if len(found) > 1:
-        raise ValueError(f"mixed coordinate axes: {sorted(map(str, found))}")
-    return df
+#: What is done with a layer of an axis to bring it to the main system, zone 38 with its number in the eastings.
+ACTIONS = {"zoned": "copy", "dezoned": "shift", "geographic": "reproject", "mixed": "error"}
+ZONE_SHIFT = 38_000_000.0
+
+
+def axis_report(layers: dict[str, DataFrame]) -> DataFrame:
+    """layer, n, x0, y0, x1, y1, axis, action: each layer's (x, y) bounds, the axis that they mean, and what has to be done."""
+    parts = [df.agg(F.count("x").alias("n"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1")).withColumn("layer", F.lit(name)) for name, df in layers.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    first, last = S.axis_state(F.col("x0"), F.col("y0")), S.axis_state(F.col("x1"), F.col("y1"))
+    axis = F.when(first == last, first).otherwise("mixed")
+    out = out.withColumn("axis", axis)
+    return out.select("layer", "n", "x0", "y0", "x1", "y1", "axis", S.lookup(F.col("axis"), ACTIONS).alias("action"))
+
+
+def one_axis(layers: dict[str, DataFrame], context: str = "", geographic: bool = False) -> None:
+    """Raises unless all layers have the main system's axis, or all are geographic where that is allowed."""
+    found = {r["layer"]: r["axis"] for r in axis_report(layers).filter("n > 0").collect()}  # a row for each layer
+    if set(found.values()) - {"zoned"} and not (geographic and set(found.values()) == {"geographic"}):
+        raise ValueError(f"{context + ': ' if context else ''}mixed coordinate axes: {sorted(found.items())}")
+
+
+def on_axis(layers: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The layers with (x, y) in the main system, and the report of what was done. A layer whose rows mix axes is an error."""
+    report = axis_report(layers)
+    done = {}
+    for r in report.collect():  # a row for each layer
+        df = layers[r["layer"]]
+        if r["action"] == "error":
+            raise ValueError(f"{r['layer']}: mixed coordinate axes")
+        if r["action"] == "shift":
+            df = df.withColumn("x", F.col("x") + ZONE_SHIFT)
+        elif r["action"] == "reproject":
+            x, y = P.to_plane(F.col("x"), F.col("y"), P.ZONE_38)
+            df = df.withColumns({"x": x, "y": y})
+        done[r["layer"]] = df
+    return done, report
 
 
 def sample_raster(points: DataFrame, pixels: DataFrame, left: float, top: float, res: float) -> DataFrame:
@@ -250,7 +286,6 @@ def convert_layers(spark: SparkSession, layers: dict[str, DataFrame | None], out
 def entities(raw: DataFrame, key: str, target: str, order: list[Column], name: str, stages: list[tuple[list[str], str]], wkt: str = "wkt") -> DataFrame:
     """An entity table: canonical ids, the first row of each id in the order, stages by name, points from text, and only rows
     with a target."""
-    from ..functions import scalar as S
     from ..operators import stats as A
 
     x, y = S.point_of_wkt(F.col(wkt))

@@ -93,3 +93,24 @@ def test_demand_is_conserved(spark):
 def test_od_snapped_uses_both_ways(spark):
     got = catalog.QUERIES["od_snapped"](spark, "/root/testdata/sf0.001").groupBy("source").count().collect()
     assert {r.source for r in got} <= {"network", "straight"} and got
+
+
+def test_axis_guard(spark):
+    from equimap.sources import files
+
+    at = lambda rows: spark.createDataFrame(rows, "x double, y double")
+    zoned, dezoned, degrees = at([(38_500_000.0, 4_000_000.0), (38_510_000.0, 4_010_000.0)]), at([(500_000.0, 4_000_000.0)]), at([(114.0, 36.0)])
+    mixed = at([(38_500_000.0, 4_000_000.0), (500_000.0, 4_000_000.0)])
+    report = {r.layer: (r.axis, r.action, r.n) for r in files.axis_report({"z": zoned, "d": dezoned, "g": degrees, "m": mixed, "e": zoned.limit(0)}).collect()}
+    assert report["z"] == ("zoned", "copy", 2) and report["d"] == ("dezoned", "shift", 1) and report["g"] == ("geographic", "reproject", 1) and report["m"] == ("mixed", "error", 2) and report["e"][2] == 0
+    files.one_axis({"z": zoned, "e": zoned.limit(0)})
+    files.one_axis({"g": degrees, "h": degrees}, geographic=True)
+    for layers, geographic in (({"z": zoned, "d": dezoned}, False), ({"z": zoned, "g": degrees}, True), ({"m": mixed}, False), ({"g": degrees}, False)):
+        with pytest.raises(ValueError, match="step 4: mixed coordinate axes"):
+            files.one_axis(layers, "step 4", geographic)
+    done, _ = files.on_axis({"z": zoned, "d": dezoned, "g": degrees})
+    assert done["z"].first().x == 38_500_000.0 and done["d"].first().x == 38_500_000.0
+    assert done["g"].first().x == pytest.approx(38_500_000.0, abs=1e-3) and done["g"].first().y == pytest.approx(3_985_586, abs=2000)
+    files.one_axis(done)
+    with pytest.raises(ValueError, match="m: mixed"):
+        files.on_axis({"m": mixed})
