@@ -175,10 +175,10 @@ class Forest:
 
 
 #: Kinds of made findings; each is head, body and tail. The first ones are secrets.
-SECRETS = ["hex_token", "api_key", "password", "aws", "github", "quoted", "bearer", "stripe", "slack"]
+SECRETS = ["hex_key", "quoted_hex", "api_key", "password", "aws", "github", "quoted", "bearer", "stripe", "slack"]
 #: Share of made secrets without key words around them; plain hexadecimal ones would then be like check sums.
 BARE = 0.3
-OTHERS = ["word", "title", "shout", "dashes", "path", "address", "commit", "sha", "number", "uuid", "filler", "snake", "rule", "double_rule", "mail"]
+OTHERS = ["word", "title", "shout", "dashes", "path", "address", "commit", "sha", "number", "uuid", "filler", "snake", "rule", "double_rule", "host"]
 
 
 def made_findings(words: Words, n: int = 2400, seed: int = 3, without: tuple[str, ...] = (), only: tuple[str, ...] = ()) -> list[tuple[str, int, int, int]]:
@@ -188,10 +188,12 @@ def made_findings(words: Words, n: int = 2400, seed: int = 3, without: tuple[str
     upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
     hexa, every, vocabulary = "0123456789abcdef", upper + lower + digits, words.top if len(words.top) >= len(PLAIN) else PLAIN
     pick = lambda chars, k: "".join(chars[i] for i in rng.integers(0, len(chars), k))
+    one = lambda of: of[int(rng.integers(0, len(of)))]
     some = lambda k: [vocabulary[int(len(vocabulary) * u * u)] for u in rng.random(k)]  # frequent ones more often
     run = lambda: "".join(some(9))[: int(rng.integers(16, 48))].ljust(16, "e")
     makers = {
-        "hex_token": lambda: ('token = "', pick(hexa, 40), '"'),
+        "hex_key": lambda: (one(["secret", "password", "api_key", "auth_key", "private key"]) + one([": ", "=", " = ", ' = "', "='"]), pick(hexa, one([24, 32, 48, 56, 64])), ""),
+        "quoted_hex": lambda: (one(["secret", "passwd", "api-key", "credential"]) + one([": ", "=", " = "]) + '"', pick(hexa, one([24, 32, 48, 56, 64])), '"'),
         "api_key": lambda: ("api_key: ", pick(every, 32), ""),
         "password": lambda: ("password=", pick(every + "+/", 20), ""),
         "aws": lambda: ("", "AKIA" + pick(upper + digits, 16), ""),
@@ -214,7 +216,7 @@ def made_findings(words: Words, n: int = 2400, seed: int = 3, without: tuple[str
         "snake": lambda: ("", "_".join(some(4)).ljust(16, "e"), ""),
         "rule": lambda: ("", "-" * int(rng.integers(16, 60)), ""),
         "double_rule": lambda: ("", "=" * int(rng.integers(16, 60)), ""),
-        "mail": lambda: ("", some(1)[0] + "." + pick(digits, 2) + "mail" + pick(digits, 1) + ".example.com", ""),
+        "host": lambda: (one(["", "", some(1)[0] + "@"]), (some(1)[0] + pick(digits, int(rng.integers(0, 4))) + one([".", "-"]) + some(1)[0] + pick(digits, int(rng.integers(0, 2))) + one([".com", ".org", ".net", ".co.uk"])).rjust(16, "w"), ""),
     }
     kinds = [[k for k in side if k not in without and (not only or k in only)] for side in (OTHERS, SECRETS)]
     out = []
@@ -223,7 +225,7 @@ def made_findings(words: Words, n: int = 2400, seed: int = 3, without: tuple[str
             continue
         kind = kinds[i % 2][int(rng.integers(0, len(kinds[i % 2])))]
         head, body, tail = makers[kind]()
-        if i % 2 and kind != "hex_token" and rng.random() < BARE:
+        if i % 2 and kind not in ("hex_key", "quoted_hex") and rng.random() < BARE:
             head, tail = "", ""
         text = f"{' '.join(some(4))} {head}{body}{tail} {' '.join(some(3))}"
         at = text.index(body, len(head))
