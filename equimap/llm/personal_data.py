@@ -4,8 +4,8 @@ Base patterns give spans that always stay; wider patterns, and base matches that
 labelers vote on each of them (1 yes, -1 no, 0 abstains): the kind's strict form, a gazetteer (domain endings, reserved
 addresses, issuer digits, country codes), words before the span, and the characters around it. Counts of vote patterns
 are a table of bounded size, from which expectation-maximisation estimates each labeler's reliability for each kind;
-its posteriors train the final span classifier (naive Bayes on the span's form and its test's outcome, with the kind's
-prior). Candidates that it finds likely are added, whatever pattern they come from. Of a card pattern's failed matches
+its posteriors train the final span classifier (naive Bayes on the span's form, its test's outcome and the words before
+it, with the kind's prior). Candidates that it finds likely are added, whatever pattern they come from. Of a card pattern's failed matches
 those of a card's length, 16 to 19 digits, are candidates.
 
 The patterns are written with possessive quantifiers and a look at the character before, so that each text is read in
@@ -49,7 +49,10 @@ AGAINST = "version|isbn|order|serial|invoice|sha|token|hash|part"
 CONTEXT = 24
 THRESHOLD = 0.9
 ROUNDS = 30
-FEATURES = ["f_len", "f_digits", "f_left", "f_right", "f_test"]
+#: The test's outcome for a match that failed it. A failed test speaks against a span like so many examples, until there are
+#: more: a kind with a handful of failed matches can't learn what they are worth.
+FAILED, AGAINST_FAILED = 1, 5.0
+FEATURES = ["f_len", "f_digits", "f_left", "f_right", "f_test", "f_words"]
 VOTES = ["v_form", "v_list", "v_words", "v_edge"]
 _FOUND = "array<struct<s:int,e:int,m:string,l:string,r:string>>"
 
@@ -138,17 +141,19 @@ def _candidates(kind: str, found: Column, base: bool) -> Column:
         edge = (left == "") | left.rlike(r"[\s(\[<:;,=|\"']$")
         ends = (right == "") | right.rlike(r"^[\s)\]>:;,.!?|\"']")
         n, digits = F.length(m), F.length(_digits(m))
+        cue = F.when(words.rlike(r"\b(?:" + AGAINST + r")\b"), -1).when(words.rlike(CUES[kind]), 1).otherwise(0)
         return F.struct(
             F.lit(no).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), valid.alias("base"),
             (F.when(valid, 1).otherwise(-1) if base else F.lit(0)).alias("v_form"),
             _by_list(kind, m).alias("v_list"),
-            F.when(words.rlike(r"\b(?:" + AGAINST + r")\b"), -1).when(words.rlike(CUES[kind]), 1).otherwise(0).alias("v_words"),
+            cue.alias("v_words"),
             F.when(edge & ends, 1).otherwise(-1).alias("v_edge"),
             F.least(F.floor(n / 4), F.lit(7)).cast("int").alias("f_len"),
             F.least(F.floor(digits / 3), F.lit(7)).cast("int").alias("f_digits"),
             F.when(left == "", 0).when(left.rlike(r"\s$"), 1).when(left.rlike(r"[0-9A-Za-z]$"), 2).otherwise(3).alias("f_left"),
             F.when(right == "", 0).when(right.rlike(r"^\s"), 1).when(right.rlike(r"^[0-9A-Za-z]"), 2).otherwise(3).alias("f_right"),
-            (F.when(valid, 2).otherwise(1) if base else F.lit(0)).alias("f_test"),
+            (F.when(valid, 2).otherwise(FAILED) if base else F.lit(0)).alias("f_test"),
+            (cue + 1).alias("f_words"),
         )
 
     if kind == "card" and base:  # most digit runs are far from a card; only those of its length are candidates
@@ -219,6 +224,8 @@ def train(cands: DataFrame) -> dict:
             for x in range(8):
                 a = 0.5 + sum(c["n"] * p for c, p in own if c[f] == x)
                 b = 0.5 + sum(c["n"] * (1 - p) for c, p in own if c[f] == x)
+                if (f, x) == ("f_test", FAILED):
+                    b += AGAINST_FAILED
                 weights[k, f, x] = math.log(a / (yes + 4)) - math.log(b / (no + 4))
     return weights
 

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from equimap.llm import divergence, importance, queries, token_counts
+from equimap.llm import divergence, importance, personal_data, queries, token_counts
 from equimap.llm.common import Scratch, with_row_ids
 
 from .test_cases import ROWS, written
@@ -230,3 +230,53 @@ def test_token_counts_of_a_table(spark, model):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()}
     assert len(got) == len(texts) and all(r.n_tokens == len(model[1].encode(texts[r.doc_id])) for r in got)
     assert spark.createDataFrame([("a b", 1)], "text string, text_ long").select(token_counts.token_counts(spark, F.col("text"), model[0])).first()[0] == 2
+
+
+# --- 5 and 1, on labelled findings
+
+
+def planted_spans():
+    """(id, text, added): texts with the span that the method should add (start, end), or none."""
+    rng = random.Random(9)
+    word = lambda: rng.choice(["house", "garden", "letter", "winter", "paper", "river", "music"])
+    some = lambda k: " ".join(word() for _ in range(k))
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    out = []
+    for i in range(600):
+        kind = i % 12
+        head, body, tail = some(4) + " ", "", " " + some(3)
+        if kind < 3:  # plain ones, from which the labelers' worth is learned
+            head, body = [("mail me at ", f"{word()}.{digits(2)}@{word()}.com"), ("call ", f"+49 {digits(3)} {digits(6)}"), ("server ", f"{rng.randint(11, 99)}.{rng.randint(0, 99)}.{rng.randint(0, 99)}.7")][kind]
+        elif kind < 5:
+            head, body = f"{some(2)} contact ", rng.choice([f"{word()} [at] {word()}.org", f"{word()}(at){word()} (dot) com", f"{word()}.{digits(2)} (at) {word()}.de"])
+        elif kind < 7:
+            head, body = f"{some(2)} phone ", rng.choice([f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}"])
+        elif kind < 8:
+            head, body = "order ", f"{digits(3)}-{digits(3)}-{digits(4)}"
+        elif kind < 9:
+            head, body = "part ", f"+{digits(1)} {digits(2)}"
+        elif kind < 10:
+            head, body = "invoice ", f"{digits(4)} {digits(4)} {digits(4)} {digits(4)}"
+        added = (len(some_text := head), len(some_text) + len(body)) if 3 <= kind < 7 else None
+        out.append((i, head + body + tail, added))
+    return out
+
+
+def test_added_spans_of_a_labelled_fixture(spark):
+    """Obfuscated addresses and phones without a plus are added; order and part numbers and failed matches aren't."""
+    rows = planted_spans()
+    found = personal_data.personal_data(spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string"), Scratch(spark, "t")).collect()
+    added = {(r.doc_id, s.s, s.e) for r in found for s in r.spans if not s.base}
+    wanted = {(i, *a) for i, _, a in rows if a}
+    precision, recall = len(added & wanted) / max(1, len(added)), len(added & wanted) / len(wanted)
+    print(f"precision {precision:.3f}, recall {recall:.3f} of {len(wanted)}")
+    assert precision > 0.95 and recall > 0.6
+
+
+def test_keys_of_a_shape_that_was_never_trained(spark):
+    """The tables' keys, whose shape no made finding has, and nothing else."""
+    path = "/root/testdata/sf0.01"
+    planted = re.compile(r'(?i)token = "([0-9a-f]{40})"')
+    want = Counter((r.doc_id, hashlib.sha256(m[1].encode()).hexdigest()) for r in spark.read.parquet(f"{path}/documents.parquet").collect() for m in planted.finditer(r.text or ""))
+    got = queries.QUERIES["op1_secret_scan"](spark, path).filter("is_secret").collect()
+    assert want and Counter((r.doc_id, r.secret_sha256) for r in got) == want
