@@ -276,48 +276,10 @@ def raster_summary(pixels: DataFrame) -> DataFrame:
     return pixels.agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.avg("value").alias("mean"), F.count_if(F.col("value") == 0).alias("zeros"), F.count_if(F.col("value").isNull()).alias("missing"))
 
 
-def clipped(a: list[tuple[float, float]], b: list[tuple[float, float]]) -> list[tuple[float, float]]:
-    """The part of polygon a inside the convex polygon b, both counter-clockwise: a is cut along each side of b."""
-    out = a
-    for (x0, y0), (x1, y1) in zip(b, b[1:] + b[:1]):
-        side = lambda p: (x1 - x0) * (p[1] - y0) - (y1 - y0) * (p[0] - x0)  # noqa: B023, E731
-        kept: list[tuple[float, float]] = []
-        for p, q in zip(out, out[1:] + out[:1]):
-            sp, sq = side(p), side(q)
-            if sp >= 0:
-                kept.append(p)
-            if (sp >= 0) != (sq >= 0):
-                t = sp / (sp - sq)
-                kept.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
-        out = kept
-        if not out:
-            return []
-    return out
-
-
 def ring_area(ring: list[tuple[float, float]]) -> float:
     return sum(x0 * y1 - x1 * y0 for (x0, y0), (x1, y1) in zip(ring, ring[1:] + ring[:1])) / 2 if len(ring) > 2 else 0.0
 
 
-def polygon_pairs(a: DataFrame, a_id: str, b: DataFrame, b_id: str, size: float) -> DataFrame:
-    """a_id, b_id, area: overlaps of polygons of a and convex polygons of b (rings: arrays of x, y, counter-clockwise). Their
-    boxes meet on lattice cells first; only those that overlap are cut."""
-    x, y = (lambda r: F.transform(r, lambda p: p["x"])), (lambda r: F.transform(r, lambda p: p["y"]))
-    box = lambda k: {f"{k}x0": F.array_min(x("ring")), f"{k}y0": F.array_min(y("ring")), f"{k}x1": F.array_max(x("ring")), f"{k}y1": F.array_max(y("ring"))}
-    left = a.withColumns(box("a")).select(F.col(a_id).alias("_a"), F.col("ring").alias("ra"), "ax0", "ay0", "ax1", "ay1")
-    right = b.withColumns(box("b")).select(F.col(b_id).alias("_b"), F.col("ring").alias("rb"), "bx0", "by0", "bx1", "by1")
-    pairs = rect_pairs(left, right, size).select(F.col("_a").alias(a_id), F.col("_b").alias(b_id), "ra", "rb")
-
-    def cut_out(batches):
-        for pdf in batches:
-            ring = lambda r: [(p["x"], p["y"]) for p in r]
-            pdf["area"] = [ring_area(clipped(ring(r), ring(s))) for r, s in zip(pdf["ra"], pdf["rb"])]
-            yield pdf[pdf["area"] > 0][[a_id, b_id, "area"]]
-
-    kind = lambda c: dict(pairs.dtypes)[c]
-    return pairs.mapInPandas(cut_out, f"{a_id} {kind(a_id)}, {b_id} {kind(b_id)}, area double")
-
-
 def delaunay(points: DataFrame, point_id: str, most: int = 20_000) -> DataFrame:
     """a, b: the edges of the Delaunay triangulation of an entity table; more than `most` points are an error. Points are
     added one by one: triangles whose circle holds the new point go, and it is joined to the hole's rim."""

@@ -9,6 +9,7 @@ from ..functions import scalar as S
 from ..operators import models as M
 from ..operators import network as N
 from ..operators import planning as P
+from ..operators import polygons as PG
 from ..operators import spatial as G
 from ..operators import stats as A
 from ..operators.lineage import cut
@@ -145,7 +146,8 @@ def polygon_overlay(spark, d):
     h = SIZE / 2
     c = cells(spark, d).select(F.struct(F.col("ci0").alias("ci"), F.col("cj0").alias("cj")).alias("cell"), (F.col("x") - h).alias("x0"), (F.col("y") - h).alias("y0"), (F.col("x") + h).alias("x1"), (F.col("y") + h).alias("y1"))
     c = c.select(F.concat_ws(":", "cell.ci", "cell.cj").alias("cell"), ring("x0", "y0", "x1", "y1").alias("ring"))
-    o = G.polygon_pairs(c, "cell", z, "zone", SIZE).filter("area > 0.005")
+    layer = lambda df, key: PG.trapezoids(df.select(key, F.array("ring").alias("rings")), key, SIZE)
+    o = PG.overlay_areas(layer(c, "cell"), "cell", layer(z, "zone"), "zone", SIZE).filter("area > 0.005")
     part = lambda i: F.split("cell", ":").getItem(i).cast("long")
     return o.select("zone", part(0).alias("ci"), part(1).alias("cj"), F.round("area", 2).alias("area"))
 

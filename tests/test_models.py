@@ -113,13 +113,6 @@ def test_delaunay_circles_are_empty(spark):
     assert len(edges) == 3 * len(ids) - 3 - len(hull)
 
 
-def test_clipped_polygons():
-    square = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)]
-    assert abs(spatial.ring_area(spatial.clipped([(1.0, 1.0), (3.0, 1.0), (3.0, 3.0), (1.0, 3.0)], square)) - 1) < 1e-12
-    assert abs(spatial.ring_area(spatial.clipped([(1.0, -1.0), (3.0, 1.0), (1.0, 3.0), (-1.0, 1.0)], square)) - 4) < 1e-12
-    assert spatial.clipped([(5.0, 5.0), (6.0, 5.0), (6.0, 6.0)], square) == []
-
-
 def test_matching_limits(spark):
     df = spark.createDataFrame([(i, i) for i in range(9)], "a long, b long")
     with pytest.raises(ValueError):
