@@ -14,6 +14,10 @@ import struct
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import projection as R
+from ..operators import polygons as G
+from ..operators.lineage import cut
+
 from .files import ENCODINGS, truncated
 from .raster import write_bytes
 
@@ -209,6 +213,29 @@ def _blob(raw: bytes | None) -> tuple[str, list] | None:
     return parse_wkb(raw[8 + {0: 0, 1: 32, 2: 48, 3: 48, 4: 64}[raw[3] >> 1 & 7] :])
 
 
+def checked(df: DataFrame, size: float, zone: R.Zone | None = None) -> DataFrame:
+    """A layer fit for use: an empty one, or one without a system, is an error; features without geometry fall away; polygons whose
+    rings cross themselves or each other are rebuilt from simple rings (see polygons.repaired; size: of its lattice), and those
+    without an inside fall away. zone: longitudes and latitudes become this transverse Mercator zone's metres."""
+    first = df.select("crs").limit(1).collect()
+    if not first:
+        raise ValueError("an empty layer")
+    if not df.filter("crs is null").isEmpty():
+        raise ValueError("a layer without a coordinate system")
+    rows = df.filter("rings is not null and size(rings) > 0")
+    if zone is not None:
+
+        def plane(p):
+            x, y = R.to_plane(p["x"], p["y"], zone)
+            return F.struct(x.alias("x"), y.alias("y"))
+
+        rows = rows.withColumn("rings", F.transform("rings", lambda r: F.transform(r, plane)))
+    rows = cut(rows.withColumn("_row", F.monotonically_increasing_id()))
+    polygons = rows.filter("kind = 'polygon'")
+    fixed = polygons.drop("rings").join(G.repaired(polygons.select("_row", "rings"), "_row", size), "_row")
+    return rows.filter("kind <> 'polygon'").unionByName(fixed).select(*df.columns)
+
+
 def _held(df: DataFrame, most: int) -> tuple[list[str], list[str], list]:
     rest = [(c, t) for c, t in df.dtypes if c not in ("rings", "kind", "layer", "crs")]
     rows = df.select("rings", *[c for c, _ in rest]).limit(most + 1).collect()

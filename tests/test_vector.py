@@ -86,3 +86,24 @@ def test_geopackage(spark, tmp_path):
     with pytest.raises(ValueError, match="more than"):
         V.write_geopackage({"one": features(spark)}, path, 4526, most=2)
     assert V.read_geopackage(spark, path, KEPT).agg(F.sum("n")).first()[0] == 2
+
+
+def test_checked_layers(spark):
+    """Crossing rings are rebuilt, flat ones and missing ones fall away; no system and no rows are errors."""
+    from equimap.functions import projection
+
+    kinds = "crs string, kind string, name string, rings array<array<struct<x: double, y: double>>>"
+    bow = [(0.0, 0.0), (4.0, 4.0), (4.0, 0.0), (0.0, 4.0)]
+    rows = [("c", "polygon", "bow", [bow]), ("c", "polygon", "holed", [SQUARE, HOLE]), ("c", "polygon", "flat", [[(0.0, 0.0), (1.0, 1.0), (2.0, 2.0)]]), ("c", "line", "line", [[(0.0, 0.0), (1.0, 5.0)]]), ("c", "polygon", "none", None)]
+    df = spark.createDataFrame(rows, kinds)
+    got = {r["name"]: [[tuple(p) for p in ring] for ring in r.rings] for r in V.checked(df, 3.0).collect()}
+    assert set(got) == {"bow", "holed", "line"} and got["line"] == [[(0.0, 0.0), (1.0, 5.0)]]
+    assert sorted(V.twice_area(r) for r in got["bow"]) == [8.0, 8.0]
+    assert sorted(V.twice_area(r) for r in got["holed"]) == [-2.0, 32.0]
+    with pytest.raises(ValueError, match="empty layer"):
+        V.checked(df.limit(0), 3.0)
+    with pytest.raises(ValueError, match="without a coordinate system"):
+        V.checked(df.withColumn("crs", F.lit(None).cast("string")), 3.0)
+    small = spark.createDataFrame([("c", "polygon", "p", [[(114.0, 36.0), (114.001, 36.0), (114.001, 36.001), (114.0, 36.001)]])], kinds)
+    (r,) = V.checked(small, 50.0, projection.ZONE_38).collect()
+    assert V.twice_area([tuple(p) for p in r.rings[0]]) / 2 == pytest.approx(90.2 * 111.0, rel=0.01) and abs(r.rings[0][0].x - 38_500_000) < 200
