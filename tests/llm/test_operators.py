@@ -371,6 +371,18 @@ def test_rules(spark):
     assert [r.rule for r in sorted(got, key=lambda r: r.page_id)] == want
 
 
+def test_verdicts_of_rules(spark):
+    """Each rule's word is the contract's, and a rule goes before the list."""
+    want = [
+        ("http://a.com/en/1", "com/en/", "block"), ("http://b.example.com/en/71", "example.com/en/7", "allow"), ("http://a.net/de/1", "net/de/", "allow"),
+        ("http://w.listed.net/de/2", "net/de/", "allow"), ("http://b.example.net/de/81", "example.net/de/8", "block"), ("http://a.org/es/", "org/es/", "block"),
+        ("http://w.listed.net/en/", None, "block"), ("http://a.net/en/", None, "allow"),
+    ]
+    df = spark.createDataFrame([(i, u) for i, (u, _, _) in enumerate(want)], "page_id long, url string")
+    got = url_filter.url_filter(df, spark.createDataFrame([("w.listed.net",)], "key string"), Scratch(spark, "t")).collect()
+    assert [(r.rule, r.verdict) for r in sorted(got, key=lambda r: r.page_id)] == [w[1:] for w in want]
+
+
 # --- 10
 
 
