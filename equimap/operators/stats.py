@@ -7,6 +7,8 @@ of those before it. Where the cuts fall changes the work, never the result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,48 @@ def with_totals(df: DataFrame, **aggs: Column) -> DataFrame:
     return df.crossJoin(F.broadcast(df.agg(*[c.alias(k) for k, c in aggs.items()])))
 
 
+def quantiles(df: DataFrame, value: Column | str, wanted: list[float], plain: int = 50_000, bins: int = 4096) -> list[float | None]:
+    """Exact quantiles (linear between neighbours) of the values that aren't null; null where there are none. NaN is the
+    largest value.
+
+    F.percentile holds all distinct values in one task, so it is left to at most `plain` rows. Else values are counted in bins,
+    those bins in which a wanted rank lies are cut finer, until each holds one value. Only bins are on the driver."""
+    v = F.col(value) if isinstance(value, str) else value
+    rows = df.select(v.cast("double").alias("v")).filter("v is not null")
+    finite = F.abs("v") < float("inf")
+    n, below, nan, high, lo, hi = rows.agg(F.count("v"), F.count_if(F.col("v") == float("-inf")), F.count_if(F.isnan("v")), F.count_if(F.col("v") == float("inf")), F.min(F.when(finite, F.col("v"))), F.max(F.when(finite, F.col("v")))).first()
+    if n <= plain:
+        return list(rows.agg(F.percentile("v", F.array(*[F.lit(float(p)) for p in wanted]))).first()[0] or [None] * len(wanted))
+    at = {r: None for p in wanted for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))}
+    for r in at:
+        at[r] = -math.inf if r < below else math.nan if r >= n - nan else math.inf if r >= n - nan - high else None
+    todo = {(lo, hi, below): [r for r in at if at[r] is None]}  # ends of a range, values before it: ranks in it
+    while todo := {k: rs for k, rs in todo.items() if rs}:
+        which, place = F.lit(None).cast("int"), F.lit(None).cast("long")
+        for i, (a, b, _) in enumerate(todo):
+            inside = F.col("v").between(a, b)
+            which = F.when(inside, i).otherwise(which)
+            place = F.when(inside, F.floor((F.col("v") / 2 - a / 2) / ((b / 2 - a / 2) or 1.0) * (bins - 1)).cast("long")).otherwise(place)
+        got = rows.filter(finite).select("v", which.alias("i"), place.alias("bin")).filter("i is not null").groupBy("i", "bin").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).orderBy("i", "bin").collect()
+        finer: dict[tuple, list[int]] = {}
+        for i, ((_, _, before), ranks_) in enumerate(todo.items()):
+            for r in (x for x in got if x["i"] == i):
+                for k in (k for k in ranks_ if before <= k < before + r["n"]):
+                    if r["a"] == r["b"]:
+                        at[k] = r["a"]
+                    else:
+                        finer.setdefault((r["a"], r["b"], before), []).append(k)
+                before += r["n"]
+        todo = finer
+
+    def between(p: float) -> float:
+        k = p * (n - 1)
+        a, b = at[math.floor(k)], at[math.ceil(k)]
+        return a if a == b else (math.ceil(k) - k) * a + (k - math.floor(k)) * b
+
+    return [between(p) for p in wanted]
+
+
 def bucket(df: DataFrame, value: str, buckets: int) -> Column:
     cuts = sorted(set(df.approxQuantile(value, [i / buckets for i in range(1, buckets)], 0.01)))
     return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]) if cuts else F.expr("cast(array() as array<double>)"), lambda c: c < F.col(value)))
@@ -93,11 +137,12 @@ def diagnostics(df: DataFrame, value: str) -> DataFrame:
     """One row of distribution figures; skew is bias-corrected, std is the sample's."""
     v = F.col(value)
     n = F.count(v)
+    mid, low, high = (F.lit(q).cast("double") for q in quantiles(df, v, [0.5, 0.05, 0.95]))
     return df.agg(
-        n.alias("n"), F.count_if(v == 0).alias("zeros"), F.avg(v).alias("mean"), F.percentile(v, 0.5).alias("median"),
+        n.alias("n"), F.count_if(v == 0).alias("zeros"), F.avg(v).alias("mean"), mid.alias("median"),
         F.stddev_samp(v).alias("std"), (F.stddev_samp(v) / F.avg(v)).alias("cv"),
         (F.skewness(v) * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"),
-        F.percentile(v, 0.05).alias("p5"), F.percentile(v, 0.95).alias("p95"),
+        low.alias("p5"), high.alias("p95"),
     )
 
 
@@ -145,15 +190,16 @@ def compare(new: DataFrame, old: DataFrame, key: str, col: str) -> DataFrame:
     """Largest absolute and median relative difference, correlation and share of equal values."""
     j = new.select(key, F.col(col).alias("a")).join(old.select(key, F.col(col).alias("b")), key)
     d = F.abs(F.col("a") - F.col("b"))
-    return j.agg(F.max(d).alias("max_abs"), F.percentile(100 * d / F.greatest(F.abs("b"), F.lit(1e-9)), 0.5).alias("median_rel"), F.corr("a", "b").alias("corr"), F.avg((F.col("a") == F.col("b")).cast("double")).alias("equal_rate"))
+    (mid,) = quantiles(j, 100 * d / F.greatest(F.abs("b"), F.lit(1e-9)), [0.5])
+    return j.agg(F.max(d).alias("max_abs"), F.lit(mid).cast("double").alias("median_rel"), F.corr("a", "b").alias("corr"), F.avg((F.col("a") == F.col("b")).cast("double")).alias("equal_rate"))
 
 
 def kfolds(df: DataFrame, key: str, target: str, k: int = 5, bins: int = 5) -> DataFrame:
     """Folds that each hold a like share of every target bin: by a hashed order inside a bin, in round robin.
 
     Ranks inside a bin are made per hash bucket, so a bin is no single task."""
-    cuts = df.agg(F.percentile(target, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("cuts"))
-    rows = df.crossJoin(F.broadcast(cuts)).withColumn("bin", F.size(F.filter("cuts", lambda c: c < F.col(target))))
+    cuts = F.array(*[F.lit(c).cast("double") for c in quantiles(df, target, [i / bins for i in range(1, bins)])])
+    rows = df.withColumn("bin", F.size(F.filter(cuts, lambda c: c < F.col(target))))
     u = F.pmod(F.col(key).cast("long") * 1103515245 + 12345, F.lit(1000003))
     rows = rows.withColumn("u", u).withColumn("ub", F.floor(F.col("u") / 15626))
     n = rows.groupBy("bin", "ub").agg(F.count(F.lit(1)).alias("n"))

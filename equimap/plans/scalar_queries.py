@@ -35,13 +35,16 @@ def zscore_clip(spark, d):
 
 @Q("SELECT l_orderkey, l_linenumber, round(greatest(0.0, least(1.0, (l_extendedprice - a) / (b - a + 1e-9))), 6) + 0.0 AS z FROM lineitem, (SELECT quantile_cont(l_extendedprice, 0.02) a, quantile_cont(l_extendedprice, 0.98) b FROM lineitem)")
 def pct_norm(spark, d):
-    l = A.with_totals(read(spark, d, "lineitem"), a=F.percentile("l_extendedprice", 0.02), b=F.percentile("l_extendedprice", 0.98), lo=F.min("l_extendedprice"), hi=F.max("l_extendedprice"))
-    return l.select("l_orderkey", "l_linenumber", S.r6(S.percentile_norm(F.col("l_extendedprice"), F.col("a"), F.col("b"), F.col("lo"), F.col("hi"))).alias("z"))
+    rows = read(spark, d, "lineitem")
+    a, b = (F.lit(q).cast("double") for q in A.quantiles(rows, "l_extendedprice", [0.02, 0.98]))
+    l = A.with_totals(rows, lo=F.min("l_extendedprice"), hi=F.max("l_extendedprice"))
+    return l.select("l_orderkey", "l_linenumber", S.r6(S.percentile_norm(F.col("l_extendedprice"), a, b, F.col("lo"), F.col("hi"))).alias("z"))
 
 
 @Q("SELECT round(b, 6) AS bound, CAST(count(*) FILTER (o_totalprice > b) AS BIGINT) AS clipped, round(sum(least(o_totalprice, b)), 2) AS total FROM orders, (SELECT quantile_cont(o_totalprice, 0.95) b FROM orders) GROUP BY b")
 def winsorize_p95(spark, d):
-    o = A.with_totals(read(spark, d, "orders"), b=F.percentile("o_totalprice", 0.95))
+    o = read(spark, d, "orders")
+    o = o.withColumn("b", F.lit(A.quantiles(o, "o_totalprice", [0.95])[0]).cast("double"))
     return o.groupBy("b").agg(F.count_if(F.col("o_totalprice") > F.col("b")).alias("clipped"), F.round(F.sum(F.least("o_totalprice", "b")), 2).alias("total")).select(F.round("b", 6).alias("bound"), "clipped", "total")
 
 
@@ -53,7 +56,8 @@ def boxcox_roundtrip(spark, d):
 
 @Q("SELECT o_orderkey, round(ln(least(o_totalprice, b) + 1e-6), 6) + 0.0 AS y FROM orders, (SELECT quantile_cont(o_totalprice, 0.95) b FROM orders)")
 def log_target(spark, d):
-    o = A.with_totals(read(spark, d, "orders"), b=F.percentile("o_totalprice", 0.95))
+    o = read(spark, d, "orders")
+    o = o.withColumn("b", F.lit(A.quantiles(o, "o_totalprice", [0.95])[0]).cast("double"))
     return o.select("o_orderkey", S.r6(S.log_target(F.col("o_totalprice"), F.col("b"))).alias("y"))
 
 

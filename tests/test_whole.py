@@ -7,8 +7,9 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from equimap.operators import models, network
+from equimap.operators import evaluation, models, network, spatial, stats
 from equimap.plans import catalog
 
 from .test_queries import DATA, duck, plain  # noqa: F401
@@ -136,3 +137,63 @@ def test_breaks_of_many_values_use_all_of_them(spark):
 def test_breaks_query_reads_many_values(spark, duck):  # noqa: F811
     v = [x for (x,) in duck.execute("SELECT o_totalprice FROM orders").fetchall()]
     assert [r.upper for r in catalog.QUERIES["jenks_breaks"](spark, DATA).orderBy("class").collect()] == models.jenks(v)
+
+
+@pytest.mark.parametrize("bins", [3, 4096])
+def test_quantiles_in_bins(spark, bins):
+    """The same as numpy's, however far out, equal or few the values are, and without all of them in one task."""
+    rng = np.random.default_rng(3)
+    some = [0.0, 0.02, 0.25, 0.5, 0.731, 0.98, 1.0]
+    for v in (rng.normal(size=501).tolist(), [1.0] * 50 + [2.0] * 51 + [1e300, -1e300], [7.0]):
+        df = spark.createDataFrame([(x,) for x in v] + [(None,)], "v double")
+        assert stats.quantiles(df, "v", some, plain=0, bins=bins) == pytest.approx(np.quantile(v, some).tolist(), rel=1e-12)
+    odd = spark.createDataFrame([(x,) for x in (math.nan, math.inf, -math.inf, 1.0, 2.0)], "v double")
+    got = stats.quantiles(odd, F.col("v"), [0.0, 0.25, 0.5, 0.75, 1.0], plain=0, bins=bins)
+    assert got[:4] == [-math.inf, 1.0, 2.0, math.inf] and math.isnan(got[4])
+    assert stats.quantiles(odd.limit(0), "v", [0.5]) == [None]
+
+
+@pytest.mark.parametrize("name", ["regression_scores", "pct_norm", "gaussian_lag", "gbt_cv"])
+def test_no_percentile_in_one_task(spark, name, monkeypatch):
+    """Tables of more than a few rows aren't given to F.percentile, which would hold all their values in one task."""
+    small = stats.quantiles
+    asked = []
+
+    def counted(df, value, wanted, **more):
+        asked.append(wanted)
+        return small(df, value, wanted, plain=0)
+
+    for m in (stats, models, spatial):
+        monkeypatch.setattr(m, "quantiles", counted)
+    monkeypatch.setattr(F, "percentile", lambda *_: pytest.fail("percentile"))
+    assert catalog.QUERIES[name](spark, DATA).count() > 0 and asked
+
+
+def test_draws_are_dealt_and_not_broadcast(spark):
+    """200 draws of a table for each row are many tasks' work and stay where they are."""
+    df = spark.range(2000).select(F.col("id").alias("i"), F.col("id").cast("double").alias("v"))
+    rows = evaluation.resampled(df, "i", 2000, 200, each=50_000)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "REPARTITION_BY_NUM" in plan
+    assert rows.count() == 400_000
+
+
+def test_gini_of_resampled_rows(spark):
+    """The same as plain sums over each run's rows in order; null values are drawn and left out."""
+    rng = np.random.default_rng(1)
+    v = [None if k % 11 == 0 else float(x) for k, x in enumerate(rng.integers(1, 9, 60))]
+    df = spark.createDataFrame([(i, x, x and x * 2 + i, 1.0 + i % 3) for i, x in enumerate(v)], "i long, b double, a double, w double")
+    drawn = evaluation.resampled(df, "i", 60, 8).collect()
+    assert len(drawn) == 480
+
+    def gini(rows):
+        rows = sorted(rows)
+        y, s = 0.0, 0.0
+        for x, w in rows:
+            y += x * w
+            s += w * (2 * y - x * w)
+        return 1 - s / sum(w for _, w in rows) / y
+
+    want = [gini([(r[c], r.w) for r in drawn if r.r == k and r[c] is not None]) for c in "ba" for k in range(8)]
+    got = evaluation.gini_bootstrap(df, "i", 60, "b", "a", "w", runs=8, buckets=5).first()
+    assert (got.runs, got.before, got.after) == (8, pytest.approx(np.mean(want[:8])), pytest.approx(np.mean(want[8:])))
