@@ -186,7 +186,8 @@ FROM (SELECT l_extendedprice AS a, l_quantity * 1000.0 AS b FROM lineitem)""")
 def regression_scores(spark, d):
     a, b = F.col("l_extendedprice"), F.col("l_quantity") * 1000.0
     e, rel = a - b, F.abs(a - b) / F.greatest(F.abs(a), F.lit(0.01))
-    return read(spark, d, "lineitem").agg(F.round(F.avg(rel), 6).alias("mape"), F.round(F.percentile(rel, 0.5), 6).alias("mdape"), F.round(1 - F.sum(e * e) / (F.var_pop(a) * F.count(a)), 4).alias("r2"), F.round(F.sqrt(F.avg(e * e)), 4).alias("rmse"), F.round(F.avg(F.abs(e)), 4).alias("mae"))
+    l = read(spark, d, "lineitem")
+    return l.agg(F.round(F.avg(rel), 6).alias("mape"), F.round(F.lit(A.quantiles(l, rel, [0.5])[0]).cast("double"), 6).alias("mdape"), F.round(1 - F.sum(e * e) / (F.var_pop(a) * F.count(a)), 4).alias("r2"), F.round(F.sqrt(F.avg(e * e)), 4).alias("rmse"), F.round(F.avg(F.abs(e)), 4).alias("mae"))
 
 
 @Q("SELECT vec_id, label, round((x - m) / s, 6) + 0.0 AS z FROM (SELECT vec_id, label, embedding[1]::DOUBLE * 10000 AS x FROM embeddings), (SELECT avg(embedding[1]::DOUBLE * 10000) AS m, stddev_pop(embedding[1]::DOUBLE * 10000) AS s FROM embeddings)")
