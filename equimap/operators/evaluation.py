@@ -30,31 +30,42 @@ def coverage(df: DataFrame, demand: str, unmet: str, high_risk: Column, low_acce
     return df.agg(rate(F.lit(True)).alias("coverage"), rate(high_risk).alias("high_risk"), rate(low_access).alias("low_access"))
 
 
+def _gini(rows: DataFrame, key: str) -> DataFrame:
+    """key, gini from rows key, b (bucket), v, w, vw, where a lower bucket has lower values. A row adds w (2 y - vw), y being the
+    sum of vw up to it; y is that inside its bucket and what lies in those before. Equal values may be one row or many."""
+    inner = Window.partitionBy(key, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    sums = rows.withColumn("y", F.sum("vw").over(inner)).groupBy(key, "b").agg(F.sum("w").alias("bw"), F.sum("vw").alias("bv"), F.sum(F.col("w") * (2 * F.col("y") - F.col("vw"))).alias("s"))
+    before = Window.partitionBy(key).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
+    sums = sums.withColumn("ahead", F.coalesce(F.sum("bv").over(before), F.lit(0.0)))
+    return sums.groupBy(key).agg((1 - F.sum(F.col("s") + 2 * F.col("ahead") * F.col("bw")) / F.sum("bw") / F.sum("bv")).alias("gini"))
+
+
 def gini_by(df: DataFrame, key: str, value: str, weight: str, buckets: int = 64) -> DataFrame:
     """key, gini: the weighted Gini of each key's rows. Running sums are made per bucket of values with carried offsets, so a
     key of any number of rows is many tasks."""
     per = cut(df.groupBy(key, F.col(value).alias("v")).agg(F.sum(weight).alias("w"), F.sum(F.col(value) * F.col(weight)).alias("vw")).filter("v is not null"))
-    per = per.withColumn("b", A.bucket(per, "v", buckets))
-    sums = per.groupBy(key, "b").agg(F.sum("w").alias("bw"), F.sum("vw").alias("bv"))
-    whole = Window.partitionBy(key)  # a row for each bucket
-    before = whole.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(key, "b", F.coalesce(F.sum("bv").over(before), F.lit(0.0)).alias("ahead"), F.sum("bw").over(whole).alias("tw"), F.sum("bv").over(whole).alias("tv"))
-    inner = Window.partitionBy(key, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    run = per.join(sums, [key, "b"]).withColumn("y", F.col("ahead") + F.sum("vw").over(inner))
-    return run.groupBy(key).agg((1 - F.sum(F.col("w") / F.col("tw") * (2 * F.col("y") - F.col("vw")) / F.col("tv"))).alias("gini"))
+    return _gini(per.withColumn("b", A.bucket(per, "v", buckets)), key)
+
 
+def resampled(df: DataFrame, key: str, n: int, runs: int, each: int = 500_000) -> DataFrame:
+    """r and the columns of df: n rows drawn with replacement for each run, by a hash. key is 0 ... n - 1.
 
-def resampled(df: DataFrame, key: str, n: int, runs: int) -> DataFrame:
-    """r and the columns of df: n rows drawn with replacement for each run, by a hash. key is 0 ... n - 1."""
-    draws = df.select(F.col(key).alias("_i")).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
+    Rows are dealt to a task for `each` draws before they are drawn, since a small table is one task. Spark estimates the draws
+    as no larger than the table and would send them to all tasks, so the join is one by shuffle."""
+    dealt = df.select(F.col(key).alias("_i")).repartition(max(1, n * runs // each), "_i")
+    draws = dealt.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
     picks = draws.select("r", F.least(F.floor(S.hash_uniform(F.col("_i"), F.col("r")) * n), F.lit(n - 1)).alias(key))
-    return picks.join(df, key)
+    return picks.join(df.hint("shuffle_hash"), key)
 
 
-def gini_bootstrap(df: DataFrame, key: str, n: int, before: str, after: str, weight: str, runs: int = 1000) -> DataFrame:
+def gini_bootstrap(df: DataFrame, key: str, n: int, before: str, after: str, weight: str, runs: int = 1000, buckets: int = 64) -> DataFrame:
     """One row: weighted Gini before and after with 95 % intervals, variation of the latter, and the paired t."""
-    rows = resampled(df, key, n, runs)
-    g = gini_by(rows, "r", before, weight).withColumnRenamed("gini", "b").join(gini_by(rows, "r", after, weight).withColumnRenamed("gini", "a"), "r")
+    found = []
+    for value, name in ((before, "b"), (after, "a")):
+        own = df.select(key, F.col(value).cast("double").alias("v"), F.col(weight).cast("double").alias("w"))
+        own = cut(own.withColumn("b", A.bucket(own, "v", buckets)).withColumn("vw", F.col("v") * F.col("w")))
+        found.append(_gini(resampled(own, key, n, runs).filter("v is not null"), "r").withColumnRenamed("gini", name))
+    g = found[0].join(found[1], "r")
     q = lambda c, p: F.percentile(c, p)
     d = F.col("b") - F.col("a")
     return g.agg(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..operators import evaluation as V
 from ..operators import models as M
 from ..operators import stats as A
 from .registry import Registry
@@ -168,10 +169,7 @@ m AS (SELECT k.r, avg(s.v) AS mean FROM k JOIN s ON s.i = k.pick GROUP BY k.r)
 SELECT CAST(count(*) AS BIGINT) AS runs, round(avg(mean), 4) AS mean, round(quantile_cont(mean, 0.025), 4) AS lo, round(quantile_cont(mean, 0.975), 4) AS hi, round(stddev_samp(mean) / avg(mean), 6) AS cv FROM m""")
 def bootstrap_ci(spark, d):
     s = A.with_totals(read(spark, d, "supplier"), k0=F.min("s_suppkey")).select((F.col("s_suppkey") - F.col("k0")).alias("i"), (F.col("s_acctbal") + 1000).alias("v"))
-    n = s.count()
-    u = s.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(199))))
-    k = u.select("r", F.floor(S.hash_uniform(F.col("i"), F.col("r")) * n).alias("i"))
-    m = k.join(s, "i").groupBy("r").agg(F.avg("v").alias("mean"))
+    m = V.resampled(s, "i", s.count(), 200).groupBy("r").agg(F.avg("v").alias("mean"))
     return m.agg(F.count(F.lit(1)).alias("runs"), F.round(F.avg("mean"), 4).alias("mean"), F.round(F.percentile("mean", 0.025), 4).alias("lo"), F.round(F.percentile("mean", 0.975), 4).alias("hi"), F.round(F.stddev_samp("mean") / F.avg("mean"), 6).alias("cv"))
 
 
