@@ -32,12 +32,15 @@ def coverage(df: DataFrame, demand: str, unmet: str, high_risk: Column, low_acce
 
 def _gini(rows: DataFrame, key: str) -> DataFrame:
     """key, gini from rows key, b (bucket), v, w, vw, where a lower bucket has lower values. A row adds w (2 y - vw), y being the
-    sum of vw up to it; y is that inside its bucket and what lies in those before. Equal values may be one row or many."""
+    sum of vw up to it; y is that inside its bucket and what lies in those before. Equal values may be one row or many. Where all values or all
+    weights are 0 there is no Gini: it is NaN, as a division of zeros is in SQL."""
     inner = Window.partitionBy(key, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     sums = rows.withColumn("y", F.sum("vw").over(inner)).groupBy(key, "b").agg(F.sum("w").alias("bw"), F.sum("vw").alias("bv"), F.sum(F.col("w") * (2 * F.col("y") - F.col("vw"))).alias("s"))
     before = Window.partitionBy(key).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
     sums = sums.withColumn("ahead", F.coalesce(F.sum("bv").over(before), F.lit(0.0)))
-    return sums.groupBy(key).agg((1 - F.sum(F.col("s") + 2 * F.col("ahead") * F.col("bw")) / F.sum("bw") / F.sum("bv")).alias("gini"))
+    whole = F.sum("bw") * F.sum("bv")
+    gini = 1 - F.sum(F.col("s") + 2 * F.col("ahead") * F.col("bw")) / F.when(whole != 0, whole)
+    return sums.groupBy(key).agg(F.when(whole == 0, F.lit(float("nan"))).otherwise(gini).alias("gini"))
 
 
 def gini_by(df: DataFrame, key: str, value: str, weight: str, buckets: int = 64) -> DataFrame:

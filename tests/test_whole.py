@@ -197,3 +197,19 @@ def test_gini_of_resampled_rows(spark):
     want = [gini([(r[c], r.w) for r in drawn if r.r == k and r[c] is not None]) for c in "ba" for k in range(8)]
     got = evaluation.gini_bootstrap(df, "i", 60, "b", "a", "w", runs=8, buckets=5).first()
     assert (got.runs, got.before, got.after) == (8, pytest.approx(np.mean(want[:8])), pytest.approx(np.mean(want[8:])))
+
+
+def test_fairness_where_all_times_are_zero(spark):
+    """Sites so many that each place has one at no distance: no Gini of times, as in SQL, and no error."""
+    df = spark.createDataFrame([(1.0, 2.0 + i, 3.0 + i, 0.0, 0.0, i < 2, 1 + i % 5) for i in range(6)], "d double, b double, a double, tb double, ta double, low boolean, risk int")
+    got = evaluation.fairness(df).first()
+    assert math.isnan(got.gini_time_before) and math.isnan(got.gini_time_after) and 0 < got.gini_before < 1 and got.n_low == 2
+
+
+@pytest.mark.parametrize("kernel, left", [("gaussian", {1}), ("bisquare", {1})])
+def test_weights_that_are_all_zero(spark, kernel, left):
+    """A point far out (gaussian), or one with equally far neighbours (bisquare), has no weights; the others keep theirs."""
+    far = [(2, 4, 1e8), (2, 5, 1e8)]
+    pairs = spark.createDataFrame([(1, 2, 1.0), (1, 3, 4.0), (1, 4, 9.0), *far], "p long, s long, d2 double")
+    got = spatial.row_weights(pairs, "p", kernel).collect()
+    assert {r.p for r in got} == left and sum(r.w for r in got) == pytest.approx(1)
