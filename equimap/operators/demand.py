@@ -16,8 +16,8 @@ from .spatial import lattice
 #: pressure, risk and score.
 SIZE, REACH, SCHOOL_AGE, LEAST = 250.0, 2500.0, 0.1174, 0.05
 WEIGHTS, WEIGHTS_SCORED, LEAST_WEIGHT = (0.45, 0.35, 0.20), (0.40, 0.33, 0.20, 0.07), 0.01
-#: Sites at most: each cell weighs all of them, so they are one array that all tasks get.
-MOST_SITES = 20_000
+#: Pairs of a site and a cell that one task weighs. Cells are few by the hull's area, sites are as many as there are.
+PAIRS = 20_000_000
 
 
 def near_hull(hull: list[tuple[float, float]], size: float, reach: float) -> Column:
@@ -39,7 +39,7 @@ def near_hull(hull: list[tuple[float, float]], size: float, reach: float) -> Col
     return near if len(hull) < 3 else inside | near
 
 
-def demand_cells(sites: DataFrame, site_id: str, score: str | None = None, size: float = SIZE, reach: float = REACH, most: int = MOST_SITES) -> DataFrame:
+def demand_cells(sites: DataFrame, site_id: str, score: str | None = None, size: float = SIZE, reach: float = REACH, most: int | None = None) -> DataFrame:
     """cell, x, y, raw, demand, pressure, risk, weight of the cells of more than LEAST demand.
 
     sites: site_id, x, y, n (count), pressure, risk (1 to 5), and a score where one is named. Each site's count is split among
@@ -47,7 +47,7 @@ def demand_cells(sites: DataFrame, site_id: str, score: str | None = None, size:
     to it. Pressure and score are means of all sites by the same distances; risk is that of the nearest site, the least id
     of equally near ones."""
     spark = sites.sparkSession
-    if sites.limit(most + 1).count() > most:
+    if most is not None and sites.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} sites")
     hull = hull_of(sites)
     if not hull:
@@ -55,19 +55,22 @@ def demand_cells(sites: DataFrame, site_id: str, score: str | None = None, size:
     xs, ys = [p[0] for p in hull], [p[1] for p in hull]
     x0, y0 = min(xs) - reach, min(ys) - reach
     nx, ny = (math.ceil((max(v) + reach - o) / size) for v, o in ((xs, x0), (ys, y0)))
-    cells = lattice(spark, x0, y0, nx, ny, size).filter(near_hull(hull, size, reach)).select((F.col("ci0") * ny + F.col("cj0")).alias("cell"), "x", "y")
+    cells = cut(lattice(spark, x0, y0, nx, ny, size).filter(near_hull(hull, size, reach)).select((F.col("ci0") * ny + F.col("cj0")).alias("cell"), "x", "y"))
     value = F.col(score).cast("double") if score else F.lit(0.0)
     fields = [F.col(site_id).alias("i"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("n").cast("double").alias("n"), F.col("pressure").cast("double").alias("p"), F.col("risk").alias("risk"), value.alias("score")]
     plain = cut(sites.select(*fields))
-    one = lambda df: F.broadcast(df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias("s")))
-    distance = lambda s: F.greatest(F.lit(1.0), F.hypot(F.col("x") - s["sx"], F.col("y") - s["sy"]))
-    each = cells.crossJoin(one(plain)).select("x", "y", F.explode("s").alias("s"))
-    total = each.groupBy(F.col("s.i").alias("i")).agg(F.sum(1 / F.pow(distance(F.col("s")), 2)).alias("total"))
+    tasks = max(1, plain.count() * cells.count() // PAIRS)
+    # each task sums over the cells, or sites, that it has; only sums are shuffled
+    dx, dy = F.col("x") - F.col("sx"), F.col("y") - F.col("sy")
+    square = F.greatest(F.lit(1.0), dx * dx + dy * dy)
+    w = 1 / square
+    met = lambda df, cells=cells: df.repartition(tasks).crossJoin(F.broadcast(cells))
+    total = met(plain).groupBy("i").agg(F.sum(w).alias("total"))
     split = cut(plain.join(total, "i").withColumn("share", F.col("n") / F.col("total")))
-    add = lambda of: F.aggregate("s", F.lit(0.0), lambda a, s: a + of(s) / F.pow(distance(s), 2))
-    risk = F.array_min(F.transform("s", lambda s: F.struct(distance(s).alias("d"), s["i"].alias("i"), s["risk"].alias("risk"))))["risk"]
-    by = add(lambda s: F.lit(1.0))
-    grid = cells.crossJoin(one(split)).select("cell", "x", "y", add(lambda s: s["share"]).alias("raw"), (add(lambda s: s["p"]) / by).alias("pressure"), (add(lambda s: s["score"]) / by).alias("score"), risk.alias("risk"))
+    sums = cut(met(split).groupBy("cell", "x", "y").agg(F.sum(w * F.col("share")).alias("raw"), (F.sum(w * F.col("p")) / F.sum(w)).alias("pressure"), (F.sum(w * F.col("score")) / F.sum(w)).alias("score"), F.min(F.sqrt(square)).alias("near")))
+    # the least of a structure would be found by sorting all pairs, so the nearest are looked up by their distance
+    nearest = met(plain, sums.select("cell", "x", "y", "near")).filter(F.sqrt(square) == F.col("near")).groupBy("cell").agg(F.min(F.struct("i", "risk"))["risk"].alias("risk"))
+    grid = sums.join(nearest, "cell").select("cell", "x", "y", "raw", "pressure", "score", "risk")
     grid = cut(grid.withColumn("demand", F.col("raw") * SCHOOL_AGE).filter(F.col("demand") > LEAST))
     ends = grid.agg(*[f(c).alias(f"{n}_{c}") for c in ("demand", "pressure", "score") for f, n in ((F.min, "lo"), (F.max, "hi"))])  # one row
     unit = lambda c: S.minmax(F.col(c), F.col(f"lo_{c}"), F.col(f"hi_{c}"))

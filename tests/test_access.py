@@ -90,6 +90,16 @@ def test_demand_is_conserved(spark):
         D.demand_cells(sites, "s", most=2)
 
 
+def test_demand_of_many_sites(spark):
+    """More sites than 20,000; nothing of theirs is gathered into one row, and counts still add up."""
+    sites = spark.range(20_001).select("id", (F.col("id") % 141 * 7.0).alias("x"), (F.floor(F.col("id") / 141) * 7.0).alias("y"), F.lit(10).alias("n"), F.lit(2.0).alias("pressure"), (1 + F.col("id") % 5).cast("int").alias("risk"))
+    rows = D.demand_cells(sites, "id", size=500.0, reach=800.0).collect()
+    assert sum(r.raw for r in rows) == pytest.approx(200_010) and all(r.pressure == pytest.approx(2.0) for r in rows)
+    cell = min(rows, key=lambda r: (r.x, r.y))
+    near = min((max(1.0, math.hypot(cell.x - i % 141 * 7, cell.y - i // 141 * 7)), i) for i in range(20_001))[1]
+    assert cell.risk == 1 + near % 5
+
+
 def test_od_snapped_uses_both_ways(spark):
     got = catalog.QUERIES["od_snapped"](spark, "/root/testdata/sf0.001").groupBy("source").count().collect()
     assert {r.source for r in got} <= {"network", "straight"} and got
