@@ -15,6 +15,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
 from .stats import quantiles
 from .tuning import Range, minimise
 
@@ -58,6 +59,7 @@ def boosted_cv(df: DataFrame, cols: list[str], target: str, fold: str, seed: int
         r2 = lambda a, b: 1 - F.sum((F.col(a) - F.col(b)) * (F.col(a) - F.col(b))) / (F.var_pop(a) * F.count(a))
         e = F.col("raw") - F.col("p")
         rel = F.abs(e) / F.greatest(F.abs("raw"), F.lit(0.01)) * 100
+        held = cut(held.select("label", "prediction", "raw", "p"))  # read again for each step of the quantile
         got = held.agg(r2("label", "prediction"), r2("raw", "p"), F.sqrt(F.avg(e * e)), F.avg(F.abs(e)), F.avg(rel)).first()
         out.append((int(f), *[float(x) for x in got], *[float(x) for x in quantiles(held, rel, [0.5])], float(sf)))
     return df.sparkSession.createDataFrame(out, "fold int, r2_log double, r2 double, rmse double, mae double, mape double, mdape double, smearing double")

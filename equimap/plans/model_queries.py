@@ -35,7 +35,7 @@ def kmeans_vote(spark, d):
 def _folds(spark, d, folds=3):
     o = read(spark, d, "orders").join(read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     o = o.select("o_orderkey", "o_totalprice", "c_acctbal", F.col("c_nationkey").cast("double").alias("nation"), F.length("o_orderpriority").cast("double").alias("prio"))
-    return o.join(A.kfolds(read(spark, d, "orders"), "o_orderkey", "o_totalprice", folds).select("o_orderkey", "fold"), "o_orderkey")
+    return cut(o.join(A.kfolds(read(spark, d, "orders"), "o_orderkey", "o_totalprice", folds).select("o_orderkey", "fold"), "o_orderkey"))  # each model reads it many times
 
 
 _FEATURES = ["c_acctbal", "nation", "prio"]
@@ -60,7 +60,7 @@ def huber_baseline(spark, d):
 
 @Q()
 def tuning_trials(spark, d):
-    return M.tune(cut(_folds(spark, d)), _FEATURES, "o_totalprice", "fold", trials=8, startup=3)
+    return M.tune(_folds(spark, d), _FEATURES, "o_totalprice", "fold", trials=8, startup=3)
 
 
 @Q()

@@ -213,3 +213,11 @@ def test_weights_that_are_all_zero(spark, kernel, left):
     pairs = spark.createDataFrame([(1, 2, 1.0), (1, 3, 4.0), (1, 4, 9.0), *far], "p long, s long, d2 double")
     got = spatial.row_weights(pairs, "p", kernel).collect()
     assert {r.p for r in got} == left and sum(r.w for r in got) == pytest.approx(1)
+
+
+def test_models_read_a_written_table(spark):
+    """Folds are joined and numbered once, not again in each pass of each model."""
+    from equimap.plans import model_queries
+
+    plan = model_queries._folds(spark, DATA)._jdf.queryExecution().analyzed().toString()
+    assert "LogicalRDD" in plan and "Join" not in plan and "Window" not in plan
