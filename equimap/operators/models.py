@@ -284,11 +284,56 @@ def supply_with_fallback(seats: Column, stage: Column, defaults: dict[str, float
     return F.least(F.when(s < 50, s * 3).otherwise(s), F.lit(10000.0))
 
 
-def jenks(values: list[float], k: int = 5, counts: list[int] | None = None) -> list[float]:
-    """Upper bounds of the inner classes of least squared deviation; equal widths with fewer than k distinct values.
+def _cheapest(cost: np.ndarray, segment, lo: int, hi: int, first: int, last: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each j in lo ... hi the least cost[i] + segment(i, j) over the i in first ... min(last, j + most), and its first i.
+
+    That i never moves down as j grows, so each half of a row is searched on one side of its middle only, all middles of
+    a depth at once."""
+    new, cut = np.full(len(cost), np.inf), np.zeros(len(cost), np.int32)
+    lo, hi, first, last = (np.array([x]) for x in (lo, hi, first, last))
+    while len(lo):
+        mid = (lo + hi) // 2
+        size = np.minimum(last, mid + most) - first + 1
+        start = np.cumsum(size) - size
+        i = np.arange(size.sum()) - np.repeat(start - first, size)
+        total = cost[i] + segment(i, np.repeat(mid, size))
+        best = np.minimum.reduceat(total, start)
+        hit = np.flatnonzero(total == np.repeat(best, size))
+        new[mid], cut[mid] = best, i[hit[np.searchsorted(hit, start)]]
+        lo, hi, first, last = np.r_[lo, mid + 1], np.r_[mid - 1, hi], np.r_[first, cut[mid]], np.r_[cut[mid], last]
+        some = lo <= hi
+        order = np.argsort(lo[some])
+        lo, hi, first, last = (x[some][order] for x in (lo, hi, first, last))
+    return new, cut
+
+
+def _squares(cw: np.ndarray, cy: np.ndarray, cq: np.ndarray):
+    """Squared deviation of the values i ... j - 1 from their mean, by running sums of weights, values and squares."""
+
+    def segment(i, j):
+        sy = cy[j] - cy[i]
+        return (cq[j] - cq[i]) - sy * sy / (cw[j] - cw[i])
+
+    return segment
+
+
+def _classes(cw: np.ndarray, cy: np.ndarray, cq: np.ndarray, k: int) -> tuple[float, list[int]]:
+    """The least squared deviation of k classes and the first value of each class but the first."""
+    n = len(cw) - 1
+    cost, cuts = np.r_[0.0, np.full(n, np.inf)], []
+    for c in range(1, k + 1):
+        cost, cut = _cheapest(cost, _squares(cw, cy, cq), c, n, c - 1, n - 1, -1)
+        cuts.append(cut)
+    out, j = [], n
+    for c in range(k, 1, -1):
+        j = int(cuts[c - 1][j])
+        out.append(j)
+    return float(cost[n]), out[::-1]
+
 
-    Exact at every size: the first value of the last class never moves down as values are added, so each half of a
-    class's row is searched on one side of its middle only, all middles of a depth at once."""
+def jenks(values: list[float], k: int = 5, counts: list[int] | None = None) -> list[float]:
+    """Upper bounds of the inner classes of least squared deviation; equal widths with fewer than k distinct values. Exact
+    at every size."""
     v = np.asarray(values, float)
     if not len(v):
         return []
@@ -296,50 +341,128 @@ def jenks(values: list[float], k: int = 5, counts: list[int] | None = None) -> l
     if len(x) < k:
         return np.linspace(x[0], x[-1], k + 1)[1:-1].tolist()
     w = np.bincount(at, counts).astype(float)
-    n = len(x)
     y = x - np.average(x, weights=w)
     cw, cy, cq = (np.r_[0.0, np.cumsum(a)] for a in (w, w * y, w * y * y))
-    cost = np.full(n + 1, np.inf)
-    cost[0] = 0.0
-    cuts = np.zeros((k + 1, n + 1), np.int32)
-    for c in range(1, k + 1):
-        new, cut = np.full(n + 1, np.inf), cuts[c]
-        lo, hi = np.array([c]), np.array([n])
-        first, last = np.array([c - 1]), np.array([n - 1])
-        while len(lo):
-            mid = (lo + hi) // 2
-            size = np.minimum(last, mid - 1) - first + 1
-            start = np.cumsum(size) - size
-            i = np.arange(size.sum()) - np.repeat(start - first, size)
-            j = np.repeat(mid, size)
-            sy = cy[j] - cy[i]
-            total = cost[i] + (cq[j] - cq[i]) - sy * sy / (cw[j] - cw[i])
-            best = np.minimum.reduceat(total, start)
-            hit = np.flatnonzero(total == np.repeat(best, size))
-            new[mid], cut[mid] = best, i[hit[np.searchsorted(hit, start)]]
-            lo, hi, first, last = np.r_[lo, mid + 1], np.r_[mid - 1, hi], np.r_[first, cut[mid]], np.r_[cut[mid], last]
-            some = lo <= hi
-            lo, hi, first, last = lo[some], hi[some], first[some], last[some]
-            order = np.argsort(lo)
-            lo, hi, first, last = lo[order], hi[order], first[order], last[order]
-        cost = new
-    out, j = [], n
-    for c in range(k, 1, -1):
-        j = cuts[c, j]
-        out.append(float(x[j - 1]))
-    return out[::-1]
+    return [float(x[j - 1]) for j in _classes(cw, cy, cq, k)[1]]
+
+
+def _may_hold_breaks(cw: np.ndarray, cy: np.ndarray, cq: np.ndarray, one: np.ndarray, live: np.ndarray, k: int, most: float) -> np.ndarray:
+    """Blocks of values in or before which classes of a squared deviation of at most `most` can break, of the blocks `live`. Blocks
+    of more than one value (not `one`) that hold breaks are left out of the sum, which makes it less than that of any such classes."""
 
+    def least(cw, cy, cq, skip, more, live):
+        def between(i, j):
+            i, j = i + skip[i], j + more[j]
+            sy = cy[j] - cy[np.minimum(i, j)]
+            return (cq[j] - cq[np.minimum(i, j)]) - sy * sy / np.maximum(cw[j] - cw[np.minimum(i, j)], 1.0)
 
-def jenks_breaks(df: DataFrame, value: str, k: int = 5, most: int = 2_000_000) -> DataFrame:
-    """Breaks as rows, over all finite values; more than `most` distinct ones, which the driver holds with their counts,
-    are an error."""
-    v = F.col(value).cast("double")
+        m = len(cw) - 1
+        j = np.arange(m) + more
+        rows = [np.where(live, cq[j] - cy[j] ** 2 / np.maximum(cw[j], 1.0), np.inf)]
+        for _ in range(k - 2):
+            rows.append(np.where(live, _cheapest(rows[-1], between, 0, m - 1, 0, m - 1, 0)[0], np.inf))
+        return rows
+
+    own, none = one.astype(int), np.zeros(len(one), int)
+    left, right = least(cw, cy, cq, 1 - own, none, live), least(*(c[-1] - c[::-1] for c in (cw, cy, cq)), none + 1, own[::-1], live[::-1])
+    some = np.zeros(len(one), bool)
+    for c in range(k - 1):
+        some |= left[c] + right[k - 2 - c][::-1] <= most
+    return some & live
+
+
+def jenks_breaks(df: DataFrame, value: str, k: int = 5, most: int | None = None, plain: int = 200_000, bins: int = 1 << 14) -> DataFrame:
+    """Breaks as rows, over all finite values; more than `most` distinct ones, where that is given, are an error.
+
+    The best breaks over more than `plain` distinct values are found by blocks of them. Breaks between blocks bound the least
+    squared deviation from above, sums without the blocks that hold breaks from below; blocks that can hold none are never
+    looked into again, the others are cut finer, until they hold few enough values. The driver has the blocks' sums only."""
+    spark, v = df.sparkSession, F.col(value).cast("double")
     pairs = df.filter(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))).groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    table = pairs.limit(most + 1).toArrow()
-    if table.num_rows > most:
+    pairs = cut(pairs)
+    distinct, total, lo, hi, mean = pairs.agg(F.count(F.lit(1)), F.sum("n"), F.min("v"), F.max("v"), F.sum(F.col("v") * F.col("n")) / F.sum("n")).first()
+    if most is not None and distinct > most:
         raise ValueError(f"more than {most} distinct values")
-    rows = jenks(table["v"].to_numpy(), k, table["n"].to_numpy())
-    return df.sparkSession.createDataFrame([(i + 1, float(b)) for i, b in enumerate(rows)], "class int, upper double")
+    if distinct <= max(plain, k):
+        table = pairs.toArrow()
+        rows = jenks(table["v"].to_numpy(), k, table["n"].to_numpy())
+        return spark.createDataFrame([(i + 1, float(b)) for i, b in enumerate(rows)], "class int, upper double")
+
+    def counted(edges: np.ndarray, single: np.ndarray) -> np.ndarray:
+        """bin, values, weight, sum, sum of squares, least and largest value of the bins that start at the edges; only of
+        those looked into (single), in order."""
+
+        def scan(batches):
+            import pandas as pd
+
+            for pdf in batches:
+                x, n = pdf["v"].to_numpy(), pdf["n"].to_numpy(float)
+                at = np.searchsorted(edges, x, "right") - 1
+                kept = (at >= 0) & single[at]
+                x, n, at = x[kept], n[kept], at[kept]
+                order = np.argsort(at, kind="stable")
+                x, n, at = x[order], n[order], at[order]
+                if len(at):
+                    start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                    y, sums = x - mean, lambda a: np.add.reduceat(a, start)  # noqa: B023
+                    yield pd.DataFrame({"bin": at[start], "d": np.diff(np.r_[start, len(at)]), "w": sums(n), "y": sums(n * y), "q": sums(n * y * y), "a": np.minimum.reduceat(x, start), "b": np.maximum.reduceat(x, start)})
+
+        got = pairs.mapInPandas(scan, "bin long, d long, w double, y double, q double, a double, b double")
+        sums = got.groupBy("bin").agg(*[F.sum(c).alias(c) for c in "dwyq"], F.min("a").alias("a"), F.max("b").alias("b"))
+        return sums.toPandas().sort_values("bin")[list("dwyqab")].to_numpy(float)
+
+    whole = np.array([[distinct, total, 0.0, 0.0, lo, hi]], float)
+    blocks, some = whole, np.array([True])
+    while True:
+        inside = blocks[some, 0].sum()
+        if inside <= plain:
+            break
+        # one edge for each block that is done with, as many as its share of values for the others
+        parts = np.where(some & (blocks[:, 4] < blocks[:, 5]), np.ceil(bins * blocks[:, 0] / inside).astype(int) + 1, 1)
+        edges, single = [], []
+        for (_, _, _, _, a, b), p, s in zip(blocks, parts, some):
+            t = np.arange(p) / p
+            e = np.unique(a * (1 - t) + b * t) if p > 1 else np.array([a])
+            if p > 1 and len(e) < 2:
+                e = np.array([a, b])  # neighbours
+            edges.append(e)
+            single.append(np.full(len(e), s))
+        new = counted(np.concatenate(edges), np.concatenate(single))
+        blocks, live = np.vstack([blocks[~some], new]), np.r_[np.zeros((~some).sum(), bool), np.ones(len(new), bool)]
+        order = np.argsort(blocks[:, 4], kind="stable")
+        blocks, live = blocks[order], live[order]
+        cw, cy, cq = (np.r_[0.0, np.cumsum(blocks[:, c])] for c in (1, 2, 3))
+        upper = _classes(cw, cy, cq, k)[0] if len(blocks) >= k else math.inf
+        some = _may_hold_breaks(cw, cy, cq, blocks[:, 4] == blocks[:, 5], live, k, upper * (1 + 1e-9) + cq[-1] * 1e-13)
+        closed = np.flatnonzero(~some)
+        if len(closed):  # neighbours that are done with become one
+            runs = np.split(closed, np.flatnonzero(np.diff(closed) > 1) + 1)
+            joined = np.array([[*blocks[r, :4].sum(0), blocks[r[0], 4], blocks[r[-1], 5]] for r in runs])
+            blocks, some = np.vstack([joined, blocks[some]]), np.r_[np.zeros(len(runs), bool), np.ones(int(some.sum()), bool)]
+            order = np.argsort(blocks[:, 4], kind="stable")
+            blocks, some = blocks[order], some[order]
+        if (blocks[some, 4] == blocks[some, 5]).all():
+            break
+    ranges = blocks[some][blocks[some, 4] < blocks[some, 5]]
+    if len(ranges):
+        edges = np.array(sorted({*ranges[:, 4]}))
+        ends = ranges[np.argsort(ranges[:, 4]), 5]
+
+        def values(batches):
+            for pdf in batches:
+                x = pdf["v"].to_numpy()
+                at = np.searchsorted(edges, x, "right") - 1
+                yield pdf[(at >= 0) & (x <= ends[at])]
+
+        x = pairs.mapInPandas(values, "v double, n long").toPandas()
+        v, n = x["v"].to_numpy(), x["n"].to_numpy(float)
+        y = v - mean
+        rest = np.r_[blocks[~some], blocks[some][blocks[some, 4] == blocks[some, 5]]]
+        blocks = np.vstack([rest, np.c_[np.ones(len(v)), n, n * y, n * y * y, v, v]])
+        blocks = blocks[np.argsort(blocks[:, 4], kind="stable")]
+    cw, cy, cq = (np.r_[0.0, np.cumsum(blocks[:, c])] for c in (1, 2, 3))
+    rows = [blocks[j - 1, 5] for j in _classes(cw, cy, cq, k)[1]]
+    return spark.createDataFrame([(i + 1, float(b)) for i, b in enumerate(rows)], "class int, upper double")
 
 
 def skater(df: DataFrame, edges: DataFrame, key: str, cols: list[str], k: int) -> DataFrame:

@@ -134,6 +134,16 @@ def test_breaks_of_many_values_use_all_of_them(spark):
         models.jenks_breaks(df, "v", most=3999)
 
 
+@pytest.mark.parametrize("plain, bins", [(50, 256), (700, 4096)])
+def test_breaks_of_more_values_than_are_collected(spark, plain, bins):
+    """The same breaks by blocks as over all values at once, without an error for any number of values."""
+    rng = np.random.default_rng(4)
+    for v in (rng.uniform(0, 1, 3000), rng.lognormal(0, 3, 3000), np.r_[np.repeat(rng.normal(size=900), 3), rng.normal(1e4, 1, 300)]):
+        df = spark.createDataFrame([(float(x),) for x in v] + [(None,), (math.nan,), (-math.inf,)], "v double")
+        got = [r.upper for r in models.jenks_breaks(df, "v", plain=plain, bins=bins).orderBy("class").collect()]
+        assert got == models.jenks(v)
+
+
 def test_breaks_query_reads_many_values(spark, duck):  # noqa: F811
     v = [x for (x,) in duck.execute("SELECT o_totalprice FROM orders").fetchall()]
     assert [r.upper for r in catalog.QUERIES["jenks_breaks"](spark, DATA).orderBy("class").collect()] == models.jenks(v)
