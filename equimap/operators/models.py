@@ -142,67 +142,161 @@ def contributions(df: DataFrame, key: str, cols: list[str], target: str, seed: i
     return df.select(key, *[F.col(c).cast("double").alias(c) for c in cols]).mapInPandas(scan, f"{key} {dict(df.dtypes)[key]}, feature string, contribution double")
 
 
-#: Points whose pairs are counted at most: their coordinates are sent to all tasks (16 bytes each).
-MOST_PAIRED = 100_000
-
-
-def distance_quantile(points: DataFrame, quantile: float, most: int = MOST_PAIRED, bins: int = 1 << 14) -> float | None:
+#: Strips of points; a task has the points of two. Points of a leaf, whose box is compared with other leaves' boxes first.
+STRIPS, LEAF = 32, 32
+
+
+def _leaves(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple:
+    """Points with counts in order of their leaves; each leaf's start, end, box (x0, y0, x1, y1) and count."""
+    leaves = max(1, len(x) // LEAF)
+    wide, high = np.ptp(x), np.ptp(y)
+    columns = int(min(max(1, round(math.sqrt(leaves * wide / high)) if high > 0 else leaves), leaves))
+    column = np.empty(len(x), int)
+    column[np.argsort(x, kind="stable")] = np.arange(len(x)) * columns // len(x)
+    order = np.lexsort((y, column))
+    start = np.arange(0, len(x), LEAF)
+    start = np.unique(np.r_[start, np.flatnonzero(np.diff(column[order])) + 1])
+    x, y, n = x[order], y[order], n[order]
+    box = [f.reduceat(v, start) for f, v in ((np.minimum, x), (np.minimum, y), (np.maximum, x), (np.maximum, y))]
+    return x, y, n, start, np.r_[start[1:], len(x)], box, np.add.reduceat(n, start)
+
+
+def _pair_distances(pdf, lo: float, hi: float):
+    """For two strips (side 0 and 1) or one (side 0): the leaves' pairs that lie wholly below lo, as a count, then for the others
+    the distances of their points with counts; pairs of leaves at hi or beyond have none."""
+    own = pdf["side"].to_numpy()
+    strips = [_leaves(*(pdf[c].to_numpy()[own == k] for c in ("x", "y", "n"))) for k in (0, 1) if (own == k).any()]
+    if own.min() == 1 or (len(strips) == 1 and pdf["pair"].iloc[0] // STRIPS != pdf["pair"].iloc[0] % STRIPS):
+        return
+    single = pdf["n"].max() == 1
+    ax, ay, an, start, end, box, weight = strips[0]
+    bx, by, bn, bstart, bend, bbox, bweight = strips[-1]
+    for i in range(len(start)):
+        least, most = _box_distances(box, i, bbox)
+        part = slice(start[i], end[i])
+        after = np.arange(len(bstart)) > i if len(strips) == 1 else np.ones(len(bstart), bool)
+        yield None, float(weight[i] * bweight[after & (most < lo)].sum())
+        some = np.repeat(after & (most >= lo) & (least < hi), bend - bstart)
+        if some.any():
+            d = np.hypot(ax[part, None] - bx[None, some], ay[part, None] - by[None, some])
+            yield d.ravel(), np.ones(d.size) if single else (an[part, None] * bn[None, some]).ravel()
+        if len(strips) == 1:
+            j, k = np.triu_indices(end[i] - start[i], 1)
+            x, y, n = ax[part], ay[part], an[part]
+            yield np.hypot(x[j] - x[k], y[j] - y[k]), n[j] * n[k]
+            if (n > 1).any():
+                yield np.zeros(int((n > 1).sum())), (n * (n - 1) / 2)[n > 1]
+
+
+def _box_distances(box, i: int, other) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the distances between a point in box i and one in each other box."""
+    gap = lambda a0, a1, b0, b1: np.maximum(0.0, np.maximum(a0 - b1, b0 - a1))
+    far = lambda a0, a1, b0, b1: np.maximum(a1 - b0, b1 - a0)
+    sides = [(box[k][i], box[k + 2][i], other[k], other[k + 2]) for k in (0, 1)]
+    return np.hypot(*(gap(*s) for s in sides)) * (1 - 1e-12), np.hypot(*(far(*s) for s in sides)) * (1 + 1e-12)
+
+
+def distance_quantile(points: DataFrame, quantile: float, most: int | None = None, bins: int = 1 << 13) -> float | None:
     """The quantile (linear between neighbours, as numpy's) of the distances of all pairs of points (x, y); null for fewer than
-    two. Tasks count the pairs of their points by distance, then look only into the bins where the quantile lies, cut finer
-    each time. More than `most` points are an error."""
-    spark = points.sparkSession
-    some = points.select("x", "y").limit(most + 1).collect()
-    n = len(some)
-    if n > most:
+    two. More than `most` points, where that is given, are an error.
+
+    Points are dealt to strips; a task compares two of them by their leaves' boxes and computes distances only of leaves
+    whose distances can lie in the range where the quantile is. That range is found by boxes alone, then by counts of
+    distances in bins, cut finer each time."""
+    rows = points.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna()
+    per = cut(rows.groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("n")))
+    n, size, x0, x1, y0, y1 = per.agg(F.sum("n"), F.count("n"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    n = int(n or 0)
+    if most is not None and n > most:
         raise ValueError(f"more than {most} points")
     if n < 2:
         return None
-    shared = spark.sparkContext.broadcast(np.array([[float(r.x), float(r.y)] for r in some]))
-    at = shared.value
-    blocks = spark.range(0, n, 64, numPartitions=min(256, 1 + n // 512))
+    strips = min(STRIPS, 1 + size // 1024)
+    cuts = sorted(set(per.approxQuantile("x", [i / strips for i in range(1, strips)], 1 / (8 * strips)))) if strips > 1 else []
+    strip = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("x"))) if cuts else F.lit(0)
+    to = F.explode(F.sequence(F.lit(0), F.lit(len(cuts)))).alias("to")
+    dealt = per.select("x", "y", "n", strip.alias("strip"), to)
+    first = F.col("strip") <= F.col("to")
+    pair = F.when(first, F.col("strip") * STRIPS + F.col("to")).otherwise(F.col("to") * STRIPS + F.col("strip"))
+    dealt = dealt.select("x", "y", "n", pair.alias("pair"), F.when(first, 0).otherwise(1).alias("side"))
+    dealt = dealt.repartition(len(cuts) * 8 + 1, "pair").groupBy("pair")  # stated, since few bytes are much work here
+
+    def bounds(edges):
+        def each(pdf):
+            """Pairs by the least and by the largest distance that their leaves allow."""
+            import pandas as pd
 
-    def each(batches, found):
-        at = shared.value
-        for pdf in batches:
-            for a in pdf["id"].tolist():
-                i = np.arange(a, min(a + 64, n))
-                d = np.hypot(at[i, None, 0] - at[None, a:, 0], at[i, None, 1] - at[None, a:, 1])
-                yield found(d[np.arange(a, n)[None, :] > i[:, None]])
+            own = pdf["side"].to_numpy()
+            one = pdf["pair"].iloc[0] // STRIPS == pdf["pair"].iloc[0] % STRIPS
+            low, high = np.zeros(len(edges)), np.zeros(len(edges))
+            if one or 0 < own.sum() < len(own):
+                a, b = (_leaves(*(pdf[c].to_numpy()[own == k] for c in ("x", "y", "n"))) for k in (0, 0 if one else 1))
+                for i in range(len(a[3])):
+                    least, far = _box_distances(a[5], i, b[5])
+                    w = a[6][i] * b[6]
+                    if one:
+                        w = np.where(np.arange(len(w)) > i, w, 0.0)
+                        w[i] = a[6][i] * (a[6][i] - 1) / 2
+                        least[i] = 0.0
+                    for got, d in ((low, least), (high, far)):
+                        got += np.bincount(np.clip(np.searchsorted(edges, d, "right") - 1, 0, len(edges) - 1), w, len(edges))
+            return pd.DataFrame({"bin": np.arange(len(edges)), "low": low, "high": high})
+
+        return each
+
+    def counts(edges):
+        def each(pdf):
+            import pandas as pd
+
+            size = len(edges) - 1
+            total, pairs, below = np.zeros(size), np.zeros(size, np.int64), 0.0
+            for d, w in _pair_distances(pdf, edges[0], edges[-1]):
+                if d is None:
+                    below += w
+                    continue
+                below += w[d < edges[0]].sum()
+                inside = np.flatnonzero((d >= edges[0]) & (d < edges[-1]))
+                d = d[inside]
+                at = np.minimum(((d - edges[0]) * (size / (edges[-1] - edges[0]))).astype(np.int64), size - 1)
+                at = at - (d < edges[at]) + (d >= edges[at + 1])  # rounded
+                total += np.bincount(at, w[inside], size)
+                pairs += np.bincount(at, minlength=size)
+            some = np.flatnonzero(pairs)
+            return pd.DataFrame({"bin": np.r_[-1, some], "n": np.r_[below, total[some]], "pairs": np.r_[0, pairs[some]]})
+
+        return each
 
     where = quantile * (n * (n - 1) // 2 - 1)
-    wanted = sorted({math.floor(where), math.ceil(where)})
-    lo, hi, before = 0.0, float(np.hypot(*np.ptp(at, axis=0))) * (1 + 1e-12) + 1e-300, 0
+    wanted = [math.floor(where), math.ceil(where)]
+    lo, hi = 0.0, math.hypot(x1 - x0, y1 - y0) * (1 + 1e-9) + 1e-300
+    edges = np.linspace(lo, hi, min(bins, 4096) + 1)
+    got = dealt.applyInPandas(bounds(edges), "bin long, low double, high double").groupBy("bin").agg(F.sum("low").alias("low"), F.sum("high").alias("high")).orderBy("bin").collect()
+    start, sure = np.cumsum([r.low for r in got]), np.cumsum([r.high for r in got])  # may be, are below the bin's upper edge
+    a, b = np.searchsorted(start, wanted[0], "right"), np.searchsorted(sure, wanted[1], "right")
+    lo, hi = float(edges[min(a, len(edges) - 2)]), float(edges[min(b + 1, len(edges) - 1)])
     while True:
         edges = np.linspace(lo, hi, bins + 1)
-
-        def count(batches, edges=edges):
-            import pandas as pd
-
-            total = np.zeros(len(edges) - 1, np.int64)
-            for n in each(batches, lambda d: np.bincount(np.searchsorted(edges, d[(d >= edges[0]) & (d < edges[-1])], "right") - 1, minlength=len(edges) - 1)):
-                total += n
-            yield pd.DataFrame({"bin": np.flatnonzero(total), "n": total[total > 0]})
-
-        got = blocks.mapInPandas(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").collect()  # bins at most
-        ahead = before + np.cumsum([r.n for r in got])
-        first, last = (int(np.searchsorted(ahead, w, "right")) for w in (wanted[0], wanted[-1]))
+        got = dealt.applyInPandas(counts(edges), "bin long, n double, pairs long").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("pairs").alias("pairs")).orderBy("bin").collect()  # bins at most
+        ahead = np.cumsum([r.n for r in got])
+        first, last = (int(np.searchsorted(ahead, w, "right")) for w in wanted)
         before = int(ahead[first] - got[first].n)
-        a, b = edges[got[first].bin], edges[got[last].bin + 1]
-        inside = int(ahead[last]) - before
-        if inside <= bins or b - a <= 1e-12 * max(1.0, b) or (a, b) == (lo, hi):
+        a, b = float(edges[got[first].bin]), float(edges[got[last].bin + 1])
+        inside = sum(r.pairs for r in got[first : last + 1])
+        if inside <= 32 * bins or b - a <= 1e-12 * max(1.0, b) or (a, b) == (lo, hi):
             break
         lo, hi = a, b
-    if inside > bins:  # as many equal distances
-        return float(a)
+    if inside > 32 * bins:  # as many equal distances
+        return a
 
-    def kept(batches):
+    def kept(pdf):
         import pandas as pd
 
-        for d in each(batches, lambda d: d[(d >= a) & (d < b)]):
-            yield pd.DataFrame({"d": d})
+        out = [(d[k], w[k]) for d, w in _pair_distances(pdf, a, b) if d is not None for k in [(d >= a) & (d < b)] if k.any()]
+        return pd.DataFrame({"d": np.concatenate([o[0] for o in out]) if out else np.zeros(0), "n": np.concatenate([o[1] for o in out]) if out else np.zeros(0)})
 
-    values = sorted(r.d for r in blocks.mapInPandas(kept, "d double").collect())
-    low, high = values[wanted[0] - before], values[wanted[-1] - before]
+    found = dealt.applyInPandas(kept, "d double, n double").orderBy("d").toPandas()
+    ahead = before + np.cumsum(found["n"].to_numpy())
+    low, high = (float(found["d"].iloc[int(np.searchsorted(ahead, w, "right"))]) for w in wanted)
     return low + (high - low) * (where - wanted[0])
 
 

@@ -197,6 +197,20 @@ def test_distances_of_all_pairs(spark, n, q, bins):
     assert models.distance_quantile(df.limit(1), q) is None
 
 
+def test_distances_of_more_points_than_one_task_had(spark):
+    """More than 100,000 points, most of them copies, aren't an error; every copy counts."""
+    import numpy as np
+
+    from equimap.operators import models
+
+    at = np.random.default_rng(5).normal(size=(900, 2))
+    d = np.hypot(*(at[:, None] - at[None]).transpose(2, 0, 1))[np.triu_indices(900, 1)]
+    points = spark.createDataFrame(at.tolist(), "x double, y double").crossJoin(spark.range(120))
+    n, same = 900 * 120, 900 * 120 * 119 // 2
+    want = np.sort(d)[(int(0.3 * (n * (n - 1) // 2 - 1)) - same) // 120**2]  # each distance 14,400 times
+    assert models.distance_quantile(points, 0.3) == pytest.approx(float(want), rel=1e-9)
+
+
 def test_each_tree_draws_from_all_rows(spark, monkeypatch):
     from equimap.operators import planning
 
