@@ -58,32 +58,34 @@ def _any_word(segment: Column, words: list[str], but: Column | None = None) -> C
     return out
 
 
-def evidence(corpus: DataFrame, lexicon: DataFrame, entity_words: list[str], negations: list[str], window: int = 60, own: int = 20) -> DataFrame:
-    """For each entity and sub-dimension of the lexicon: anchors (distinct hits), cooccur, self_hit, words (first six hits).
+def evidence(corpus: DataFrame, lexicon: DataFrame, entity_words: list[str], negations: list[str], window: int = 60, own: int = 20, others: tuple[int, ...] = ()) -> DataFrame:
+    """For each entity and sub-dimension of the lexicon: anchors (distinct hits), cooccur, self_hit, words (first six hits);
+    cooccur_<width> for each other window, judged in the same scan.
 
     corpus: entity, text. lexicon: subdim, kind (anchor, self), term. The lexicon is a bounded table of terms. A text is read
     once; all its hits are judged in its row, and only what was found goes on."""
     terms, longest = terms_of(lexicon.filter(F.col("kind").isin("anchor", "self")))
-    reach = max(window, own) + longest
+    reach = max(window, own, *others) + longest
     rows = corpus.select("entity", F.lower("text").alias("text")).crossJoin(terms)
     text = F.col("text")
 
     def judged(t: Column, pieces: Column) -> Column:
         size, anchor = F.length(t["term"]), t["kind"] == "anchor"
         near = lambda p, width, use: S.bound(window_text(pieces, reach, p, size, width), use)
-        co = lambda at: F.exists(at, lambda p: near(p, window, lambda x: _any_word(x, entity_words, t["term"]) & ~_any_word(x, negations)))
+        co = lambda at, width: F.exists(at, lambda p: near(p, width, lambda x: _any_word(x, entity_words, t["term"]) & ~_any_word(x, negations)))
         me = lambda at: F.exists(at, lambda p: near(p, own, lambda x: ~_any_word(x, negations)))
-        got = S.bound(positions(text, t["term"]), lambda at: F.struct((anchor & co(at)).alias("co"), (~anchor & me(at)).alias("me")))
+        got = S.bound(positions(text, t["term"]), lambda at: F.struct((anchor & co(at, window)).alias("co"), (~anchor & me(at)).alias("me"), *[(anchor & co(at, w)).alias(f"co_{w}") for w in others]))
         return F.struct(t["subdim"].alias("subdim"), t["kind"].alias("kind"), t["term"].alias("term"), got.alias("got"))
 
     there = F.filter("terms", lambda t: F.contains(text, t["term"]))
     hits = S.bound(there, lambda ts: F.when(F.size(ts) > 0, S.bound(pieces_of(text, reach), lambda ps: F.transform(ts, lambda t: judged(t, ps)))))
-    hits = rows.select("entity", F.explode(hits).alias("h")).select("entity", "h.subdim", "h.kind", "h.term", "h.got.co", "h.got.me")
+    hits = rows.select("entity", F.explode(hits).alias("h")).select("entity", "h.subdim", "h.kind", "h.term", "h.got.co", "h.got.me", *[f"h.got.co_{w}" for w in others])
     return hits.groupBy("entity", "subdim").agg(
         F.count_distinct(F.when(F.col("kind") == "anchor", F.col("term"))).alias("anchors"),
         F.max("co").alias("cooccur"),
         F.max("me").alias("self_hit"),
         F.array_join(F.slice(F.array_sort(F.collect_set("term")), 1, 6), ", ").alias("words"),
+        *[F.max(f"co_{w}").alias(f"cooccur_{w}") for w in others],
     )
 
 

@@ -220,7 +220,8 @@ def parameter_sweep(spark, d):
     """How many entities' sets of tags change with the threshold, and of third-level sub-dimensions with the window."""
     entities = _corpus(spark, d).select("entity")
     honours = cut(X.official(_corpus(spark, d), _lexicon(spark)))
-    levels = {w: cut(X.levels(X.evidence(_corpus(spark, d), _lexicon(spark), WORDS, NOT, window=w), honours)) for w in (60, 40, 80)}
+    found = cut(X.evidence(_corpus(spark, d), _lexicon(spark), WORDS, NOT, others=(40, 80)))
+    levels = {w: cut(X.levels(found if w == 60 else found.withColumn("cooccur", F.col(f"cooccur_{w}")), honours)) for w in (60, 40, 80)}
     tags = lambda th: levels[60].filter(F.col("confidence") >= th).select("entity", F.substring("subdim", 1, 2).alias("tag"))
     third = lambda w: levels[w].filter("level = 'E3'").select("entity", F.col("subdim").alias("tag"))
     out = [("threshold", th, V.set_change(tags(0.7), tags(th), entities, "entity", "tag")) for th in (0.65, 0.75)]

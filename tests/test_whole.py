@@ -225,6 +225,22 @@ def test_weights_that_are_all_zero(spark, kernel, left):
     assert {r.p for r in got} == left and sum(r.w for r in got) == pytest.approx(1)
 
 
+def test_windows_are_judged_in_one_scan(spark, monkeypatch):
+    """The sweep reads the texts once for all windows, with the evidence of each alone."""
+    from equimap.operators import text as X
+    from equimap.plans import text_queries as T
+
+    corpus, lexicon = T._corpus(spark, DATA), T._lexicon(spark)
+    got = X.evidence(corpus, lexicon, T.WORDS, T.NOT, others=(40, 80)).collect()
+    for w in (40, 80):
+        alone = {(r.entity, r.subdim): r.cooccur for r in X.evidence(corpus, lexicon, T.WORDS, T.NOT, window=w).collect()}
+        assert {(r.entity, r.subdim): r[f"cooccur_{w}"] for r in got} == alone and alone
+    calls, evidence = [], X.evidence
+    monkeypatch.setattr(X, "evidence", lambda *a, **k: calls.append(k) or evidence(*a, **k))
+    catalog.QUERIES["parameter_sweep"](spark, DATA)
+    assert len(calls) == 1
+
+
 def test_models_read_a_written_table(spark):
     """Folds are joined and numbered once, not again in each pass of each model."""
     from equimap.plans import model_queries
