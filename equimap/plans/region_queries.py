@@ -12,6 +12,7 @@ from ..operators import planning as P
 from ..operators import polygons as PG
 from ..operators import spatial as G
 from ..operators import stats as A
+from ..operators import triangulation as T
 from ..operators.lineage import cut
 from ..sources import files as IO
 from .registry import Registry
@@ -154,7 +155,7 @@ def polygon_overlay(spark, d):
 
 @Q()
 def delaunay_edges(spark, d):
-    return G.delaunay(points(spark, d), "vec_id")
+    return T.delaunay(points(spark, d), "vec_id")
 
 
 @Q(f"WITH {POINTS}, a AS (SELECT vec_id, round(x, 2) AS rx, round(y, 2) AS ry FROM p), b AS (SELECT vec_id AS other, round(x + 0.0001 * (vec_id % 3), 2) AS rx, round(y, 2) AS ry FROM p) SELECT vec_id, other FROM a JOIN b ON a.rx = b.rx AND a.ry = b.ry")
