@@ -1,6 +1,6 @@
 """Models and optimisation: imputation, supply and pressure, folds with boosted trees, breaks, clustering, allocation.
 
-Sequential kernels (breaks, spanning tree cuts, allocation) run over entity tables, whose size is checked.
+Sequential kernels (breaks, allocation) run over entity tables, whose size is checked.
 """
 
 from __future__ import annotations
@@ -557,64 +557,3 @@ def jenks_breaks(df: DataFrame, value: str, k: int = 5, most: int | None = None,
     cw, cy, cq = (np.r_[0.0, np.cumsum(blocks[:, c])] for c in (1, 2, 3))
     rows = [blocks[j - 1, 5] for j in _classes(cw, cy, cq, k)[1]]
     return spark.createDataFrame([(i + 1, float(b)) for i, b in enumerate(rows)], "class int, upper double")
-
-
-def skater(df: DataFrame, edges: DataFrame, key: str, cols: list[str], k: int) -> DataFrame:
-    """Regions: the minimum spanning forest of feature distances over an adjacency, cut k - 1 times where a cut lowers
-    the squared deviation most. For entity tables of a checked size."""
-    rows = _bounded(df.select(key, *cols), 20_000)
-    ids = {r[key]: i for i, r in enumerate(rows)}
-    x = np.array([[float(r[c]) for c in cols] for r in rows]).reshape(len(rows), len(cols))
-    links = sorted({(min(ids[a], ids[b]), max(ids[a], ids[b])) for a, b in _bounded(edges, 2_000_000) if a in ids and b in ids and a != b}, key=lambda e: (float(np.linalg.norm(x[e[0]] - x[e[1]])), e))
-    up = list(range(len(rows)))
-
-    def root(i):
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    tree: dict[int, set[int]] = {i: set() for i in range(len(rows))}
-    for a, b in links:
-        if root(a) != root(b):
-            up[root(a)] = root(b)
-            tree[a].add(b)
-            tree[b].add(a)
-
-    def part(i, banned=None):
-        seen, todo = {i}, [i]
-        while todo:
-            u = todo.pop()
-            for v in tree[u]:
-                if {u, v} != banned and v not in seen:
-                    seen.add(v)
-                    todo.append(v)
-        return seen
-
-    ssd = lambda s: float(((x[sorted(s)] - x[sorted(s)].mean(0)) ** 2).sum())
-    parts, left = [], set(range(len(rows)))
-    while left:
-        p = part(min(left))
-        parts.append(p)
-        left -= p
-    while len(parts) < k:
-        best = None
-        for p in parts:
-            whole = ssd(p)
-            for u in sorted(p):
-                for v in sorted(tree[u]):
-                    if u < v:
-                        a = part(u, {u, v})
-                        gain = whole - ssd(a) - ssd(p - a)
-                        if best is None or gain > best[0] + 1e-12:
-                            best = (gain, u, v, p, a)
-        if best is None:
-            break
-        _, u, v, p, a = best
-        tree[u].discard(v)
-        tree[v].discard(u)
-        parts.remove(p)
-        parts += [a, p - a]
-    parts.sort(key=min)
-    label = {i: n + 1 for n, p in enumerate(parts) for i in p}
-    return df.sparkSession.createDataFrame([(r[key], label[i]) for i, r in enumerate(rows)], f"{key} long, region int")

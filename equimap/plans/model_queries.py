@@ -8,6 +8,7 @@ from ..operators import allocation as L
 from ..operators import evaluation as V
 from ..operators import models as M
 from ..operators import network as N
+from ..operators import regions as R
 from ..operators import spatial as G
 from ..operators import stats as A
 from ..operators.lineage import cut
@@ -72,7 +73,7 @@ def jenks_breaks(spark, d):
 def skater_regions(spark, d):
     p = points(spark, d)
     s = p.select(F.col("vec_id").alias("sid"), F.col("x").alias("sx"), F.col("y").alias("sy"))
-    return M.skater(p, G.knn(p, s, 4, 900.0, "vec_id", "sid", exclude_self=True).select("vec_id", "sid"), "vec_id", ["v"], 6)
+    return R.skater(p, G.knn(p, s, 4, 900.0, "vec_id", "sid", exclude_self=True).select("vec_id", "sid"), "vec_id", ["v"], 6)
 
 
 def _plan(spark, d):
